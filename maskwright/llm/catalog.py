@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 OPERATORS = {
     "op1_huffman_tokens": "token_output",
+    "op2_bm25_decontamination": "decontaminate",
     "op3_karmarkar_karp_packing": "packing",
     "op6_prefix_token_counts": "prefix_counts",
     "op7_hyperdimensional_language": "language_id",
     "op8_simhash_near_duplicates": "simhash",
     "op9_factorization_machine_toxicity": "toxicity",
+    "op10_randomness_battery_secrets": "secrets",
 }
 
 

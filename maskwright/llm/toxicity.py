@@ -1,9 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
 score = sigmoid(w0 + sum of w[t] + sum over pairs of <v[s], v[t]>) over the terms of a text; the factors v let two
-terms mean more together than each alone (an insult and the mention of a group). Terms are lower-cased runs of letters,
-hashed to BUCKETS; a term counts once for each text, so length does not add up. The machine is fitted on the driver to
-at most MAX_ROWS labelled documents, those smallest by a hash of their id; everything is scored.
+terms mean more together than each alone (an insult and the mention of a group). Terms are lower-cased runs of letters
+and their beginnings of 4 to 6 letters (inflected insults share a stem), hashed to BUCKETS; a term counts once for each
+text, so length does not add up. The machine is fitted to at most MAX_ROWS labelled documents, those smallest by a hash
+of their id: term counts by label are summed on the executors, and the driver gets only the chosen terms of each
+document. Everything is scored.
 """
 
 from __future__ import annotations
@@ -16,66 +18,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import dropped, table, written
 
-MAX_ROWS, BUCKETS, FEATURES, FACTORS, THRESHOLD, FOLDS, HELD = 20_000, 1 << 26, 512, 4, 0.3, 4, 2
+MAX_ROWS, BUCKETS, FEATURES, FACTORS, THRESHOLD, FOLDS, HELD = 20_000, 1 << 30, 512, 4, 0.3, 4, 2
+STEMS, CLEAR = (4, 5, 6), 5.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: str | None) -> set[str]:
+def words(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def bucket(term: str) -> int:
-    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
+def buckets(word: str) -> list[int]:
+    """The word's own bucket and those of its longer beginnings."""
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in [word] + [f"{word[:n]}-" for n in STEMS if len(word) >= n]]
 
 
 class Machine:
     def __init__(self, w0: float, w: np.ndarray, v: np.ndarray, index: dict[int, int]):
         self.w0, self.w, self.v, self.index = w0, w, v, index
-        self.cache: dict[str, int] = {}
+        self.cache: dict[str, tuple] = {}
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         out, get, index = np.empty(len(texts)), self.cache.get, self.index
         if len(self.cache) > 500_000:
             self.cache.clear()
         for k, t in enumerate(texts):
-            at = []
-            for x in terms(t):
-                i = get(x)
-                if i is None:
-                    i = self.cache[x] = index.get(bucket(x), -1)
-                if i >= 0:
-                    at.append(i)
-            at = np.unique(np.array(at, np.int64))  # in fixed order; a bucket counts once
+            at: list[int] = []
+            for x in words(t):
+                found = get(x)
+                if found is None:
+                    found = self.cache[x] = tuple(index[b] for b in buckets(x) if b in index)
+                if found:
+                    at += found
+            at = np.unique(np.array(at, np.int64))  # in fixed order; a term counts once
             s = self.v[at].sum(0)
             z = self.w0 + self.w[at].sum() + 0.5 * ((s * s).sum() - (self.v[at] ** 2).sum())
             out[k] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, factors: int = FACTORS, steps: int = 300, seed: int = 5) -> Machine:
-    """Full-batch Adam on the logistic loss with L2; only buckets whose rates differ clearly between the labels are used."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, factors: int = FACTORS, steps: int = 300, seed: int = 5) -> Machine:
+    """Full-batch Adam on the logistic loss with L2, over the terms in ids (sorted)."""
     y = labels.astype(np.float64)
-    pos, neg = y.sum(), len(y) - y.sum()
-    rate = (pos + 0.5) / (len(y) + 1)
+    rate = (y.sum() + 0.5) / (len(y) + 1)
     base = float(np.log(rate / (1 - rate)))
-    if not pos or not neg:
+    if not len(ids):
         return Machine(base, np.zeros(1), np.zeros((1, factors)), {})
-    ids, at = np.unique(np.concatenate(rows), return_inverse=True)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    n1, n0 = np.bincount(at, y[doc], len(ids)), np.bincount(at, 1 - y[doc], len(ids))
-    p = (n1 + n0) / len(y)
-    z = (n1 / pos - n0 / neg) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / pos + 1 / neg))
-    use = np.flatnonzero((np.abs(z) > 4) & (n1 + n0 >= 3))
-    use = np.sort(use[np.argsort(-np.abs(z[use]), kind="stable")][:features])
-    slot = np.full(len(ids), -1)
-    slot[use] = np.arange(len(use))
-    x = np.zeros((len(rows), len(use)), np.float32)
-    inside = slot[at] >= 0
-    x[doc[inside], slot[at[inside]]] = 1
+    x = np.zeros((len(rows), len(ids)), np.float32)
+    for k, r in enumerate(rows):
+        x[k, np.searchsorted(ids, r)] = 1
     rng = np.random.default_rng(seed)
-    par = [np.array([base]), np.zeros(len(use)), rng.normal(0, 0.05, (len(use), factors))]
+    par = [np.array([base]), np.zeros(len(ids)), rng.normal(0, 0.05, (len(ids), factors))]
     l2, m, s = (0.0, 2e-4, 2e-3), [np.zeros_like(q) for q in par], [np.zeros_like(q) for q in par]
     for step in range(1, steps + 1):
         w0, w, v = par
@@ -88,25 +82,50 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, fa
             m[k] = 0.9 * m[k] + 0.1 * d
             s[k] = 0.999 * s[k] + 0.001 * d * d
             par[k] = par[k] - 0.05 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-9)
-    return Machine(float(par[0][0]), par[1], par[2], {int(ids[u]): k for k, u in enumerate(use)})
+    return Machine(float(par[0][0]), par[1], par[2], {int(i): k for k, i in enumerate(ids)})
 
 
-def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine:
-    """A machine from documents (doc_id, text) and labels (doc_id, toxic 0 or 1; other values are left out)."""
+def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features: int = FEATURES) -> Machine:
+    """A machine from documents (doc_id, text) and labels (doc_id, toxic 0 or 1; other values are left out).
+
+    Terms are chosen whose rates differ between the labels by more than CLEAR standard errors, the clearest first.
+    Without labels of both kinds there are none, and every text gets the same score.
+    """
     l = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     some = l.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
 
     def run(it):
+        known: dict[str, list[int]] = {}
         for b in it:
-            found = [sorted({bucket(x) for x in terms(t)}) for t in b.column(1).to_pylist()]
+            found = []
+            for t in b.column(1).to_pylist():
+                got: set[int] = set()
+                for x in words(t):
+                    if (at := known.get(x)) is None:
+                        if len(known) > 500_000:
+                            known.clear()
+                        at = known[x] = buckets(x)
+                    got.update(at)
+                found.append(sorted(got))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), b.column(2)], ["doc_id", "terms", "toxic"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = texts.join(some, "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, terms array<int>, toxic int").toArrow()
-    order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
+    rows = written(texts.join(some, "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, terms array<int>, toxic int"), "labelled")
+    n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    ids = np.zeros(0, np.int64)
+    if pos and n - pos:
+        per = rows.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.sum("toxic").alias("n1"), F.count("*").alias("n"))
+        p = F.col("n") / n
+        z = F.abs(F.col("n1") / pos - (F.col("n") - F.col("n1")) / (n - pos)) / F.sqrt(p * (1 - p) * (1 / pos + 1 / (n - pos)))
+        chosen = per.where(p < 1).withColumn("z", z).where(F.col("z") > CLEAR).orderBy(F.desc("z"), "term").limit(features)
+        ids = np.array(sorted(r.term for r in chosen.collect()), np.int64)
+    keep = F.array_intersect("terms", F.lit([int(x) for x in ids]).cast("array<int>")) if len(ids) else F.lit([]).cast("array<int>")
+    got = rows.select("doc_id", keep.alias("terms"), "toxic").toArrow()
+    dropped(rows)
     y = got["toxic"].to_numpy()
-    cells = got["terms"].combine_chunks()
-    return fit([np.asarray(cells[int(i)].values, np.int64) for i in order], y[order])
+    cells = got["terms"].to_pylist()
+    order = sorted(range(len(y)), key=lambda i: (got["doc_id"][i].as_py(), y[i]))
+    return fit([np.array(cells[i], np.int64) for i in order], y[order], ids)
 
 
 def scored(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
