@@ -10,6 +10,7 @@ OPERATORS = {
     "op1_huffman_tokens": "token_output",
     "op2_bm25_decontamination": "decontaminate",
     "op3_karmarkar_karp_packing": "packing",
+    "op4_nn_descent_embedding_dedup": "embedding_dedup",
     "op6_prefix_token_counts": "prefix_counts",
     "op7_hyperdimensional_language": "language_id",
     "op8_simhash_near_duplicates": "simhash",
