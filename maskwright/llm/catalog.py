@@ -11,6 +11,7 @@ OPERATORS = {
     "op2_bm25_decontamination": "decontaminate",
     "op3_karmarkar_karp_packing": "packing",
     "op4_nn_descent_embedding_dedup": "embedding_dedup",
+    "op5_boosted_html_text": "html_text",
     "op6_prefix_token_counts": "prefix_counts",
     "op7_hyperdimensional_language": "language_id",
     "op8_simhash_near_duplicates": "simhash",
@@ -20,7 +21,9 @@ OPERATORS = {
 
 
 def queries() -> dict:
-    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in OPERATORS.items()}
+    import corpus_pipeline
+
+    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in OPERATORS.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -169,16 +169,23 @@ def matches(index: Index, texts: list[str | None], threshold: float = SCORE) ->
     return [(d, i, *x) for (d, i), x in best.items()]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = SCORE, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """One row for each document and test item that some passage of it repeats; none for clean documents.
+def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> list:
+    """Broadcast indexes, each over at most about index_bytes of item texts.
 
-    Null and empty texts match nothing; items of fewer than MIN_WORDS words, or null, are no evidence and are left out;
-    items with equal texts all match. Repeated rows of documents give rows each.
+    Items of fewer than MIN_WORDS words, and null ones, are no evidence and are left out.
     """
-    spark = docs.sparkSession
+    spark = items.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-size // index_bytes) or 1
+    return [spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()])) for k in range(shards)]
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = SCORE, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """One row for each document and test item that some passage of it repeats; none for clean documents.
+
+    Null and empty texts match nothing; items with equal texts all match. Repeated rows of documents give rows each.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def against(index):
@@ -195,12 +202,30 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = SCORE, in
         return texts.mapInArrow(run, MATCHES)
 
     out = None
-    for k in range(shards):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()  # at most about index_bytes
-        one = against(spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in mine])))
+    for index in indexes(items, index_bytes):
+        one = against(index)
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def cleaned(docs: DataFrame, items: DataFrame, threshold: float = SCORE, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The rows of docs, all columns, that repeat no test item; nothing is shuffled."""
+
+    def without(docs, index):
+        def run(it):
+            for b in it:
+                texts = b.column("text").to_pylist()
+                keep = np.ones(len(texts), bool)
+                for lo, hi in batches(texts):
+                    keep[[lo + row[0] for row in matches(index.value, texts[lo:hi], threshold)]] = False
+                yield b.filter(pa.array(keep))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    for index in indexes(items, index_bytes):
+        docs = without(docs, index)
+    return docs
+
+
 def op2_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

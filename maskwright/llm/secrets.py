@@ -174,7 +174,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]", fdr: float = FDR) -> DataF
 
     Documents without a span stay as they are. Needs unique doc_ids.
     """
-    spans = secret_spans(docs, fdr).where(F.size("spans") > 0).select("doc_id", "spans")
+    spans = secret_spans(docs, fdr).where(F.size("spans") > 0).select("doc_id", F.col("spans").alias("__spans"))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def step(a, s):
@@ -182,12 +182,11 @@ def redacted(docs: DataFrame, mark: str = "[secret]", fdr: float = FDR) -> DataF
         gap = F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
         return F.struct(F.when(inside, a["out"]).otherwise(F.concat(a["out"], gap, F.lit(mark))).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
 
-    text = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))))
-    both = docs.join(spans, "doc_id", "left")
-    new = F.when(F.col("spans").isNull(), F.col("text")).otherwise(text)
-    out = both.withColumn("text", new)
+    text = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))))
+    plain = F.col("__spans").isNull()
+    out = docs.join(spans, "doc_id", "left").withColumn("text", F.when(plain, F.col("text")).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(plain, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 

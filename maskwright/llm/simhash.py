@@ -150,5 +150,11 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     return own.join(known, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """The rows of docs, all columns, without those whose group has a smaller doc_id; rows without a doc_id stay."""
+    spare = near_duplicates(docs, distance, shingle, seed).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(spare, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
