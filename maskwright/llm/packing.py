@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .words import batches, encoder, tokenizer_path
+from .words import encoder, slices, tokenizer_path
 
 CAPACITY, BATCH_WINDOWS = 2048, 96
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -118,9 +118,9 @@ def packed(docs: DataFrame, vocab_path: str, end_id: int = 1, capacity: int = CA
             return rows
 
         for b in it:
-            texts, doc_ids = b.column(1).to_pylist(), b.column(0).to_pylist()
-            for lo, hi in batches(texts):
-                ids, counts = enc.encode(texts[lo:hi], end_id)
+            doc_ids = b.column(0).to_pylist()
+            for lo, hi in slices(b.column(1)):
+                ids, counts = enc.encode(b.column(1).slice(lo, hi - lo), end_id)
                 ids, at = ids.astype("<u4"), 0
                 for doc, n in zip(doc_ids[lo:hi], counts.tolist()):
                     mine = ids[at : at + n]

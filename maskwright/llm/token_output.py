@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, table, written
-from .words import batches, encoder, tokenizer_path
+from .words import encoder, slices, tokenizer_path
 
 MAX_BITS, STEP, BLOCK_IDS = 16, 256, 1 << 18
 MAGIC = b"HTK1"
@@ -145,9 +145,8 @@ def tokenized(docs: DataFrame, vocab_path: str, end_id: int = 1, id_col: str = "
         enc = encoder(vocab_path)
         kind = "<u2" if enc.vocab_size <= 1 << 16 else "<u4"
         for b in it:
-            texts = b.column(1).to_pylist()
-            for lo, hi in batches(texts):
-                ids, counts = enc.encode(texts[lo:hi], end_id)
+            for lo, hi in slices(b.column(1)):
+                ids, counts = enc.encode(b.column(1).slice(lo, hi - lo), end_id)
                 cut = np.cumsum(counts)
                 raw, size = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
                 blobs = [raw[(e - c) * size : e * size] for e, c in zip(cut.tolist(), counts.tolist())]

@@ -1,8 +1,10 @@
-"""Token ids of whole texts by the tokenizers library, looked up word by word.
+"""Token ids of whole texts by the tokenizers library, looked up piece by piece.
 
-The vocabulary's pipeline drops white space and never lets a token span it, so a text's ids are those of its pieces
-between blanks and line feeds, in order. Each distinct piece is encoded once by the library and remembered; the tests
-hold the result against `encode` on whole texts.
+The vocabulary's pipeline composes and lower-cases letters, drops white space and splits runs of letters from runs of
+marks, and no token spans such a border. So a text's ids are those of its pieces between blanks and line feeds, in
+order; a run of plain marks that ends a word may be a piece of its own, and ASCII letters may be lower-cased first.
+Texts are cut into pieces and the pieces of a batch numbered in Arrow; each distinct piece is encoded once by the
+library and remembered. The tests hold the result against `encode` on whole texts.
 """
 
 from __future__ import annotations
@@ -10,8 +12,12 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _ENCODERS: dict = {}
+#: a letter, marks that end its word, and what follows; neither apostrophes (part of contractions) nor what special tokens are made of
+_ENDS = r"([a-zß-öø-ÿ])([.,!?;:#$%&*]+)([ \n]|$)"
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,7 +29,7 @@ def tokenizer_path(name: str) -> str:
 class WordEncoder:
     """`limit` bounds the remembered pieces; beyond it the memory starts anew, which changes no result."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,21 +63,28 @@ class WordEncoder:
         self.used = need
         self.at.update(zip(new, range(n, n + len(new))))
 
-    def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | None] | pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text (null: empty), each with end_id if given."""
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        flat = [p for x in pieces for p in x]
+        col = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(col):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        col = pc.fill_null(col, "")
+        # special tokens are matched as they are written
+        col = pc.if_else(pc.match_substring(col, "<|"), col, pc.ascii_lower(col))
+        col = pc.replace_substring(pc.replace_substring_regex(col, _ENDS, r"\1 \2\3"), "\n", " ")
+        parts = pc.split_pattern(col, " ")
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self.at) > self.limit:
             self._clear()
-        if new := list(set(flat).difference(self.at)):
+        if new := list(set(words).difference(self.at)):
             self._learn(new)
-        idx = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
+        idx = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
         lens = self.lens[idx]
         ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
+        total = int(ends[-1])
         ids = self.flat[np.repeat(self.starts[idx] - (ends - lens), lens) + np.arange(total)]
-        per = np.cumsum([len(x) for x in pieces]) if pieces else np.zeros(0, np.int64)
-        upto = ends[per - 1] if len(per) else per
+        upto = ends[np.cumsum(pc.list_value_length(parts).to_numpy()) - 1]
         counts = np.diff(upto, prepend=0)
         if end_id is not None:
             ids = np.insert(ids, upto, end_id)
@@ -79,7 +92,7 @@ class WordEncoder:
         return ids, counts
 
 
-def encoder(path: str, limit: int = 300_000) -> WordEncoder:
+def encoder(path: str, limit: int = 500_000) -> WordEncoder:
     """One encoder for each worker process."""
     if (path, limit) not in _ENCODERS:
         _ENCODERS[path, limit] = WordEncoder(path, limit)
@@ -96,3 +109,13 @@ def batches(texts: list, most_chars: int = 4_000_000):
             a, n = i + 1, 0
     if a < len(texts):
         yield a, len(texts)
+
+
+def slices(column: pa.Array, most_bytes: int = 8_000_000):
+    """Index ranges of texts of about most_bytes together; a longer text stands alone."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + most_bytes, "right")))
+        yield a, b
+        a = b
