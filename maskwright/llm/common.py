@@ -14,6 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch that go to a Python worker together: a few MB of texts, where Spark's default would be tens.
+ARROW_ROWS = 2500
+
+
+def texts(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id (long) and text (string) alone, for a Python worker with bounded memory."""
+    bounded(rows.sparkSession)
+    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch rows to ARROW_ROWS, unless they are lower already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .words import batches
+from .common import bounded, table, texts
+from .words import parts
 
 K1, B, BLOCK, WINDOW, MIN_WORDS = 1.2, 0.75, 16, 128, 4
 SCORE, QUESTION, ANSWER, WHOLE = 0.4, 0.5, 0.5, 0.8
@@ -186,20 +186,19 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = SCORE, in
 
     Null and empty texts match nothing; items with equal texts all match. Repeated rows of documents give rows each.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows_of = texts(docs)
 
     def against(index):
         def run(it):
             for b in it:
-                ids, part = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for lo, hi in batches(part):
-                    if rows := matches(index.value, part[lo:hi], threshold):
-                        cols = list(zip(*rows))
+                for some in parts(b):
+                    if rows := matches(index.value, some.column(1).to_pylist(), threshold):
+                        cols, ids = list(zip(*rows)), some.column(0)
                         kinds = [pa.int64()] * 2 + [pa.float64()] * 3 + [pa.int64()] * 2
-                        cols = [[ids[lo + d] for d in cols[0]], [int(index.value.ids[i]) for i in cols[1]], *cols[2:]]
+                        cols = [[ids[d].as_py() for d in cols[0]], [int(index.value.ids[i]) for i in cols[1]], *cols[2:]]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in MATCHES.split(", ")])
 
-        return texts.mapInArrow(run, MATCHES)
+        return rows_of.mapInArrow(run, MATCHES)
 
     out = None
     for index in indexes(items, index_bytes):
@@ -211,14 +210,16 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = SCORE, in
 def cleaned(docs: DataFrame, items: DataFrame, threshold: float = SCORE, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """The rows of docs, all columns, that repeat no test item; nothing is shuffled."""
 
+    bounded(docs.sparkSession)
+    at = docs.columns.index("text")
+
     def without(docs, index):
         def run(it):
             for b in it:
-                texts = b.column("text").to_pylist()
-                keep = np.ones(len(texts), bool)
-                for lo, hi in batches(texts):
-                    keep[[lo + row[0] for row in matches(index.value, texts[lo:hi], threshold)]] = False
-                yield b.filter(pa.array(keep))
+                for some in parts(b, at):
+                    keep = np.ones(len(some), bool)
+                    keep[[row[0] for row in matches(index.value, some.column(at).to_pylist(), threshold)]] = False
+                    yield some.filter(pa.array(keep))
 
         return docs.mapInArrow(run, docs.schema)
 

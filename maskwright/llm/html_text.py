@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .words import batches
+from .common import bounded, table
+from .words import parts
 
 PAGES, TREES, DEPTH, BINS, RATE, SEED, SWITCH = 1000, 50, 4, 32, 0.25, 3, 1.0
 
@@ -417,13 +417,13 @@ def main_texts(sources: list[str | None], boosted: Boosted) -> list[str]:
 def extracted(pages: DataFrame, boosted: Boosted | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row; null and empty html, and pages without main text, give an empty text."""
     boosted = boosted or model()
+    bounded(pages.sparkSession)
 
     def run(it):
         for b in it:
-            sources = b.column(2).to_pylist()
-            for lo, hi in batches(sources, 1_000_000):
-                texts = main_texts(sources[lo:hi], boosted)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            for some in parts(b, 2, 1_000_000):
+                texts = main_texts(some.column(2).to_pylist(), boosted)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     cols = [F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")]
     return pages.select(*cols).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .words import batches
+from .common import bounded, table, texts
+from .words import parts
 
 DIM, ALPHABET, SEED, FOLDS = 2048, 64, 7, 5
 
@@ -83,6 +83,7 @@ def learned(labelled: DataFrame, dim: int = DIM, seed: int = SEED) -> tuple[list
             u = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u), pa.array(np.round(n[u] * 2**32).astype(np.int64))], ["lang", "gram", "n"])
 
+    bounded(labelled.sparkSession)
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     got = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # whole numbers: sums in any order agree
     langs, s, protos = sorted(got.lang.unique()), space(dim, seed), []
@@ -106,9 +107,8 @@ def predicted(docs: DataFrame, langs: list[str], protos: np.ndarray, seed: int =
     def run(it):
         s = space(dim, seed)
         for b in it:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for lo, hi in batches(texts, 200_000):
-                grams = [s.grams(t or "") for t in texts[lo:hi]]
+            for some in parts(b, most_bytes=250_000):
+                grams = [s.grams(t or "") for t in some.column(1).to_pylist()]
                 sizes = np.array([len(g) for g in grams])
                 pred, score = np.array(["und"] * len(grams), object), np.zeros(len(grams))
                 if sizes.sum() and langs:
@@ -124,9 +124,9 @@ def predicted(docs: DataFrame, langs: list[str], protos: np.ndarray, seed: int =
                     has = sizes > 0
                     pred[has] = np.array(langs, object)[best[has]]
                     score[has] = np.clip(cos[np.arange(len(best)), best], 0, 1)[has]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def op7_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,9 +15,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, texts
 from .words import encoder, slices, tokenizer_path
 
 CAPACITY, BATCH_WINDOWS = 2048, 96
@@ -163,7 +162,7 @@ def packed(docs: DataFrame, vocab_path: str, end_id: int = 1, capacity: int = CA
                 emit(rest, parts)
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return texts(docs).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
 def op3_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,10 +14,9 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import table
-from .words import batches, tokenizer_path
+from .common import table, texts
+from .words import parts, tokenizer_path
 
 LIMIT = 4096
 BLANK = "▁"
@@ -156,16 +155,15 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT, id_col: s
     def run(it):
         c = counter(model_path)
         for b in it:
-            texts = b.column(1).to_pylist()
-            for lo, hi in batches(texts):
-                part = texts[lo:hi]
+            for some in parts(b):
+                part = some.column(1).to_pylist()
                 got = c.unit_counts(part)
                 n = [int(x.sum()) for _, x in got]
                 fit = [len(t or "") if k <= limit else c.cut(*g, limit) for t, k, g in zip(part, n, got)]
                 size = [len((t or "").encode("utf-8")) for t in part]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n]), pa.array(fit, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n]), pa.array(fit, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
 
 def prefix_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,7 +175,7 @@ def prefix_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([c.prefixes(t or "").astype(np.int32)], pa.list_(pa.int32()))], ["doc_id", "counts"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, counts array<int>")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, counts array<int>")
 
 
 def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

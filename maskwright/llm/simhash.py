@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, written
-from .words import batches
+from .common import components, table, texts, written
+from .words import parts
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
 
@@ -57,12 +57,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
 
     def run(it):
         for b in it:
-            texts = b.column(1).to_pylist()
-            for lo, hi in batches(texts):
-                fp = text_fingerprints(texts[lo:hi], shingle, seed).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(fp)], ["doc_id", "fp"])
+            for some in parts(b):
+                fp = text_fingerprints(some.column(1).to_pylist(), shingle, seed).view(np.int64)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
 def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:

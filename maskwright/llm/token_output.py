@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table, written
+from .common import fresh_path, table, texts, written
 from .words import encoder, slices, tokenizer_path
 
 MAX_BITS, STEP, BLOCK_IDS = 16, 256, 1 << 18
@@ -152,7 +152,7 @@ def tokenized(docs: DataFrame, vocab_path: str, end_id: int = 1, id_col: str = "
                 blobs = [raw[(e - c) * size : e * size] for e, c in zip(cut.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def id_counts(tokens: DataFrame, vocab_size: int) -> np.ndarray:

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, table, written
+from .common import bounded, dropped, table, texts, written
+from .words import parts
 
 MAX_ROWS, BUCKETS, FEATURES, FACTORS, THRESHOLD, FOLDS, HELD = 20_000, 1 << 30, 512, 4, 0.3, 4, 2
 STEMS, CLEAR = (4, 5, 6), 5.0
@@ -41,7 +42,7 @@ class Machine:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         out, get, index = np.empty(len(texts)), self.cache.get, self.index
-        if len(self.cache) > 500_000:
+        if len(self.cache) > 200_000:
             self.cache.clear()
         for k, t in enumerate(texts):
             at: list[int] = []
@@ -96,21 +97,20 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, feature
 
     def run(it):
         known: dict[str, list[int]] = {}
-        for b in it:
+        for b in (p for batch in it for p in parts(batch)):
             found = []
             for t in b.column(1).to_pylist():
                 got: set[int] = set()
                 for x in words(t):
                     if (at := known.get(x)) is None:
-                        if len(known) > 500_000:
+                        if len(known) > 100_000:
                             known.clear()
                         at = known[x] = buckets(x)
                     got.update(at)
                 found.append(sorted(got))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), b.column(2)], ["doc_id", "terms", "toxic"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(texts.join(some, "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, terms array<int>, toxic int"), "labelled")
+    rows = written(texts(docs).join(some, "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, terms array<int>, toxic int"), "labelled")
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     ids = np.zeros(0, np.int64)
     if pos and n - pos:
@@ -134,20 +134,21 @@ def scored(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> D
 
     def run(it):
         m = Machine(w0, w, v, index)
-        for b in it:
+        for b in (p for batch in it for p in parts(batch)):
             s = m.score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return texts(docs).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def accepted(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, whose score stays under the threshold; nothing is shuffled."""
-    w0, w, v, index = machine.w0, machine.w, machine.v, machine.index
+    w0, w, v, index, at = machine.w0, machine.w, machine.v, machine.index, docs.columns.index("text")
+    bounded(docs.sparkSession)
 
     def run(it):
         m = Machine(w0, w, v, index)
-        for b in it:
+        for b in (p for batch in it for p in parts(batch, at)):
             yield b.filter(pa.array(m.score(b.column("text").to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

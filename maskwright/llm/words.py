@@ -99,16 +99,10 @@ def encoder(path: str, limit: int = 500_000) -> WordEncoder:
     return _ENCODERS[path, limit]
 
 
-def batches(texts: list, most_chars: int = 4_000_000):
-    """Index ranges of texts of about most_chars together; a longer text stands alone."""
-    a, n = 0, 0
-    for i, t in enumerate(texts):
-        n += len(t or "")
-        if n >= most_chars:
-            yield a, i + 1
-            a, n = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+def parts(batch: pa.RecordBatch, column: int = 1, most_bytes: int = 4_000_000):
+    """The batch in parts of about most_bytes of the column's texts."""
+    for a, b in slices(batch.column(column), most_bytes):
+        yield batch.slice(a, b - a)
 
 
 def slices(column: pa.Array, most_bytes: int = 8_000_000):
