@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import bounded, table
 from .words import parts
 
-PAGES, TREES, DEPTH, BINS, RATE, SEED, SWITCH = 1000, 50, 4, 32, 0.25, 3, 1.0
+PAGES, TREES, DEPTH, BINS, RATE, SEED, SWITCH = 1000, 60, 5, 32, 0.25, 3, 0.4
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed".split())
@@ -306,12 +306,12 @@ def _words(r: random.Random, n: int) -> str:
 
 def made_page(r: random.Random) -> str:
     """A page whose main part is marked by data-main="1", and what is not main inside it by data-main="0"."""
-    rename = r.random() < 0.3  # class names that say nothing
+    rename, plain = r.random() < 0.3, False  # class names that say nothing; plain: names must tell, as nothing else does
 
     def cls(*names):
-        if r.random() < 0.15:
+        if not plain and r.random() < 0.15:
             return ""
-        name = r.choice(names) if not rename or r.random() < 0.2 else "c" + "".join(r.choice("abcdefxyz0123456789") for _ in range(5))
+        name = r.choice(names) if plain or not rename or r.random() < 0.2 else "c" + "".join(r.choice("abcdefxyz0123456789") for _ in range(5))
         return f' {r.choice(["class", "class", "id"])}="{name}"'
 
     def links(k):
@@ -326,7 +326,7 @@ def made_page(r: random.Random) -> str:
         if kind == "nav":
             return f'<{(g := r.choice(["nav", "nav", "div", "ul"]))}{cls("nav", "menu", "main-menu", "navbar", "breadcrumbs", "toc")}>{links(r.randint(3, 12))}</{g}>'
         if kind == "ad":
-            return f'<{(g := r.choice(["div", "div", "aside", "section", "p"]))}{cls("ad", "ads", "advert", "ad-slot", "sponsored", "banner", "promo-box")}>{t(3, 30) if g == "p" else p(3, 30)}</{g}>'
+            return f'<{(g := r.choice(["div", "div", "aside", "section"] + ["p"] * plain))}{cls("ad", "ads", "advert", "ad-slot", "sponsored", "banner", "promo-box")}>{t(3, 30) if g == "p" else p(3, 30)}</{g}>'
         if kind == "notice":
             return f'<div{cls("cookie-notice", "cookie-banner", "consent", "notice", "alert", "gdpr", "paywall")}>{p(5, 40)}<button>{t(1, 2)}</button></div>'
         if kind == "form":
@@ -344,8 +344,9 @@ def made_page(r: random.Random) -> str:
         return f'<{(g := r.choice(["footer", "footer", "div"]))}{cls("footer", "site-footer", "bottom", "copyright", "legal")}>{links(r.randint(1, 6)) if r.random() < 0.5 else ""}{p(3, 40)}</{g}>'
 
     def body():
+        nonlocal plain
         out = [f"<h1>{_words(r, r.randint(2, 12))}</h1>"] if r.random() < 0.9 else []
-        for _ in range(r.choice([1, 2, 3, 5, 8, 14])):
+        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 14])):
             kind = r.random()
             text = _words(r, r.choice([1, 3, 8, 20, 50, 90, 150]))
             if kind < 0.7:
@@ -363,11 +364,15 @@ def made_page(r: random.Random) -> str:
                 out.append("<table>" + "".join(f"<tr><td>{_words(r, 2)}</td><td>{_words(r, 3)}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>")
             else:
                 out.append(f"<div>{text}</div>")
-            if r.random() < 0.06:
-                one = junk(r.choice(["ad", "side", "share", "form", "notice", "nav"]))
+            if r.random() < 0.12:
+                plain = True
+                one = junk(r.choice(["ad", "ad", "side", "share", "form", "notice", "nav"]))
+                plain = False
                 out.append(re.sub(r"^<(\w+)", r'<\1 data-main="0"', one))
         if r.random() < 0.15:
+            plain = True
             out.append(re.sub(r"^<(\w+)", r'<\1 data-main="0"', junk(r.choice(["comments", "comments", "share"]))))
+            plain = False
         return "".join(out)
 
     holder = r.choice(["article", "article", "article", "main", "div", "div", "section", "td"])
