@@ -39,7 +39,7 @@ class WordEncoder:
 
     def _clear(self):
         self.at: dict[str, int] = {"": 0}
-        self.flat, self.starts, self.lens = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.flat, self.starts, self.lens = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         self.used = 0
 
     def _learn(self, new: list[str]):
@@ -79,11 +79,14 @@ class WordEncoder:
             self._clear()
         if new := list(set(words).difference(self.at)):
             self._learn(new)
-        idx = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
-        lens = self.lens[idx]
-        ends = np.cumsum(lens)
+        known = np.fromiter(map(self.at.__getitem__, words), np.int32, len(words))
+        lens, starts = self.lens[known], self.starts[known]
+        at = coded.indices.to_numpy()
+        lens = lens[at]
+        ends = np.cumsum(lens, dtype=np.int64)
         total = int(ends[-1])
-        ids = self.flat[np.repeat(self.starts[idx] - (ends - lens), lens) + np.arange(total)]
+        kind = np.int32 if max(total, self.used) < 1 << 31 else np.int64
+        ids = self.flat[np.repeat((starts[at] - (ends - lens)).astype(kind), lens) + np.arange(total, dtype=kind)]
         upto = ends[np.cumsum(pc.list_value_length(parts).to_numpy()) - 1]
         counts = np.diff(upto, prepend=0)
         if end_id is not None:
