@@ -59,7 +59,7 @@ class Machine:
         return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, factors: int = FACTORS, steps: int = 300, seed: int = 5) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, factors: int = FACTORS, steps: int = 150, seed: int = 5) -> Machine:
     """Full-batch Adam on the logistic loss with L2, over the terms in ids (sorted)."""
     y = labels.astype(np.float64)
     rate = (y.sum() + 0.5) / (len(y) + 1)
@@ -93,6 +93,7 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, feature
     Without labels of both kinds there are none, and every text gets the same score.
     """
     l = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
+    # at most max_rows ids and labels: small enough for every task, so no text has to move
     some = l.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
 
     def run(it):
@@ -110,7 +111,7 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, feature
                 found.append(sorted(got))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), b.column(2)], ["doc_id", "terms", "toxic"])
 
-    rows = written(texts(docs).join(some, "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, terms array<int>, toxic int"), "labelled")
+    rows = written(texts(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, terms array<int>, toxic int"), "labelled")
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     ids = np.zeros(0, np.int64)
     if pos and n - pos:
