@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, table, texts
+from .common import bounded, table, texts, tidy
 from .words import parts
 
 K1, B, BLOCK, WINDOW, MIN_WORDS = 1.2, 0.75, 16, 128, 4
@@ -198,7 +198,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = SCORE, in
                         cols = [[ids[d].as_py() for d in cols[0]], [int(index.value.ids[i]) for i in cols[1]], *cols[2:]]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in MATCHES.split(", ")])
 
-        return rows_of.mapInArrow(run, MATCHES)
+        return rows_of.mapInArrow(tidy(run), MATCHES)
 
     out = None
     for index in indexes(items, index_bytes):
@@ -221,7 +221,7 @@ def cleaned(docs: DataFrame, items: DataFrame, threshold: float = SCORE, index_b
                     keep[[row[0] for row in matches(index.value, some.column(at).to_pylist(), threshold)]] = False
                     yield some.filter(pa.array(keep))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidy(run), docs.schema)
 
     for index in indexes(items, index_bytes):
         docs = without(docs, index)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, texts
+from .common import table, texts, tidy
 from .words import encoder, slices, tokenizer_path
 
 CAPACITY, BATCH_WINDOWS = 2048, 96
@@ -162,7 +162,7 @@ def packed(docs: DataFrame, vocab_path: str, end_id: int = 1, capacity: int = CA
                 emit(rest, parts)
             yield flush()
 
-    return texts(docs).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return texts(docs).mapInArrow(tidy(run), PIECES + ", ids array<int>" * with_ids)
 
 
 def op3_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

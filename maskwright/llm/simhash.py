@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, texts, written
+from .common import components, table, texts, tidy, written
 from .words import parts
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
                 fp = text_fingerprints(some.column(1).to_pylist(), shingle, seed).view(np.int64)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -132,7 +132,7 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
             yield out(keys, fps)
 
     rows = prints.select(F.explode(F.array(*variants)).alias("key"), "fp")
-    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, dropped, table, texts, written
+from .common import bounded, dropped, table, texts, tidy, written
 from .words import parts
 
 MAX_ROWS, BUCKETS, FEATURES, FACTORS, THRESHOLD, FOLDS, HELD = 20_000, 1 << 30, 512, 4, 0.3, 4, 2
@@ -111,7 +111,7 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, feature
                 found.append(sorted(got))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), b.column(2)], ["doc_id", "terms", "toxic"])
 
-    rows = written(texts(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, terms array<int>, toxic int"), "labelled")
+    rows = written(texts(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").mapInArrow(tidy(run), "doc_id long, terms array<int>, toxic int"), "labelled")
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     ids = np.zeros(0, np.int64)
     if pos and n - pos:
@@ -139,7 +139,7 @@ def scored(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> D
             s = m.score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 
 
 def accepted(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
@@ -152,7 +152,7 @@ def accepted(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) ->
         for b in (p for batch in it for p in parts(batch, at)):
             yield b.filter(pa.array(m.score(b.column("text").to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
