@@ -3,25 +3,13 @@
 A lexer blanks comments and strings (lengths kept), so patterns on what is left find names only. Declarations give names
 their categories; every later use of a declared name gets a span. In SQL dialects other identifiers that are no keyword,
 function or type count as columns. This follows the languages' usual forms, not their full grammars; what is missed stays
-as it is. Python runs in Arrow batches, one document at a time; nothing is shared between documents but the dictionary,
-which is computed by aggregation like that of the rules.
+as it is.
 """
 
 from __future__ import annotations
 
 import re
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from maskwright.functions.naming import prefix_of
-from maskwright.functions.text import keep_leftmost_longest, splice
-from maskwright.operators.sanitize import numbered
-from maskwright.operators.scope import in_scope, processor_of
-from maskwright.sources.shared import written
-
-SPANS = "doc_id long, start int, len int, value string, category string, head string, tail string"
 REMOVED = "[Comment removed]"
 
 # Words that are never names.
@@ -233,38 +221,6 @@ def code_spans(text: str, processor: str) -> list[tuple[int, int, str, str, str,
     return spans
 
 
-def code_frames(docs: DataFrame) -> DataFrame:
-    """Spans of (doc_id, processor, content)."""
-
-    def run(it):
-        names = [x.split()[0] for x in SPANS.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 4]
-        for b in it:
-            rows = [(d, *s) for d, p, c in zip(*(col.to_pylist() for col in b.columns)) for s in code_spans(c or "", p or "")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "processor", "content").mapInArrow(run, SPANS)
-
-
-def obfuscated(docs: DataFrame, scope: set[str] | None = None, fix_dispatch: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Level 2 over (doc_id, path, content): names, literals and comments by language; the rewritten corpus and its dictionary.
-
-    Documents out of scope or without a processor stay as they are. `replacements` counts spans. Needs unique doc_ids.
-    """
-    d = docs.withColumn("processor", processor_of(F.col("path"), F.col("content"), fix_dispatch))
-    spans = written(code_frames(d.where(in_scope(F.col("processor"), scope))), "code-spans")
-    first = spans.where("category <> 'Comment'").groupBy("value").agg(F.min(F.struct("doc_id", "start", "category")).alias("f"))
-    names = numbered(first.select("value", prefix_of(F.col("f.category")).alias("prefix"), "f.doc_id", "f.start", "f.category"), ["doc_id", "start"])
-    names = written(names.select("value", "prefix", "n", "alias", "category"), "dictionary")
-    both = spans.join(names.select("value", "alias"), "value", "left")
-    one = F.struct("start", (-F.col("len")).alias("neg"), "len", F.concat("head", F.coalesce("alias", F.lit("")), "tail").alias("alias"))
-    per = both.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("__all")).select("doc_id", keep_leftmost_longest(F.col("__all"), "struct<start:int,neg:int,len:int,alias:string>").alias("__kept"))
-    out = d.join(per, "doc_id", "left")
-    hit = F.col("__kept").isNotNull()
-    out = out.withColumn("content", F.when(hit, splice(F.col("content"), F.col("__kept"))).otherwise(F.col("content")))
-    return out.withColumn("replacements", F.when(hit, F.size("__kept")).otherwise(0)).drop("__kept"), names
-
-
 def balanced(text: str, processor: str) -> list[str]:
     """Problems of a text: parentheses that do not match, strings and comments that do not end, BEGIN without END."""
     lang = LANGUAGES[processor]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import text as X
 from maskwright.operators import audit, paths, rules, sanitize, scope
-from maskwright.operators.languages import cards, lines, tokens
+from maskwright.operators.languages import cards, lines, rewrite
 from maskwright.operators.restore import restored, unmatched
 from maskwright.plans.oracle import ORACLES, SYNTH, files_sql, programs_sql, jobs_sql, snippets_sql, statements_sql
 from maskwright.sources.shared import written
@@ -232,13 +232,20 @@ def file_counts(spark, sf):
 
 def code_obfuscation(spark, sf):
     docs = statements(spark, sf).select("doc_id", F.lit("q.sql").alias("path"), "content")
-    return tokens.obfuscated(docs)[0].select("doc_id", "content", "processor", F.col("replacements").cast("long").alias("replacements"))
+    return rewrite.obfuscated(docs)[0].select("doc_id", "content", "processor", F.col("replacements").cast("long").alias("replacements"))
+
+
+def mainframe_obfuscation(spark, sf):
+    made = ((programs, "p.cbl", 0), (jobs, "j.jcl", 1), (snippets, "CARD", 2))
+    docs = [f(spark, sf).select((F.col("doc_id") * 3 + k).alias("doc_id"), F.lit(path).alias("path"), "content") for f, path, k in made]
+    out = rewrite.obfuscated(sanitize.union_all(docs), fixed_width=True)[0]
+    return out.select("doc_id", "content", "processor", F.col("replacements").cast("long").alias("replacements"))
 
 
 NAMES = (
     "rule_match_counts docs_with_email match_spans exceptions_filtered alias_dictionary alias_gaps overlap_resolved sanitized_text sanitized_documents restore_roundtrip unmatched_aliases rule_merge "
     "active_rules_sorted file_filter scope_dispatch directory_aliases path_aliases normalize_path js_import_resolve card_type card_values cobol_line_class cobol_names jcl_instream_program cross_refs "
-    "looks_like_sql sql_comment_strip literal_alias host_variables source_map stats_summary xref_report status_top10 leakage_check severity_rollup file_counts code_obfuscation"
+    "looks_like_sql sql_comment_strip literal_alias host_variables source_map stats_summary xref_report status_top10 leakage_check severity_rollup file_counts code_obfuscation mainframe_obfuscation"
 ).split()
 
 

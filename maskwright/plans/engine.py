@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.operators import audit, rules as R
-from maskwright.operators.languages.tokens import obfuscated
+from maskwright.operators.languages.rewrite import obfuscated
 from maskwright.operators.restore import restored
 from maskwright.operators.sanitize import applied, detected, extended, sanitized
 from maskwright.operators.scope import delegation_only, parsed_scope
@@ -26,16 +26,17 @@ def active_rules(spark: SparkSession, files: list[str] | None = None) -> list[R.
     return R.collected(R.with_custom(built, custom))
 
 
-def sanitize(docs: DataFrame, rules: list[R.Rule], level: int = 2, scope: str | None = None, fix_dispatch: bool = False) -> tuple[DataFrame, DataFrame]:
+def sanitize(docs: DataFrame, rules: list[R.Rule], level: int = 2, scope: str | None = None, fix_dispatch: bool = False, fixed_width: bool = False) -> tuple[DataFrame, DataFrame]:
     """(doc_id, path, content) rewritten, and the dictionary. Nothing is written: a dry run is all of this.
 
     Level 1 applies the rules. Level 2 first rewrites names, literals and comments by language, then applies the rules to
-    the outcome, and goes on numbering where the first pass ended; documents out of a given scope are left to neither.
+    the outcome, and goes on numbering where the first pass ended; documents out of a given scope are left to neither. fixed_width keeps COBOL and JCL in their columns; restoring what had
+    to be cut or broken for that is not exact.
     """
     ids = parsed_scope(scope)
     if level == 1:
         return sanitized(docs, rules)
-    once, first = obfuscated(docs, ids, fix_dispatch)
+    once, first = obfuscated(docs, ids, fix_dispatch, fixed_width)
     found = detected(written(once, "level-2"), rules)
     left_out = delegation_only(F.col("processor"), ids) | (F.lit(ids is not None) & F.col("processor").isNull())
     found = found.withColumn("spans", F.when(left_out, F.filter("spans", lambda s: F.lit(False))).otherwise(F.col("spans")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from maskwright.functions.text import SQL_STARTS
+from maskwright.operators.languages.cards import NAMED
 from maskwright.operators.paths import IGNORED_DIRECTORIES, IGNORED_EXTENSIONS, KNOWN, PROJECT_FILES, STRUCTURAL
 from maskwright.operators.rules import BUILT_IN
 from maskwright.operators.scope import EXTENSIONS
@@ -87,6 +88,13 @@ typed AS (SELECT *, CASE WHEN ind IN ('*', '/') THEN 'Comment' WHEN ind = '-' TH
   WHEN trim(text[8:11]) <> '' THEN 'ParagraphHeader' ELSE 'ProcedureStatement' END AS own FROM areas),
 blocks AS (SELECT *, last_value(CASE WHEN own IN ('Comment', 'Blank') THEN NULL WHEN contains(body, 'END-EXEC') THEN 'closed' WHEN own = 'ExecSqlBlock' THEN own END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state FROM typed),
 lines AS (SELECT doc_id, line_no, CASE WHEN state = 'ExecSqlBlock' AND own NOT IN ('Comment', 'Blank') THEN state ELSE own END AS line_type, body FROM blocks)"""
+_NAMED = " UNION ALL ".join(f"SELECT {_q(c)} AS category, unnest(regexp_extract_all(content, {_q(p)}, 1)) AS value FROM typed WHERE card_type IN {_in(kinds)}" for kinds, p, c in NAMED)
+_DECLARED = """SELECT 'Program' AS category, regexp_extract(body, '^PROGRAM-ID\\. ([A-Z0-9-]+)', 1) AS value FROM lines WHERE starts_with(body, 'PROGRAM-ID') UNION ALL
+SELECT 'Copybook', regexp_extract(body, '^COPY ([A-Z0-9-]+)', 1) FROM lines WHERE line_type = 'CopyStatement' UNION ALL
+SELECT CASE WHEN starts_with(body, '88 ') THEN 'Condition' ELSE 'Variable' END, regexp_extract(body, '^\\d+ +([A-Z0-9-]+)', 1) FROM lines WHERE line_type = 'DataDefinition' UNION ALL
+SELECT 'Paragraph', regexp_extract(body, '^([A-Z0-9-]+)', 1) FROM lines WHERE line_type = 'ParagraphHeader' AND starts_with(body, 'MAIN') UNION ALL
+SELECT 'Program', regexp_extract(body, 'CALL .([A-Z0-9-]+)', 1) FROM lines WHERE contains(body, 'CALL ') UNION ALL
+SELECT 'HostVariable', regexp_extract(body, ':([A-Z][A-Z0-9_-]*)', 1) FROM lines WHERE line_type = 'ExecSqlBlock'"""
 _JCL = f"""docs AS ({jobs_sql}), numbered AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS t FROM (SELECT doc_id, string_split(content, chr(10)) AS parts FROM docs)),
 typed AS (SELECT *, CASE WHEN t LIKE '//*%' THEN 'Comment' WHEN t = '//' THEN 'Null' WHEN t = '/*' THEN 'Delimiter' WHEN regexp_matches(t, '^//\\S+ JOB ') THEN 'Job' WHEN regexp_matches(t, '^//\\S+ EXEC ') THEN 'Exec' WHEN regexp_matches(t, '^//\\S+ DD ') THEN 'Dd' WHEN t LIKE '// %' THEN 'Continuation' ELSE 'Instream' END AS line_type FROM numbered),
 progs AS (SELECT *, last_value(CASE WHEN line_type = 'Exec' THEN regexp_extract(t, 'PGM=([A-Z0-9]+)', 1) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS program FROM typed)"""
@@ -116,6 +124,8 @@ SELECT path, CASE WHEN new_dir = '' THEN '' ELSE new_dir || '/' END || prefix ||
 CASE WHEN lower(path) LIKE 'src/app/%' THEN path[9:] WHEN lower(path) LIKE 'src/%' THEN '../' || path[5:] ELSE '../../' || path END AS relative FROM f""",
     "card_type": f"WITH {_CARDS} SELECT doc_id, card_type FROM typed",
     "cobol_line_class": f"""WITH {_COBOL} SELECT doc_id, line_no, line_type, last_value(CASE WHEN line_type = 'DivisionHeader' THEN regexp_extract(body, '(IDENTIFICATION|ENVIRONMENT|DATA|PROCEDURE) DIVISION', 1) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS division FROM lines""",
+    "card_values": f"WITH {_CARDS}, found AS ({_NAMED}) SELECT category, value, count(*) AS n FROM found GROUP BY category, value",
+    "cobol_names": f"WITH {_COBOL}, found AS ({_DECLARED}) SELECT category, count(*) AS n, count(DISTINCT value) AS distinct_values FROM found WHERE value <> '' GROUP BY category",
     "jcl_instream_program": f"WITH {_JCL} SELECT doc_id, line_no, line_type, program, line_type = 'Instream' AND program = 'DSNTEP2' AS instream_sql FROM progs",
     "cross_refs": f"WITH {_JCL} SELECT program AS value, 'jcl' AS source_language, 'cobol' AS target_language, count(*) AS n FROM progs WHERE line_type = 'Exec' GROUP BY program",
     "looks_like_sql": f"WITH docs AS ({statements_sql}) SELECT doc_id, length(content) >= 10 AND regexp_matches(upper(ltrim(content)), '^({'|'.join(SQL_STARTS)}) ') AS sql FROM docs",

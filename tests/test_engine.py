@@ -165,6 +165,71 @@ def test_cobol_jcl_and_cards(spark):
     assert spark.range(1).select(cards.card_type(F.lit("  REPRO INFILE(A)"))).first()[0] == "Idcams"
 
 
+COBOL = "\n".join([
+    "000100 IDENTIFICATION DIVISION.", "000200 PROGRAM-ID. PAY1.", "000250* who pays", "000300 DATA DIVISION.", "000310 FD  IN-FILE.", f"{'000400 01  IN-REC.':72}PAY00001", "000500     05  FILLER PIC X.", "000550     05  AMOUNT PIC S9(5)V99 COMP-3 VALUE 0.",
+    "000600     88  IS-OK VALUE 'YESYES'.", "000700 PROCEDURE DIVISION.", "000800 MAIN-P.", "000900     EXEC SQL", "001000      SELECT CITY INTO :HV-A, :REC-A.FLD-B FROM PAYROLL", "001060      WHERE NAME = 'Paris' AND N = '12'", "001100     END-EXEC.",
+    "001200     CALL 'SUB1' USING AMOUNT.", "001300     MOVE AMOUNT TO WS-TOTAL OF DCLSPAY SHARED.", "001400     EXEC CICS LINK PROGRAM('PGMX') COMMAREA(WS-COMM) END-EXEC.",
+])
+JCL = "\n".join([
+    "//PAYJOB JOB (ACCT1),'J SMITH',CLASS=A", "//* secret", "//  SET HLQ=ACME", "//S1 EXEC PGM=PAY1,PARM='RUN1'", "//INPUT1 DD DSN=&HLQ..PAY.DATA(MEM1),", "//   DISP=SHR", "//SYSPRINT DD SYSOUT=*", "//OUT1 DD DSN=ACME.PAY.OUT(+1),DISP=(NEW,CATLG),DCB=*.S1.INPUT1",
+    "//SYSIN DD *", " RUN PROGRAM(PG1) PLAN(PL1) LIB('ACME.LOAD')", "/*", "//S2 EXEC PGM=DSNTEP2", "//SYSIN DD *", "SELECT CITY FROM PAYROLL", "/*",
+])
+
+
+def test_mainframe_sources_are_rewritten_and_restored(spark):
+    rows = [(1, "a.cbl", COBOL), (2, "b.jcl", JCL), (3, "c.cpy", "000100 01  SHARED PIC X."), (4, "FTPCARD", "ftp.acme.com\nhunter2\ncd /data/in\nget FILE1 'ACME.PAY.DATA'\nquit"), (5, "e.cbl", ""), (6, "f.cbl", None), (7, "g.jcl", "no card\n//\n// \n//X")]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, content string")
+    out, names = engine.sanitize(docs, [], level=2)
+    got, alias = {r.doc_id: r.content for r in out.collect()}, {r.value: r.alias for r in names.collect()}
+    for word in "PAY1 IN-FILE IN-REC AMOUNT IS-OK YESYES MAIN-P CITY HV-A REC-A FLD-B PAYROLL Paris SUB1 WS-TOTAL DCLSPAY SHARED PGMX WS-COMM".split() + ["who pays"]:
+        assert word not in got[1], word
+    for word in ("FILLER PIC X", "PIC S9(5)V99 COMP-3 VALUE 0", "EXEC SQL", "END-EXEC", "'12'", "MOVE", "LINK PROGRAM("):
+        assert word in got[1], word
+    for word in "PAYJOB ACCT1 SMITH secret HLQ PAY1 RUN1 INPUT1 PAY.DATA MEM1 PG1 PL1 ACME.LOAD CITY PAYROLL".split():
+        assert word not in got[2], word
+    assert "//SYSPRINT DD SYSOUT=*" in got[2] and f"(+1),DISP=(NEW,CATLG),DCB=*.{alias['S1']}.{alias['INPUT1']}" in got[2] and f"DSN=&{alias['HLQ']}..{alias['PAY.DATA']}({alias['MEM1']})," in got[2]
+    assert alias["PAY1"] in got[1] and alias["PAY1"] in got[2] and alias["SHARED"] in got[3] and alias["CITY"] in got[2]
+    assert got[4].split("\n") == [alias["ftp.acme.com"], alias["hunter2"], f"cd {alias['/data/in']}", f"get {alias['FILE1']} '{alias['ACME.PAY.DATA']}'", "quit"]
+    assert (got[5], got[6], got[7]) == ("", None, "no card\n//\n// \n//X")
+    back = {r.doc_id: r.content for r in restored(out.select("doc_id", "content"), names).collect()}
+    assert back[1] == COBOL.replace("* who pays", "* [Comment removed]") and back[2] == JCL.replace("//* secret", "//* [Comment removed]") and [back[k] for k in (3, 4, 5, 6, 7)] == [r[2] for r in rows[2:]]
+
+
+def test_embedded_sql_alone_where_only_databases_are_in_scope(spark):
+    docs = spark.createDataFrame([(1, "a.cbl", COBOL), (2, "b.jcl", JCL)], "doc_id long, path string, content string")
+    got = {r.doc_id: r.content for r in engine.sanitize(docs, RULES, level=2, scope="database")[0].collect()}
+    assert "PAYROLL" not in got[1] and "PAYROLL" not in got[2] and "AMOUNT" in got[1] and "who pays" in got[1] and "PAYJOB" in got[2] and "secret" in got[2]
+
+
+def test_fixed_columns():
+    from maskwright.operators.languages import mainframe as M
+
+    old = f"{'000100     MOVE A TO B':72}ID000001"
+    assert M.refitted(old, old.replace(" A ", " VAR_1234 "), "cobol") == f"{'000100     MOVE VAR_1234 TO B':72}ID000001"
+    long = "000100     MOVE " + " ".join(f"VAR_{k}" for k in range(100, 120)) + " TO 'a b'"
+    lines_of = M.refitted("000100     MOVE A", long, "cobol").split("\n")
+    assert len(lines_of) > 1 and all(len(x) <= 72 for x in lines_of) and " ".join(x[7:].strip() for x in lines_of) == long[7:].strip()
+    card = "//D DD " + ",".join(f"DSN=DSN_{k}" for k in range(20))
+    cards_of = M.refitted("//D DD DSN=A", card, "jcl").split("\n")
+    assert all(len(x) <= 71 for x in cards_of) and cards_of[0] + "".join(x[2:].strip() for x in cards_of[1:]) == card
+    assert M.refitted("a", "b", "tsql") == "b" and len(M.refitted("x" * 80, "y" * 90, "jcl")) == 80
+    assert M.problems(JCL, "jcl") == [] and M.problems("x", "jcl") == ["no JOB or PROC card"] and "no PROCEDURE DIVISION" in M.problems("y" * 81, "cobol")
+
+
+@pytest.mark.parametrize("kind, text, values", [
+    ("Smtp", "HELO mail.acme.com\nMAIL FROM:<a@b.org>\nSubject: Pay run\nDATA\nThe Acme batch WS-1\n* Note *", {"mail.acme.com", "a@b.org", "Pay run", "Acme", "WS-1", "Note"}),
+    ("Parameter", "* remark\nRUNDATE=2024 ACME.PAY.DATA x@y.org ABC", {"RUNDATE", "ACME.PAY.DATA", "x@y.org"}),
+    ("Mfs", "FLD MFLD (CUSTNAME,LTH=5)\n DFLD 'Name of'", {"FLD", "CUSTNAME", "Name of"}),
+    ("Sort", " SORT FIELDS=(1,5,CH,A)   by account\n* x", {"by account"}),
+    ("Idcams", " DEFINE CLUSTER (NAME(ACME.VSAM) VOLUMES(VOL001))", {"ACME.VSAM", "VOL001"}),
+])
+def test_cards_are_rewritten(kind, text, values):
+    from maskwright.operators.languages import mainframe as M
+
+    got = M.spans(text, f"mainframe-utility:{kind}")
+    assert {s[2] for s in got if s[3] not in ("Comment", M.KNOWN)} == values and all(s[3] == "Comment" or text[s[0] : s[0] + s[1]] == s[2] for s in got)
+
+
 def test_text_functions(spark):
     f = lambda c: spark.range(1).select(c).first()[0]
     assert f(X.literal_inner(F.lit("N'it''s'"))) == "it's" and f(X.is_numeric_or_date(F.lit("1,234.5"))) and f(X.is_numeric_or_date(F.lit("2024-01-02 x"))) and not f(X.is_numeric_or_date(F.lit("abc")))
