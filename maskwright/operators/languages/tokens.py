@@ -43,7 +43,7 @@ DOTNET = (
 )
 CSHARP = DOTNET + (
     (rf"\bdelegate\s+[\w<>\[\],.?\s]+?\s({ID})\s*\(", "Delegate"), (rf"\bevent\s+[\w<>\[\],.?]+\s+({ID})", "Event"),
-    (rf"(?:public|private|protected|internal|static|virtual|override|async|abstract|sealed|partial|\s)+\s[\w<>\[\],.?]+\s+({ID})\s*(?:<[\w,\s]+>)?\s*\((?![^)]*\)\s*;\s*$)", "Method"),
+    (rf"(?:public|private|protected|internal|static|virtual|override|async|abstract|sealed|partial|\s)+(?!(?:new|return|await|throw|else|yield|case|in|is|as|out|ref|using|goto)\b)[\w<>\[\],.?]+\s+({ID})\s*(?:<[\w,\s]+>)?\s*\((?![^)]*\)\s*;\s*$)", "Method"),
     (rf"\b[\w<>\[\],.?]+\s+({ID})\s*\{{\s*(?:get|set|init)\b", "Property"), (rf"\b(?:private|protected|public|internal|static|readonly|const)\s+(?:[\w<>\[\],.?]+\s+)+({ID})\s*(?:=|;)", "Field"),
     (rf"\b(?:var|int|string|bool|double|decimal|long|float|object|[A-Z][\w<>\[\],.?]*)\s+({ID})\s*(?:=(?!=)|;|\bin\b)", "Variable"), (rf"[(,]\s*(?:(?:this|ref|out|in|params)\s+)?[\w<>\[\].?]+\s+({ID})\s*(?=[,)=])", "Parameter"), (rf"\bcatch\s*\(\s*[\w.]+\s+({ID})", "Variable"),
 )
@@ -72,9 +72,9 @@ DB2 = (
 
 
 class Language:
-    def __init__(self, declared, line_marks, blocks, quotes, words, sql=False, any_case=False, doubled=True):
+    def __init__(self, declared, line_marks, blocks, quotes, words, sql=False, any_case=False, doubled=True, verbatim=False):
         self.declared = [(re.compile(p, re.M), c) for p, c in declared]
-        self.line_marks, self.blocks, self.quotes, self.words, self.sql, self.any_case, self.doubled = line_marks, blocks, quotes, words, sql, any_case, doubled
+        self.line_marks, self.blocks, self.quotes, self.words, self.sql, self.any_case, self.doubled, self.verbatim = line_marks, blocks, quotes, words, sql, any_case, doubled, verbatim
 
 
 SQL_ALL = SQL_WORDS | SQL_TYPES | SQL_FUNCTIONS
@@ -82,7 +82,7 @@ LANGUAGES = {
     "tsql": Language(SQL_DECLARED, ("--",), (("/*", "*/"),), "'", SQL_ALL, sql=True, any_case=False),
     "db2sql": Language(DB2 + SQL_DECLARED, ("--",), (("/*", "*/"),), "'", SQL_ALL | {"tablespace", "bufferpool", "stogroup", "collection", "package", "plan"}, sql=True),
     "oraclesql": Language(SQL_DECLARED, ("--",), (("/*", "*/"),), "'", SQL_ALL | ORACLE_WORDS, sql=True),
-    "csharp": Language(CSHARP, ("//",), (("/*", "*/"),), "\"'", CODE_WORDS, doubled=False),
+    "csharp": Language(CSHARP, ("//",), (("/*", "*/"),), "\"'", CODE_WORDS, doubled=False, verbatim=True),
     "vbnet": Language(VISUAL_BASIC, ("'",), (), '"', CODE_WORDS, any_case=True),
     "vbscript": Language(VISUAL_BASIC, ("'",), (), '"', CODE_WORDS, any_case=True),
     "fsharp": Language(FSHARP, ("//",), (("(*", "*)"),), '"', CODE_WORDS, doubled=False),
@@ -123,16 +123,17 @@ def lexed(text: str, lang: Language) -> tuple[str, list[tuple[int, int, str]]]:
                 i = take(j, "comment")
         elif c in lang.quotes:
             j = i + 1
+            verbatim = lang.verbatim and text[max(0, i - 2) : i].rstrip("$").endswith("@")
             while j < n:
-                if text[j] == "\\" and not lang.doubled:
+                if text[j] == "\\" and not lang.doubled and not verbatim:
                     j += 2
                 elif text[j] == c:
-                    if lang.doubled and j + 1 < n and text[j + 1] == c:
+                    if (lang.doubled or verbatim) and j + 1 < n and text[j + 1] == c:
                         j += 2
                     else:
                         j += 1
                         break
-                elif text[j] == "\n" and c != "`" and not lang.sql:
+                elif text[j] == "\n" and c != "`" and not lang.sql and not verbatim:
                     break
                 else:
                     j += 1
@@ -143,6 +144,34 @@ def lexed(text: str, lang: Language) -> tuple[str, list[tuple[int, int, str]]]:
     return "".join(out), found
 
 
+def pieces(body: str, opener: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(texts, holes) of an interpolated string's inside, as (start, end); holes begin with opener and end with the brace that matches."""
+    texts, holes, at, k, n = [], [], 0, 0, len(body)
+    while k < n:
+        if opener == "{" and body.startswith("{{", k):
+            k += 2
+        elif body.startswith(opener, k):
+            texts.append((at, k))
+            a, depth = k + len(opener), 1
+            k = a
+            while k < n and depth:
+                depth += (body[k] == "{") - (body[k] == "}")
+                k += 1
+            holes.append((a, k - (depth == 0)))
+            at = k
+        else:
+            k += 1
+    return [*texts, (at, n)], holes
+
+
+def _alternating(parts: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+    """Texts and what lies between them, in turn, over 0 to n."""
+    out = []
+    for (p, q), nxt in zip(parts, [*parts[1:], (n, n)]):
+        out += [(p, q), (q, nxt[0])]
+    return out
+
+
 def code_spans(text: str, processor: str) -> list[tuple[int, int, str, str, str, str]]:
     """(start, length, value, category, head, tail): what to rewrite as head + alias + tail; comments have no value and head is the new text."""
     lang = LANGUAGES.get(processor)
@@ -159,6 +188,21 @@ def code_spans(text: str, processor: str) -> list[tuple[int, int, str, str, str,
             continue
         inner = body[1:-1].replace(kind * 2, kind) if lang.doubled else body[1:-1]
         before = text[max(0, a - 60) : a]
+        opener = "${" if kind == "`" else "{" if lang.verbatim and kind == '"' and before[-2:].strip("@ (=,+").endswith("$") else ""
+        if opener and opener in inner and len(body) > 1:
+            parts, holes = pieces(body[1:-1], opener)
+            for p, q in holes:  # code, whose names are rewritten like any others
+                masked = masked[: a + 1 + p] + text[a + 1 + p : a + 1 + q] + masked[a + 1 + q :]
+            for p, q in parts:
+                said = body[1 + p : 1 + q].strip()
+                if re.search(r"[^\W\d_]", said) and len(said) > 1 and "\\" not in said and "{{" not in said and not _SQL_START.match(inner):
+                    spans.append((a + 1 + body[1:-1].index(said, p), len(said), said, "StringLiteral", "", ""))
+            if _SQL_START.match(inner):
+                bare = "".join(body[1 + p : 1 + q] if k % 2 == 0 else " " * (q - p) for k, (p, q) in enumerate(_alternating(parts, len(body) - 2)))
+                spans += [(a + 1 + s, *rest) for s, *rest in code_spans(bare, "tsql")]
+            continue
+        if processor == "csharp" and kind == "'":
+            continue  # one character
         path = processor == "javascript" and (re.search(r"(from|require\s*\(|import\s*\(?)\s*$", before) or inner.startswith((".", "/")))
         if not inner.strip() or len(body) < 2 or _NUMBER.match(inner) or path or (len(inner) >= 10 and _SQL_START.match(inner) and not lang.sql) or (kind == "`" and "${" in inner) or before.endswith("$"):
             if len(inner) >= 10 and _SQL_START.match(inner) and not lang.sql:
@@ -209,6 +253,8 @@ def code_spans(text: str, processor: str) -> list[tuple[int, int, str, str, str,
             known = (bare, "Variable" if bare.startswith("@") else "Column")
         if not known[1] or bare.startswith("@@"):
             continue
+        if lang.sql and low in ("n", "x") and text[m.end() : m.end() + 1] == "'":
+            continue  # a literal's prefix
         if processor == "javascript" and masked[: m.start()].rstrip().endswith("."):
             continue
         value, head = known[0], ""
@@ -238,9 +284,35 @@ def balanced(text: str, processor: str) -> list[str]:
             out.append("string does not end")
         elif kind == "comment" and (block := next((x for x in lang.blocks if text.startswith(x[0], a)), None)) and not text[a:b].endswith(block[1]):
             out.append("comment does not end")
+    if processor in ("vbnet", "vbscript"):
+        out += _open_blocks(masked)
     if lang.sql:
         words = [w.lower() for w in re.findall(r"[A-Za-z]+", masked)]
         n = words.count("begin") + words.count("case") - words.count("end")
         if n > 0:
             out.append("BEGIN or CASE without END")
     return out
+
+
+# What opens a Basic block, and what closes it.
+BASIC_BLOCKS = (
+    (r"(?:\w+\s+)*?(sub|function|property|class|module|type|enum|structure|namespace|interface)\b", r"end\s+{0}\b"), (r"(if)\b.*\bthen\s*$", r"end\s*{0}\b"), (r"(select)\s+case\b", r"end\s+{0}\b"),
+    (r"(with|try)\b", r"end\s+{0}\b"), (r"(for)\b", r"next\b"), (r"(do)\b", r"loop\b"), (r"(while)\b", r"(?:wend|end\s+while)\b"),
+)
+
+
+def _open_blocks(masked: str) -> list[str]:
+    """Basic blocks that end out of turn or not at all."""
+    stack: list[tuple[str, str]] = []
+    for line in masked.lower().split("\n"):
+        line = line.strip()
+        if re.match(r"(?:end\s+\w+|endif|next|loop|wend)\b", line):
+            if not stack or not re.match(stack[-1][1], line):
+                return [f"unexpected {line.split()[0]}"]
+            stack.pop()
+        elif not re.match(r"(?:exit|declare|(?:\w+\s+)*(?:mustoverride|delegate))\b", line):
+            for opens, closes in BASIC_BLOCKS:
+                if m := re.match(opens, line):
+                    stack.append((m[1], closes.format(m[1])))
+                    break
+    return [f"{word} does not end" for word, _ in stack]

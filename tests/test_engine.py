@@ -165,6 +165,26 @@ def test_cobol_jcl_and_cards(spark):
     assert spark.range(1).select(cards.card_type(F.lit("  REPRO INFILE(A)"))).first()[0] == "Idcams"
 
 
+def test_interpolated_and_prefixed_literals():
+    def put(text, processor):
+        out, at = [], 0
+        for a, n, v, c, head, tail in sorted(tokens.code_spans(text, processor), key=lambda s: (s[0], -s[1])):
+            if a >= at:
+                out += [text[at:a], head + (f"<{v}>" if c != "Comment" else "") + tail]
+                at = a + n
+        return "".join(out) + text[at:]
+
+    assert put("class Ledger { void Post(string city) { var a = $\"Hello {city} you\"; char c = 'x'; var p = @\"C:\\dir\\\"; } }", "csharp") == "class <Ledger> { void <Post>(string <city>) { var a = $\"<Hello> {<city>} <you>\"; char c = 'x'; var p = @\"<C:\\dir\\>\"; } }"
+    assert put("var q = $\"SELECT a FROM Orders WHERE b = {0}\";", "csharp") == "var q = $\"SELECT <a> FROM <Orders> WHERE <b> = {0}\";"
+    assert put("const userName = 1; const s = `Dear ${userName}!`;", "javascript") == "const <userName> = 1; const s = `<Dear> ${<userName>}!`;"
+    assert put("update t set x = N'it''s'", "tsql") == "update <t> set <x> = N'<it's>'"
+
+
+def test_basic_blocks():
+    assert tokens.balanced("Public Sub A()\nIf x Then\ny = 1\nEnd If\nFor i = 1 To 2\nNext\nEnd Sub", "vbscript") == []
+    assert tokens.balanced("Function F()\nDo\nEnd Function", "vbscript") == ["unexpected end"] and tokens.balanced("Sub A()\nIf x Then y = 1\nExit Sub\n", "vbnet") == ["sub does not end"]
+
+
 COBOL = "\n".join([
     "000100 IDENTIFICATION DIVISION.", "000200 PROGRAM-ID. PAY1.", "000250* who pays", "000300 DATA DIVISION.", "000310 FD  IN-FILE.", f"{'000400 01  IN-REC.':72}PAY00001", "000500     05  FILLER PIC X.", "000550     05  AMOUNT PIC S9(5)V99 COMP-3 VALUE 0.",
     "000600     88  IS-OK VALUE 'YESYES'.", "000700 PROCEDURE DIVISION.", "000800 MAIN-P.", "000900     EXEC SQL", "001000      SELECT CITY INTO :HV-A, :REC-A.FLD-B FROM PAYROLL", "001060      WHERE NAME = 'Paris' AND N = '12'", "001100     END-EXEC.",
