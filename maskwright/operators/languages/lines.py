@@ -149,3 +149,11 @@ def cross_references(docs: DataFrame) -> DataFrame:
     """(value, source_language, target_language, n): programs that JCL runs, a COBOL program being the target."""
     pgm = jcl_names(docs).where("category = 'Program'")
     return pgm.groupBy("value").agg(F.count("*").alias("n")).select("value", F.lit("jcl").alias("source_language"), F.lit("cobol").alias("target_language"), "n")
+
+
+def host_references(docs: DataFrame) -> DataFrame:
+    """(value, source_language, target_language, n): host variables of EXEC SQL blocks, records and fields apart; names in upper case."""
+    rows = cobol_lines(docs).where("line_type = 'ExecSqlBlock'").select(F.upper(F.concat("area_a", "area_b")).alias("body"))
+    used = rows.select(F.explode(F.regexp_extract_all("body", F.lit(r":([A-Z][A-Z0-9_-]*(?:\.[A-Z][A-Z0-9_-]*)?)"), F.lit(1))).alias("used"))
+    parts = used.select(F.explode(F.split("used", r"\.")).alias("value"))
+    return parts.groupBy("value").agg(F.count("*").alias("n")).select("value", F.lit("cobol").alias("source_language"), F.lit("sql").alias("target_language"), "n")

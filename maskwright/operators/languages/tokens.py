@@ -90,6 +90,7 @@ LANGUAGES = {
 }
 _SQL_START = re.compile(r"\s*(SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP|EXEC|EXECUTE|WITH|MERGE|DECLARE|BEGIN) ", re.I)
 _NUMBER = re.compile(r"\s*[+-]?[\d,]*\.?\d+(e[+-]?\d+)?\s*$|^\d{4}[-/]\d{2}[-/]\d{2}|^\d{1,2}[-/]\d{1,2}[-/]\d{2,4}$|^\d{1,2}-[A-Za-z]{3}-\d{2,4}$", re.I)
+_OPENS = re.compile(r"\s*\(")
 _WORD = re.compile(rf"@{{0,2}}#{{0,2}}{ID}|\[[^\]\n]+\]")
 
 
@@ -178,7 +179,7 @@ def code_spans(text: str, processor: str) -> list[tuple[int, int, str, str, str,
     if not lang or not text:
         return []
     masked, taken = lexed(text, lang)
-    spans = []
+    spans, seen, upto = [], [], 0
     for a, b, kind in taken:
         body = text[a:b]
         if kind == "comment":
@@ -192,7 +193,8 @@ def code_spans(text: str, processor: str) -> list[tuple[int, int, str, str, str,
         if opener and opener in inner and len(body) > 1:
             parts, holes = pieces(body[1:-1], opener)
             for p, q in holes:  # code, whose names are rewritten like any others
-                masked = masked[: a + 1 + p] + text[a + 1 + p : a + 1 + q] + masked[a + 1 + q :]
+                seen += [masked[upto : a + 1 + p], text[a + 1 + p : a + 1 + q]]
+                upto = a + 1 + q
             for p, q in parts:
                 said = body[1 + p : 1 + q].strip()
                 if re.search(r"[^\W\d_]", said) and len(said) > 1 and "\\" not in said and "{{" not in said and not _SQL_START.match(inner):
@@ -209,6 +211,7 @@ def code_spans(text: str, processor: str) -> list[tuple[int, int, str, str, str,
                 spans += [(a + 1 + s, n, v, c, h, t) for s, n, v, c, h, t in code_spans(body[1:-1], "tsql")]
             continue
         spans.append((a, b - a, inner, "StringLiteral", kind, kind))
+    masked = "".join(seen) + masked[upto:]
     names: dict[str, tuple[str, str]] = {}
     fold = (lambda s: s.lower()) if lang.any_case else (lambda s: s)
 
@@ -248,15 +251,19 @@ def code_spans(text: str, processor: str) -> list[tuple[int, int, str, str, str,
             continue
         known = names.get(fold(bare))
         if known is None:
-            if not lang.sql or masked[m.end() :].lstrip().startswith("("):
+            if not lang.sql or _OPENS.match(masked, m.end()):
                 continue
             known = (bare, "Variable" if bare.startswith("@") else "Column")
         if not known[1] or bare.startswith("@@"):
             continue
         if lang.sql and low in ("n", "x") and text[m.end() : m.end() + 1] == "'":
             continue  # a literal's prefix
-        if processor == "javascript" and masked[: m.start()].rstrip().endswith("."):
-            continue
+        if processor == "javascript":
+            k = m.start() - 1
+            while k >= 0 and masked[k].isspace():
+                k -= 1
+            if k >= 0 and masked[k] == ".":
+                continue
         value, head = known[0], ""
         if value.startswith("@"):  # the key goes without its mark, the text keeps it
             value, head = value[1:], "@"

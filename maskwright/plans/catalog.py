@@ -175,6 +175,10 @@ def cross_refs(spark, sf):
     return lines.cross_references(jobs(spark, sf))
 
 
+def host_refs(spark, sf):
+    return lines.host_references(programs(spark, sf))
+
+
 def looks_like_sql(spark, sf):
     return statements(spark, sf).select("doc_id", X.looks_like_sql(F.col("content")).alias("sql"))
 
@@ -244,7 +248,7 @@ def mainframe_obfuscation(spark, sf):
 
 NAMES = (
     "rule_match_counts docs_with_email match_spans exceptions_filtered alias_dictionary alias_gaps overlap_resolved sanitized_text sanitized_documents restore_roundtrip unmatched_aliases rule_merge "
-    "active_rules_sorted file_filter scope_dispatch directory_aliases path_aliases normalize_path js_import_resolve card_type card_values cobol_line_class cobol_names jcl_instream_program cross_refs "
+    "active_rules_sorted file_filter scope_dispatch directory_aliases path_aliases normalize_path js_import_resolve card_type card_values cobol_line_class cobol_names jcl_instream_program cross_refs host_refs "
     "looks_like_sql sql_comment_strip literal_alias host_variables source_map stats_summary xref_report status_top10 leakage_check severity_rollup file_counts code_obfuscation mainframe_obfuscation"
 ).split()
 

@@ -128,6 +128,7 @@ CASE WHEN lower(path) LIKE 'src/app/%' THEN path[9:] WHEN lower(path) LIKE 'src/
     "cobol_names": f"WITH {_COBOL}, found AS ({_DECLARED}) SELECT category, count(*) AS n, count(DISTINCT value) AS distinct_values FROM found WHERE value <> '' GROUP BY category",
     "jcl_instream_program": f"WITH {_JCL} SELECT doc_id, line_no, line_type, program, line_type = 'Instream' AND program = 'DSNTEP2' AS instream_sql FROM progs",
     "cross_refs": f"WITH {_JCL} SELECT program AS value, 'jcl' AS source_language, 'cobol' AS target_language, count(*) AS n FROM progs WHERE line_type = 'Exec' GROUP BY program",
+    "host_refs": f"WITH {_COBOL}, used AS (SELECT unnest(regexp_extract_all(body, ':([A-Z][A-Z0-9_-]*)', 1)) AS value FROM lines WHERE line_type = 'ExecSqlBlock') SELECT value, 'cobol' AS source_language, 'sql' AS target_language, count(*) AS n FROM used GROUP BY value",
     "looks_like_sql": f"WITH docs AS ({statements_sql}) SELECT doc_id, length(content) >= 10 AND regexp_matches(upper(ltrim(content)), '^({'|'.join(SQL_STARTS)}) ') AS sql FROM docs",
     "sql_comment_strip": f"""WITH docs AS ({statements_sql}) SELECT doc_id, regexp_replace(regexp_replace(content, '--[^\\n]*', '-- [Comment removed]', 'g'), '(?s)/\\*.*?\\*/', '/* [Comment removed] */', 'g') AS content FROM docs""",
     "literal_alias": f"""WITH docs AS ({statements_sql}), per AS (SELECT doc_id, regexp_extract_all(content, 'N?''([^'']|'''')*''') AS hits FROM docs), lits AS (SELECT doc_id, unnest(range(1, len(hits) + 1)) AS k, unnest(hits) AS h FROM per),
