@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.naming import prefix_of
-from maskwright.functions.text import keep_leftmost_longest, splice
 from maskwright.operators.languages import cards, mainframe
-from maskwright.operators.sanitize import numbered
+from maskwright.operators.sanitize import numbered, resolved
 from maskwright.operators.scope import delegation_only, in_scope, processor_of
 from maskwright.sources.shared import written
 
@@ -55,23 +54,19 @@ def obfuscated(docs: DataFrame, scope: set[str] | None = None, fix_dispatch: boo
     names = numbered(first.select("value", prefix_of(F.col("f.category")).alias("prefix"), "f.doc_id", "f.start", "f.category"), ["doc_id", "start"])
     names = written(names.select("value", "prefix", "n", "alias", "category"), "dictionary")
     both = spans.join(names.select("value", "alias"), "value", "left").where(F.col("alias").isNotNull() | (F.col("category") == "Comment"))
-    one = F.struct("start", (-F.col("len")).alias("neg"), "len", F.concat("head", F.coalesce("alias", F.lit("")), "tail").alias("alias"))
-    per = both.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("__all")).select("doc_id", keep_leftmost_longest(F.col("__all"), "struct<start:int,neg:int,len:int,alias:string>").alias("__kept"))
-    out = d.join(per, "doc_id", "left")
-    hit, old = F.col("__kept").isNotNull(), F.col("content")
-    out = out.withColumn("__new", F.when(hit, splice(old, F.col("__kept"))).otherwise(old)).withColumn("replacements", F.when(hit, F.size("__kept")).otherwise(0))
-    if fixed_width:
-        out = _refitted(out)
-    return out.withColumn("content", F.col("__new")).drop("__kept", "__new"), names
+    one = F.struct("start", (-F.col("len")).alias("neg"), "len", F.concat("head", F.coalesce("alias", F.lit("")), "tail").alias("alias"), F.lit("").alias("value"), F.lit("").alias("rule_id"))
+    per = both.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("__all"))
+    put = resolved(d.withColumn("__old", F.col("content")).join(per, "doc_id", "left") if fixed_width else d.join(per, "doc_id", "left"), "__all")
+    out = put.withColumn("replacements", F.size("matches")).drop("matches")
+    return (_refitted(out).drop("__old") if fixed_width else out), names
 
 
 def _refitted(docs: DataFrame) -> DataFrame:
-    docs = docs.drop("__kept")
-    at = [docs.columns.index(c) for c in ("content", "__new", "processor")]
+    at = [docs.columns.index(c) for c in ("__old", "content", "processor")]
 
     def run(it):
         for b in it:
             texts = [mainframe.refitted(o, n, p) if o is not None and p else n for o, n, p in zip(*(b.column(k).to_pylist() for k in at))]
-            yield b.set_column(at[1], "__new", pa.array(texts, pa.string()))
+            yield b.set_column(at[1], "content", pa.array(texts, pa.string()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions.text import hits, splice
+from maskwright.operators.rules import Rule
+from maskwright.operators.sanitize import detected, resolved
+from maskwright.sources.shared import written
 
 ALIAS = r"\b[A-Z]+_\d+\b"
 
@@ -23,9 +25,11 @@ def restored(docs: DataFrame, names: DataFrame, most_passes: int = 8) -> DataFra
     hold aliases themselves are restored by further passes, until a pass finds nothing, at most most_passes.
     """
     now = docs.withColumn("replacements", F.lit(0)).withColumn("__open", F.lit(True))
-    for _ in range(most_passes):
-        now, again = _pass(now, names)
-        if not again:
+    # only originals that hold an alias can call for another pass; each is then written, so that none is computed twice
+    again = not names.where(F.col("value").rlike(ALIAS)).isEmpty()
+    for _ in range(most_passes if again else 1):
+        now = written(_pass(now, names), "restored") if again else _pass(now, names)
+        if again and now.where("__open").isEmpty():
             break
     left = now.select("doc_id", F.explode(unmatched(F.col("content"))).alias("alias")).join(names.select("alias"), "alias", "left_anti")
     per = left.groupBy("doc_id").agg(F.array_sort(F.collect_set("alias")).alias("unmatched"))
@@ -33,16 +37,10 @@ def restored(docs: DataFrame, names: DataFrame, most_passes: int = 8) -> DataFra
     return out.withColumn("was_restored", F.col("replacements") > 0).withColumn("unmatched", F.coalesce("unmatched", F.array().cast("array<string>")))
 
 
-def _pass(docs: DataFrame, names: DataFrame) -> tuple[DataFrame, bool]:
-    words = docs.where("__open").select("doc_id", F.explode(hits(F.col("content"), ALIAS)).alias("h")).select("doc_id", "h.start", "h.len", F.col("h.value").alias("alias"))
-    known = words.join(names.select("alias", "value"), "alias").select("doc_id", "start", "len", F.col("value").alias("alias"))
-    per = known.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "len", "alias"))).alias("__spans"))
-    out = docs.join(per, "doc_id", "left")
-    hit = F.col("__spans").isNotNull()
-    out = (
-        out.withColumn("content", F.when(hit, splice(F.col("content"), F.col("__spans"))).otherwise(F.col("content")))
-        .withColumn("replacements", F.col("replacements") + F.when(hit, F.size("__spans")).otherwise(0)).withColumn("__open", hit).drop("__spans")
-    )
-    # only originals that hold an alias can call for another pass
-    again = names.where(F.col("value").rlike(ALIAS)).limit(1).count() > 0
-    return out, again
+def _pass(docs: DataFrame, names: DataFrame) -> DataFrame:
+    found = detected(docs.where("__open").select("doc_id", "content"), [Rule("alias", ALIAS, "")])
+    words = found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.len", F.col("s.value").alias("alias"))
+    known = words.join(names.select("alias", "value"), "alias").select("doc_id", "start", "len", F.col("value").alias("alias"), F.col("alias").alias("value"), F.lit("").alias("rule_id"))
+    per = known.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "len", "alias", "value", "rule_id"))).alias("__spans"))
+    out = resolved(docs.join(per, "doc_id", "left"), "__spans")
+    return out.withColumn("replacements", F.col("replacements") + F.size("matches")).withColumn("__open", F.size("matches") > 0).drop("matches")

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from maskwright.functions.naming import alias_of
-from maskwright.functions.text import hits, keep_leftmost_longest, splice, unicode_pattern
+from maskwright.functions.text import hits, unicode_pattern
 from maskwright.operators.rules import Rule
 from maskwright.sources.shared import written
 
 SPAN = "struct<start:int,len:int,rule:int,value:string,prefix:string,rule_id:string>"
-ALIASED = "struct<start:int,neg:int,rule:int,len:int,value:string,alias:string,rule_id:string>"
+MATCH = "struct<start:int,len:int,value:string,alias:string,rule_id:string,line:int>"
 
 
 def matches(text: Column, rules: list[Rule]) -> Column:
@@ -134,17 +134,46 @@ def applied(found: DataFrame, names: DataFrame) -> DataFrame:
     named = spans.join(names.select("value", "alias"), "value")
     one = F.struct("start", (-F.col("len")).alias("neg"), "rule", "len", "value", "alias", "rule_id")
     per = named.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("__all"))
-    kept = keep_leftmost_longest(F.col("__all"), ALIASED)
-    out = found.drop("spans").join(per.select("doc_id", kept.alias("__kept")), "doc_id", "left")
-    old = F.col("content")
-    line = lambda m: F.size(F.split(F.substring(old, F.lit(1), m["start"]), "\n", -1))
-    shown = F.transform("__kept", lambda m: F.struct(m["start"].alias("start"), m["len"].alias("len"), m["value"].alias("value"), m["alias"].alias("alias"), m["rule_id"].alias("rule_id"), line(m).alias("line")))
-    none = F.col("__kept").isNull()
-    empty = F.array().cast("array<struct<start:int,len:int,value:string,alias:string,rule_id:string,line:int>>")
-    return (
-        out.withColumn("matches", F.when(none, empty).otherwise(shown)).withColumn("was_sanitized", ~none)
-        .withColumn("content", F.when(none, old).otherwise(splice(old, F.col("__kept")))).drop("__kept")
-    )
+    return resolved(found.drop("spans").join(per, "doc_id", "left"), "__all").withColumn("was_sanitized", F.size("matches") > 0)
+
+
+def resolved(docs: DataFrame, spans: str) -> DataFrame:
+    """docs with `content` rewritten and `matches`: of the spans (start, len, value, alias, rule_id and more; sorted by start, the
+    longer first; null for none) those that do not overlap one kept before. The column of spans goes.
+
+    One Arrow pass, linear in text and spans: a fold of expressions copies what it has at each span, which for a text of
+    some megabytes would take hours.
+    """
+    at, where = docs.columns.index("content"), docs.columns.index(spans)
+    rest = [k for k in range(len(docs.columns)) if k != where]
+    schema = StructType([docs.schema[k] for k in rest] + StructType.fromDDL(f"matches array<{MATCH}>").fields)
+    kind = [("start", pa.int32()), ("len", pa.int32()), ("value", pa.string()), ("alias", pa.string()), ("rule_id", pa.string()), ("line", pa.int32())]
+
+    def run(it):
+        for b in it:
+            ends, all_ = b.column(where).offsets.to_pylist(), b.column(where).values
+            starts, lens, values, aliases, ids = (all_.field(c).to_pylist() for c in ("start", "len", "value", "alias", "rule_id"))
+            texts, kept, lines, upto = [], [], [], [0]
+            for text, lo, hi in zip(b.column(at).to_pylist(), ends, ends[1:]):
+                out, end, line = [], 0, 1
+                for k in range(lo, hi):
+                    a = starts[k]
+                    if a >= end:
+                        gap = text[end:a]
+                        line += gap.count("\n")
+                        out += (gap, aliases[k])
+                        lines.append(line)
+                        end = a + lens[k]
+                        line += text.count("\n", a, end)
+                        kept.append(k)
+                texts.append("".join(out) + text[end:] if out else text)
+                upto.append(len(kept))
+            cols = [[c[k] for k in kept] for c in (starts, lens, values, aliases, ids)] + [lines]
+            rows = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kind)], fields=[pa.field(n, t) for n, t in kind])
+            new = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in rest]
+            yield pa.RecordBatch.from_arrays([*new, pa.ListArray.from_arrays(pa.array(upto, pa.int32()), rows)], [f.name for f in schema])
+
+    return docs.mapInArrow(run, schema)
 
 
 def sanitized(docs: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
