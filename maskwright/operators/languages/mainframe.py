@@ -163,7 +163,7 @@ def _block(text: str, lines: list, out: list[Span], word) -> None:
             for g in (1, 2):
                 if m[g]:
                     word(at + m.start(g), m[g], "HostVariable")
-        code = _HOST.sub(lambda m: " " * len(m[0]), code)
+        code = _HOST.sub(lambda m: "0".ljust(len(m[0])), code)  # a number, so INTO and FROM do not close up
         sql[at - first : at - first + len(code)] = code
     out += [(first + s[0], *s[1:]) for s in code_spans("".join(sql), "tsql")]
 

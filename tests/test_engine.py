@@ -208,6 +208,7 @@ def test_mainframe_sources_are_rewritten_and_restored(spark):
     for word in "PAYJOB ACCT1 SMITH secret HLQ PAY1 RUN1 INPUT1 PAY.DATA MEM1 PG1 PL1 ACME.LOAD CITY PAYROLL".split():
         assert word not in got[2], word
     assert "//SYSPRINT DD SYSOUT=*" in got[2] and f"(+1),DISP=(NEW,CATLG),DCB=*.{alias['S1']}.{alias['INPUT1']}" in got[2] and f"DSN=&{alias['HLQ']}..{alias['PAY.DATA']}({alias['MEM1']})," in got[2]
+    assert alias["PAYROLL"] == "TBL_0" and alias["CITY"] == "COL_0"
     assert alias["PAY1"] in got[1] and alias["PAY1"] in got[2] and alias["SHARED"] in got[3] and alias["CITY"] in got[2]
     assert got[4].split("\n") == [alias["ftp.acme.com"], alias["hunter2"], f"cd {alias['/data/in']}", f"get {alias['FILE1']} '{alias['ACME.PAY.DATA']}'", "quit"]
     assert (got[5], got[6], got[7]) == ("", None, "no card\n//\n// \n//X")
