@@ -9,12 +9,15 @@ What is sought are strings that ARE random, so each test's null hypothesis is a
 counters show (DEPARTURE for chi-squared as a share of n, EFFECT for the other two); a string is random by a test if the
 departure is significantly smaller. Short strings cannot show that, long ones can: the length decides how strong the
 evidence is. The three are combined by their largest p-value (all must hold), and Benjamini-Hochberg at rate FDR over
-the candidates of all documents sets the cut. For it p-values are rounded up to multiples of 1/BINS, so its histogram
-has at most BINS rows, whatever the corpus.
+the candidates of all documents sets the cut. For it p-values are rounded up, to a multiple of 1/BINS or a power of
+10**(1/DECADE), whichever is nearer: small ones keep their strength, and the histogram has a bounded number of rows,
+whatever the corpus.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]+"
 CODE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 MIN_CHARS, BINS, FDR, EFFECT = 20, 10_000, 0.05, 0.5
+#: Steps of a decade for small p-values, and the z-score beyond which nothing counts as stronger (p about 1e-89).
+DECADE, FAR = 100, 20.0
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: name, what the whole string must match, alphabet in order, departure of ordinary strings (chi-squared / n)
 ENCODINGS = (
@@ -45,9 +50,16 @@ SPAN = "struct<start:bigint,kind:int,end:bigint>"
 
 
 def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution, by a logistic curve (within 0.0002)."""
-    z = F.greatest(F.least(z, F.lit(8.0)), F.lit(-8.0))
-    return 1 / (1 + F.exp(-(1.5976 * z + 0.070566 * z * z * z)))
+    """Standard normal distribution: a logistic curve (within 0.0002), below -2 Sampford's bound (above the true value by at most 0.3 %)."""
+    z = F.greatest(F.least(z, F.lit(8.0)), F.lit(-FAR))
+    curve = lambda z: 1 / (1 + F.exp(-(1.5976 * z + 0.070566 * z * z * z)))
+    tail = 4 / math.sqrt(2 * math.pi) * F.exp(-z * z / 2) / (F.sqrt(z * z + 8) - 3 * z)
+    return F.when(z < -2, F.least(tail, curve(F.lit(-2.0)))).otherwise(curve(z))
+
+
+def rounded_up(p: Column) -> Column:
+    """p as the Benjamini-Hochberg histogram holds it."""
+    return F.least(F.ceil(p * BINS) / BINS, F.pow(F.lit(10.0), F.ceil(F.log10(p) * DECADE) / DECADE))
 
 
 def found(text: Column, pattern: str, group: int | None = None) -> Column:
@@ -144,18 +156,18 @@ def cut(tried: DataFrame, fdr: float = FDR) -> float:
     """The largest p-value that Benjamini-Hochberg lets pass over all candidates; 0 if none."""
     from pyspark.sql import Window
 
-    per = tried.select(F.explode("tried.p").alias("p")).groupBy(F.ceil(F.col("p") * BINS).alias("bin")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("bin"))  # at most BINS rows
+    per = tried.select(F.explode("tried.p").alias("p")).groupBy(rounded_up(F.col("p")).alias("bin")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("bin"))  # at most BINS + 89 * DECADE rows
     total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    got = per.select("bin", upto.alias("upto"), total.alias("total")).where(F.col("bin") / BINS * F.col("total") <= fdr * F.col("upto")).agg(F.max("bin")).first()[0]
-    return (got or 0) / BINS
+    got = per.select("bin", upto.alias("upto"), total.alias("total")).where(F.col("bin") * F.col("total") <= fdr * F.col("upto")).agg(F.max("bin")).first()[0]
+    return got or 0.0
 
 
 def secret_spans(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """doc_id, `base` and `spans` (start, kind's place in KINDS, end; by start, then kind) of every row."""
     seen = written(scanned(docs), "secrets")
     most = cut(seen, fdr)
-    more = F.transform(F.filter("tried", lambda t: F.ceil(t["p"] * BINS) / BINS <= most), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    more = F.transform(F.filter("tried", lambda t: rounded_up(t["p"]) <= most), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
     return seen.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", more)).alias("spans"))
 
 

@@ -311,6 +311,21 @@ def test_secrets_equal_the_loops(spark):
     assert secrets.secret_spans(frame(spark, [])).count() == 0
 
 
+def test_one_random_token_among_many_ordinary_ones_is_found(spark):
+    r = random.Random(12)
+    b62 = secrets.DIGITS + secrets.UPPER + secrets.LOWER
+    token = "".join(r.choice(b62) for _ in range(256))
+    rows = [f"see {''.join(r.choice(['Tree', 'Stone', 'River', 'Cloud', 'House', 'Green', 'Walks']) for _ in range(r.randint(5, 9)))}{i}" for i in range(3000)] + [f"x {token} y"]
+    got = secrets.secret_spans(frame(spark, rows)).where(F.size("spans") > 0).collect()
+    assert [(x.doc_id, [tuple(s) for s in x.spans]) for x in got] == [(3000, [(2, 3, 258)])]
+
+
+def test_normal_tail(spark):
+    zs = [-8.0, -6.0, -4.0, -3.0, -2.01, -1.0, 0.0, 2.0]
+    got = [x.p for x in spark.createDataFrame([(z,) for z in zs], "z double").select(secrets.normal_cdf(F.col("z")).alias("p")).collect()]
+    assert got == sorted(got) and all(abs(p - (t := math.erfc(-z / math.sqrt(2)) / 2)) <= (0.004 * t if z < -2 else 0.0002) for z, p in zip(zs, got))
+
+
 def test_languages(spark):
     docs = common.table(spark, SMALL, "documents")
     got = language_id.op7_hyperdimensional_language(spark, SMALL).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
