@@ -4,12 +4,13 @@ score = sigmoid(w0 + sum of w[t] + sum over pairs of <v[s], v[t]>) over the term
 terms mean more together than each alone (an insult and the mention of a group). Terms are lower-cased runs of letters
 and their beginnings of 4 to 6 letters (inflected insults share a stem), hashed to BUCKETS; a term counts once for each
 text, so length does not add up. The machine is fitted to at most MAX_ROWS labelled documents, those smallest by a hash
-of their id: term counts by label are summed on the executors, and the driver gets only the chosen terms of each
-document. Everything is scored.
+of their id, texts of the same words once: term counts by label are summed on the executors, and the driver gets only the
+clear terms of each document. Everything is scored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import bounded, dropped, table, texts, tidy, written
 from .words import parts
 
-MAX_ROWS, BUCKETS, FEATURES, FACTORS, THRESHOLD, FOLDS, HELD = 20_000, 1 << 30, 512, 4, 0.3, 4, 2
+MAX_ROWS, BUCKETS, FACTORS, THRESHOLD, FOLDS, HELD = 20_000, 1 << 30, 4, 0.3, 4, 2
 STEMS, CLEAR = (4, 5, 6), 5.0
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -66,19 +67,25 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, factors: in
     base = float(np.log(rate / (1 - rate)))
     if not len(ids):
         return Machine(base, np.zeros(1), np.zeros((1, factors)), {})
-    x = np.zeros((len(rows), len(ids)), np.float32)
-    for k, r in enumerate(rows):
-        x[k, np.searchsorted(ids, r)] = 1
+    # the ones of the matrix: row and column of each
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    col = np.searchsorted(ids, np.concatenate([np.zeros(0, np.int64), *rows]))
+
+    def summed(to: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        if values.ndim == 1:
+            return np.bincount(to, values, n)
+        return np.stack([np.bincount(to, c, n) for c in values.T], axis=1)
+
     rng = np.random.default_rng(seed)
     par = [np.array([base]), np.zeros(len(ids)), rng.normal(0, 0.05, (len(ids), factors))]
     l2, m, s = (0.0, 2e-4, 2e-3), [np.zeros_like(q) for q in par], [np.zeros_like(q) for q in par]
     for step in range(1, steps + 1):
         w0, w, v = par
-        xv = x @ v.astype(np.float32)
-        out = w0[0] + x @ w + 0.5 * ((xv**2).sum(1) - x @ (v**2).sum(1))
+        xv = summed(at, v[col], len(rows))
+        out = w0[0] + summed(at, w[col], len(rows)) + 0.5 * ((xv**2).sum(1) - summed(at, (v**2).sum(1)[col], len(rows)))
         g = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y) / len(y)
-        gx = x.T @ g
-        grads = [np.array([g.sum()]), gx + l2[1] * w, x.T @ (g[:, None] * xv) - gx[:, None] * v + l2[2] * v]
+        gx = summed(col, g[at], len(ids))
+        grads = [np.array([g.sum()]), gx + l2[1] * w, summed(col, (g[:, None] * xv)[at], len(ids)) - gx[:, None] * v + l2[2] * v]
         for k, d in enumerate(grads):
             m[k] = 0.9 * m[k] + 0.1 * d
             s[k] = 0.999 * s[k] + 0.001 * d * d
@@ -86,10 +93,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, factors: in
     return Machine(float(par[0][0]), par[1], par[2], {int(i): k for k, i in enumerate(ids)})
 
 
-def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features: int = FEATURES) -> Machine:
+def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine:
     """A machine from documents (doc_id, text) and labels (doc_id, toxic 0 or 1; other values are left out).
 
-    Terms are chosen whose rates differ between the labels by more than CLEAR standard errors, the clearest first.
+    All terms are taken whose rates differ between the labels by more than CLEAR standard errors. Texts of the same
+    words in the same order count once for each label, so copies make no term clear.
     Without labels of both kinds there are none, and every text gets the same score.
     """
     l = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
@@ -99,29 +107,38 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, feature
     def run(it):
         known: dict[str, list[int]] = {}
         for b in (p for batch in it for p in parts(batch)):
-            found = []
+            found, same = [], []
             for t in b.column(1).to_pylist():
                 got: set[int] = set()
-                for x in words(t):
+                run_of = _WORD.findall((t or "").lower())
+                same.append(hashlib.blake2b(" ".join(run_of).encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                for x in set(run_of):
                     if (at := known.get(x)) is None:
                         if len(known) > 100_000:
                             known.clear()
                         at = known[x] = buckets(x)
                     got.update(at)
                 found.append(sorted(got))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), b.column(2)], ["doc_id", "terms", "toxic"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), b.column(2), pa.array(same, pa.binary())], ["doc_id", "terms", "toxic", "same"])
 
-    rows = written(texts(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").mapInArrow(tidy(run), "doc_id long, terms array<int>, toxic int"), "labelled")
+    every = written(texts(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").mapInArrow(tidy(run), "doc_id long, terms array<int>, toxic int, same binary"), "labelled")
+    rows = written(every.groupBy("same", "toxic").agg(F.min(F.struct("doc_id", "terms")).alias("one")).select("one.doc_id", "one.terms", "toxic"), "labelled")
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    ids = np.zeros(0, np.int64)
+    ids = np.zeros(0, np.int32)
     if pos and n - pos:
         per = rows.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.sum("toxic").alias("n1"), F.count("*").alias("n"))
         p = F.col("n") / n
         z = F.abs(F.col("n1") / pos - (F.col("n") - F.col("n1")) / (n - pos)) / F.sqrt(p * (1 - p) * (1 / pos + 1 / (n - pos)))
-        chosen = per.where(p < 1).withColumn("z", z).where(F.col("z") > CLEAR).orderBy(F.desc("z"), "term").limit(features)
-        ids = np.array(sorted(r.term for r in chosen.collect()), np.int64)
-    keep = F.array_intersect("terms", F.lit([int(x) for x in ids]).cast("array<int>")) if len(ids) else F.lit([]).cast("array<int>")
-    got = rows.select("doc_id", keep.alias("terms"), "toxic").toArrow()
+        chosen = per.where(p < 1).where(z > CLEAR).select("term").toArrow()
+        ids = np.sort(chosen["term"].to_numpy().astype(np.int32))
+
+    def clear(it):
+        for b in it:
+            cells = [x[np.isin(x, ids)] for x in b.column(1).to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.list_(pa.int32())), b.column(2)], ["doc_id", "terms", "toxic"])
+
+    got = rows.select("doc_id", "terms", "toxic").mapInArrow(tidy(clear), "doc_id long, terms array<int>, toxic int").toArrow()
+    dropped(every)
     dropped(rows)
     y = got["toxic"].to_numpy()
     cells = got["terms"].to_pylist()

@@ -350,6 +350,18 @@ def test_toxicity(spark):
     assert toxicity.scored(docs, none).select("score").distinct().count() == 1
 
 
+def test_copies_of_a_long_toxic_text_displace_no_term(spark):
+    r = random.Random(13)
+    plain = lambda: " ".join(r.choice(["tree", "stone", "river", "cloud", "house", "green", "walks"]) for _ in range(20))
+    rows = [f"{plain()} {'you vile scoundrel ' if i % 10 == 0 else ''}{plain()}" for i in range(600)]
+    long = " ".join("".join(r.choice("bdgklmnprst") + r.choice("aeiou") for _ in range(5)) for _ in range(3000))
+    labels = [int(i % 10 == 0) for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(rows + [long.upper() if k % 2 else long for k in range(200)])), "doc_id long, text string")
+    some = spark.createDataFrame([(i, y) for i, y in enumerate(labels) if i < 450] + [(600 + k, 1) for k in range(200)], "doc_id long, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity.scored(docs, toxicity.fitted(docs, some)).collect()}
+    assert [got[i] for i in range(450, 600)] == labels[450:]
+
+
 def test_factors_learn_an_interaction():
     """Neither term tells anything alone, so no sum of weights can do it."""
     rows = [np.array(x, np.int64) for x in ([0], [1], [0, 1], [])] * 50
