@@ -3,12 +3,14 @@
 Equal vectors are one from the start. The first neighbour graph comes from sorting the vectors of a label by the signs
 of random projections and comparing each run of CHUNK neighbours in that order. Each round then compares, at every
 vector, its neighbours and those it is a neighbour of with each other (neighbours of neighbours) and keeps the best.
-A vector whose list is saturated, full of links, may have more of them than the list is long: its list is enlarged to
-all vectors that links connect it with, which are compared exactly, tile by tile; only counts leave a tile.
+A list full of links has no seat left for others, so once links have joined groups each vector keeps a second list, of
+neighbours outside its group. It starts from the same orders of one vector of each group, and rounds in which only
+vectors of different groups compare spread it; links found so join groups, until a turn finds none. The members of each
+group are then compared exactly, tile by tile; only counts leave a tile.
 
 The descent compares half-precision copies; what comes near the threshold is compared again in double precision, and
 only that decides. A bounded sample of AUDIT vectors is compared with all vectors of their labels; while fewer than
-RECALL of their links join what the graph joins, more rounds follow, at most MAX_ROUNDS.
+RECALL of their links join what the graph joins, more turns follow; after MAX_ROUNDS rounds without it there is an error.
 """
 
 from __future__ import annotations
@@ -116,26 +118,49 @@ def first_graph(reps: DataFrame, k: int = LIST, chunk: int = CHUNK, orders: int
     return written(best(out, k), "graph")
 
 
-def best(graph: DataFrame, k: int) -> DataFrame:
-    """The k best neighbours of each vector."""
-    w = Window.partitionBy("u").orderBy(F.desc("s"), "v")
-    return graph.groupBy("label", "u", "v").agg(F.max("s").alias("s")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+def best(graph: DataFrame, k: int, groups: DataFrame | None = None) -> DataFrame:
+    """The k best neighbours of each vector; with groups, the k best in its group and the k best outside."""
+    one = graph.groupBy("label", "u", "v").agg(F.max("s").alias("s"))
+    if groups is not None:
+        one = beside(one, groups)
+    side = ["u"] if groups is None else ["u", "inside"]
+    w = Window.partitionBy(*side).orderBy(F.desc("s"), "v")
+    return one.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("label", "u", "v", "s")
 
 
-def descended(graph: DataFrame, reps: DataFrame, turn: int, k: int = LIST) -> DataFrame:
-    """One round: at each vector, those in its list and (k of, by a hash that changes with the round) those that list it meet."""
-    back = Window.partitionBy("u").orderBy(F.xxhash64(F.lit(turn), "v"))
+def beside(graph: DataFrame, groups: DataFrame) -> DataFrame:
+    """The graph with `inside`: whether both ends are in one group."""
+    g = groups.select("node", "component")
+    both = graph.join(g.withColumnsRenamed({"node": "u", "component": "gu"}), "u", "left").join(g.withColumnsRenamed({"node": "v", "component": "gv"}), "v", "left")
+    return both.withColumn("inside", F.coalesce(F.col("gu") == F.col("gv"), F.lit(False))).select("label", "u", "v", "s", "inside")
+
+
+def one_of_each_group(reps: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
+    """A vector of each group, another with each turn, and all vectors without a group."""
+    both = reps.select("rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    some = both.groupBy("component").agg(F.min_by("rep", F.xxhash64(F.lit(turn), "rep")).alias("rep"))
+    return reps.join(some.select("rep"), "rep", "left_semi")
+
+
+def descended(graph: DataFrame, reps: DataFrame, turn: int, k: int = LIST, groups: DataFrame | None = None) -> DataFrame:
+    """One round: at each vector, those in its list and (k of, by a hash that changes with the round) those that list it meet.
+
+    With groups only vectors of different ones compare, and what betters the list of outside neighbours is told.
+    """
+    back = Window.partitionBy(*(["u"] if groups is None else ["u", "inside"])).orderBy(F.xxhash64(F.lit(turn), "v"))
     forth = graph.select(F.col("u").alias("c"), F.col("v").alias("m"))
-    rev = graph.select(F.col("v").alias("u"), F.col("u").alias("v")).withColumn("r", F.row_number().over(back)).where(F.col("r") <= k).select(F.col("u").alias("c"), F.col("v").alias("m"))
+    told = graph.withColumn("inside", F.lit(False)) if groups is None else beside(graph, groups)
+    rev = told.select(F.col("v").alias("u"), F.col("u").alias("v"), "inside").withColumn("r", F.row_number().over(back)).where(F.col("r") <= k).select(F.col("u").alias("c"), F.col("v").alias("m"))
     own = graph.select(F.col("u").alias("c"), F.col("u").alias("m")).distinct()
-    worst = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
+    worst = told.where("not inside").groupBy("u").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
     meet = forth.unionByName(rev).unionByName(own).distinct()
     seats = meet.join(reps.select(F.col("rep").alias("m"), "label", "h"), "m").join(worst.withColumnRenamed("u", "m"), "m", "left")
+    seats = seats.withColumn("group", F.col("m")) if groups is None else seats.join(groups.select(F.col("node").alias("m"), F.col("component").alias("group")), "m", "left")
 
     def run(it):
         held: list[np.ndarray] = []
 
-        def flush(c, m, label, h, least):
+        def flush(c, m, label, h, least, group):
             order_first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
             size = np.diff(np.r_[order_first, len(c)])
             outs = []
@@ -146,6 +171,8 @@ def descended(graph: DataFrame, reps: DataFrame, turn: int, k: int = LIST) -> Da
                     x = h[at].astype(np.float32)
                     s = x @ x.transpose(0, 2, 1)
                     s[:, np.arange(n), np.arange(n)] = -2
+                    own = group[at]
+                    s[own[:, :, None] == own[:, None, :]] = -2
                     # only what betters a list is worth telling; the best few of each seat
                     s = np.where(s > least[at][:, :, None], s, -2)
                     some = min(k, n - 1)
@@ -161,7 +188,7 @@ def descended(graph: DataFrame, reps: DataFrame, turn: int, k: int = LIST) -> Da
         for b in it:
             if not len(b):
                 continue
-            cols = [b.column(q).to_numpy(zero_copy_only=False) for q in (0, 1, 2)] + [np.array(b.column(3).to_pylist(), object), b.column(4).to_numpy(zero_copy_only=False).astype(np.float32)]
+            cols = [b.column(q).to_numpy(zero_copy_only=False) for q in (0, 1, 2)] + [np.array(b.column(3).to_pylist(), object), b.column(4).to_numpy(zero_copy_only=False).astype(np.float32), b.column(5).to_numpy(zero_copy_only=False)]
             cols = cols if rest is None else [np.concatenate([r, c]) for r, c in zip(rest, cols)]
             whole = int(np.searchsorted(cols[0], cols[0][-1]))  # the last centre may go on
             rest = [c[whole:] for c in cols]
@@ -174,11 +201,11 @@ def descended(graph: DataFrame, reps: DataFrame, turn: int, k: int = LIST) -> Da
         for n in np.unique(lengths):  # vectors of one length at a time
             pick = lengths == n
             h = np.frombuffer(b"".join(cols[3][pick]), np.float16).reshape(-1, n // 2)
-            yield from flush(cols[0][pick], cols[1][pick], cols[2][pick], h, cols[4][pick])
+            yield from flush(cols[0][pick], cols[1][pick], cols[2][pick], h, cols[4][pick], cols[5][pick])
 
-    seats = seats.select("c", "m", "label", "h", F.coalesce("least", F.lit(-2.0)).cast("float").alias("least"))
+    seats = seats.select("c", "m", "label", "h", F.coalesce("least", F.lit(-2.0)).cast("float").alias("least"), F.coalesce("group", "m").alias("group"))
     fresh = seats.repartition("c").sortWithinPartitions("c").mapInArrow(run, GRAPH)
-    return best(graph.unionByName(fresh), k)
+    return best(graph.unionByName(fresh), k, groups)
 
 
 def checked(pairs: DataFrame, reps: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -282,16 +309,31 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, k: int = LIST, roun
     """
     members, reps = distinct_vectors(rows)
     graph = first_graph(reps, k)
-    done, groups = 0, None
+    for done in range(rounds):
+        nxt = written(descended(graph, reps, done, k), "graph")
+        dropped(graph)
+        graph = nxt
+    near = lambda: checked(graph.where(F.col("s") >= cosine - SLACK), reps, cosine)
+    edges = written(near(), "links")
+    groups = written(components(edges), "groups")
+    done = rounds
     while True:
-        for _ in range(rounds if not done else 1):
-            nxt = written(descended(graph, reps, done, k), "graph")
+        # lists of neighbours outside the groups, until a turn joins no two of them
+        seeds = first_graph(one_of_each_group(reps, groups, done), k, seed=SEED + ORDERS * done)
+        for turn in range(rounds):
+            nxt = written(descended(graph if turn else best(graph.unionByName(seeds), k, groups), reps, done, k, groups), "graph")
             dropped(graph)
             graph, done = nxt, done + 1
-        edges = checked(graph.where(F.col("s") >= cosine - SLACK), reps, cosine)
-        groups = components(edges)
-        if done >= max_rounds or audited(reps, groups, cosine) >= recall:
-            break
+        dropped(seeds)
+        new = written(beside(near().select(F.lit(0).alias("label"), F.col("a").alias("u"), F.col("b").alias("v"), F.lit(0.0).alias("s")), groups).where("not inside").select(F.col("u").alias("a"), F.col("v").alias("b")), "links")
+        if new.isEmpty():
+            if audited(reps, groups, cosine) >= recall:
+                break
+            if done >= max_rounds:
+                raise RuntimeError(f"fewer than {recall} of the audited links found in {done} rounds")
+            continue
+        edges = written(edges.unionByName(new), "links")
+        groups = written(components(edges), "groups")
     found = link_counts(reps, groups, cosine)
     info = reps.select("rep", "n").join(found, "rep", "left").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     info = info.select("rep", (F.col("n") - 1 + F.coalesce("n_other", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

@@ -215,6 +215,21 @@ def test_embeddings_equal_all_pairs(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_between_two_large_clusters_are_found(spark):
+    r = np.random.default_rng(14)
+    a = r.normal(size=32)
+    a /= np.linalg.norm(a)
+    b = r.normal(size=32)
+    b -= a * (a @ b)
+    b = 0.985 * a + math.sqrt(1 - 0.985**2) * b / np.linalg.norm(b)
+    x = np.array([c + 0.001 * r.normal(size=32) for c in (a, b) for _ in range(30)] + list(r.normal(size=(200, 32))))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.98).sum(1) - 1
+    assert set(links[:60]) == {59} and not links[60:].any()
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).orderBy("vec_id").collect()
+    assert [(v.n_links, v.component_id) for v in got] == [(59, 0)] * 60 + [(0, i) for i in range(60, 260)]
+
+
 def test_wand_equals_scoring_everything():
     r = random.Random(6)
     items = [(i, " ".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 30)))) for i in range(80)]
