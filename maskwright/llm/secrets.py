@@ -1,7 +1,8 @@
 """Secret scans in DataFrame expressions only: fixed patterns, and a battery of randomness tests with FDR control.
 
 Patterns (kinds assign, access, hex) give the base spans. The battery looks at every other run of at least MIN_CHARS
-characters of the usual encodings, infers its encoding, and tests it three ways against its alphabet of k symbols:
+characters of the usual encodings, and at what is left of a run beside a base span, infers its encoding, and tests it
+three ways against its alphabet of k symbols. A run that no encoding fits is tested by parts (see `pieces`). The tests:
     chi-squared   uniformity of the symbols,
     runs          of symbols in the lower and upper half of the alphabet (Wald-Wolfowitz),
     serial        correlation of neighbouring symbols' places in the alphabet.
@@ -95,6 +96,61 @@ def randomness(value: Column) -> Column:
     return out
 
 
+def fits(value: Column) -> Column:
+    out = F.lit(False)
+    for _, shape, *_ in ENCODINGS:
+        out = out | value.rlike(shape)
+    return out
+
+
+ITEM = "struct<start:bigint,end:bigint,value:string>"
+
+
+def _at(start: Column, end: Column, value: Column) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
+
+
+def beside(run: Column, base: Column) -> Column:
+    """What is left of a run (start, end, value) beside the base spans (sorted by start), where long enough."""
+    none = F.array().cast(f"array<{ITEM}>")
+
+    def piece(a, b):
+        some = F.array(_at(a, b, F.substring(run["value"], (a - run["start"] + 1).cast("int"), (b - a).cast("int"))))
+        return F.when(b - a >= MIN_CHARS, some).otherwise(none)
+
+    start = F.struct(run["start"].alias("at"), none.alias("got"))
+    inside = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    return F.aggregate(inside, start, lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), F.concat(a["got"], piece(a["at"], b["start"])).alias("got")), lambda a: F.concat(a["got"], piece(a["at"], run["end"])))
+
+
+def pieces(run: Column) -> Column:
+    """What of a run is tested: all of it where an encoding fits.
+
+    Otherwise its stretches between '/' and '+', between '-' and '_', and between any of the four that an encoding fits, and
+    each stretch between '/' and '+' that yields none without its separators (UUIDs, keys in groups), or so the whole run.
+    """
+    none = F.array().cast(f"array<{ITEM}>")
+
+    def moved(of, pattern):
+        return F.transform(found(of["value"], pattern), lambda m: _at(of["start"] + m["start"], of["start"] + m["end"], m["value"]))
+
+    def joined(of):
+        return _at(of["start"], of["end"], F.regexp_replace(of["value"], "[-_/+]", ""))
+
+    def usable(items):
+        return F.filter(items, lambda p: (F.length(p["value"]) >= MIN_CHARS) & fits(p["value"]))
+
+    def segment(of):
+        parts = usable(moved(of, "[A-Za-z0-9]{%d,}" % MIN_CHARS))
+        tried = F.when(fits(of["value"]), F.array(of)).when(F.size(parts) > 0, parts)
+        return tried.otherwise(usable(F.array(joined(of))))
+
+    by_slash = F.flatten(F.transform(moved(run, "[A-Za-z0-9_-]{%d,}" % MIN_CHARS), segment))
+    by_dash = usable(moved(run, "[A-Za-z0-9+/]{%d,}" % MIN_CHARS))
+    some = F.transform(F.array(F.array_distinct(F.concat(by_slash, by_dash))), lambda s: F.when(F.size(s) > 0, s).otherwise(usable(F.array(joined(run)))))[0]
+    return F.when(fits(run["value"]), F.array(_at(run["start"], run["end"], run["value"]))).otherwise(F.coalesce(some, none))
+
+
 def _battery(x: Column, k: int, departure: float) -> Column:
     def let(value: Column, body):
         """`value` worked out once and used in body."""
@@ -145,11 +201,12 @@ def scanned(docs: DataFrame) -> DataFrame:
     access = F.when(text.contains("AKIA"), found(text, ACCESS.replace("+", "{12,}"))).otherwise(none)
     hexes = F.when(text.rlike("[0-9a-f]{32}"), found(text, HEX.replace("+", "{32,}"))).otherwise(none)
     codes = F.when(text.rlike(CODE), found(text, CODE)).otherwise(none)
-    base = docs.select("doc_id", F.concat(spans(0, assign), spans(1, access), spans(2, hexes)).alias("base"), codes.alias("codes"))
+    keep = ["doc_id"]
+    base = docs.select(*keep, F.concat(spans(0, assign), spans(1, access), spans(2, hexes)).alias("base"), codes.alias("__codes"))
     # what overlaps a base span is reported already
-    fresh = F.filter("codes", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    fresh = F.flatten(F.transform("__codes", lambda c: F.flatten(F.transform(beside(c, F.array_sort("base")), pieces))))
     tried = F.transform(fresh, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), randomness(c["value"]).alias("p")))
-    return base.select("doc_id", "base", F.filter(tried, lambda t: t["p"].isNotNull()).alias("tried"))
+    return base.select(*keep, "base", F.filter(tried, lambda t: t["p"].isNotNull()).alias("tried"))
 
 
 def cut(tried: DataFrame, fdr: float = FDR) -> float:
