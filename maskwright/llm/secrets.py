@@ -188,8 +188,11 @@ def _battery(x: Column, k: int, departure: float) -> Column:
     return let(x, whole)
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text) with `base` spans and `tried`: candidates and their p-values. Null texts are empty."""
+def scanned(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """The rows of docs (doc_id, text) with `base` spans and `tried`: candidates and their p-values. Null texts are empty.
+
+    With carry each has its whole row of docs in `row`.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string,part:string>>")
     has_assign = text.rlike(ASSIGN)
@@ -201,8 +204,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     access = F.when(text.contains("AKIA"), found(text, ACCESS.replace("+", "{12,}"))).otherwise(none)
     hexes = F.when(text.rlike("[0-9a-f]{32}"), found(text, HEX.replace("+", "{32,}"))).otherwise(none)
     codes = F.when(text.rlike(CODE), found(text, CODE)).otherwise(none)
-    keep = ["doc_id"]
-    base = docs.select(*keep, F.concat(spans(0, assign), spans(1, access), spans(2, hexes)).alias("base"), codes.alias("__codes"))
+    keep = ["doc_id", "row"] if carry else ["doc_id"]
+    base = docs.select("doc_id", *([F.struct(*docs.columns).alias("row")] if carry else []), F.concat(spans(0, assign), spans(1, access), spans(2, hexes)).alias("base"), codes.alias("__codes"))
     # what overlaps a base span is reported already
     fresh = F.flatten(F.transform("__codes", lambda c: F.flatten(F.transform(beside(c, F.array_sort("base")), pieces))))
     tried = F.transform(fresh, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), randomness(c["value"]).alias("p")))
@@ -220,12 +223,12 @@ def cut(tried: DataFrame, fdr: float = FDR) -> float:
     return got or 0.0
 
 
-def secret_spans(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """doc_id, `base` and `spans` (start, kind's place in KINDS, end; by start, then kind) of every row."""
-    seen = written(scanned(docs), "secrets")
+def secret_spans(docs: DataFrame, fdr: float = FDR, carry: bool = False) -> DataFrame:
+    """doc_id, `base` and `spans` (start, kind's place in KINDS, end; by start, then kind) of every row; with carry also the row."""
+    seen = written(scanned(docs, carry), "secrets")
     most = cut(seen, fdr)
     more = F.transform(F.filter("tried", lambda t: rounded_up(t["p"]) <= most), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
-    return seen.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", more)).alias("spans"))
+    return seen.select("doc_id", *(["row"] if carry else []), F.array_sort("base").alias("base"), F.array_sort(F.concat("base", more)).alias("spans"))
 
 
 def _listed(spans: str) -> Column:
@@ -241,21 +244,22 @@ def digest(spans: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, mark: str = "[secret]", fdr: float = FDR) -> DataFrame:
     """The documents with every span, overlapping ones joined, replaced by the mark, and n_chars set anew.
 
-    Documents without a span stay as they are. Needs unique doc_ids.
+    Documents without a span stay as they are. Rows keep their spans with them, so null and repeated doc_ids do no harm.
     """
-    spans = secret_spans(docs, fdr).where(F.size("spans") > 0).select("doc_id", F.col("spans").alias("__spans"))
+    rows, old = secret_spans(docs, fdr, carry=True), F.col("row.text")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def step(a, s):
         inside = s["start"] < a["at"]
-        gap = F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
+        gap = F.substring(old, (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
         return F.struct(F.when(inside, a["out"]).otherwise(F.concat(a["out"], gap, F.lit(mark))).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
 
-    text = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))))
-    plain = F.col("__spans").isNull()
-    out = docs.join(spans, "doc_id", "left").withColumn("text", F.when(plain, F.col("text")).otherwise(text))
+    text = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(old, (a["at"] + 1).cast("int"), F.length(old))))
+    plain = F.size("spans") == 0
+    done = rows.select("row", F.when(plain, old).otherwise(text).alias("__text"), plain.alias("__plain"))
+    out = done.select("row.*", "__text", "__plain").withColumn("text", F.col("__text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(plain, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("__plain"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 

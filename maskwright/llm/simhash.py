@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import components, table, texts, tidy, written
+from .common import bounded, components, table, texts, tidy, written
 from .words import parts
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
@@ -150,9 +151,29 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """The rows of docs, all columns, without those whose group has a smaller doc_id; rows without a doc_id stay."""
-    spare = near_duplicates(docs, distance, shingle, seed).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(spare, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates one row, all columns: that with the smallest doc_id, null ones last, the first of equal ones."""
+    at = docs.columns.index("text")
+    bounded(docs.sparkSession)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+
+    def run(it):
+        for b in it:
+            for some in parts(b, at):
+                fp = text_fingerprints(some.column(at).to_pylist(), shingle, seed).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(fp)], [*names, "fp"])
+
+    plain = docs.withColumn("text", F.col("text").cast("string")).toDF(*names)
+    kind = StructType([*plain.schema.fields, StructField("fp", LongType())])
+    # written with its keys, which would not be the same if worked out twice
+    rows = written(plain.mapInArrow(tidy(run), kind).withColumn("key", F.monotonically_increasing_id()), "rows")
+    doc_id = F.col(names[docs.columns.index("doc_id")])
+    own = rows.select("fp", F.struct(doc_id.isNull().alias("null"), doc_id.cast("long").alias("doc_id"), "key").alias("first"))
+    nodes = written(own.groupBy("fp").agg(F.min("first").alias("first")), "nodes")
+    comp = components(links(nodes.select("fp"), distance))
+    groups = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "first")
+    kept = groups.groupBy("component").agg(F.min("first").alias("first"))
+    spare = own.join(groups.select("fp", "component"), "fp").select("component", F.col("first.key").alias("key")).join(kept, "component").where("key <> first.key").select("key")
+    return rows.join(spare, "key", "left_anti").select(*(F.col(c).cast(docs.schema[d].dataType).alias(d) for c, d in zip(names, docs.columns)))
 
 
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

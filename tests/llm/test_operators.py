@@ -449,3 +449,11 @@ def test_pipeline_with_awkward_rows(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         empty = common.written(stage(spark, empty, SMALL), name)
     assert empty.count() == 0
+
+
+def test_pipeline_stages_with_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, "token = aaaaaaaaaa 1"), (7, "token = bbbbbbbbbb 2"), (7, "x token = cccccccccc 3"), (7, "x token = cccccccccc 3"), (8, None)], "doc_id long, text string").withColumn("row", F.lit(1))
+    assert sorted(x.text or "" for x in secrets.redacted(docs).collect()) == ["", "[secret] 1", "[secret] 2", "x [secret] 3", "x [secret] 3"]
+    rows = [(None, "a b c d e f"), (3, "a b c d e f"), (5, "g h i j k l"), (5, "g h i j k l"), (None, "m n o p q r"), (None, "m n o p q r"), (6, "s t u v w x"), (6, "y z 1 2 3 4")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("x")))
+    assert kept.columns == ["doc_id", "text", "fp"] and sorted((x.doc_id or 0, x.text) for x in kept.collect()) == [(0, "m n o p q r"), (3, "a b c d e f"), (5, "g h i j k l"), (6, "s t u v w x"), (6, "y z 1 2 3 4")]
