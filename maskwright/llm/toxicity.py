@@ -4,8 +4,13 @@ score = sigmoid(w0 + sum of w[t] + sum over pairs of <v[s], v[t]>) over the term
 terms mean more together than each alone (an insult and the mention of a group). Terms are lower-cased runs of letters
 and their beginnings of 4 to 6 letters (inflected insults share a stem), hashed to BUCKETS; a term counts once for each
 text, so length does not add up. The machine is fitted to at most MAX_ROWS labelled documents, those smallest by a hash
-of their id, texts of the same words once: term counts by label are summed on the executors, and the driver gets only the
-clear terms of each document. Everything is scored.
+of their id, texts of the same words once. Every hashed term of at least MIN_TEXTS of these texts takes part, in turn:
+    1. terms whose own rates differ between the labels by more than CLEAR standard errors, and the machine over them;
+    2. on what that leaves unexplained, factors of all terms: they are driven along the loss's gradient on one half of
+       the texts, with a growing threshold, and tested on the other half (CLEAR standard errors again). So terms that
+       say nothing alone but much in company are found, and what fits one half only is not;
+    3. the machine over the terms of both kinds.
+Everything is scored.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from .common import bounded, dropped, table, texts, tidy, written
 from .words import parts
 
 MAX_ROWS, BUCKETS, FACTORS, THRESHOLD, FOLDS, HELD = 20_000, 1 << 30, 4, 0.3, 4, 2
-STEMS, CLEAR = (4, 5, 6), 5.0
+STEMS, CLEAR, MIN_TEXTS, SCREEN_FACTORS, SCREEN_ROUNDS = (4, 5, 6), 5.0, 3, 8, 12
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -59,6 +64,18 @@ class Machine:
             out[k] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return out
 
+    def score_terms(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Scores of texts whose hashed terms are known."""
+        ids = np.fromiter(self.index, np.int64, len(self.index))
+        out = np.full(len(rows), self.w0)
+        for k, r in enumerate(rows):
+            if len(ids):
+                at = np.searchsorted(ids, r)
+                at = at[ids[np.minimum(at, len(ids) - 1)] == r]
+                s = self.v[at].sum(0)
+                out[k] += self.w[at].sum() + 0.5 * ((s * s).sum() - (self.v[at] ** 2).sum())
+        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, factors: int = FACTORS, steps: int = 150, seed: int = 5) -> Machine:
     """Full-batch Adam on the logistic loss with L2, over the terms in ids (sorted)."""
@@ -72,9 +89,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, factors: in
     col = np.searchsorted(ids, np.concatenate([np.zeros(0, np.int64), *rows]))
 
     def summed(to: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        if values.ndim == 1:
-            return np.bincount(to, values, n)
-        return np.stack([np.bincount(to, c, n) for c in values.T], axis=1)
+        return np.bincount(to, values, n) if values.ndim == 1 else _summed(to, values, n)
 
     rng = np.random.default_rng(seed)
     par = [np.array([base]), np.zeros(len(ids)), rng.normal(0, 0.05, (len(ids), factors))]
@@ -93,12 +108,72 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, factors: in
     return Machine(float(par[0][0]), par[1], par[2], {int(i): k for k, i in enumerate(ids)})
 
 
+def _summed(to: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(to, c, n) for c in values.T], axis=1)
+
+
+def clear_alone(cols: list[np.ndarray], y: np.ndarray, n_terms: int) -> np.ndarray:
+    """Which terms' rates differ between the labels by more than CLEAR standard errors."""
+    n, pos = len(y), y.sum()
+    if not pos or pos == n:
+        return np.zeros(n_terms, bool)
+    at = np.concatenate([np.zeros(0, np.int64), *cols])
+    df, df1 = np.bincount(at, minlength=n_terms), np.bincount(at, np.repeat(y, [len(c) for c in cols]), n_terms)
+    p = df / n
+    se = np.sqrt(p * (1 - p) * (1 / pos + 1 / (n - pos)))
+    return np.abs(df1 / pos - (df - df1) / (n - pos)) > CLEAR * np.maximum(se, 1e-12)
+
+
+def clear_together(cols: list[np.ndarray], rest: np.ndarray, n_terms: int, seed: int = 5) -> np.ndarray:
+    """Which terms interact: their factors, found on one half of the texts, explain `rest` (label less score) on the other.
+
+    The gradient of the loss by a term's factors is a sum over its texts of rest times the other terms' factors; set
+    again and again to what of it stands out, factors grow along interactions and vanish elsewhere.
+    """
+    rng = np.random.default_rng(seed)
+    half, keep = rng.permutation(len(cols)) % 2, np.zeros(n_terms, bool)
+
+    def part(k):
+        rows = [c for c, h in zip(cols, half) if h == k]
+        return np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.concatenate([np.zeros(0, np.int64), *rows]), rest[half == k]
+
+    def stands_out(at, col, r, v):
+        s, r = _summed(at, v[col], len(r)), r[:, None]
+        one, two = np.bincount(col, r[at, 0], n_terms)[:, None], np.bincount(col, r[at, 0] ** 2, n_terms)[:, None]
+        g = _summed(col, (r * s)[at], n_terms) - one * v  # without the term's own factor
+        var = _summed(col, (r * r * s * s)[at], n_terms) - 2 * v * _summed(col, (r * r * s)[at], n_terms) + v * v * two
+        return g / np.sqrt(np.maximum(var, 1e-12))
+
+    both = [part(0), part(1)]
+    for a, b in ((0, 1), (1, 0)):
+        v = rng.normal(size=(n_terms, SCREEN_FACTORS))
+        for step in range(SCREEN_ROUNDS):
+            z = stands_out(*both[a], v)
+            v = np.sign(z) * np.maximum(np.abs(z) - 0.8 * CLEAR * step / (SCREEN_ROUNDS - 1), 0)
+            v /= np.maximum(np.sqrt((v * v).sum(0)), 1e-12)
+        keep |= ((np.abs(stands_out(*both[b], v)) > CLEAR) & (v != 0)).any(1)
+    return keep
+
+
+def trained(rows: list[np.ndarray], y: np.ndarray, ids: np.ndarray) -> Machine:
+    """The machine over the clear terms among ids (sorted), from the terms of each text and its label."""
+    cols = [np.searchsorted(ids, r) for r in rows]
+
+    def over(chosen):
+        return fit([r[chosen[c]] for r, c in zip(rows, cols)], y, ids[chosen])
+
+    chosen = clear_alone(cols, y, len(ids))
+    first = over(chosen)
+    more = clear_together(cols, y - first.score_terms(rows), len(ids)) if len(ids) else chosen
+    return over(chosen | more) if (more & ~chosen).any() else first
+
+
 def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine:
     """A machine from documents (doc_id, text) and labels (doc_id, toxic 0 or 1; other values are left out).
 
-    All terms are taken whose rates differ between the labels by more than CLEAR standard errors. Texts of the same
-    words in the same order count once for each label, so copies make no term clear.
-    Without labels of both kinds there are none, and every text gets the same score.
+    Texts of the same words in the same order count once for each label, so copies make no term clear; of repeated
+    doc_ids one text counts. Without labels of both kinds every text gets the same score. The driver holds max_rows
+    labels and the hashed terms of as many texts.
     """
     l = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     # at most max_rows ids and labels: small enough for every task, so no text has to move
@@ -122,28 +197,22 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mach
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32())), b.column(2), pa.array(same, pa.binary())], ["doc_id", "terms", "toxic", "same"])
 
     every = written(texts(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").mapInArrow(tidy(run), "doc_id long, terms array<int>, toxic int, same binary"), "labelled")
-    rows = written(every.groupBy("same", "toxic").agg(F.min(F.struct("doc_id", "terms")).alias("one")).select("one.doc_id", "one.terms", "toxic"), "labelled")
-    n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    ids = np.zeros(0, np.int32)
-    if pos and n - pos:
-        per = rows.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.sum("toxic").alias("n1"), F.count("*").alias("n"))
-        p = F.col("n") / n
-        z = F.abs(F.col("n1") / pos - (F.col("n") - F.col("n1")) / (n - pos)) / F.sqrt(p * (1 - p) * (1 / pos + 1 / (n - pos)))
-        chosen = per.where(p < 1).where(z > CLEAR).select("term").toArrow()
-        ids = np.sort(chosen["term"].to_numpy().astype(np.int32))
-
-    def clear(it):
+    single = every.groupBy("doc_id", "toxic").agg(F.min(F.struct("same", "terms")).alias("one"))
+    rows = written(single.groupBy("one.same", "toxic").agg(F.min(F.struct("doc_id", "one.terms")).alias("one")).select("one.doc_id", "one.terms", "toxic"), "labelled")
+    per = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    ids = np.sort(per.where(F.col("n") >= MIN_TEXTS).select("term").toArrow()["term"].to_numpy().astype(np.int32))
+
+    def common(it):
         for b in it:
             cells = [x[np.isin(x, ids)] for x in b.column(1).to_numpy(zero_copy_only=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.list_(pa.int32())), b.column(2)], ["doc_id", "terms", "toxic"])
 
-    got = rows.select("doc_id", "terms", "toxic").mapInArrow(tidy(clear), "doc_id long, terms array<int>, toxic int").toArrow()
+    got = rows.select("doc_id", "terms", "toxic").mapInArrow(tidy(common), "doc_id long, terms array<int>, toxic int").toArrow()
     dropped(every)
     dropped(rows)
-    y = got["toxic"].to_numpy()
-    cells = got["terms"].to_pylist()
-    order = sorted(range(len(y)), key=lambda i: (got["doc_id"][i].as_py(), y[i]))
-    return fit([np.array(cells[i], np.int64) for i in order], y[order], ids)
+    y, doc_ids, cells = got["toxic"].to_numpy(), got["doc_id"].to_numpy(), got["terms"].to_pylist()
+    order = np.lexsort((y, doc_ids))
+    return trained([np.array(cells[i], np.int64) for i in order], y[order].astype(np.float64), ids.astype(np.int64))
 
 
 def scored(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:

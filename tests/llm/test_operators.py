@@ -388,12 +388,26 @@ def test_copies_of_a_long_toxic_text_displace_no_term(spark):
     assert [got[i] for i in range(450, 600)] == labels[450:]
 
 
-def test_factors_learn_an_interaction():
-    """Neither term tells anything alone, so no sum of weights can do it."""
-    rows = [np.array(x, np.int64) for x in ([0], [1], [0, 1], [])] * 50
-    y = np.array([0, 0, 1, 0] * 50)
-    m = toxicity.fit(rows, y, np.array([0, 1]), steps=400)
-    assert m.v[0] @ m.v[1] > 0.5
+def test_factors_learn_an_interaction(spark):
+    """Neither of two words tells anything alone: texts with both or none are toxic, texts with one are not."""
+    r = random.Random(3)
+    filler = ["".join(r.choice("bdgklmnprst") + r.choice("aeiou") for _ in range(4)) for _ in range(60)]
+    rows = []
+    for i in range(1200):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        words = r.sample(filler, 12) + ["vexed"] * a + ["quoted"] * b
+        r.shuffle(words)
+        rows.append((i, " ".join(words), int(a == b)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    m = toxicity.fitted(docs, spark.createDataFrame([(i, y) for i, _, y in rows if i < 900], "doc_id long, toxic int"))
+    got = {x.doc_id: x.score > 0.5 for x in toxicity.scored(docs, m).collect()}
+    assert sum(got[i] == bool(y) for i, _, y in rows if i >= 900) >= 285
+
+
+def test_toxicity_with_repeated_and_null_ids(spark):
+    docs = spark.createDataFrame([(1, "vile"), (1, "other"), (None, "vile"), (2, None), (2, None)], "doc_id long, text string")
+    got = toxicity.scored(docs, toxicity.fitted(docs, spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")))
+    assert got.count() == 5 and toxicity.fitted(docs.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).index == {}
 
 
 def test_html(spark):
