@@ -3,8 +3,8 @@
 A document is cut into full sequences and a rest. The rests of a batch are spread over windows by differencing: each
 starts as a partial partition of its own, and the two partitions with the largest spread are merged again and again,
 the fullest window of one onto the emptiest of the other, which gives near-equal windows. The count of windows starts
-at what the batch's ids need and rises whenever capacity is exceeded. Where documents may be cut, what stands over in
-a window is first cut off and moved to windows with room; the count rises for what finds none.
+at what the batch's ids need and rises while capacity is exceeded: without cutting (`cut=False`) by anything, else by
+what would fill a window of its own. Less than that, less than one window in all, is cut off and moved to where there is room.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table, texts
 from .words import encoder, slices, tokenizer_path
@@ -47,43 +48,54 @@ def difference(sizes: np.ndarray, k: int) -> list[list[int]]:
 
 
 def windows(sizes: np.ndarray, capacity: int = CAPACITY, cut: bool = True) -> list[list[tuple[int, int, int]]]:
-    """Windows of (item, first id, length), none over capacity. Sizes must be positive; without `cut`, at most capacity."""
-    k = max(1, -(-int(sizes.sum()) // capacity))
-    while True:
-        out = [[(i, 0, int(sizes[i])) for i in part] for part in difference(sizes, k)]
+    """Windows of (item, first id, length), none over capacity. Sizes must be positive; without `cut`, at most capacity.
+
+    With `cut`, what an item holds beyond whole windows is its rest; rests stay whole but for less than one window of ids.
+    """
+    full = sizes // capacity * capacity if cut else np.zeros_like(sizes)
+    done = [[(i, a, capacity)] for i, n in enumerate(full.tolist()) for a in range(0, n, capacity)]
+    items = np.flatnonzero(sizes > full)
+    rests = (sizes - full)[items]
+    total = int(rests.sum())
+    k = max(1, -(-total // capacity))
+    while len(items):
+        out = [[(int(items[j]), int(full[items[j]]), int(rests[j])) for j in part] for part in difference(rests, k)]
         loads = [sum(x[2] for x in w) for w in out]
-        if max(loads, default=0) <= capacity:
-            return [w for w in out if w]
-        if not cut:
-            k += 1
-            continue
-        over: list[tuple[int, int, int]] = []
-        for j, w in enumerate(out):
-            while (extra := loads[j] - capacity) > 0:
-                big = max(range(len(w)), key=lambda i: w[i][2])
-                i, a, n = w[big]
-                m = min(extra, n)
-                over.append((i, a + n - m, m))
-                w[big : big + 1] = [(i, a, n - m)] if n > m else []
-                loads[j] -= m
-        for j in sorted(range(len(out)), key=lambda j: loads[j]):
-            while over and loads[j] < capacity:
-                i, a, n = over.pop()
-                m = min(n, capacity - loads[j])
-                out[j].append((i, a, m))
-                loads[j] += m
-                if n > m:
-                    over.append((i, a + m, n - m))
-        if not over:
-            return [w for w in out if w]
-        k += 1  # more than all windows hold
+        excess = sum(max(0, n - capacity) for n in loads)
+        if excess < (capacity if cut else 1):
+            _level(out, loads, capacity)
+            return done + [w for w in out if w]
+        k += 1
+    return done
+
+
+def _level(out: list[list[tuple[int, int, int]]], loads: list[int], capacity: int) -> None:
+    """Cut what stands over capacity off its windows' largest items, and put it where there is room."""
+    over: list[tuple[int, int, int]] = []
+    for j, w in enumerate(out):
+        while (extra := loads[j] - capacity) > 0:
+            big = max(range(len(w)), key=lambda i: w[i][2])
+            i, a, n = w[big]
+            m = min(extra, n)
+            over.append((i, a + n - m, m))
+            w[big : big + 1] = [(i, a, n - m)] if n > m else []
+            loads[j] -= m
+    for j in sorted(range(len(out)), key=lambda j: loads[j]):
+        while over and loads[j] < capacity:
+            i, a, n = over.pop()
+            m = min(n, capacity - loads[j])
+            out[j].append((i, a, m))
+            loads[j] += m
+            if n > m:
+                over.append((i, a + m, n - m))
 
 
 def packed(docs: DataFrame, vocab_path: str, end_id: int = 1, capacity: int = CAPACITY, batch_windows: int = BATCH_WINDOWS, with_ids: bool = False) -> DataFrame:
     """One row for each piece: which ids of which document stand where in which sequence; `ids` too if with_ids.
 
     Null texts count as empty (one piece: the end id). Each task packs its own documents, batch after batch; a batch is
-    closed at a whole number of windows, its last document cut there. What is left at a task's end goes into sequences
+    closed at a whole number of windows, its last document cut there; differencing keeps the other rests whole but for
+    less than a window of ids. What is left at a task's end goes into sequences
     whose lengths are powers of two, which take no padding. Repeated doc_ids are packed row by row.
     sequence_id: the task's partition in the upper bits, a running number below.
     """
@@ -165,5 +177,15 @@ def packed(docs: DataFrame, vocab_path: str, end_id: int = 1, capacity: int = CA
     return texts(docs).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
+def padding(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: sequences, ids, padded (ids that sequences lack to capacity, but for powers of two), pieces, documents, rests_cut
+    (documents' rests in more than one piece)."""
+    per = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"))
+    power = F.col("n").bitwiseAND(F.col("n") - 1) == 0
+    seqs = per.agg(F.count("*").alias("sequences"), F.coalesce(F.sum("n"), F.lit(0)).alias("ids"), F.coalesce(F.sum(F.when(power, 0).otherwise(capacity - F.col("n"))), F.lit(0)).alias("padded"))
+    docs = pieces.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("doc_tokens").alias("t"), F.sum((F.col("length") < capacity).cast("int")).alias("parts"))
+    return seqs.crossJoin(docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pieces"), F.count("*").alias("documents"), F.coalesce(F.sum((F.col("parts") > 1).cast("int")), F.lit(0)).alias("rests_cut")))  # one row each
+
+
 def op3_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))

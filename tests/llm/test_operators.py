@@ -106,6 +106,21 @@ def test_windows_hold_everything(sizes, cut):
     assert sorted((i, a + k) for w in got for i, a, n in w for k in range(n)) == [(i, k) for i, s in enumerate(sizes) for k in range(s)]
 
 
+def test_rests_stay_whole_and_the_count_rises():
+    sizes = np.random.default_rng(4).integers(1, 2048, 300)
+    got = packing.windows(sizes)
+    cut = sum(n for w in got for i, _, n in w if n < sizes[i]) - sum(max(n for w in got for j, _, n in w if j == i) for i in {i for w in got for i, _, n in w if n < sizes[i]})
+    assert cut < 2048 and len(got) >= -(-int(sizes.sum()) // 2048)
+    assert len(packing.windows(np.array([1500] * 60))) >= 58 > -(-1500 * 60 // 2048)
+    assert packing.windows(np.array([], np.int64)) == []
+
+
+def test_padding_report(spark):
+    rows = [f"w{i} " * (i * 7 % 700) for i in range(200)]
+    got = packing.padding(packing.packed(frame(spark, rows), WORDS)).first()
+    assert got.padded == 0 and got.ids == sum(map(len, whole_ids(rows))) and got.documents == 200 and got.rests_cut < 40
+
+
 def test_differencing_is_near_equal():
     sizes = np.random.default_rng(2).integers(1, 100, 400)
     loads = [int(sizes[p].sum()) for p in packing.difference(sizes, 10)]
