@@ -118,7 +118,7 @@ def test_rests_stay_whole_and_the_count_rises():
 def test_padding_report(spark):
     rows = [f"w{i} " * (i * 7 % 700) for i in range(200)]
     got = packing.padding(packing.packed(frame(spark, rows), WORDS)).first()
-    assert got.padded == 0 and got.ids == sum(map(len, whole_ids(rows))) and got.documents == 200 and got.rests_cut < 40
+    assert got.padded < 0.1 * got.ids and got.ids == sum(map(len, whole_ids(rows))) and got.documents == 200 and got.rests_cut < 40
 
 
 def test_differencing_is_near_equal():
