@@ -7,7 +7,8 @@ File format (a folder)
     blocks/     Parquet, one row for each block: shard, block, before (ids of its shard that stand before it), first_doc,
                 n_docs, n_ids and `payload` binary.
                 Shards, and blocks in a shard, hold ascending doc_id. A block ends with a document and decodes alone:
-                    magic "HTK1", uint32 n_docs, uint32 n_ids, uint32 n_checkpoints
+                    magic "HTK2", uint32 n_docs, uint32 n_ids, uint32 n_checkpoints, uint32 n_null (how many of the first
+                    documents have a null doc_id; they come before all others and stand as 0)
                     int64 doc_id[n_docs], uint32 n_tokens[n_docs], uint32 bit_offset[n_checkpoints], code bits
                 There is a checkpoint every STEP ids; the decoder walks all stretches between checkpoints in step.
 Everything is little-endian, code bits run from the highest bit of a byte down.
@@ -26,7 +27,7 @@ from .common import fresh_path, table, texts, written
 from .words import encoder, slices, tokenizer_path
 
 MAX_BITS, STEP, BLOCK_IDS = 16, 256, 1 << 18
-MAGIC = b"HTK1"
+MAGIC = b"HTK2"
 BLOCKS = "shard int, block int, before long, first_doc long, n_docs long, n_ids long, payload binary"
 
 
@@ -120,22 +121,22 @@ def unpack_bits(data: bytes, n_ids: int, offsets: np.ndarray, tab: tuple[np.ndar
     return out.reshape(-1)[:n_ids]
 
 
-def pack_block(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> bytes:
+def pack_block(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, n_null: int = 0) -> bytes:
     bits, offsets = pack_bits(ids, lengths, codes)
-    head = np.array([len(doc_ids), len(ids), len(offsets)], "<u4").tobytes()
+    head = np.array([len(doc_ids), len(ids), len(offsets), n_null], "<u4").tobytes()
     return b"".join([MAGIC, head, doc_ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), offsets.tobytes(), bits])
 
 
-def unpack_block(payload: bytes, tab) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_id, n_tokens and all ids of a block; needs nothing but the block and the decoding table."""
+def unpack_block(payload: bytes, tab) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """doc_id, n_tokens, all ids and n_null of a block; needs nothing but the block and the decoding table."""
     if payload[:4] != MAGIC:
         raise ValueError("not a block of this format")
-    n_docs, n_ids, n_off = (int(x) for x in np.frombuffer(payload, "<u4", 3, 4))
-    at = 16
+    n_docs, n_ids, n_off, n_null = (int(x) for x in np.frombuffer(payload, "<u4", 4, 4))
+    at = 20
     docs = np.frombuffer(payload, "<i8", n_docs, at)
     counts = np.frombuffer(payload, "<u4", n_docs, at := at + 8 * n_docs)
     offsets = np.frombuffer(payload, "<u4", n_off, at := at + 4 * n_docs)
-    return docs, counts, unpack_bits(payload[at + 4 * n_off :], n_ids, offsets, tab)
+    return docs, counts, unpack_bits(payload[at + 4 * n_off :], n_ids, offsets, tab), n_null
 
 
 def tokenized(docs: DataFrame, vocab_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,7 +179,8 @@ def id_counts(tokens: DataFrame, vocab_size: int) -> np.ndarray:
 def write_tokens(docs: DataFrame, path: str, vocab_path: str, end_id: int = 1, **cols) -> None:
     """Encode documents (null text: empty) and write them in the format above, in ascending doc_id order.
 
-    Repeated doc_ids are all kept, in no fixed order among themselves; an empty table gives an empty folder of blocks.
+    Rows with a null doc_id come first. Repeated doc_ids are all kept, in the order of their ids; an empty table gives an
+    empty folder of blocks.
     """
     spark = docs.sparkSession
     tokens = written(tokenized(docs, vocab_path, end_id, **cols), "tokens")
@@ -194,8 +196,9 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, end_id: int = 1, *
         shard, block, before, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def row():
-            d, n, x = (np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.frombuffer(b"".join(h[2] for h in held), kind).astype(np.int64))
-            return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "before": before, "first_doc": int(d[0]), "n_docs": len(d), "n_ids": len(x), "payload": pack_block(d, n, x, lengths, codes)}], schema)
+            d, n, x = (np.array([h[0] or 0 for h in held], np.int64), np.array([h[1] for h in held]), np.frombuffer(b"".join(h[2] for h in held), kind).astype(np.int64))
+            nulls = sum(h[0] is None for h in held)
+            return pa.RecordBatch.from_pylist([{"shard": shard, "block": block, "before": before, "first_doc": held[0][0], "n_docs": len(d), "n_ids": len(x), "payload": pack_block(d, n, x, lengths, codes, nulls)}], schema)
 
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
         for b in it:
@@ -210,7 +213,7 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, end_id: int = 1, *
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     (
-        tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+        tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
         .mapInArrow(run, BLOCKS)
         .write.parquet(f"{path}/blocks")
     )
@@ -244,11 +247,11 @@ def _decoded(spark: SparkSession, path: str, column: str, kind, f) -> DataFrame:
         tab = decode_table(lengths)
         for b in it:
             for shard, before, payload in zip(*(c.to_pylist() for c in b.columns)):
-                docs, counts, ids = unpack_block(payload, tab)
+                docs, counts, ids, nulls = unpack_block(payload, tab)
                 ends = np.cumsum(counts.astype(np.int64))
                 starts = ends - counts
                 vals = [f(ids[a:e]) for a, e in zip(starts, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts + base[shard] + before, pa.int64()), pa.array(counts.astype(np.int64)), pa.array(vals, kind)], ["doc_id", "start", "n_tokens", name])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64(), mask=np.arange(len(docs)) < nulls), pa.array(starts + base[shard] + before, pa.int64()), pa.array(counts.astype(np.int64)), pa.array(vals, kind)], ["doc_id", "start", "n_tokens", name])
 
     return blocks.select("shard", "before", "payload").mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
 
