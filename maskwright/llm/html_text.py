@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +56,77 @@ WORDS = [
         r"hidden|display:\s*none|sr-only|print",
     )
 ]
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME_END = re.compile(r"[\s/>]")
+_MARK = re.compile(r"[>\"']")
 _ATTR = re.compile(r"(?:class|id|role|style|aria-label|itemprop|hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.I)
 
 
+class Markup:
+    """Tags, comments and declarations of a source, found in time linear in its length, whatever stands open in it.
+
+    A tag ends at the first '>' outside quotes; where there is none, its '<' is text. What was learned about where marks
+    lie is kept: the next mark after a place, and for each mark looked at from outside quotes the end it leads to.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.last, self.ends = source, source.rfind(">"), {}
+        self.near = {_NAME_END: (0, -1), _MARK: (0, -1)}
+
+    def _next(self, pattern: re.Pattern, at: int) -> int:
+        """Where the pattern's next match begins, or the length; places must not go back."""
+        a, b = self.near[pattern]
+        if not a <= at <= b:
+            m = pattern.search(self.source, at)
+            b = m.start() if m else len(self.source)
+            self.near[pattern] = (at, b)
+        return b
+
+    def _end(self, at: int) -> int:
+        """Where the '>' that ends a tag stands, seen from `at` outside quotes; -1 if none does."""
+        source, ends, seen = self.source, self.ends, []
+        k = self._next(_MARK, at)
+        while True:
+            if k >= len(source):
+                end = -1
+            elif source[k] == ">":
+                end = k
+            elif k in ends:
+                end = ends[k]
+            else:
+                seen.append(k)
+                closing = source.find(source[k], k + 1)
+                if closing >= 0:
+                    m = _MARK.search(source, closing + 1)
+                    k = m.start() if m else len(source)
+                    continue
+                end = -1
+            for q in seen:
+                ends[q] = end
+            return end
+
+    def after(self, at: int):
+        """(start, end, closing, name, attributes) of the next markup from `at`; name None for comments and declarations; None if there is none."""
+        source = self.source
+        while (lt := source.find("<", at)) >= 0:
+            at = lt + 1
+            if source.startswith("<!--", lt):
+                end = source.find("-->", lt + 4)
+                return lt, len(source) if end < 0 else end + 3, False, None, ""
+            if lt > self.last:
+                continue
+            c = source[lt + 1 : lt + 2]
+            if c in ("!", "?") and c:
+                return lt, source.find(">", lt) + 1, False, None, ""
+            first = lt + 1 + (c == "/")
+            letter = source[first : first + 1]
+            if letter.isascii() and letter.isalpha():
+                name_end = self._next(_NAME_END, first)
+                end = self._end(name_end) if name_end < len(source) else -1
+                if end >= 0:
+                    return lt, end + 1, c == "/", source[first:name_end], source[name_end:end]
+        return None
+
+
 class Page:
     """Block elements in page order (a parent before its children), and runs of text with the element each stands in."""
 
@@ -68,6 +136,7 @@ class Page:
         self.runs: list[tuple[int, str]] = []
         stack, at, buffer, linked = [0], 0, [], False
         low: str | None = None
+        markup, opened, has_body = Markup(source), Counter(), False
 
         def end_run():
             nonlocal buffer
@@ -79,8 +148,8 @@ class Page:
 
         n = len(source)
         while at < n:
-            m = _TOKEN.search(source, at)
-            end = m.start() if m else n
+            m = markup.after(at)
+            end = m[0] if m else n
             if end > at:
                 piece = source[at:end]
                 buffer.append(piece)
@@ -88,20 +157,20 @@ class Page:
                     self.links[stack[-1]] += len(piece)
             if not m:
                 break
-            at = m.end()
-            tag = m[2]
+            _, at, closing, tag, attrs = m
             if tag is None:
                 continue
             tag = tag.lower()
-            if m[1]:
+            if closing:
                 if tag == "a":
                     linked = False
-                elif tag in BLOCKS:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tags[stack[k]] == tag:
-                            end_run()
-                            del stack[k:]
-                            linked = False
+                elif tag in BLOCKS and opened[tag]:
+                    end_run()
+                    linked = False
+                    while True:
+                        gone = self.tags[stack.pop()]
+                        opened[gone] -= 1
+                        if gone == tag:
                             break
                 continue
             if tag in RAW:
@@ -121,17 +190,19 @@ class Page:
                 linked = False
                 if tag in IN_P and self.tags[stack[-1]] == "p":
                     stack.pop()
-                elif tag in CLOSES:
+                    opened["p"] -= 1
+                elif tag in CLOSES and any(opened[t] for t in CLOSES[tag]):
                     for k in range(len(stack) - 1, 0, -1):
                         t = self.tags[stack[k]]
                         if t in CLOSES[tag]:
+                            opened.subtract(self.tags[i] for i in stack[k:])
                             del stack[k:]
                             break
                         if t in SCOPES.get(tag, ()):
                             break
-                if tag in ("html",) or tag == "body" and "body" in self.tags:
+                if tag in ("html",) or tag == "body" and has_body:
                     continue
-                attrs = m[3]
+                has_body = has_body or tag == "body"
                 if attrs.endswith("/") and tag == "svg":
                     continue
                 words = " ".join(x for g in _ATTR.findall(attrs) for x in g if x).lower() if attrs else ""
@@ -142,6 +213,7 @@ class Page:
                 self.links.append(0)
                 self.unseen.append(self.unseen[stack[-1]] or tag in UNSEEN)
                 stack.append(len(self.tags) - 1)
+                opened[tag] += 1
             elif tag == "img":
                 buffer.append("")
         end_run()
@@ -184,6 +256,7 @@ def features(page: Page) -> np.ndarray:
     up: list[tuple] = []
     log = [float(v) for v in np.log1p(np.array([own, total], float)).ravel()]
     article = [False] * n
+    most = [max((total[s] for s in k), default=0) for k in kids]
     before = 0
     for i in range(n):
         p, t = parent[i], page.tags[i]
@@ -212,7 +285,7 @@ def features(page: Page) -> np.ndarray:
             log[i], log[n + i], min(1.0, links[i] / max(1, total[i])), total[i] / nodes[i], total[i] / max(1, sub_runs[i]), sub_marks[i] / max(1, total[i]) * 100,
             depth[i], j, fam[i], share, before / all_text, log[n + prev] if prev is not None else -1, log[n + nxt] if nxt is not None else -1, paras[i],
             float(bad), total[i] / max(1, total[p]) if i else 1.0, len(kids[i]), log[n + p] if i else 0.0, min(1.0, links[p] / max(1, total[p])) if i else 0.0, paras[p] if i else 0,
-            1 - share - before / all_text, max((total[s] for s in sib), default=0) / all_text,
+            1 - share - before / all_text, (most[p] if i else total[0]) / all_text,
         ]
         x[i] = row
         before += own[i]
@@ -420,7 +493,10 @@ def main_texts(sources: list[str | None], boosted: Boosted) -> list[str]:
 
 
 def extracted(pages: DataFrame, boosted: Boosted | None = None) -> DataFrame:
-    """page_id, url, text, n_chars of every row; null and empty html, and pages without main text, give an empty text."""
+    """page_id, url, text, n_chars of every row; null and empty html, and pages without main text, give an empty text.
+
+    Repeated rows give a row each, and null ids stay. The work on a page is linear in its length.
+    """
     boosted = boosted or model()
     bounded(pages.sparkSession)
 
