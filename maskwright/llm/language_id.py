@@ -5,7 +5,8 @@ element by element (bound); a text is the sum of its n-grams (bundled); a langua
 takes the language whose prototype has the largest cosine with the document's vector.
 
 Bundling is linear, so training only needs each language's n-gram counts: summed in each task, then by n-gram. Their
-number is bounded by ALPHABET^3 for each language, whatever the corpus.
+number is bounded by ALPHABET^3 for each language, whatever the corpus; a language's counts are bundled on one executor,
+and the driver gets a vector for each language.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .common import bounded, table, texts
 from .words import parts
 
 DIM, ALPHABET, SEED, FOLDS = 2048, 64, 7, 5
+#: languages whose counts a task holds at once (2 MB each)
+HELD_LANGUAGES = 32
 
 
 def letter_codes() -> np.ndarray:
@@ -26,7 +29,7 @@ def letter_codes() -> np.ndarray:
     codes = np.zeros(0x110000, np.int16)
     points = np.arange(0x110000)
     alpha = np.zeros(0x110000, bool)
-    alpha[[i for i in range(0x30000) if chr(i).isalpha()]] = True
+    alpha[[i for i in range(0x110000) if chr(i).isalpha()]] = True
     codes[alpha] = 27 + points[alpha] * 7919 % (ALPHABET - 27)
     codes[ord("a") : ord("z") + 1] = np.arange(1, 27)
     return codes
@@ -71,29 +74,38 @@ def learned(labelled: DataFrame, dim: int = DIM, seed: int = SEED) -> tuple[list
 
     def run(it):
         s, sums = space(dim, seed), {}
+
+        def flush():
+            for lang, n in sums.items():
+                u = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u), pa.array(np.round(n[u] * 2**32).astype(np.int64))], ["lang", "gram", "n"])
+            sums.clear()
+
         for b in it:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 g = s.grams(text or "")
                 if len(g):
                     if lang not in sums:
+                        if len(sums) >= HELD_LANGUAGES:
+                            yield from flush()
                         sums[lang] = np.zeros(ALPHABET**3)
                     u, n = np.unique(g, return_counts=True)
                     sums[lang][u] += n / len(g)
-        for lang, n in sums.items():
-            u = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u), pa.array(np.round(n[u] * 2**32).astype(np.int64))], ["lang", "gram", "n"])
+        yield from flush()
 
-    bounded(labelled.sparkSession)
-    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    got = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # whole numbers: sums in any order agree
-    langs, s, protos = sorted(got.lang.unique()), space(dim, seed), []
-    for lang in langs:
-        part = got[got.lang == lang].sort_values("gram")
-        total, n, grams = np.zeros(dim), part.n.to_numpy(float), part.gram.to_numpy()
+    def bundled(counts):
+        part = counts.to_pandas().sort_values("gram")
+        s, total, n, grams = space(dim, seed), np.zeros(dim), part.n.to_numpy(float), part.gram.to_numpy()
         for lo in range(0, len(grams), 4096):
             total += n[lo : lo + 4096] @ s.vectors(grams[lo : lo + 4096])
-        protos.append(total / max(np.linalg.norm(total), 1e-300))
-    return langs, np.array(protos, np.float32).reshape(len(langs), dim)
+        total /= max(np.linalg.norm(total), 1e-300)
+        return pa.table({"lang": pa.array([part.lang.iloc[0]], pa.string()), "v": pa.array([total.astype(np.float32)], pa.list_(pa.float32()))})
+
+    bounded(labelled.sparkSession)
+    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
+    counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))  # whole numbers: sums in any order agree
+    got = sorted((r.lang, r.v) for r in counts.groupBy("lang").applyInArrow(bundled, "lang string, v array<float>").collect())
+    return [lang for lang, _ in got], np.array([v for _, v in got], np.float32).reshape(len(got), dim)
 
 
 def predicted(docs: DataFrame, langs: list[str], protos: np.ndarray, seed: int = SEED) -> DataFrame:

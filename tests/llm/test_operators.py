@@ -75,6 +75,16 @@ def test_token_files_round_trip(spark, tmp_path):
     assert token_output.read_tokens(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_token_files_with_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "b c"), (3, "d e"), (None, "a"), (3, None), (-1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1))
+    token_output.write_tokens(docs, str(tmp_path / "t"), WORDS)
+    got = sorted((-10**9 if r.doc_id is None else r.doc_id, r.start, r.n_tokens, tuple(r.ids)) for r in token_output.read_tokens(spark, str(tmp_path / "t")).collect())
+    want = sorted((-10**9 if d is None else d, tuple(x)) for (d, _), x in zip(rows, whole_ids([t for _, t in rows])))
+    assert sorted((d, x) for d, _, _, x in got) == want
+    assert [s for _, s, _, _ in got] == [sum(n for _, s, n, _ in got if s < start) for _, start, _, _ in got]
+
+
 def check_pieces(rows, ids, capacity=2048):
     by_doc, by_seq = {}, {}
     for r in rows:
@@ -376,6 +386,16 @@ def test_languages(spark):
     assert language_id.predicted(frame(spark), [], np.zeros((0, 64), np.float32)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_languages_with_rare_letters_and_many_names(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "HELD_LANGUAGES", 2)
+    rows = [(i, f"{'abcde'[i % 5] * 3} {'fghij'[i % 5] * 4}", f"l{i % 5}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, protos = language_id.learned(docs)
+    got = language_id.predicted(spark.createDataFrame([(1, chr(0x30000) * 3), (None, "aaa ffff"), (2, "12 !")], "doc_id long, text string"), langs, protos).collect()
+    assert langs == [f"l{i}" for i in range(5)] and {r.doc_id: r.lang_pred for r in got}[None] == "l0"
+    assert {r.doc_id: r.lang_pred == "und" for r in got} == {1: False, None: False, 2: True}
+
+
 def test_toxicity(spark):
     r = random.Random(9)
     plain = lambda: " ".join(r.choice(["tree", "stone", "river", "cloud", "house", "green", "walks"]) for _ in range(20))
@@ -447,6 +467,23 @@ def ancestors(page, i):
         yield i
 
 
+@pytest.mark.parametrize("junk", ["<a ", "<a<", '<a "', '<a ">', "<!x", "<p>abc", "<li><div>", "<div></p>"])
+def test_pages_of_junk_take_linear_time(junk):
+    import time
+
+    n, boosted = 1_000_000 // len(junk), html_text.model()
+    began = time.process_time()
+    html_text.main_texts([junk * n + '"'], boosted)
+    assert time.process_time() - began < 10  # seconds where a rescan at each mark would take hours
+
+
+def test_html_rows(spark):
+    rows = [(1, None, None), (1, "u", ""), (None, "u", "<p>one</p>"), (None, "u", "<p>one</p>")]
+    got = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")))
+    assert got.count() == 4 and got.where("page_id is null").count() == 2 and got.columns == ["page_id", "url", "text", "n_chars"]
+    assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
