@@ -7,8 +7,11 @@ impacts add up to less than the threshold can match nothing and is passed over (
 batch at once); the others are looked up by block-max WAND, and all items above the threshold are verified by the share
 of the question's and of the answer's word pairs that the passage holds.
 
+Items of fewer than MIN_WORDS words have too few pairs to score; a line that holds their words and no others repeats them.
+
 The index goes to every task, so its size is bounded: items are dealt over as many indexes as keep each under
-INDEX_BYTES of text, and the documents are read once for each of them.
+INDEX_BYTES of text, and the documents are read once for each of them. Item count, mean length, longest item and the
+items that hold a pair are counted over all items before, so scores do not depend on how items are dealt.
 """
 
 from __future__ import annotations
@@ -21,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, table, texts, tidy
+from .common import bounded, dropped, table, texts, tidy, written
 from .words import parts
 
 K1, B, BLOCK, WINDOW, MIN_WORDS = 1.2, 0.75, 16, 128, 4
 SCORE, QUESTION, ANSWER, WHOLE = 0.4, 0.5, 0.5, 0.8
-INDEX_BYTES = 16_000_000
+INDEX_BYTES = 4_000_000
 MATCHES = "doc_id long, item_id long, score double, question double, answer double, passages long, first_word long"
 _words = re.compile(r"\w+").findall
 
@@ -44,30 +47,55 @@ def answer_words(text: str) -> int:
     return 0
 
 
-class Index:
-    """Postings of items; build it on the driver, ship it to the tasks."""
+class Statistics:
+    """What BM25 takes from all items: how many there are, their mean pairs, the words of the longest, and the items of each pair of
+    words that is in more than one (`df`, by the pair's text)."""
+
+    def __init__(self, items: int, mean: float, longest: int, df: dict[str, int]):
+        self.items, self.mean, self.longest, self.df = items, mean, longest, df
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Statistics:
+        words = [w for w in map(normal_words, texts) if len(w) >= MIN_WORDS]
+        df: dict[str, int] = defaultdict(int)
+        for w in words:
+            for pair in set(pair_texts(w)):
+                df[pair] += 1
+        return cls(len(words), sum(len(w) - 1 for w in words) / max(1, len(words)), max(map(len, words), default=0), {p: n for p, n in df.items() if n > 1})
+
 
-    def __init__(self, items: list[tuple[int, str]]):
-        items = [(i, t) for i, t in sorted(items) if len(normal_words(t)) >= MIN_WORDS]
+def pair_texts(words: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+class Index:
+    """Postings of items; build it on the driver, ship it to the tasks. Without statistics the items are all there are."""
+
+    def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
+        every = [(i, t) for i, t in sorted(items) if normal_words(t)]
+        items = [(i, t) for i, t in every if len(normal_words(t)) >= MIN_WORDS]
+        self.short: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        for i, t in every:
+            if len(w := normal_words(t)) < MIN_WORDS:
+                self.short[tuple(w)].append(i)
+        self.short = dict(self.short)
+        about = statistics or Statistics.of([t for _, t in items])
         self.ids = np.array([i for i, _ in items], np.int64)
         words = [normal_words(t) for _, t in items]
         self.vocab = {w: k for k, w in enumerate(sorted({w for x in words for w in x}), 1)}
-        self.base, self.longest = len(self.vocab) + 1, max(map(len, words), default=0)
+        self.base, self.longest = len(self.vocab) + 1, about.longest
         pairs = [[self.vocab[a] * self.base + self.vocab[b] for a, b in zip(x, x[1:])] for x in words]
         tail = [answer_words(t) for _, t in items]
         self.question = [set(p[: len(p) - n]) if n else set(p) for p, n in zip(pairs, tail)]
         self.answer = [set(p[len(p) - n :]) if n else set(p) for p, n in zip(pairs, tail)]
-        df: dict[int, int] = defaultdict(int)
-        for p in pairs:
-            for t in set(p):
-                df[t] += 1
-        mean = np.mean([len(p) for p in pairs]) if pairs else 1.0
         self.postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for i, p in enumerate(pairs):
+        for i, (p, x) in enumerate(zip(pairs, words)):
             tf: dict[int, int] = defaultdict(int)
-            for t in p:
+            df = {}
+            for t, pair in zip(p, pair_texts(x)):
                 tf[t] += 1
-            own = {t: np.log(1 + (len(pairs) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(p) / mean)) for t, n in sorted(tf.items())}
+                df[t] = about.df.get(pair, 1)
+            own = {t: np.log(1 + (about.items - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(p) / about.mean)) for t, n in sorted(tf.items())}
             total = sum(own.values())
             for t, x in own.items():
                 self.postings[t].append((i, float(x / total)))
@@ -129,7 +157,24 @@ def verified(index: Index, item: int, held: set[int]) -> tuple[float, float] | N
 
 
 def matches(index: Index, texts: list[str | None], threshold: float = SCORE) -> list[tuple[int, int, float, float, float, int, int]]:
-    """(text, item, best score, question and answer shares there, passages, first word) for each verified pair."""
+    """(text, item_id, best score, question and answer shares there, passages, first word) for each verified pair."""
+    return _long_matches(index, texts, threshold) + (_short_matches(index, texts) if index.short else [])
+
+
+def _short_matches(index: Index, texts: list[str | None]):
+    """Lines that hold a short item's words and no others, as matches of score 1."""
+    best: dict[tuple[int, int], list] = {}
+    for k, t in enumerate(texts):
+        at = 0
+        for line in (t or "").split("\n"):
+            words = normal_words(line)
+            for item in index.short.get(tuple(words), ()) if 0 < len(words) < MIN_WORDS else ():
+                best.setdefault((k, item), [1.0, 1.0, 1.0, 0, at])[3] += 1
+            at += len(words)
+    return [(d, i, *x) for (d, i), x in best.items()]
+
+
+def _long_matches(index: Index, texts: list[str | None], threshold: float):
     words = [normal_words(t) for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     total = int(sizes.sum())
@@ -166,19 +211,37 @@ def matches(index: Index, texts: list[str | None], threshold: float = SCORE) ->
                 old[3] += 1
                 if score > old[0]:
                     old[:3] = [score, *shares]
-    return [(d, i, *x) for (d, i), x in best.items()]
+    return [(d, int(index.ids[i]), *x) for (d, i), x in best.items()]
 
 
 def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> list:
-    """Broadcast indexes, each over at most about index_bytes of item texts.
-
-    Items of fewer than MIN_WORDS words, and null ones, are no evidence and are left out.
-    """
+    """Broadcast indexes, each over at most about index_bytes of item texts. Null items, and those without a word, are left out."""
     spark = items.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-size // index_bytes) or 1
-    return [spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()])) for k in range(shards)]
+    if shards == 1:
+        return [spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in items.collect()]))]  # at most index_bytes
+
+    def pairs(it):
+        for b in it:
+            words = [normal_words(t) for t in b.column(1).to_pylist()]
+            rows = [(s, len(w) - 1, len(w), sorted(set(pair_texts(w)))) for s, w in zip(b.column(0).to_pylist(), words) if len(w) >= MIN_WORDS]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())))], ["shard", "n", "words", "pairs"])
+
+    bounded(spark)
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    held = written(dealt.select("shard", "text").mapInArrow(pairs, "shard long, n long, words long, pairs array<string>"), "item-pairs")
+    n, mean, longest = held.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0)), F.coalesce(F.max("words"), F.lit(0))).first()
+    one = held.select("shard", F.explode("pairs").alias("pair"))
+    df = written(one.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1").join(one.distinct(), "pair"), "item-df")
+    out = []
+    for k in range(shards):  # each at most about index_bytes of texts, and the counts of their pairs
+        about = Statistics(n, mean, longest, {r.pair: r.n for r in df.where(F.col("shard") == k).select("pair", "n").collect()})
+        out.append(spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in dealt.where(F.col("shard") == k).collect()], about)))
+    dropped(held)
+    dropped(df)
+    return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = SCORE, index_bytes: int = INDEX_BYTES) -> DataFrame:
@@ -195,7 +258,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = SCORE, in
                     if rows := matches(index.value, some.column(1).to_pylist(), threshold):
                         cols, ids = list(zip(*rows)), some.column(0)
                         kinds = [pa.int64()] * 2 + [pa.float64()] * 3 + [pa.int64()] * 2
-                        cols = [[ids[d].as_py() for d in cols[0]], [int(index.value.ids[i]) for i in cols[1]], *cols[2:]]
+                        cols = [[ids[d].as_py() for d in cols[0]], list(cols[1]), *cols[2:]]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in MATCHES.split(", ")])
 
         return rows_of.mapInArrow(tidy(run), MATCHES)

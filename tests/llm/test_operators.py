@@ -290,6 +290,65 @@ def test_leaks_are_found_and_clean_texts_left_alone(spark):
     assert decontaminate.contaminated(frame(spark, rows), test_items.limit(0)).count() == 0 == decontaminate.contaminated(frame(spark, []), test_items).count()
 
 
+def brute_matches(rows, items):
+    """Every window against every item by plain BM25, then the shares; short items by lines."""
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    pairs = lambda w: list(zip(w, w[1:]))
+    long = {i: words(t) for i, t in items if len(words(t)) >= 4}
+    short = {i: words(t) for i, t in items if 0 < len(words(t)) < 4}
+    mean, n = sum(len(w) - 1 for w in long.values()) / len(long), len(long)
+    df = {}
+    for w in long.values():
+        for p in set(pairs(w)):
+            df[p] = df.get(p, 0) + 1
+    size = max(128, 2 * max(map(len, long.values())))
+    text_of, out = dict(items), {}
+    for d, t in enumerate(rows):
+        w = words(t)
+        for at in range(0, max(1, len(w) - size // 2), size // 2):
+            held = set(pairs(w[at : at + size]))
+            for i, x in long.items():
+                p = pairs(x)
+                part = lambda q: math.log(1 + (n - df[q] + 0.5) / (df[q] + 0.5)) * p.count(q) * 2.2 / (p.count(q) + 1.2 * (0.25 + 0.75 * len(p) / mean))  # noqa: B023, E731
+                score = sum(map(part, held & set(p))) / sum(map(part, set(p)))
+                if score < 0.4:
+                    continue
+                k = decontaminate.answer_words(text_of[i])
+                q, a = set(p[: len(p) - k]) if k else set(p), set(p[len(p) - k :]) if k else set(p)
+                both, question, answer = len((q | a) & held) / len(q | a), len(q & held) / len(q), len(a & held) / len(a)
+                if both >= 0.8 or question >= 0.5 and answer >= 0.5:
+                    old = out.setdefault((d, i), [score, question, answer, 0, at])
+                    old[3] += 1
+                    if score > old[0]:
+                        old[:3] = [score, question, answer]
+        at = 0
+        for line in (t or "").split("\n"):
+            for i, x in short.items():
+                if words(line) == x:
+                    out.setdefault((d, i), [1.0, 1.0, 1.0, 0, at])[3] += 1
+            at += len(words(line))
+    return out
+
+
+def test_decontamination_equals_scoring_all_windows_against_all_items(spark):
+    r = random.Random(17)
+    text = lambda n: " ".join(r.choice(["ba", "do", "ki", "lu", "me", "no", "pa", "ru"]) for _ in range(n))
+    items = [(i, f"{text(r.randint(3, 9))}. {text(r.randint(2, 6))}.") for i in range(40)] + [(40, "lu ki"), (41, "zebra"), (42, "Lu, ki!"), (43, None), (44, " .. ")]
+    rows = ["", None, "lu ki", "lu ki no\nlu ki\n\nzebra\nzebra"]
+    for k in range(30):
+        words = text(r.choice([5, 60, 300])).split()
+        at = r.randint(0, len(words))
+        copied = items[k][1].split()
+        rows.append(" ".join(words[:at] + copied[: len(copied) - k % 3] + words[at:]))
+    want = brute_matches(rows, [x for x in items if x[1]])
+    assert len(want) > 40
+    for size in (16_000_000, 400):
+        got = decontaminate.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), index_bytes=size).collect()
+        assert {(x.doc_id, x.item_id) for x in got} == set(want) and len(got) == len(want)
+        for x in got:
+            assert [x.score, x.question, x.answer, x.passages, x.first_word] == pytest.approx(want[x.doc_id, x.item_id])
+
+
 def brute_p(value):
     """The battery, told again with plain loops."""
     cdf = lambda z: 1 / (1 + math.exp(-(1.5976 * (z := max(-8.0, min(8.0, z))) + 0.070566 * z**3)))
