@@ -5,6 +5,9 @@ indexed under each segment with each of its bits left out (one-wildcard variants
 one bit agree on a variant. Rows of a variant meet by equality and their whole fingerprints are compared. Of a variant's
 links only a spanning forest is kept, which joins the same components: a linked fingerprint is taken out of the list of
 those still to be reached, so a crowd of near copies is walked in about as many steps as it has members, not pairs.
+A variant of more than CROWD fingerprints is dealt by their hash into tiles, and each pair of tiles meets in a group of its
+own. Which variants are so crowded is learned from the fingerprints whose hash one in SHARE has; that only lays out
+the work: tiled or not, every two fingerprints of a variant meet.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import bounded, components, table, texts, tidy, written
 from .words import parts
 
-DISTANCE, SHINGLE, SEED = 4, 4, 42
+DISTANCE, SHINGLE, SEED, CROWD, SHARE = 4, 4, 42, 16_384, 16
 
 
 def segments(distance: int = DISTANCE) -> list[tuple[int, int]]:
@@ -104,7 +107,7 @@ def group_links(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.nd
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def links(prints: DataFrame, distance: int = DISTANCE, crowd: int = CROWD, share: int = SHARE) -> DataFrame:
     """(a, b): links among distinct fingerprints (column fp) that join the same components as all of them do."""
     variants = []
     for s, (lo, bits) in enumerate(segments(distance)):
@@ -133,13 +136,23 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
             yield out(keys, fps)
 
     rows = prints.select(F.explode(F.array(*variants)).alias("key"), "fp")
+    # a few rows for each CROWD fingerprints at most
+    some = prints.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).select(F.explode(F.array(*variants)).alias("key"))
+    crowded = written(some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * share > crowd).select("key", F.ceil(F.col("n") * share * 2 / crowd).cast("int").alias("tiles")), "crowded")
+    if not crowded.isEmpty():
+        both = rows.join(crowded, "key", "left")
+        mine = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("tiles")).cast("int")
+        pair = lambda t: F.xxhash64("key", F.least(mine, t), F.greatest(mine, t))
+        keys = F.when(F.col("tiles").isNull(), F.array("key")).otherwise(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), pair))
+        rows = both.select(F.explode(keys).alias("key"), "fp")
     return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fingerprint and component_id of every row: the smallest doc_id reachable over links.
 
-    Equal fingerprints, those of blank texts among them, are one node from the start. Repeated doc_ids keep their rows.
+    Equal fingerprints, those of blank texts among them, are one node from the start. Repeated doc_ids keep their rows; rows
+    with a null doc_id count as the largest, and a group of such alone has a null component_id.
     """
     own = written(fingerprints(docs, shingle, seed), "fingerprints")
     nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")

@@ -194,6 +194,30 @@ def test_simhash_equals_all_pairs(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("distance", [4, 5])
+def test_crowded_variants_are_tiled_and_lose_no_link(spark, distance):
+    r = random.Random(5)
+    centres = [r.getrandbits(64) for _ in range(4)]
+    fps = sorted({c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5))) for c in centres for _ in range(60)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    want = brute_components(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= distance)
+    for crowd in (6, 1 << 20):
+        got = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), distance, crowd=crowd, share=1).collect()
+        at = {f: i for i, f in enumerate(signed)}
+        pairs = {(at[x.a], at[x.b]) for x in got} | {(at[x.b], at[x.a]) for x in got}
+        assert all((fps[i] ^ fps[j]).bit_count() <= distance for i, j in pairs)
+        assert brute_components(len(fps), lambda i, j: (i, j) in pairs) == want
+
+
+def test_simhash_of_five_word_shingles_and_odd_rows(spark):
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(3, " ".join(words)), (1, " ".join(words[:-1] + ["x"])), (None, " ".join(words)), (7, "other text"), (7, "other text"), (None, "alone here")], "doc_id long, text string").withColumn("fp", F.lit("clash"))
+    kept = simhash.one_of_each(docs, distance=5, shingle=5).collect()
+    assert sorted((x.doc_id or 0) for x in kept) == [0, 1, 7] and kept[0].fp == "clash"
+    got = simhash.near_duplicates(docs)
+    assert got.count() == 6 and got.where("doc_id is null and component_id is null").count() == 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2**20)), min_size=1, max_size=80))
 def test_group_links_join_what_all_pairs_join(rows):
