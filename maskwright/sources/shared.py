@@ -5,23 +5,50 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: folders that `written` made in this process and that nothing has deleted yet
+_MADE: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir. A local session that names none gets one; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         where = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if where.isEmpty():  # only where no cluster has named one
+        if where.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "maskwright-checkpoints"))
             where = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = where.get()
     return found.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from the shared folder: evaluated once, independent of any executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s rows from a table of their own; the tables that were written for them on the way are deleted."""
+    mark = len(_MADE)
+    out = written(make(), name)
+    for path in _MADE[mark:-1]:
+        deleted(spark, path)
+    del _MADE[mark:-1]
+    return out
