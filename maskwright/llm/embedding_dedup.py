@@ -9,55 +9,62 @@ vectors of different groups compare spread it; links found so join groups, until
 group are then compared exactly, tile by tile; only counts leave a tile.
 
 The descent compares half-precision copies; what comes near the threshold is compared again in double precision, and
-only that decides. A bounded sample of AUDIT vectors is compared with all vectors of their labels; while fewer than
-RECALL of their links join what the graph joins, more turns follow; after MAX_ROUNDS rounds without it there is an error.
+only that decides. A sample of vectors is compared with all vectors of their labels: AUDIT at first, four times as many
+until AUDIT_LINKS links have been seen, at most AUDIT_MOST. While fewer than RECALL of these links join what the graph
+joins, more turns follow, each from fresh orders; after MAX_ROUNDS rounds without it there is an error. How many orders
+there are grows with the largest label.
 """
 
 from __future__ import annotations
 
+import logging
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, dropped, table, written
-
-COSINE, LIST, CHUNK, ORDERS, ROUNDS, MAX_ROUNDS, SLACK, SHARE, AUDIT, RECALL, SEED = 0.98, 8, 24, 3, 2, 8, 0.004, 16, 256, 0.99, 11
-GRAPH = "label int, u long, v long, s float"
-
+from .common import components, dropped, finished, table, written
 
-def _matrix(column: pa.Array, kind) -> np.ndarray:
-    flat = np.concatenate([np.frombuffer(x, kind) for x in column.to_pylist()]) if len(column) else np.zeros(0, kind)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+COSINE, LIST, CHUNK, ORDERS, ROUNDS, MAX_ROUNDS, SLACK, SHARE, RECALL, SEED = 0.98, 8, 24, 3, 2, 24, 0.004, 16, 0.99, 11
+AUDIT, AUDIT_LINKS, AUDIT_MOST = 256, 200, 16_384
+_log = logging.getLogger(__name__)
+GRAPH = "u long, v long, s float"
 
 
-def distinct_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (vec_id, label, rep) of usable rows and distinct vectors (rep, label, n, x: unit, double; h: half, for the descent).
+def distinct_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows (key, vec_id), members (key, rep) of usable rows, and distinct vectors (label, dim, rep, first, n, x: unit, double; h: half).
 
-    Usable: label and vector not null, all components finite, not all zero. Vectors of other lengths than a label's others
-    never meet them: the length is part of what counts as a label here.
+    key: a number of the row's own, so repeated vec_ids stay apart; rep: the smallest key of equal vectors, first: their
+    smallest vec_id. Usable: label and vector not null, all components finite, not all zero. Vectors of other lengths than a
+    label's others never meet them: the length is part of what counts as a label here.
     """
     v = F.col("embedding").cast("array<double>")
-    usable = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), v.alias("v")).where(
-        "label is not null and v is not null and size(v) > 0 and not exists(v, a -> a is null or isnan(a) or abs(a) = double('infinity')) and exists(v, a -> a <> 0)"
-    )
+    ok = F.expr("label is not null and v is not null and size(v) > 0 and not exists(v, a -> a is null or isnan(a) or abs(a) = double('infinity')) and exists(v, a -> a <> 0)")
+    plain = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), v.alias("v"))
+    given = plain.select(F.monotonically_increasing_id().alias("key"), "vec_id", "label", F.when(ok, F.col("v")).alias("v"))
 
     def run(it):
         for b in it:
-            vs = b.column(2)
             out_x, out_h = [], []
-            for x in vs.to_pylist():
+            for x in b.column(3).to_pylist():
+                if x is None:
+                    out_x.append(None)
+                    out_h.append(None)
+                    continue
                 a = np.array(x, np.float64)
                 a = a / np.abs(a).max()
                 a /= np.sqrt((a * a).sum())
                 out_x.append(a.tobytes())
                 out_h.append(a.astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) // 8 for x in out_x], pa.int32()), pa.array(out_x, pa.binary()), pa.array(out_h, pa.binary())], ["vec_id", "label", "dim", "x", "h"])
+            dims = [None if x is None else len(x) // 8 for x in out_x]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(dims, pa.int32()), pa.array(out_x, pa.binary()), pa.array(out_h, pa.binary())], ["key", "vec_id", "label", "dim", "x", "h"])
 
-    unit = written(usable.mapInArrow(run, "vec_id long, label int, dim int, x binary, h binary"), "unit-vectors")
-    reps = written(unit.groupBy("label", "dim", "x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("h").alias("h")), "distinct-vectors")
-    members = unit.join(reps.select("label", "x", "rep"), ["label", "x"]).select("vec_id", "label", "rep")
-    return members, reps
+    unit = written(given.mapInArrow(run, "key long, vec_id long, label string, dim int, x binary, h binary"), "unit-vectors")
+    usable = unit.where("x is not null")
+    reps = written(usable.groupBy("label", "dim", "x").agg(F.min("key").alias("rep"), F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("h").alias("h")), "distinct-vectors")
+    return unit.select("key", "vec_id"), usable.join(reps.select("label", "x", "rep"), ["label", "x"]).select("key", "rep"), reps
 
 
 def _top(s: np.ndarray, own: np.ndarray, k: int):
@@ -93,13 +100,12 @@ def first_graph(reps: DataFrame, k: int = LIST, chunk: int = CHUNK, orders: int
                 x = np.stack([np.frombuffer(r[3], np.float16) for r in rows]).astype(np.float32)
                 s = x @ x.T
                 i, j = _top(s, ~np.eye(len(rows), dtype=bool), k)
-                return rows[0][0], rep[i], rep[j], s[i, j]
+                return rep[i], rep[j], s[i, j]
 
             def flush(groups):
                 got = [part(g) for g in groups if len(g) > 1]
-                n = [len(g[1]) for g in got]
-                if sum(n):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat([g[0] for g in got], n), pa.int32()), *(pa.array(np.concatenate([g[c] for g in got]), t) for c, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.float32())))], ["label", "u", "v", "s"])
+                if sum(len(g[0]) for g in got):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[c] for g in got]), t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float32()))], ["u", "v", "s"])
 
             for b in it:
                 groups = []
@@ -112,7 +118,7 @@ def first_graph(reps: DataFrame, k: int = LIST, chunk: int = CHUNK, orders: int
                 yield from flush(groups)
             yield from flush([held])
 
-        coded = reps.select("label", "dim", "rep", "h").mapInArrow(signs, "label int, dim int, rep long, h binary, code long")
+        coded = reps.select("label", "dim", "rep", "h").mapInArrow(signs, "label string, dim int, rep long, h binary, code long")
         near = coded.repartitionByRange("label", "dim", "code", "rep").sortWithinPartitions("label", "dim", "code", "rep").mapInArrow(compare, GRAPH)
         out = near if out is None else out.unionByName(near)
     return written(best(out, k), "graph")
@@ -120,19 +126,19 @@ def first_graph(reps: DataFrame, k: int = LIST, chunk: int = CHUNK, orders: int
 
 def best(graph: DataFrame, k: int, groups: DataFrame | None = None) -> DataFrame:
     """The k best neighbours of each vector; with groups, the k best in its group and the k best outside."""
-    one = graph.groupBy("label", "u", "v").agg(F.max("s").alias("s"))
+    one = graph.groupBy("u", "v").agg(F.max("s").alias("s"))
     if groups is not None:
         one = beside(one, groups)
     side = ["u"] if groups is None else ["u", "inside"]
     w = Window.partitionBy(*side).orderBy(F.desc("s"), "v")
-    return one.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("label", "u", "v", "s")
+    return one.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("u", "v", "s")
 
 
 def beside(graph: DataFrame, groups: DataFrame) -> DataFrame:
     """The graph with `inside`: whether both ends are in one group."""
     g = groups.select("node", "component")
     both = graph.join(g.withColumnsRenamed({"node": "u", "component": "gu"}), "u", "left").join(g.withColumnsRenamed({"node": "v", "component": "gv"}), "v", "left")
-    return both.withColumn("inside", F.coalesce(F.col("gu") == F.col("gv"), F.lit(False))).select("label", "u", "v", "s", "inside")
+    return both.withColumn("inside", F.coalesce(F.col("gu") == F.col("gv"), F.lit(False))).select("u", "v", "s", "inside")
 
 
 def one_of_each_group(reps: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
@@ -154,13 +160,13 @@ def descended(graph: DataFrame, reps: DataFrame, turn: int, k: int = LIST, group
     own = graph.select(F.col("u").alias("c"), F.col("u").alias("m")).distinct()
     worst = told.where("not inside").groupBy("u").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
     meet = forth.unionByName(rev).unionByName(own).distinct()
-    seats = meet.join(reps.select(F.col("rep").alias("m"), "label", "h"), "m").join(worst.withColumnRenamed("u", "m"), "m", "left")
+    seats = meet.join(reps.select(F.col("rep").alias("m"), "h"), "m").join(worst.withColumnRenamed("u", "m"), "m", "left")
     seats = seats.withColumn("group", F.col("m")) if groups is None else seats.join(groups.select(F.col("node").alias("m"), F.col("component").alias("group")), "m", "left")
 
     def run(it):
         held: list[np.ndarray] = []
 
-        def flush(c, m, label, h, least, group):
+        def flush(c, m, h, least, group):
             order_first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
             size = np.diff(np.r_[order_first, len(c)])
             outs = []
@@ -179,16 +185,16 @@ def descended(graph: DataFrame, reps: DataFrame, turn: int, k: int = LIST, group
                     cols = np.argpartition(-s, some - 1, axis=2)[:, :, :some]
                     val = np.take_along_axis(s, cols, 2)
                     g, i, j = np.nonzero(val > -1.5)
-                    outs.append((label[at[g, i]], m[at[g, i]], m[at[g, cols[g, i, j]]], val[g, i, j]))
+                    outs.append((m[at[g, i]], m[at[g, cols[g, i, j]]], val[g, i, j]))
             if outs:
-                cols = [np.concatenate([o[q] for o in outs]) for q in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.float32()))], ["label", "u", "v", "s"])
+                cols = [np.concatenate([o[q] for o in outs]) for q in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(cols, (pa.int64(), pa.int64(), pa.float32()))], ["u", "v", "s"])
 
         rest = None
         for b in it:
             if not len(b):
                 continue
-            cols = [b.column(q).to_numpy(zero_copy_only=False) for q in (0, 1, 2)] + [np.array(b.column(3).to_pylist(), object), b.column(4).to_numpy(zero_copy_only=False).astype(np.float32), b.column(5).to_numpy(zero_copy_only=False)]
+            cols = [b.column(q).to_numpy(zero_copy_only=False) for q in (0, 1)] + [np.array(b.column(2).to_pylist(), object), b.column(3).to_numpy(zero_copy_only=False).astype(np.float32), b.column(4).to_numpy(zero_copy_only=False)]
             cols = cols if rest is None else [np.concatenate([r, c]) for r, c in zip(rest, cols)]
             whole = int(np.searchsorted(cols[0], cols[0][-1]))  # the last centre may go on
             rest = [c[whole:] for c in cols]
@@ -197,13 +203,13 @@ def descended(graph: DataFrame, reps: DataFrame, turn: int, k: int = LIST, group
             yield from ready(rest, flush)
 
     def ready(cols, flush):
-        lengths = np.array([len(x) for x in cols[3]])
+        lengths = np.array([len(x) for x in cols[2]])
         for n in np.unique(lengths):  # vectors of one length at a time
             pick = lengths == n
-            h = np.frombuffer(b"".join(cols[3][pick]), np.float16).reshape(-1, n // 2)
-            yield from flush(cols[0][pick], cols[1][pick], cols[2][pick], h, cols[4][pick], cols[5][pick])
+            h = np.frombuffer(b"".join(cols[2][pick]), np.float16).reshape(-1, n // 2)
+            yield from flush(cols[0][pick], cols[1][pick], h, cols[3][pick], cols[4][pick])
 
-    seats = seats.select("c", "m", "label", "h", F.coalesce("least", F.lit(-2.0)).cast("float").alias("least"), F.coalesce("group", "m").alias("group"))
+    seats = seats.select("c", "m", "h", F.coalesce("least", F.lit(-2.0)).cast("float").alias("least"), F.coalesce("group", "m").alias("group"))
     fresh = seats.repartition("c").sortWithinPartitions("c").mapInArrow(run, GRAPH)
     return best(graph.unionByName(fresh), k, groups)
 
@@ -226,7 +232,7 @@ def _matrix_or_rows(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, np.float64) for x in column.to_pylist()]
 
 
-def audited(reps: DataFrame, groups: DataFrame, cosine: float = COSINE, sample: int = AUDIT) -> float:
+def audited(reps: DataFrame, groups: DataFrame, cosine: float = COSINE, sample: int = AUDIT, most: int = AUDIT_MOST) -> float:
     """The share of links of a sample of vectors, found by comparing them with all, whose ends are in one group (1 if none)."""
     spark = reps.sparkSession
     some = [(r.rep, r.label, bytes(r.x)) for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("rep", "label", "x").collect()]  # bounded by `sample`
@@ -251,6 +257,9 @@ def audited(reps: DataFrame, groups: DataFrame, cosine: float = COSINE, sample:
     g = groups.select("node", "component")
     both = true.join(g.withColumnsRenamed({"node": "a", "component": "ga"}), "a", "left").join(g.withColumnsRenamed({"node": "b", "component": "gb"}), "b", "left")
     n, ok = both.agg(F.count("*"), F.coalesce(F.sum(F.coalesce((F.col("ga") == F.col("gb")).cast("int"), F.lit(0))), F.lit(0))).first()
+    if n < AUDIT_LINKS and len(some) == sample and sample * 4 <= most:
+        return audited(reps, groups, cosine, sample * 4, most)
+    _log.info("recall %s over %s links of %s vectors", ok / n if n else None, n, len(some))
     return ok / n if n else 1.0
 
 
@@ -305,10 +314,13 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, k: int = LIST, roun
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label).
 
     Rows that link with nothing (null label or vector, non-finite or zero vectors) stand alone and are kept. Equal vectors
-    of a label link with each other. Repeated vec_ids count as vectors of their own with one id.
+    of a label link with each other. Repeated vec_ids count as vectors of their own with one id; null ones count as the
+    largest.
     """
-    members, reps = distinct_vectors(rows)
-    graph = first_graph(reps, k)
+    every, members, reps = distinct_vectors(rows)
+    largest = reps.groupBy("label").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    orders = max(ORDERS, math.ceil(ORDERS + 1.3 * math.log10(largest / 20_000)))  # keeps the chance that near vectors share a run
+    graph = first_graph(reps, k, orders=orders)
     for done in range(rounds):
         nxt = written(descended(graph, reps, done, k), "graph")
         dropped(graph)
@@ -319,13 +331,13 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, k: int = LIST, roun
     done = rounds
     while True:
         # lists of neighbours outside the groups, until a turn joins no two of them
-        seeds = first_graph(one_of_each_group(reps, groups, done), k, seed=SEED + ORDERS * done)
+        seeds = first_graph(one_of_each_group(reps, groups, done), k, orders=orders, seed=SEED + orders * (done + 1))
         for turn in range(rounds):
             nxt = written(descended(graph if turn else best(graph.unionByName(seeds), k, groups), reps, done, k, groups), "graph")
             dropped(graph)
             graph, done = nxt, done + 1
         dropped(seeds)
-        new = written(beside(near().select(F.lit(0).alias("label"), F.col("a").alias("u"), F.col("b").alias("v"), F.lit(0.0).alias("s")), groups).where("not inside").select(F.col("u").alias("a"), F.col("v").alias("b")), "links")
+        new = written(beside(near().select(F.col("a").alias("u"), F.col("b").alias("v"), F.lit(0.0).alias("s")), groups).where("not inside").select(F.col("u").alias("a"), F.col("v").alias("b")), "links")
         if new.isEmpty():
             if audited(reps, groups, cosine) >= recall:
                 break
@@ -335,12 +347,14 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, k: int = LIST, roun
         edges = written(edges.unionByName(new), "links")
         groups = written(components(edges), "groups")
     found = link_counts(reps, groups, cosine)
-    info = reps.select("rep", "n").join(found, "rep", "left").join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    info = info.select("rep", (F.col("n") - 1 + F.coalesce("n_other", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = members.join(info, "rep").select("vec_id", "n_links", "component_id")
-    out = rows.select(F.col("vec_id").cast("long").alias("vec_id")).join(linked.distinct(), "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    own = groups.select(F.col("node").alias("rep"), "component")
+    first = reps.select("rep", "first").join(own, "rep").groupBy("component").agg(F.min("first").alias("least"))
+    info = reps.select("rep", "first", "n").join(found, "rep", "left").join(own, "rep", "left").join(first, "component", "left")
+    info = info.select("rep", (F.col("n") - 1 + F.coalesce("n_other", F.lit(0))).alias("n_links"), F.coalesce("least", "first").alias("component_id"))
+    linked = members.join(info, "rep").select("key", "n_links", "component_id")
+    out = every.join(linked, "key", "left")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op4_nn_descent_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "embeddings"))
+    return finished(spark, lambda: near_duplicates(table(spark, sf_dir, "embeddings")), "op4")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bounded, components, table, texts, tidy, written
+from .common import bounded, components, finished, table, texts, tidy, written
 from .words import parts
 
 DISTANCE, SHINGLE, SEED, CROWD, SHARE = 4, 4, 42, 16_384, 16
@@ -190,4 +190,4 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
 
 
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return finished(spark, lambda: near_duplicates(table(spark, sf_dir, "documents")), "op8")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table, texts, written
+from .common import dropped, fresh_path, table, texts, written
 from .words import encoder, slices, tokenizer_path
 
 MAX_BITS, STEP, BLOCK_IDS = 16, 256, 1 << 18
@@ -217,6 +217,7 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, end_id: int = 1, *
         .mapInArrow(run, BLOCKS)
         .write.parquet(f"{path}/blocks")
     )
+    dropped(tokens)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:

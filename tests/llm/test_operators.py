@@ -264,6 +264,22 @@ def test_embeddings_equal_all_pairs(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_with_repeated_ids_and_named_labels(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [1.0, 0.001], "a"), (3, [1.0, 0.0], "b"), (None, [0.0, 1.0], "a"), (None, None, "a"), (5, [2.0, 0.0], "a"), (4, [0.0, 0.0], "a")]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").withColumn("key", F.lit(1)))
+    want = [(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 0, 3, True), (None, 1, 1, False), (None, 0, None, True), (5, 2, 1, False), (4, 0, 4, True)]
+    assert sorted(map(str, (tuple(x) for x in got.collect()))) == sorted(map(str, want))
+
+
+def test_audit_looks_on_until_it_has_seen_links(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(2000, 16))
+    x[1990:] = x[0] + 0.001 * r.normal(size=(10, 16))
+    _, _, reps = embedding_dedup.distinct_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"))
+    none = spark.createDataFrame([], "node long, component long")
+    assert embedding_dedup.audited(reps, none) == 0.0  # no group holds any of the links, which few vectors have
+
+
 def test_links_between_two_large_clusters_are_found(spark):
     r = np.random.default_rng(14)
     a = r.normal(size=32)
