@@ -9,20 +9,24 @@ three ways against its alphabet of k symbols. A run that no encoding fits is tes
 What is sought are strings that ARE random, so each test's null hypothesis is a departure at least as large as text or
 counters show (DEPARTURE for chi-squared as a share of n, EFFECT for the other two); a string is random by a test if the
 departure is significantly smaller. Short strings cannot show that, long ones can: the length decides how strong the
-evidence is. The three are combined by their largest p-value (all must hold), and Benjamini-Hochberg at rate FDR over
-the candidates of all documents sets the cut. For it p-values are rounded up, to a multiple of 1/BINS or a power of
+evidence is. The three are combined by their largest p-value (all must hold). Benjamini-Hochberg at rate FDR sets a cut for
+each class of lengths (from 2^c to under 2^(c+1) characters) over the candidates of all documents, so the many short ones
+neither drown nor carry the long ones. For it p-values are rounded up, to a multiple of 1/BINS or a power of
 10**(1/DECADE), whichever is nearer: small ones keep their strength, and the histogram has a bounded number of rows,
 whatever the corpus.
+
+Arrays grow by copying, so whatever walks along a text's matches does it in blocks of the root of their number (`folded`),
+and texts are cut out of chunks: some tens of thousands of secrets in a text of megabytes take seconds.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import finished, table, written
 
 ASSIGN = (
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
@@ -34,6 +38,8 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_CHARS, BINS, FDR, EFFECT = 20, 10_000, 0.05, 0.5
 #: Steps of a decade for small p-values, and the z-score beyond which nothing counts as stronger (p about 1e-89).
 DECADE, FAR = 100, 20.0
+#: code points of a chunk of text to splice from
+CHUNK = 1024
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: name, what the whole string must match, alphabet in order, departure of ordinary strings (chi-squared / n)
 ENCODINGS = (
@@ -63,37 +69,53 @@ def rounded_up(p: Column) -> Column:
     return F.least(F.ceil(p * BINS) / BINS, F.pow(F.lit(10.0), F.ceil(F.log10(p) * DECADE) / DECADE))
 
 
+def let(value: Column, body) -> Column:
+    """`value` worked out once and used in body."""
+    return F.transform(F.array(value), body)[0]
+
+
+def folded(items: Column, state: Column, kind: str, step) -> Column:
+    """All that step(state, item), a pair of the next state and an array<kind>, gives along the items, one after another."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc, x):
+        after, got = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.concat(acc["got"], got).alias("got"))
+
+    def block(acc, some):
+        mine = F.aggregate(some, F.struct(acc["state"].alias("state"), none.alias("got")), one)
+        return let(mine, lambda m: F.struct(m["state"].alias("state"), F.concat(acc["got"], m["got"]).alias("got")))
+
+    def over(items):
+        size = F.ceil(F.sqrt(F.size(items))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(items), size), lambda k: F.slice(items, k, size))
+        return F.when(F.size(items) > 0, F.aggregate(blocks, F.struct(state.alias("state"), none.alias("got")), block, lambda a: a["got"])).otherwise(none)
+
+    return let(items, over)
+
+
 def found(text: Column, pattern: str, group: int | None = None) -> Column:
     """All matches as (start, end, value, group) in code points, from the matches and the stretches between them."""
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
-    rows = F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap"), inner.alias("inner"))
-    item = "struct<start:bigint,end:bigint,value:string,part:string>"
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(None).cast(f"array<{item}>").alias("got"))
+    rows = let(hits, lambda h: F.arrays_zip(h.alias("hit"), F.slice(gaps, 1, F.size(h)).alias("gap"), (inner if group else h).alias("inner")))
 
-    def step(acc, x):
-        a = acc["at"] + F.length(x["gap"])
+    def step(at, x):
+        a = at + F.length(x["gap"])
         b = a + F.length(x["hit"])
-        one = F.struct(a.alias("start"), b.alias("end"), x["hit"].alias("value"), x["inner"].alias("part"))
-        return F.struct(b.alias("at"), F.concat(F.coalesce(acc["got"], F.array().cast(f"array<{item}>")), F.array(one)).alias("got"))
-
-    return F.coalesce(F.aggregate(rows, start, step, lambda a: a["got"]), F.array().cast(f"array<{item}>"))
+        return b, F.array(F.struct(a.alias("start"), b.alias("end"), x["hit"].alias("value"), x["inner"].alias("part")))
 
-
-def _place(alphabet: str):
-    return lambda c: F.instr(F.lit(alphabet), c) - 1
+    return folded(rows, F.lit(0).cast("bigint"), "struct<start:bigint,end:bigint,value:string,part:string>", step)
 
 
 def randomness(value: Column) -> Column:
     """The combined p-value of a string, small if it is random; null if no encoding fits."""
-    chars = F.split(value, "")
-    out = None
+    which = None
     for _, shape, alphabet, departure in ENCODINGS:
-        k = len(alphabet)
-        x = F.transform(chars, _place(alphabet))
-        p = _battery(x, k, departure)
-        out = F.when(value.rlike(shape), p) if out is None else out.when(value.rlike(shape), p)
-    return out
+        one = F.struct(F.lit(alphabet).alias("alphabet"), F.lit(len(alphabet)).alias("k"), F.lit(departure).alias("departure"))
+        which = F.when(value.rlike(shape), one) if which is None else which.when(value.rlike(shape), one)
+    places = lambda e: F.transform(F.split(value, ""), lambda c: F.instr(e["alphabet"], c) - 1)
+    return let(which, lambda e: F.when(e.isNotNull(), _battery(places(e), e["k"], e["departure"])))
 
 
 def fits(value: Column) -> Column:
@@ -110,17 +132,24 @@ def _at(start: Column, end: Column, value: Column) -> Column:
     return F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
 
 
-def beside(run: Column, base: Column) -> Column:
-    """What is left of a run (start, end, value) beside the base spans (sorted by start), where long enough."""
+def beside(runs: Column, base: Column) -> Column:
+    """What is left of the runs (start, end, value) beside the base spans (start, kind, end), where long enough; one walk along both."""
+    item = lambda x, kind, value: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), value.alias("value"))
+    last = F.struct(*(F.lit(2**62).cast("bigint").alias(c) if c != "kind" else F.lit(0).alias(c) for c in ("start", "kind", "end")), F.lit("").alias("value"))
+    both = F.array_sort(F.concat(F.transform(base, lambda b: item(b, 0, F.lit(""))), F.transform(runs, lambda r: item(r, 1, r["value"])), F.array(last)))
     none = F.array().cast(f"array<{ITEM}>")
+    zero = F.struct(*(F.lit(0).cast("bigint").alias(c) for c in ("cover", "first", "at", "end")), F.lit("").alias("value"))
 
-    def piece(a, b):
-        some = F.array(_at(a, b, F.substring(run["value"], (a - run["start"] + 1).cast("int"), (b - a).cast("int"))))
-        return F.when(b - a >= MIN_CHARS, some).otherwise(none)
+    def step(s, x):
+        """The open run is left from `at` to `end`; a base span or the next run takes what lies before it."""
+        upto = F.least(x["start"], s["end"])
+        piece = F.array(_at(s["at"], upto, F.substring(s["value"], (s["at"] - s["first"] + 1).cast("int"), (upto - s["at"]).cast("int"))))
+        cover = F.greatest(s["cover"], x["end"])
+        after = F.when(x["kind"] == 0, F.struct(cover.alias("cover"), s["first"].alias("first"), F.greatest(s["at"], x["end"]).alias("at"), s["end"].alias("end"), s["value"].alias("value")))
+        after = after.otherwise(F.struct(s["cover"].alias("cover"), x["start"].alias("first"), F.greatest(x["start"], s["cover"]).alias("at"), x["end"].alias("end"), x["value"].alias("value")))
+        return after, F.when(upto - s["at"] >= MIN_CHARS, piece).otherwise(none)
 
-    start = F.struct(run["start"].alias("at"), none.alias("got"))
-    inside = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-    return F.aggregate(inside, start, lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), F.concat(a["got"], piece(a["at"], b["start"])).alias("got")), lambda a: F.concat(a["got"], piece(a["at"], run["end"])))
+    return F.when(F.size(runs) > 0, folded(both, zero, ITEM, step)).otherwise(none)
 
 
 def pieces(run: Column) -> Column:
@@ -151,10 +180,8 @@ def pieces(run: Column) -> Column:
     return F.when(fits(run["value"]), F.array(_at(run["start"], run["end"], run["value"]))).otherwise(F.coalesce(some, none))
 
 
-def _battery(x: Column, k: int, departure: float) -> Column:
-    def let(value: Column, body):
-        """`value` worked out once and used in body."""
-        return F.transform(F.array(value), body)[0]
+def _battery(x: Column, k: Column, departure: Column) -> Column:
+    half = F.floor(k / 2)
 
     def whole(x):
         n = F.size(x).cast("double")
@@ -164,7 +191,7 @@ def _battery(x: Column, k: int, departure: float) -> Column:
         start = F.struct(*(F.lit(0.0).alias(c) for c in ("high", "runs", "s", "ss", "sxy")), F.lit(-1).alias("prev"))
 
         def step(a, c):
-            high, before = (c >= k // 2).cast("double"), (a["prev"] >= k // 2).cast("double")
+            high, before = (c >= half).cast("double"), (a["prev"] >= half).cast("double")
             new = ((a["prev"] < 0) | (high != before)).cast("double")
             v = c.cast("double")
             pair = F.when(a["prev"] < 0, 0.0).otherwise(v * a["prev"])
@@ -207,27 +234,39 @@ def scanned(docs: DataFrame, carry: bool = False) -> DataFrame:
     keep = ["doc_id", "row"] if carry else ["doc_id"]
     base = docs.select("doc_id", *([F.struct(*docs.columns).alias("row")] if carry else []), F.concat(spans(0, assign), spans(1, access), spans(2, hexes)).alias("base"), codes.alias("__codes"))
     # what overlaps a base span is reported already
-    fresh = F.flatten(F.transform("__codes", lambda c: F.flatten(F.transform(beside(c, F.array_sort("base")), pieces))))
+    fresh = F.flatten(F.transform(beside(F.col("__codes"), F.col("base")), pieces))
     tried = F.transform(fresh, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), randomness(c["value"]).alias("p")))
     return base.select(*keep, "base", F.filter(tried, lambda t: t["p"].isNotNull()).alias("tried"))
 
 
-def cut(tried: DataFrame, fdr: float = FDR) -> float:
-    """The largest p-value that Benjamini-Hochberg lets pass over all candidates; 0 if none."""
-    from pyspark.sql import Window
+def length_class(t: Column) -> Column:
+    return F.floor(F.log2(t["end"] - t["start"])).cast("int")
+
 
-    per = tried.select(F.explode("tried.p").alias("p")).groupBy(rounded_up(F.col("p")).alias("bin")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("bin"))  # at most BINS + 89 * DECADE rows
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    got = per.select("bin", upto.alias("upto"), total.alias("total")).where(F.col("bin") * F.col("total") <= fdr * F.col("upto")).agg(F.max("bin")).first()[0]
-    return got or 0.0
+def cuts(tried: DataFrame, fdr: float = FDR) -> dict[int, float]:
+    """For each class of lengths the largest p-value that Benjamini-Hochberg lets pass over all its candidates, if any."""
+    per = tried.select(F.explode("tried").alias("t")).groupBy(length_class(F.col("t")).alias("class"), rounded_up(F.col("t.p")).alias("bin")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("class").orderBy("bin"))  # at most BINS + 89 * DECADE rows a class
+    total = F.sum("n").over(Window.partitionBy("class"))
+    got = per.select("class", "bin", upto.alias("upto"), total.alias("total")).where(F.col("bin") * F.col("total") <= fdr * F.col("upto"))
+    return {r["class"]: r.most for r in got.groupBy("class").agg(F.max("bin").alias("most")).collect()}
 
 
 def secret_spans(docs: DataFrame, fdr: float = FDR, carry: bool = False) -> DataFrame:
-    """doc_id, `base` and `spans` (start, kind's place in KINDS, end; by start, then kind) of every row; with carry also the row."""
+    """doc_id, `base` and `spans` (start, kind's place in KINDS, end; by start, then kind) of every row; with carry also the row.
+
+    Null texts have none; null and repeated doc_ids are rows like any others.
+    """
     seen = written(scanned(docs, carry), "secrets")
-    most = cut(seen, fdr)
-    more = F.transform(F.filter("tried", lambda t: rounded_up(t["p"]) <= most), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    limits = sorted(cuts(seen, fdr).items())
+
+    def passes(t):
+        most = F.lit(0.0)
+        for c, p in limits:
+            most = F.when(length_class(t) == c, p).otherwise(most)
+        return rounded_up(t["p"]) <= most
+
+    more = F.transform(F.filter("tried", passes), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
     return seen.select("doc_id", *(["row"] if carry else []), F.array_sort("base").alias("base"), F.array_sort(F.concat("base", more)).alias("spans"))
 
 
@@ -247,14 +286,24 @@ def redacted(docs: DataFrame, mark: str = "[secret]", fdr: float = FDR) -> DataF
     Documents without a span stay as they are. Rows keep their spans with them, so null and repeated doc_ids do no harm.
     """
     rows, old = secret_spans(docs, fdr, carry=True), F.col("row.text")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
-    def step(a, s):
-        inside = s["start"] < a["at"]
-        gap = F.substring(old, (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
-        return F.struct(F.when(inside, a["out"]).otherwise(F.concat(a["out"], gap, F.lit(mark))).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
+    def spliced(chunks):
+        def piece(a, b):
+            """Code points a to b, from the chunks they lie in."""
+            i, j = F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int")
+            of = lambda k, lo, n: F.substring(F.get(chunks, k), lo.cast("int"), n.cast("int"))
+            far = F.concat(of(i, a - i * CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, i + 2, j - i - 1), ""), of(j, F.lit(1), b - j * CHUNK))
+            return F.when(b <= a, "").when(i == j, of(i, a - i * CHUNK + 1, b - a)).otherwise(far)
+
+        def step(at, s):
+            new = F.when(s["kind"] < 0, F.array(piece(at, s["start"]))).otherwise(F.array(piece(at, s["start"]), F.lit(mark)))
+            return F.greatest(at, s["end"]), F.when(s["start"] < at, F.array().cast("array<string>")).otherwise(new)
+
+        end = F.length(old).cast("bigint")
+        last = F.struct(end.alias("start"), F.lit(-1).alias("kind"), end.alias("end"))
+        return F.array_join(folded(F.concat("spans", F.array(last)), F.lit(0).cast("bigint"), "string", step), "")
 
-    text = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(old, (a["at"] + 1).cast("int"), F.length(old))))
+    text = let(F.regexp_extract_all(old, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), spliced)
     plain = F.size("spans") == 0
     done = rows.select("row", F.when(plain, old).otherwise(text).alias("__text"), plain.alias("__plain"))
     out = done.select("row.*", "__text", "__plain").withColumn("text", F.col("__text"))
@@ -264,4 +313,4 @@ def redacted(docs: DataFrame, mark: str = "[secret]", fdr: float = FDR) -> DataF
 
 
 def op10_randomness_battery_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(secret_spans(table(spark, sf_dir, "documents")))
+    return finished(spark, lambda: digest(secret_spans(table(spark, sf_dir, "documents"))), "op10")
