@@ -1,7 +1,8 @@
 """From documents to packed training sequences: five stages, each on all that the one before kept.
 
 toxicity          documents that the factorization machine rejects go
-simhash           of each group of near duplicates the one with the smallest doc_id stays
+simhash           of each group of near duplicates the one with the smallest doc_id stays; fingerprints of five-word shingles that
+                  differ in at most 5 of 64 bits link (the README says which share of 0.8-similar texts that finds)
 decontamination   documents that repeat a test item go
 secrets           spans that the scan finds are replaced by a mark; the documents stay
 packing           what is left, as pieces of sequences
@@ -12,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.llm import decontaminate, packing, secrets, simhash, toxicity
-from maskwright.llm.common import table, written
+from maskwright.llm.common import dropped, finished, table
 from maskwright.llm.words import tokenizer_path
 
 #: Trained and pairwise stages have no SQL; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
+#: three segments find all pairs of up to 5 differing bits, at the price of 4
+NEAR_WORDS, NEAR_BITS = 5, 5
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +28,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, distance=NEAR_BITS, shingle=NEAR_WORDS)
 
 
 def without_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +53,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's table is deleted once the next one stands."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = finished(spark, lambda: stage(spark, docs, sf_dir), f"stage-{name}")  # noqa: B023
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
