@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import components, dropped, finished, table, written
 
-COSINE, LIST, CHUNK, ORDERS, ROUNDS, MAX_ROUNDS, SLACK, SHARE, RECALL, SEED = 0.98, 8, 24, 3, 2, 24, 0.004, 16, 0.99, 11
+COSINE, LIST, CHUNK, ORDERS, ROUNDS, MAX_ROUNDS, SLACK, SHARE, RECALL, SEED = 0.98, 8, 24, 6, 2, 24, 0.004, 16, 0.99, 11
 AUDIT, AUDIT_LINKS, AUDIT_MOST = 256, 200, 16_384
 _log = logging.getLogger(__name__)
 GRAPH = "u long, v long, s float"
@@ -331,7 +331,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, k: int = LIST, roun
     done = rounds
     while True:
         # lists of neighbours outside the groups, until a turn joins no two of them
-        seeds = first_graph(one_of_each_group(reps, groups, done), k, orders=orders, seed=SEED + orders * (done + 1))
+        seeds = first_graph(one_of_each_group(reps, groups, done), k, orders=orders // 2, seed=SEED + orders * (done + 1))
         for turn in range(rounds):
             nxt = written(descended(graph if turn else best(graph.unionByName(seeds), k, groups), reps, done, k, groups), "graph")
             dropped(graph)

@@ -6,9 +6,10 @@ and their beginnings of 4 to 6 letters (inflected insults share a stem), hashed
 text, so length does not add up. The machine is fitted to at most MAX_ROWS labelled documents, those smallest by a hash
 of their id, texts of the same words once. Every hashed term of at least MIN_TEXTS of these texts takes part, in turn:
     1. terms whose own rates differ between the labels by more than CLEAR standard errors, and the machine over them;
-    2. on what that leaves unexplained, factors of all terms: they are driven along the loss's gradient on one half of
-       the texts, with a growing threshold, and tested on the other half (CLEAR standard errors again). So terms that
-       say nothing alone but much in company are found, and what fits one half only is not;
+    2. on what that leaves unexplained, factors of all terms: each is driven along the loss's gradient on one half of the
+       texts, with a threshold that grows until it rests on at most SUPPORT terms, and tested on the other half (CLEAR
+       standard errors again). So terms that say nothing alone but much in company are found; what fits one half only is
+       not, nor what whole kinds of texts share, which rests on many terms;
     3. the machine over the terms of both kinds.
 Everything is scored.
 """
@@ -28,7 +29,9 @@ from .common import bounded, dropped, table, texts, tidy, written
 from .words import parts
 
 MAX_ROWS, BUCKETS, FACTORS, THRESHOLD, FOLDS, HELD = 20_000, 1 << 30, 4, 0.3, 4, 2
-STEMS, CLEAR, MIN_TEXTS, SCREEN_FACTORS, SCREEN_ROUNDS = (4, 5, 6), 5.0, 3, 8, 12
+STEMS, CLEAR, MIN_TEXTS, SCREEN_FACTORS, SUPPORT = (4, 5, 6), 5.0, 3, 8, 64
+#: what a factor's standing out must exceed, round by round; after that 1.3 times more each
+SCREEN = (0, 0, 0, 0, 0, 0, 0.5, 1, 1.5, 2, 2.5, 3)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -61,111 +64,128 @@ class Machine:
             at = np.unique(np.array(at, np.int64))  # in fixed order; a term counts once
             s = self.v[at].sum(0)
             z = self.w0 + self.w[at].sum() + 0.5 * ((s * s).sum() - (self.v[at] ** 2).sum())
-            out[k] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            out[k] = probability(z)
         return out
 
-    def score_terms(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Scores of texts whose hashed terms are known."""
-        ids = np.fromiter(self.index, np.int64, len(self.index))
-        out = np.full(len(rows), self.w0)
-        for k, r in enumerate(rows):
-            if len(ids):
-                at = np.searchsorted(ids, r)
-                at = at[ids[np.minimum(at, len(ids) - 1)] == r]
-                s = self.v[at].sum(0)
-                out[k] += self.w[at].sum() + 0.5 * ((s * s).sum() - (self.v[at] ** 2).sum())
-        return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-
-
-def fit(rows: list[np.ndarray], labels: np.ndarray, ids: np.ndarray, factors: int = FACTORS, steps: int = 150, seed: int = 5) -> Machine:
-    """Full-batch Adam on the logistic loss with L2, over the terms in ids (sorted)."""
-    y = labels.astype(np.float64)
-    rate = (y.sum() + 0.5) / (len(y) + 1)
-    base = float(np.log(rate / (1 - rate)))
-    if not len(ids):
-        return Machine(base, np.zeros(1), np.zeros((1, factors)), {})
-    # the ones of the matrix: row and column of each
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.searchsorted(ids, np.concatenate([np.zeros(0, np.int64), *rows]))
 
-    def summed(to: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(to, values, n) if values.ndim == 1 else _summed(to, values, n)
+class Cells:
+    """The ones of a matrix of texts and terms: row and column of each."""
 
-    rng = np.random.default_rng(seed)
-    par = [np.array([base]), np.zeros(len(ids)), rng.normal(0, 0.05, (len(ids), factors))]
+    def __init__(self, at: np.ndarray, col: np.ndarray, rows: int, terms: int):
+        self.at, self.col, self.rows, self.terms = at.astype(np.int32), col.astype(np.int32), rows, terms
+
+    def by_row(self, v: np.ndarray) -> np.ndarray:
+        return self._summed(self.at, self.col, v, self.rows)
+
+    def by_term(self, r: np.ndarray) -> np.ndarray:
+        return self._summed(self.col, self.at, r, self.terms)
+
+    @staticmethod
+    def _summed(to: np.ndarray, of: np.ndarray, values: np.ndarray, n: int, chunk: int = 1 << 22) -> np.ndarray:
+        out = np.zeros(n)
+        for lo in range(0, len(to), chunk):
+            out += np.bincount(to[lo : lo + chunk], values[of[lo : lo + chunk]], n)
+        return out
+
+    def some(self, terms: np.ndarray) -> Cells:
+        mine = terms[self.col]
+        return Cells(self.at[mine], (np.cumsum(terms) - 1)[self.col[mine]], self.rows, int(terms.sum()))
+
+    def half(self, rows: np.ndarray) -> Cells:
+        mine = rows[self.at]
+        return Cells(self.at[mine], self.col[mine], self.rows, self.terms)
+
+
+def odds(cells: Cells, w0: float, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    out = w0 + cells.by_row(w) - 0.5 * cells.by_row((v * v).sum(0))
+    for f in v:
+        out += 0.5 * cells.by_row(f) ** 2
+    return out
+
+
+def probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def fit(cells: Cells, y: np.ndarray, factors: int = FACTORS, steps: int = 150, seed: int = 5) -> tuple[float, np.ndarray, np.ndarray]:
+    """w0, w and v (factors x terms) by full-batch Adam on the logistic loss with L2; a factor at a time, so memory is a few times the cells."""
+    rate = (y.sum() + 0.5) / (len(y) + 1)
+    base = float(np.log(rate / (1 - rate)))
+    par = [np.array([base]), np.zeros(cells.terms), np.random.default_rng(seed).normal(0, 0.05, (factors, cells.terms))]
     l2, m, s = (0.0, 2e-4, 2e-3), [np.zeros_like(q) for q in par], [np.zeros_like(q) for q in par]
-    for step in range(1, steps + 1):
+    for step in range(1, (steps if cells.terms else 0) + 1):
         w0, w, v = par
-        xv = summed(at, v[col], len(rows))
-        out = w0[0] + summed(at, w[col], len(rows)) + 0.5 * ((xv**2).sum(1) - summed(at, (v**2).sum(1)[col], len(rows)))
-        g = (1 / (1 + np.exp(-np.clip(out, -30, 30))) - y) / len(y)
-        gx = summed(col, g[at], len(ids))
-        grads = [np.array([g.sum()]), gx + l2[1] * w, summed(col, (g[:, None] * xv)[at], len(ids)) - gx[:, None] * v + l2[2] * v]
-        for k, d in enumerate(grads):
+        g = (probability(odds(cells, w0[0], w, v)) - y) / len(y)
+        gx = cells.by_term(g)
+        gv = np.stack([cells.by_term(g * cells.by_row(f)) - gx * f for f in v])
+        for k, d in enumerate((np.array([g.sum()]), gx + l2[1] * w, gv + l2[2] * v)):
             m[k] = 0.9 * m[k] + 0.1 * d
             s[k] = 0.999 * s[k] + 0.001 * d * d
             par[k] = par[k] - 0.05 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-9)
-    return Machine(float(par[0][0]), par[1], par[2], {int(i): k for k, i in enumerate(ids)})
+    return float(par[0][0]), par[1], par[2]
 
 
-def _summed(to: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(to, c, n) for c in values.T], axis=1)
-
-
-def clear_alone(cols: list[np.ndarray], y: np.ndarray, n_terms: int) -> np.ndarray:
+def clear_alone(cells: Cells, y: np.ndarray) -> np.ndarray:
     """Which terms' rates differ between the labels by more than CLEAR standard errors."""
     n, pos = len(y), y.sum()
     if not pos or pos == n:
-        return np.zeros(n_terms, bool)
-    at = np.concatenate([np.zeros(0, np.int64), *cols])
-    df, df1 = np.bincount(at, minlength=n_terms), np.bincount(at, np.repeat(y, [len(c) for c in cols]), n_terms)
+        return np.zeros(cells.terms, bool)
+    df, df1 = cells.by_term(np.ones(n)), cells.by_term(y)
     p = df / n
     se = np.sqrt(p * (1 - p) * (1 / pos + 1 / (n - pos)))
     return np.abs(df1 / pos - (df - df1) / (n - pos)) > CLEAR * np.maximum(se, 1e-12)
 
 
-def clear_together(cols: list[np.ndarray], rest: np.ndarray, n_terms: int, seed: int = 5) -> np.ndarray:
-    """Which terms interact: their factors, found on one half of the texts, explain `rest` (label less score) on the other.
+def clear_together(cells: Cells, rest: np.ndarray, seed: int = 5) -> np.ndarray:
+    """Which terms interact: factors found on one half of the texts that explain `rest` (label less score) on the other.
 
-    The gradient of the loss by a term's factors is a sum over its texts of rest times the other terms' factors; set
-    again and again to what of it stands out, factors grow along interactions and vanish elsewhere.
+    The gradient of the loss by a term's factor is a sum over its texts of rest times the other terms' factors; set again
+    and again to what of it stands out, a factor grows along an interaction and vanishes elsewhere.
     """
     rng = np.random.default_rng(seed)
-    half, keep = rng.permutation(len(cols)) % 2, np.zeros(n_terms, bool)
+    half, keep = rng.permutation(cells.rows) % 2, np.zeros(cells.terms, bool)
 
     def part(k):
-        rows = [c for c, h in zip(cols, half) if h == k]
-        return np.repeat(np.arange(len(rows)), [len(x) for x in rows]), np.concatenate([np.zeros(0, np.int64), *rows]), rest[half == k]
-
-    def stands_out(at, col, r, v):
-        s, r = _summed(at, v[col], len(r)), r[:, None]
-        one, two = np.bincount(col, r[at, 0], n_terms)[:, None], np.bincount(col, r[at, 0] ** 2, n_terms)[:, None]
-        g = _summed(col, (r * s)[at], n_terms) - one * v  # without the term's own factor
-        var = _summed(col, (r * r * s * s)[at], n_terms) - 2 * v * _summed(col, (r * r * s)[at], n_terms) + v * v * two
+        return cells.half(half == k), np.where(half == k, rest, 0.0)
+
+    def stands_out(on, r, v):
+        s, r2 = on.by_row(v), r * r
+        g = on.by_term(r * s) - on.by_term(r) * v  # without the term's own factor
+        var = on.by_term(r2 * s * s) - 2 * v * on.by_term(r2 * s) + v * v * on.by_term(r2)
         return g / np.sqrt(np.maximum(var, 1e-12))
 
-    both = [part(0), part(1)]
     for a, b in ((0, 1), (1, 0)):
-        v = rng.normal(size=(n_terms, SCREEN_FACTORS))
-        for step in range(SCREEN_ROUNDS):
-            z = stands_out(*both[a], v)
-            v = np.sign(z) * np.maximum(np.abs(z) - 0.8 * CLEAR * step / (SCREEN_ROUNDS - 1), 0)
-            v /= np.maximum(np.sqrt((v * v).sum(0)), 1e-12)
-        keep |= ((np.abs(stands_out(*both[b], v)) > CLEAR) & (v != 0)).any(1)
+        mine, factors = part(a), []
+        for _ in range(SCREEN_FACTORS):
+            v = rng.normal(size=cells.terms)
+            for step in range(len(SCREEN) + 10):
+                least = SCREEN[step] if step < len(SCREEN) else 1.3 * least
+                z = stands_out(*mine, v)
+                v = np.sign(z) * np.maximum(np.abs(z) - least, 0)
+                v /= max(np.sqrt(v @ v), 1e-12)
+                if step >= len(SCREEN) - 1 and np.count_nonzero(v) <= SUPPORT:
+                    break
+            if 0 < np.count_nonzero(v) <= SUPPORT:
+                factors.append(v)
+        mine = part(b)
+        for v in factors:
+            keep |= (np.abs(stands_out(*mine, v)) > CLEAR) & (v != 0)
     return keep
 
 
-def trained(rows: list[np.ndarray], y: np.ndarray, ids: np.ndarray) -> Machine:
-    """The machine over the clear terms among ids (sorted), from the terms of each text and its label."""
-    cols = [np.searchsorted(ids, r) for r in rows]
-
-    def over(chosen):
-        return fit([r[chosen[c]] for r, c in zip(rows, cols)], y, ids[chosen])
-
-    chosen = clear_alone(cols, y, len(ids))
-    first = over(chosen)
-    more = clear_together(cols, y - first.score_terms(rows), len(ids)) if len(ids) else chosen
-    return over(chosen | more) if (more & ~chosen).any() else first
+def trained(cells: Cells, y: np.ndarray, ids: np.ndarray) -> Machine:
+    """The machine over the clear ones of all terms; ids: the hashed term of each column."""
+    chosen = clear_alone(cells, y)
+    own = cells.some(chosen)
+    got = fit(own, y)
+    if cells.terms and 0 < y.sum() < len(y):
+        more = clear_together(cells, y - probability(odds(own, *got)))
+        if (more & ~chosen).any():
+            chosen = chosen | more
+            got = fit(cells.some(chosen), y)
+    w0, w, v = got
+    index = {int(i): k for k, i in enumerate(ids[chosen])}
+    return Machine(w0, w if index else np.zeros(1), v.T if index else np.zeros((1, FACTORS)), index)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine:
@@ -204,15 +224,29 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mach
 
     def common(it):
         for b in it:
-            cells = [x[np.isin(x, ids)] for x in b.column(1).to_numpy(zero_copy_only=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.list_(pa.int32())), b.column(2)], ["doc_id", "terms", "toxic"])
+            cells = [_places(ids, x) for x in b.column(1).to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cells, pa.list_(pa.int32())), b.column(2)], ["doc_id", "at", "toxic"])
 
-    got = rows.select("doc_id", "terms", "toxic").mapInArrow(tidy(common), "doc_id long, terms array<int>, toxic int").toArrow()
+    got = rows.select("doc_id", "terms", "toxic").mapInArrow(tidy(common), "doc_id long, at array<int>, toxic int").toArrow()
     dropped(every)
     dropped(rows)
-    y, doc_ids, cells = got["toxic"].to_numpy(), got["doc_id"].to_numpy(), got["terms"].to_pylist()
-    order = np.lexsort((y, doc_ids))
-    return trained([np.array(cells[i], np.int64) for i in order], y[order].astype(np.float64), ids.astype(np.int64))
+    y, doc_ids = got["toxic"].to_numpy(), got["doc_id"].to_numpy()
+    rank = np.empty(len(y), np.int32)
+    rank[np.lexsort((y, doc_ids))] = np.arange(len(y), dtype=np.int32)  # one order, however the rows came
+    at = np.concatenate([np.zeros(0, np.int32), *(np.repeat(r, c.value_lengths().to_numpy(zero_copy_only=False)) for r, c in zip(np.split(rank, np.cumsum([len(c) for c in got["at"].chunks])[:-1]), got["at"].chunks))])
+    col = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in got["at"].chunks)])
+    del got
+    labels_of = np.empty(len(y))
+    labels_of[rank] = y
+    return trained(Cells(at, col, len(y), len(ids)), labels_of, ids)
+
+
+def _places(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where the members of ids (sorted) among x stand in it."""
+    if not len(ids):
+        return np.zeros(0, np.int32)
+    at = np.searchsorted(ids, x)
+    return at[ids[np.minimum(at, len(ids) - 1)] == x].astype(np.int32)
 
 
 def scored(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:

@@ -550,15 +550,15 @@ def test_factors_learn_an_interaction(spark):
     r = random.Random(3)
     filler = ["".join(r.choice("bdgklmnprst") + r.choice("aeiou") for _ in range(4)) for _ in range(60)]
     rows = []
-    for i in range(1200):
+    for i in range(2400):
         a, b = r.random() < 0.5, r.random() < 0.5
         words = r.sample(filler, 12) + ["vexed"] * a + ["quoted"] * b
         r.shuffle(words)
         rows.append((i, " ".join(words), int(a == b)))
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
-    m = toxicity.fitted(docs, spark.createDataFrame([(i, y) for i, _, y in rows if i < 900], "doc_id long, toxic int"))
+    m = toxicity.fitted(docs, spark.createDataFrame([(i, y) for i, _, y in rows if i < 1800], "doc_id long, toxic int"))
     got = {x.doc_id: x.score > 0.5 for x in toxicity.scored(docs, m).collect()}
-    assert sum(got[i] == bool(y) for i, _, y in rows if i >= 900) >= 285
+    assert sum(got[i] == bool(y) for i, _, y in rows if i >= 1800) >= 570
 
 
 def test_toxicity_with_repeated_and_null_ids(spark):
