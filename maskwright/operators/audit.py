@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,19 +12,35 @@ def stats(result: DataFrame, names: DataFrame) -> DataFrame:
         F.count("*").alias("total_files"),
         F.coalesce(F.sum(F.col("was_sanitized").cast("long")), F.lit(0)).alias("processed_files"),
         F.coalesce(F.sum((~F.col("was_sanitized")).cast("long")), F.lit(0)).alias("skipped_files"),
-        F.coalesce(F.sum(F.size("matches").cast("long")), F.lit(0)).alias("total_replacements"),
+        F.coalesce(F.sum(replacements(result)), F.lit(0)).alias("total_replacements"),
     )
     return per.crossJoin(names.agg(F.count("*").alias("unique_values")))  # one row each
 
 
+def replacements(result: DataFrame) -> Column:
+    """Replacements of a row at both levels, comments included."""
+    return sum((F.size(c).cast("long") for c in ("matches", "code_matches") if c in result.columns), F.lit(0).cast("long"))
+
+
 def occurrences(result: DataFrame) -> DataFrame:
-    return result.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+    """What was replaced, where: (doc_id, start, len, value, alias, rule_id, line). Of level 2 too, without comments, which have no
+    value; there rule_id is the category, and places are those of the original text."""
+    out = result.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+    if "code_matches" not in result.columns:
+        return out
+    code = result.select("doc_id", F.explode("code_matches").alias("m")).select("doc_id", "m.*").where("value <> ''")
+    return out.unionByName(code.withColumn("alias", F.regexp_extract("alias", r"[A-Z0-9]+_\d+", 0)))
 
 
 def source_map(result: DataFrame) -> DataFrame:
-    """(value, alias, rule_id of the first place, n, locations: doc_id, line, start, end in order)."""
+    """One row for each value: (value, alias, rule_id of the first place, n, first: doc_id, line, start, end). `locations` has all places."""
     one = occurrences(result).withColumn("at", F.struct("doc_id", "line", "start", (F.col("start") + F.col("len")).alias("end")))
-    return one.groupBy("value", "alias").agg(F.min_by("rule_id", "at").alias("rule_id"), F.count("*").alias("n"), F.array_sort(F.collect_list("at")).alias("locations"))
+    return one.groupBy("value", "alias").agg(F.min_by("rule_id", "at").alias("rule_id"), F.count("*").alias("n"), F.min("at").alias("first"))
+
+
+def locations(result: DataFrame) -> DataFrame:
+    """All places of all values as rows, so a common value fills no row: (value, alias, rule_id, doc_id, line, start, end)."""
+    return occurrences(result).select("value", "alias", "rule_id", "doc_id", "line", "start", (F.col("start") + F.col("len")).alias("end"))
 
 
 def xref(names: DataFrame, result: DataFrame) -> DataFrame:
@@ -47,11 +63,27 @@ def leaks(result: DataFrame, original: DataFrame, names: DataFrame) -> DataFrame
     return both.where(F.contains("content", "value")).select("doc_id", "value")
 
 
+def leaked_names(result: DataFrame, names: DataFrame, least: int = 3) -> DataFrame:
+    """(doc_id, value): words of any document that are values of the dictionary, of at least `least` characters and one word each.
+
+    Every word of every document meets the dictionary by equality, so a name that one file hides and another shows is seen.
+    """
+    words = result.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("value"))
+    return words.join(names.where(F.length("value") >= least).select("value").distinct(), "value").select("doc_id", "value")
+
+
 def file_counts(result: DataFrame) -> DataFrame:
-    return result.select("doc_id", F.size("matches").cast("long").alias("replacements"))
+    return result.select("doc_id", replacements(result).alias("replacements"))
 
 
 def by_severity(result: DataFrame, rules: DataFrame) -> DataFrame:
     """Replacements by severity and rule, with subtotals (an extension)."""
     r = rules.select("rule_id", "severity")
     return occurrences(result).join(F.broadcast(r), "rule_id").rollup("severity", "rule_id").agg(F.count("*").alias("n"))
+
+
+def xref_lines(names: DataFrame, result: DataFrame) -> DataFrame:
+    """The cross-reference as a Markdown table: (n, line) in order, numbered by a range-sorted pass, never in one task."""
+    rows = xref(names, result).select("alias", F.concat(F.lit("| "), "alias", F.lit(" | "), F.replace(F.regexp_replace("value", r"\\s+", " "), F.lit("|"), F.lit("\\|")), F.lit(" | "), F.col("occurrences").cast("string"), F.lit(" |")).alias("line"))
+    head = names.sparkSession.createDataFrame([("", "| Alias | Original | Occurrences |"), (" ", "|---|---|---|")], "alias string, line string")
+    return head.unionByName(rows).orderBy("alias").select("line")

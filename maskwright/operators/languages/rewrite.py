@@ -12,24 +12,28 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.naming import prefix_of
 from maskwright.operators.languages import cards, mainframe
-from maskwright.operators.sanitize import numbered, resolved
+from maskwright.operators.languages.tokens import KNOWN_BY_FAMILY
+from maskwright.operators.sanitize import ROW, keyed, numbered, resolved
 from maskwright.operators.scope import delegation_only, in_scope, processor_of
 from maskwright.sources.shared import written
 
-SPANS = "doc_id long, start int, len int, value string, category string, head string, tail string"
+SPANS = "__row long, doc_id long, start int, len int, value string, category string, family string, head string, tail string"
+#: languages whose files share the names they declare, and what is local to a routine
+FAMILIES = {"csharp": "dotnet", "vbnet": "dotnet", "fsharp": "dotnet"}
+LOCAL = ("Variable", "Parameter")
 
 
 def code_frames(docs: DataFrame) -> DataFrame:
-    """Spans of (doc_id, processor, content); see mainframe.spans for processors with a detail."""
+    """Spans of (ROW, doc_id, processor, content); see mainframe.spans for processors with a detail."""
 
     def run(it):
         names = [x.split()[0] for x in SPANS.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 4]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 5]
         for b in it:
-            rows = [(d, *s) for d, p, c in zip(*(col.to_pylist() for col in b.columns)) for s in mainframe.spans(c or "", p or "")]
+            rows = [(r, d, *s[:4], FAMILIES.get(p, p), *s[4:]) for r, d, p, c in zip(*(col.to_pylist() for col in b.columns)) for s in mainframe.spans(c or "", p or "")]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "processor", "content").mapInArrow(run, SPANS)
+    return docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "processor", "content").mapInArrow(run, SPANS)
 
 
 def detailed(processor: Column, content: Column, scope: set[str] | None) -> Column:
@@ -42,23 +46,34 @@ def detailed(processor: Column, content: Column, scope: set[str] | None) -> Colu
 def obfuscated(docs: DataFrame, scope: set[str] | None = None, fix_dispatch: bool = False, fixed_width: bool = False) -> tuple[DataFrame, DataFrame]:
     """Level 2 over (doc_id, path, content): names, literals and comments by language; the rewritten corpus and its dictionary.
 
-    Documents out of scope or without a processor stay as they are, but for the SQL embedded in COBOL and JCL. Uses of names
-    that no document declares stay. fixed_width puts COBOL and JCL lines back in their columns. `replacements` counts spans.
-    Needs unique doc_ids.
+    Documents out of scope or without a processor stay as they are, but for the SQL embedded in COBOL and JCL. A name that
+    another file declares is rewritten where it is used: in .NET languages types, members and namespaces of any of them,
+    in the others names of the same language, in mainframe sources any name. Uses of names that no document declares stay.
+    fixed_width puts COBOL and JCL lines back in their columns. `replacements` counts spans; `code_matches` lists them like
+    `matches`, with the category as rule_id and places in the original text.
     """
-    d = docs.withColumn("processor", processor_of(F.col("path"), F.col("content"), fix_dispatch))
+    out, names, _ = rewritten(docs, scope, fix_dispatch, fixed_width)
+    return out, names
+
+
+def rewritten(docs: DataFrame, scope: set[str] | None = None, fix_dispatch: bool = False, fixed_width: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As obfuscated, and the names that each document declares: (doc_id, path, value, alias, category)."""
+    d = keyed(docs.withColumn("processor", processor_of(F.col("path"), F.col("content"), fix_dispatch)), "sources")
     asked = d.withColumn("processor", detailed(F.col("processor"), F.col("content"), scope)).where("processor is not null")
     spans = written(code_frames(asked), "code-spans")
-    declared = spans.where(~F.col("category").isin("Comment", mainframe.KNOWN))
+    declared = spans.where(~F.col("category").isin("Comment", mainframe.KNOWN, KNOWN_BY_FAMILY))
     first = declared.groupBy("value").agg(F.min(F.struct("doc_id", "start", "category")).alias("f"))
     names = numbered(first.select("value", prefix_of(F.col("f.category")).alias("prefix"), "f.doc_id", "f.start", "f.category"), ["doc_id", "start"])
     names = written(names.select("value", "prefix", "n", "alias", "category"), "dictionary")
-    both = spans.join(names.select("value", "alias"), "value", "left").where(F.col("alias").isNotNull() | (F.col("category") == "Comment"))
-    one = F.struct("start", (-F.col("len")).alias("neg"), "len", F.concat("head", F.coalesce("alias", F.lit("")), "tail").alias("alias"), F.lit("").alias("value"), F.lit("").alias("rule_id"))
-    per = both.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("__all"))
-    put = resolved(d.withColumn("__old", F.col("content")).join(per, "doc_id", "left") if fixed_width else d.join(per, "doc_id", "left"), "__all")
-    out = put.withColumn("replacements", F.size("matches")).drop("matches")
-    return (_refitted(out).drop("__old") if fixed_width else out), names
+    shared = declared.where(~F.col("category").isin(*LOCAL) | (F.col("family") != "dotnet")).select("value", "family").distinct().withColumn("__shared", F.lit(True))
+    both = spans.join(names.select("value", "alias"), "value", "left").join(shared, ["value", "family"], "left")
+    both = both.where((F.col("category") == "Comment") | (F.col("alias").isNotNull() & ((F.col("category") != KNOWN_BY_FAMILY) | F.col("__shared"))))
+    one = F.struct("start", (-F.col("len")).alias("neg"), "len", F.concat("head", F.coalesce("alias", F.lit("")), "tail").alias("alias"), "value", F.col("category").alias("rule_id"))
+    per = both.groupBy(ROW).agg(F.array_sort(F.collect_list(one)).alias("__all"))
+    put = resolved(d.withColumn("__old", F.col("content")).join(per, ROW, "left") if fixed_width else d.join(per, ROW, "left"), "__all")
+    out = put.withColumn("replacements", F.size("matches")).withColumnRenamed("matches", "code_matches").drop(ROW)
+    types = declared.select(ROW, "value", "category").distinct().join(names.select("value", "alias"), "value").join(d.select(ROW, "doc_id", "path"), ROW).select("doc_id", "path", "value", "alias", "category")
+    return (_refitted(out).drop("__old") if fixed_width else out), names, types
 
 
 def _refitted(docs: DataFrame) -> DataFrame:

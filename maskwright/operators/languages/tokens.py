@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 
 REMOVED = "[Comment removed]"
+#: category of a mere use: rewritten only if a file of the same family of languages declares the name
+KNOWN_BY_FAMILY = "KnownByFamily"
 
 # Words that are never names.
 SQL_WORDS = frozenset(
@@ -23,13 +25,17 @@ SQL_WORDS = frozenset(
 )
 SQL_TYPES = frozenset("bigint binary bit char clob blob date datetime datetime2 datetimeoffset decimal float image int integer money nchar ntext number numeric nvarchar real smalldatetime smallint smallmoney sysname text time timestamp tinyint uniqueidentifier varbinary varchar varchar2 nvarchar2 raw long boolean pls_integer rowid max".split())
 SQL_FUNCTIONS = frozenset("abs avg cast ceiling charindex concat count datalength dateadd datediff datename datepart day dense_rank floor format getdate getutcdate iif isnull lag lead len lower ltrim max min month newid ntile nvl decode patindex power rand rank round row_number rtrim scope_identity sign sqrt stuff substr substring sum sysdate systimestamp to_char to_date to_number trim trunc try_cast try_convert upper year instr length greatest least listagg".split())
+SQL_WORDS |= frozenset("option recompile maxdop optimize unknown nolock rowlock updlock holdlock readpast tablock xlock serializable readcommitted snapshot isolation level transaction save rollback work only rollup cube grouping sets array apply hash loop force plan disable enable trigger statistics io ansi_nulls quoted_identifier xact_abort arithabort fillfactor online partition scheme filegroup login role permissions execute caller owner self schemabinding encryption returns readonly scroll static dynamic keyset fast_forward forward_only read_only absolute relative prior first last rows range preceding following unbounded current matched source target inserted deleted output waitfor delay".split())
 SYSTEM_SCHEMAS = frozenset("sys dbo information_schema guest db_owner db_datareader db_datawriter".split())
 ORACLE_WORDS = frozenset("is loop elsif package body type record exception others pragma raise rowtype sequence synonym materialized trigger before after each new old connect prior start level rownum nextval currval dual bulk collect forall found notfound isopen varray constant".split())
+#: beginnings of Oracle's own views and packages
+ORACLE_OWN = ("v$", "gv$", "dba_", "all_", "user_", "dbms_", "utl_")
+ORACLE_QUOTES = {"[": "]", "(": ")", "{": "}", "<": ">"}
 CODE_WORDS = frozenset(
     """abstract and as async await base bool boolean break byte case catch char class const continue debugger decimal default delegate delete dim do double dynamic each else elseif end enum event
     explicit export extends extern false finally fixed float for foreach friend from function get global goto if implements implicit import imports in inherits inner instanceof int integer
     interface internal is let lock long match me member module mustinherit mutable mybase namespace new next not nothing null object of open operator option optional or out override
-    overridable params partial private property protected public readonly rec record redim ref return sbyte sealed select self set shared short single sizeof static step stop string
+    overridable byval byref paramarray params partial private property protected public readonly rec record redim ref return sbyte sealed select self set shared short single sizeof static step stop string
     struct structure sub super switch then this throw to true try type typeof uint ulong undefined union unsafe until ushort using val var virtual void volatile wend when where while with yield""".split()
 )
 FRAMEWORK = frozenset("Console Math String Object Array Task List Dictionary Exception Main ToString Equals GetHashCode Add Count Length System Linq Collections Generic Threading Text IO Net printfn sprintf console window document Promise JSON require module exports WScript Server Response Request".split())
@@ -57,7 +63,7 @@ FSHARP = (
 )
 JAVASCRIPT = (
     (rf"\bclass\s+({ID})", "Class"), (rf"\bfunction\s*\*?\s*({ID})", "Function"), (rf"\b(?:const|let|var)\s+({ID})", "Variable"), (rf"\bimport\s+({ID})", "ImportBinding"), (rf"\bimport\s*\*\s*as\s+({ID})", "ImportBinding"), (rf"\bimport\s*\{{[^}}]*?\bas\s+({ID})", "ImportBinding"),
-    (rf"\bfunction\b[^(]*\(\s*({ID})", "Parameter"), (rf"\(\s*({ID})\s*(?:,\s*{ID}\s*)*\)\s*=>", "Parameter"), (rf"\b({ID})\s*=>", "Parameter"), (rf"\bcatch\s*\(\s*({ID})", "Variable"), (rf"^\s+(?:async\s+|static\s+)*({ID})\s*\([^)]*\)\s*\{{", "Method"),
+    (rf"\b({ID})\s*=>", "Parameter"), (rf"\bexport\s+(?:default\s+)?(?:async\s+)?(?:function\s*\*?|class|const|let|var)\s+({ID})", "ExportBinding"), (rf"\bcatch\s*\(\s*({ID})", "Variable"), (rf"^\s+(?:async\s+|static\s+)*({ID})\s*\([^)]*\)\s*\{{", "Method"),
 )
 SQL_DECLARED = (
     (rf"(?i)\bcreate\s+(?:or\s+(?:replace|alter)\s+)?proc(?:edure)?\s+({NAME})", "StoredProc"), (rf"(?i)\bexec(?:ute)?\s+(?!sp_|xp_|fn_)({NAME})", "StoredProc"), (rf"(?i)\bcreate\s+(?:or\s+(?:replace|alter)\s+)?function\s+({NAME})", "Function"), (rf"(?i)\bcreate\s+(?:or\s+replace\s+)?trigger\s+({NAME})", "StoredProc"),
@@ -71,8 +77,32 @@ DB2 = (
 )
 
 
+#: lists of names in one pair of brackets: parameters, destructured variables, imports, exports
+JAVASCRIPT_LISTS = (
+    (r"\bfunction\b[^({;]*\(([^)]*)\)", "Parameter"), (r"\(([^()]*)\)\s*=>", "Parameter"), (rf"^\s+(?:async\s+|static\s+)*(?!(?:if|for|while|switch|catch|return)\b){ID}\s*\(([^()]*)\)\s*\{{", "Parameter"),
+    (r"\b(?:const|let|var)\s*\{([^}=]*(?:=[^},]*[^}=]*)*)\}\s*=", "Variable"), (r"\b(?:const|let|var)\s*\[([^\]]*)\]\s*=", "Variable"), (r"\bimport\s*(?:\w+\s*,\s*)?\{([^}]*)\}", "ImportBinding"), (r"\bexport\s*\{([^}]*)\}", "ExportBinding"),
+)
+BASIC_LISTS = ((r"(?i)\b(?:dim|redim(?:\s+preserve)?|const|static)[ \t]+([^\n:]+)", "Variable"), (r"(?i)\b(?:sub|function|property\s+(?:get|let|set))\s+\w+\s*\(([^)]*)\)", "Parameter"), (r"(?i)^[ \t]*(?:private|public)[ \t]+(?!(?:sub|function|property|class|const|enum|type|declare|event|default|shared|readonly|withevents|module|structure|interface|overridable|overrides|mustoverride|async|partial)\b)([^\n:]+)", "Field"))
+
+
+def listed(inside: str) -> list[str]:
+    """The names of a list: the last word of each item before its default, type or bounds ('a: b = 1' binds b, 'a as b' b, '...rest' rest)."""
+    out = []
+    for item in re.split(r",(?![^(\[{]*[)\]}])", inside):
+        item = re.split(r"(?i)=|\(|\bas\s+(?:new\s+)?[\w.]+\s*$" if not re.search(r"\bas\b", item) else r"=|\(", item)[0]
+        if found := re.findall(ID, item.replace("...", " ")):
+            out.append(found[-1])
+    return out
+
+
+def basic_names(inside: str) -> list[str]:
+    """The first word of each item of a declaration ('a, b(10) As Long, c = 1' declares a, b and c)."""
+    return [m[1] for item in re.split(r",(?![^(]*\))", inside) if (m := re.match(rf"(?i)\s*(?:(?:optional|byval|byref|paramarray)\s+)*({ID})", item))]
+
+
 class Language:
-    def __init__(self, declared, line_marks, blocks, quotes, words, sql=False, any_case=False, doubled=True, verbatim=False):
+    def __init__(self, declared, line_marks, blocks, quotes, words, sql=False, any_case=False, doubled=True, verbatim=False, lists=(), q_quotes=False):
+        self.lists, self.q_quotes = [(re.compile(p, re.M), c) for p, c in lists], q_quotes
         self.declared = [(re.compile(p, re.M), c) for p, c in declared]
         self.line_marks, self.blocks, self.quotes, self.words, self.sql, self.any_case, self.doubled, self.verbatim = line_marks, blocks, quotes, words, sql, any_case, doubled, verbatim
 
@@ -81,17 +111,21 @@ SQL_ALL = SQL_WORDS | SQL_TYPES | SQL_FUNCTIONS
 LANGUAGES = {
     "tsql": Language(SQL_DECLARED, ("--",), (("/*", "*/"),), "'", SQL_ALL, sql=True, any_case=False),
     "db2sql": Language(DB2 + SQL_DECLARED, ("--",), (("/*", "*/"),), "'", SQL_ALL | {"tablespace", "bufferpool", "stogroup", "collection", "package", "plan"}, sql=True),
-    "oraclesql": Language(SQL_DECLARED, ("--",), (("/*", "*/"),), "'", SQL_ALL | ORACLE_WORDS, sql=True),
+    "oraclesql": Language(SQL_DECLARED, ("--",), (("/*", "*/"),), "'", SQL_ALL | ORACLE_WORDS, sql=True, q_quotes=True),
     "csharp": Language(CSHARP, ("//",), (("/*", "*/"),), "\"'", CODE_WORDS, doubled=False, verbatim=True),
-    "vbnet": Language(VISUAL_BASIC, ("'",), (), '"', CODE_WORDS, any_case=True),
-    "vbscript": Language(VISUAL_BASIC, ("'",), (), '"', CODE_WORDS, any_case=True),
+    "vbnet": Language(VISUAL_BASIC, ("'",), (), '"', CODE_WORDS, any_case=True, lists=BASIC_LISTS),
+    "vbscript": Language(VISUAL_BASIC, ("'",), (), '"', CODE_WORDS, any_case=True, lists=BASIC_LISTS),
     "fsharp": Language(FSHARP, ("//",), (("(*", "*)"),), '"', CODE_WORDS, doubled=False),
-    "javascript": Language(JAVASCRIPT, ("//",), (("/*", "*/"),), "\"'`", CODE_WORDS, doubled=False),
+    "javascript": Language(JAVASCRIPT, ("//",), (("/*", "*/"),), "\"'`", CODE_WORDS, doubled=False, lists=JAVASCRIPT_LISTS),
 }
 _SQL_START = re.compile(r"\s*(SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP|EXEC|EXECUTE|WITH|MERGE|DECLARE|BEGIN) ", re.I)
 _NUMBER = re.compile(r"\s*[+-]?[\d,]*\.?\d+(e[+-]?\d+)?\s*$|^\d{4}[-/]\d{2}[-/]\d{2}|^\d{1,2}[-/]\d{1,2}[-/]\d{2,4}$|^\d{1,2}-[A-Za-z]{3}-\d{2,4}$", re.I)
 _OPENS = re.compile(r"\s*\(")
 _WORD = re.compile(rf"@{{0,2}}#{{0,2}}{ID}|\[[^\]\n]+\]")
+_PLAIN_WORD = re.compile(ID)
+#: what follows the first of several tables of a FROM
+_MORE_TABLES = re.compile(r"(?is)\bfrom\s+[^;(),]*,([^;()]*?)(?=\b(?:where|group|order|having|union|inner|left|right|full|cross|join|on|connect|start|for|into|minus|intersect|loop|fetch|option)\b|[;()]|\Z)")
+_ONE_TABLE = re.compile(rf"(?i)\s*({NAME})(?:\s+(?:as\s+)?({ID}))?\s*$")
 
 
 def lexed(text: str, lang: Language) -> tuple[str, list[tuple[int, int, str]]]:
@@ -122,6 +156,10 @@ def lexed(text: str, lang: Language) -> tuple[str, list[tuple[int, int, str]]]:
                 i = j
             else:
                 i = take(j, "comment")
+        elif c in "qQ" and lang.q_quotes and text.startswith("'", i + 1) and i + 2 < n and not (i and (text[i - 1].isalnum() or text[i - 1] in "_$#") and text[i - 1] not in "nN"):
+            close = ORACLE_QUOTES.get(text[i + 2], text[i + 2]) + "'"
+            j = text.find(close, i + 3)
+            i = take(n if j < 0 else j + 2, "q")
         elif c in lang.quotes:
             j = i + 1
             verbatim = lang.verbatim and text[max(0, i - 2) : i].rstrip("$").endswith("@")
@@ -187,6 +225,13 @@ def code_spans(text: str, processor: str) -> list[tuple[int, int, str, str, str,
             mark = next((m for m in lang.line_marks if body.startswith(m)), "")
             spans.append((a, b - a, "", "Comment", f"{block[0]} {REMOVED} {block[1]}" if block else f"{mark} {REMOVED}", ""))
             continue
+        if kind == "q":
+            said = body[3:-2]
+            if len(body) > 5 and body.endswith(ORACLE_QUOTES.get(body[2], body[2]) + "'") and said.strip() and not _NUMBER.match(said):
+                spans.append((a, b - a, said, "StringLiteral", body[:3], body[-2:]))
+            continue
+        if len(body) < 2 or body[-1] != kind:
+            continue  # does not end: what it would hold is not known, and it must come back as it is
         inner = body[1:-1].replace(kind * 2, kind) if lang.doubled else body[1:-1]
         before = text[max(0, a - 60) : a]
         opener = "${" if kind == "`" else "{" if lang.verbatim and kind == '"' and before[-2:].strip("@ (=,+").endswith("$") else ""
@@ -212,6 +257,8 @@ def code_spans(text: str, processor: str) -> list[tuple[int, int, str, str, str,
             continue
         spans.append((a, b - a, inner, "StringLiteral", kind, kind))
     masked = "".join(seen) + masked[upto:]
+    if processor in ("vbnet", "vbscript"):  # a line goes on after " _"
+        masked = re.sub(r"[ \t]_[ \t]*\r?\n", lambda m: " " * len(m[0]), masked)
     names: dict[str, tuple[str, str]] = {}
     fold = (lambda s: s.lower()) if lang.any_case else (lambda s: s)
 
@@ -220,39 +267,65 @@ def code_spans(text: str, processor: str) -> list[tuple[int, int, str, str, str,
         if bare.lower() not in lang.words and bare not in FRAMEWORK and len(bare) > (0 if lang.sql else 1):
             names.setdefault(fold(bare), (bare, category))
 
+    def declare_sql(name: str, category: str):
+        parts = [p.strip().strip('[]"') for p in re.split(r"\s*\.\s*", name)]
+        owners, last = parts[:-1], parts[-1]
+        kinds = ["Server", "Database", "Schema"][3 - len(owners) :] if len(owners) <= 3 else []
+        system = owners and owners[-1].lower() in SYSTEM_SCHEMAS
+        for owner, kind in zip(owners, kinds):
+            if owner.lower() not in SYSTEM_SCHEMAS:
+                declare(owner, kind)
+        if system and category in ("Table", "StoredProc", "Function"):
+            names.setdefault(last, (last, ""))  # what stands under a system schema keeps its name
+        elif last.startswith("@"):
+            declare(last, "Variable")
+        else:
+            declare(last, "TempTable" if last.startswith("#") else category)
+
+    for pattern, category in lang.lists:
+        for m in pattern.finditer(masked):
+            for word in (basic_names if lang.any_case else listed)(m[1]):
+                declare(word, category)
     for pattern, category in lang.declared:
         for m in pattern.finditer(masked):
-            if not lang.sql:
+            if lang.sql:
+                declare_sql(m[1], category)
+            else:
                 for word in m[1].split("."):
                     declare(word, category)
-                continue
-            parts = [p.strip().strip('[]"') for p in re.split(r"\s*\.\s*", m[1])]
-            owners, last = parts[:-1], parts[-1]
-            kinds = ["Server", "Database", "Schema"][3 - len(owners) :] if len(owners) <= 3 else []
-            system = owners and owners[-1].lower() in SYSTEM_SCHEMAS
-            for owner, kind in zip(owners, kinds):
-                if owner.lower() not in SYSTEM_SCHEMAS:
-                    declare(owner, kind)
-            if system and category in ("Table", "StoredProc", "Function"):
-                names.setdefault(last, (last, ""))  # what stands under a system schema keeps its name
-            elif last.startswith("@"):
-                declare(last, "Variable")
-            else:
-                declare(last, "TempTable" if last.startswith("#") else category)
     if lang.sql:
+        for m in _MORE_TABLES.finditer(masked):
+            for item in m[1].split(","):
+                if t := _ONE_TABLE.match(item):
+                    declare_sql(t[1], "Table")
+                    if t[2]:
+                        declare(t[2], "Variable")
         for m in re.finditer(r"(?i)\bproc(?:edure)?\b[^;]*?\bas\b", masked):
             for p in re.finditer(rf"@{ID}", m[0]):
                 declare(p[0], "Parameter")
-    for m in _WORD.finditer(masked):
+    if lang.q_quotes:  # parameters of routines: name, mode, type
+        for m in re.finditer(rf"(?i)\b(?:procedure|function)\s+{ID}(?:\s*\.\s*{ID})?\s*\(([^)]*)\)", masked):
+            for item in m[1].split(","):
+                if p := re.match(rf"\s*({ID})\s+\w", item):
+                    declare(p[1], "Parameter")
+    for m in (_WORD if lang.sql else _PLAIN_WORD).finditer(masked):
         word = m[0]
         bare = word.strip("[]")
         low = bare.lower()
-        if low in lang.words or bare in FRAMEWORK or low in SYSTEM_SCHEMAS and lang.sql:
+        if low in lang.words or bare in FRAMEWORK or low in SYSTEM_SCHEMAS and lang.sql or lang.q_quotes and low.startswith(ORACLE_OWN):
+            continue
+        if lang.q_quotes and low in ("q", "nq") and masked[m.end() : m.end() + 1] in ("", " ") and text[m.end() : m.end() + 1] == "'":
             continue
         known = names.get(fold(bare))
         if known is None:
-            if not lang.sql or _OPENS.match(masked, m.end()):
+            if not lang.sql:
+                if len(bare) > 1 and (processor != "javascript" or bare[:1].isupper()):
+                    known = (bare, KNOWN_BY_FAMILY)
+                else:
+                    continue
+            elif _OPENS.match(masked, m.end()):
                 continue
+        if known is None:
             known = (bare, "Variable" if bare.startswith("@") else "Column")
         if not known[1] or bare.startswith("@@"):
             continue
@@ -262,7 +335,7 @@ def code_spans(text: str, processor: str) -> list[tuple[int, int, str, str, str,
             k = m.start() - 1
             while k >= 0 and masked[k].isspace():
                 k -= 1
-            if k >= 0 and masked[k] == ".":
+            if k >= 0 and masked[k] == "." and masked[max(0, k - 2) : k + 1] != "...":
                 continue
         value, head = known[0], ""
         if value.startswith("@"):  # the key goes without its mark, the text keeps it
@@ -271,7 +344,17 @@ def code_spans(text: str, processor: str) -> list[tuple[int, int, str, str, str,
         if word.startswith("["):
             head, tail = "[" + head, "]"
         spans.append((m.start(), len(word), value, known[1], head, tail))
-    return spans
+    return _later(spans) if processor == "javascript" else spans
+
+
+def _later(spans: list[tuple]) -> list[tuple]:
+    """Of spans that overlap the one that starts later."""
+    out: list[tuple] = []
+    for s in sorted(spans, key=lambda s: (s[0], s[1])):
+        while out and out[-1][0] + out[-1][1] > s[0]:
+            out.pop()
+        out.append(s)
+    return out
 
 
 def balanced(text: str, processor: str) -> list[str]:

@@ -159,6 +159,24 @@ def patched(docs: DataFrame, resolved: DataFrame) -> DataFrame:
     return out.withColumn("patched", ~F.col("__new").eqNullSafe(F.col("content"))).withColumn("content", F.col("__new")).drop("__new", "__refs")
 
 
+LISTING = (r"Folder PATH listing", r"\+---", r"\\\\---")
+
+
+def relisted(docs: DataFrame, mapping: DataFrame, back: bool = False) -> DataFrame:
+    """docs (path, content) with the names in directory listings (.txt files of a tree command) replaced: those of files and of
+    folders, each line by the name it ends with. Names meet the mapping by equality, in any case."""
+    old, new = ("new_path", "path") if back else ("path", "new_path")
+    m = mapping.select(F.split(F.col(old), "/").alias("a"), F.split(F.col(new), "/").alias("b")).where(F.size("a") == F.size("b"))
+    pairs = m.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select(F.lower("p.a").alias("__name"), F.col("p.b").alias("__new")).where("__name <> lower(__new)").groupBy("__name").agg(F.min("__new").alias("__new"))
+    is_list = (extension(F.col("path")) == ".txt") & F.col("content").rlike("|".join(LISTING))
+    lists = docs.where(is_list).select("path", "content").distinct()
+    lines = lists.select("path", "content", F.posexplode(F.split("content", "\n")).alias("n", "line"))
+    lines = lines.withColumn("__head", F.regexp_extract("line", r"^([\s|+\\\-]*)", 1)).withColumn("__name", F.lower(F.regexp_extract("line", r"^[\s|+\\\-]*(.*?)\s*$", 1)))
+    put = lines.join(pairs, "__name", "left").withColumn("line", F.when(F.col("__new").isNull(), F.col("line")).otherwise(F.concat("__head", "__new")))
+    whole = put.groupBy("path", "content").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("rows")).select("path", "content", F.array_join(F.col("rows.line"), "\n").alias("__listed"))
+    return docs.join(whole, ["path", "content"], "left").withColumn("content", F.coalesce("__listed", "content")).drop("__listed").select(*docs.columns)
+
+
 def renamed(docs: DataFrame, mapping: DataFrame, back: bool = False) -> DataFrame:
     """docs with `path` mapped, or mapped back (in any case); unknown paths stay."""
     m = mapping.select(F.lower(F.col("new_path" if back else "path")).alias("__key"), F.col("path" if back else "new_path").alias("__to"))

@@ -70,19 +70,12 @@ def _python_matches(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """docs over at least as many partitions as there are cores: matching is all CPU, and a small file is one partition."""
-    n = docs.sparkSession.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= n else docs.repartition(n)
-
-
 def detected(docs: DataFrame, rules: list[Rule], native: bool = False) -> DataFrame:
     """docs with `spans`, by rule and then by place; none for null and empty contents.
 
     By default one Arrow pass tries all rules on a text, which took a tenth of the time of the same in expressions (native,
     the same spans): an expression has to match each rule three times to learn where its matches lie.
     """
-    docs = spread(docs)
     if not native:
         return _python_matches(docs, rules)
     return docs.withColumn("spans", F.when(F.length("content") > 0, matches(F.col("content"), rules)).otherwise(F.array().cast(f"array<{SPAN}>")))
@@ -124,17 +117,28 @@ def extended(found: DataFrame, known: DataFrame) -> DataFrame:
     return known.select("value", "prefix", "n", "alias").unionByName(numbered(fresh, ["doc_id", "rule", "start"], taken).select("value", "prefix", "n", "alias"))
 
 
+#: the engine's own number of a row: doc_ids may be null or repeated
+ROW = "__row"
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with ROW, from a written table, as a number worked out twice would not be the same."""
+    return docs if ROW in docs.columns else written(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def applied(found: DataFrame, names: DataFrame) -> DataFrame:
     """found with `content` rewritten, `was_sanitized`, and `matches`: the spans kept (start, len, value, alias, rule_id, line).
 
-    Aliases come by a join on the value, so the dictionary may be of any size; only spans move, and the contents once, by
-    doc_id, to meet theirs (a small side is broadcast by Catalyst). Needs unique doc_ids.
+    Aliases come by a join on the value, so the dictionary may be of any size (a value that is common beyond measure is a
+    skewed join, which AQE splits); only spans move, and the contents once, by row, to meet theirs (a small side is
+    broadcast by Catalyst). Null and repeated doc_ids are rows like any others.
     """
-    spans = found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    found = keyed(found, "detected")
+    spans = found.select(ROW, F.explode("spans").alias("s")).select(ROW, "s.*")
     named = spans.join(names.select("value", "alias"), "value")
     one = F.struct("start", (-F.col("len")).alias("neg"), "rule", "len", "value", "alias", "rule_id")
-    per = named.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("__all"))
-    return resolved(found.drop("spans").join(per, "doc_id", "left"), "__all").withColumn("was_sanitized", F.size("matches") > 0)
+    per = named.groupBy(ROW).agg(F.array_sort(F.collect_list(one)).alias("__all"))
+    return resolved(found.drop("spans").join(per, ROW, "left"), "__all").drop(ROW).withColumn("was_sanitized", F.size("matches") > 0)
 
 
 def resolved(docs: DataFrame, spans: str) -> DataFrame:
@@ -178,7 +182,7 @@ def resolved(docs: DataFrame, spans: str) -> DataFrame:
 
 def sanitized(docs: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
     """The rewritten corpus and its dictionary."""
-    found = written(detected(docs, rules), "detected")
+    found = keyed(detected(docs, rules), "detected")
     names = written(dictionary(found), "dictionary")
     return applied(found, names), names
 

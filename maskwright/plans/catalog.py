@@ -20,10 +20,16 @@ def _view(spark: SparkSession, sf: str, *names: str) -> None:
         spark.read.parquet(f"{sf}/{n}.parquet").createOrReplaceTempView(n)
 
 
+def _spread(docs: DataFrame) -> DataFrame:
+    """docs over as many partitions as there are cores where they come from fewer files: the test tables are one file each."""
+    n = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if len(docs.inputFiles()) >= n else docs.repartition(n)
+
+
 def _made(sql, *tables):
     def docs(spark: SparkSession, sf: str) -> DataFrame:
         _view(spark, sf, *tables)
-        return spark.sql(sql)
+        return _spread(spark.sql(sql))
 
     return docs
 
@@ -37,11 +43,11 @@ statements = _made(statements_sql, "supplier")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text").alias("content"))
+    return _spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text").alias("content")))
 
 
 def _run(spark, sf):
-    found = written(sanitize.detected(synth(spark, sf), RULES), "detected")
+    found = sanitize.keyed(sanitize.detected(synth(spark, sf), RULES), "detected")
     names = written(sanitize.dictionary(found), "dictionary")
     return found, names
 
@@ -87,7 +93,7 @@ def sanitized_text(spark, sf):
 
 
 def sanitized_documents(spark, sf):
-    found = sanitize.detected(documents(spark, sf), [r for r in RULES if r.rule_id == "email_addresses"])
+    found = sanitize.keyed(sanitize.detected(documents(spark, sf), [r for r in RULES if r.rule_id == "email_addresses"]), "detected")
     names = written(sanitize.dictionary(found), "dictionary")
     return sanitize.applied(found, names).select("doc_id", F.md5("content").alias("content_md5"), F.size("matches").cast("long").alias("replacements"))
 
@@ -201,7 +207,7 @@ def host_variables(spark, sf):
 
 def source_map(spark, sf):
     got = audit.source_map(sanitize.applied(*_run(spark, sf)))
-    first = F.col("locations")[0]
+    first = F.col("first")
     return got.select("value", "alias", "rule_id", "n", first["doc_id"].alias("first_doc"), first["line"].cast("long").alias("first_line"))
 
 

@@ -80,7 +80,54 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], MANIFEST)
-    return spark.read.schema(MANIFEST).json(f"{path}/manifest").where("version is not null")
+    found = spark.read.schema(MANIFEST).json(f"{path}/manifest").where("version is not null")
+    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/restored")
+    if not marks.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marks):
+        return found
+    last = spark.read.schema("restored_at timestamp").json(f"{path}/restored").agg(F.max("restored_at").alias("__at"))
+    return found.crossJoin(last).withColumn("restored_at", F.coalesce("__at", "restored_at")).drop("__at")  # one row each
+
+
+def mark_restored(spark: SparkSession, path: str) -> None:
+    """Note in the run's folder that, and when, it was restored."""
+    spark.range(1).select(F.current_timestamp().alias("restored_at")).coalesce(1).write.mode("append").json(f"{path}/restored")
+
+
+def copy_untouched(spark: SparkSession, root: str, to: str, extensionless: bool = False) -> int:
+    """Copy what is not processed (but not what is ignored by folder) from root to the same places under `to`; how many files.
+
+    Both must be folders that all executors see. Contents are copied by the tasks, one file at a time.
+    """
+    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rel = F.regexp_replace("path", "^.*?" + _quoted(base) + "/", "")
+    rest = files.select(rel.alias("path"), "length").where(~(should_process(F.col("path"), extensionless) & ~should_ignore(F.col("path"), F.col("length"))))
+
+    def put(rows):
+        import shutil
+
+        for r in rows:
+            where = os.path.join(to, r.path)
+            os.makedirs(os.path.dirname(where), exist_ok=True)
+            shutil.copyfile(os.path.join(base, r.path), where)
+
+    rest.select("path").foreachPartition(put)
+    return rest.count()
+
+
+def clean_empty_folders(root: str) -> int:
+    """Remove folders under root that hold nothing, the deepest first; how many."""
+    gone = 0
+    for at, _, _ in os.walk(root, topdown=False):
+        if at != root and not os.listdir(at):
+            os.rmdir(at)
+            gone += 1
+    return gone
+
+
+def write_xref(lines: DataFrame, path: str) -> None:
+    """The lines of audit.xref_lines as text files in their order."""
+    lines.select("line").write.text(path)
 
 
 def write_files(result: DataFrame, root: str) -> None:

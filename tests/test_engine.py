@@ -278,3 +278,78 @@ def test_files_manifest_and_stream(spark, tmp_path):
     q = sanitize_stream(text_files(spark, str(src / "bin")), RULES, str(tmp_path / "st"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert [r.content for r in spark.read.parquet(str(tmp_path / "st/documents")).collect()] == ["IP_0"]
+
+
+def test_rows_with_null_and_repeated_ids_keep_their_texts(spark):
+    rows = [(1, "10.0.0.1 tail"), (1, "some other words 10.0.0.2 end"), (None, "10.0.0.1"), (None, None)]
+    out, names = sanitize.sanitized(spark.createDataFrame(rows, "doc_id long, content string"), RULES)
+    assert sorted((r.content or "") for r in out.collect()) == ["", "IP_0", "IP_0 tail", "some other words IP_1 end"]
+    back = restored(out.select("doc_id", "content"), names)
+    assert sorted(str(tuple(r)) for r in back.select("doc_id", "content").collect()) == sorted(str(r) for r in rows)
+
+
+def test_chains_of_aliases_are_followed_to_their_end(spark):
+    schema = "value string, prefix string, n long, alias string"
+    chain = [(f"X_{i + 1} x" if i < 50 else "done", "X", i, f"X_{i}") for i in range(51)]
+    got = restored(spark.createDataFrame([(1, "X_0"), (2, "no")], "doc_id long, content string"), spark.createDataFrame(chain, schema)).orderBy("doc_id").collect()
+    assert got[0].content == "done" + " x" * 50 and got[0].replacements == 51 and got[0].unmatched == [] and got[1].content == "no"
+    ring = [("Y_1", "Y", 0, "Y_0"), ("Y_0", "Y", 1, "Y_1")]
+    with pytest.raises(ValueError):
+        restored(spark.createDataFrame([(1, "Y_0")], "doc_id long, content string"), spark.createDataFrame(ring, schema))
+
+
+def test_names_that_another_file_declares(spark):
+    docs = spark.createDataFrame([
+        (1, "a.cs", "namespace Acme { public class PayrollService { public void Settle(int month) { } } }"), (2, "b.cs", "class Job { void Go() { var run = new PayrollService(); run.Settle(3); month(); } }"),
+        (3, "c.vb", "Class Other\nSub Work()\nDim p As New PayrollService\nEnd Sub\nEnd Class"), (4, "d.js", "let other = new PayrollService();"), (5, "e.vbs", "Dim alpha, _\n beta\nalpha = beta"),
+    ], "doc_id long, path string, content string")
+    out, names = engine.sanitize(docs, RULES)
+    got = {r.doc_id: r.content for r in out.collect()}
+    assert "PayrollService" not in got[2] + got[3] and "Settle" not in got[2] and "month()" in got[2] and "PayrollService" in got[4]
+    assert got[5] == "Dim VAR_0, _\n VAR_1\nVAR_0 = VAR_1".replace("VAR_0", next(r.alias for r in names.collect() if r.value == "alpha")).replace("VAR_1", next(r.alias for r in names.collect() if r.value == "beta"))
+    assert audit.leaked_names(out.where("doc_id < 4"), names.where("category is null or category not in ('Parameter')") if "category" in names.columns else names.where("value <> 'month'")).count() == 0
+    s = audit.stats(out, names).first()
+    assert s.total_replacements == out.agg(F.sum("replacements")).first()[0] > 10 and s.processed_files == 5
+    assert audit.source_map(out).where("value = 'PayrollService'").first().n == 3 and audit.locations(out).where("value = 'PayrollService'").count() == 3
+
+
+def test_oracle_literals_and_own_names():
+    text = "SELECT q'[it's here]', v.x FROM v$session v, orders o; dbms_output.put_line(nq'(so)'); y := 'never ends"
+    got = {(s[2], s[3]) for s in tokens.code_spans(text, "oraclesql")}
+    assert ("it's here", "StringLiteral") in got and ("so", "StringLiteral") in got and ("orders", "Table") in got and not any("$" in v or v.startswith("dbms") or "never" in v for v, _ in got)
+    put = "".join(text[a:s[0]] + s[4] + s[2] + s[5] for a, s in zip([0, *(x[0] + x[1] for x in sorted(tokens.code_spans(text, "oraclesql")))], sorted(tokens.code_spans(text, "oraclesql"))))
+    assert text.startswith(put)  # what is put back is what stood there
+    assert {s[2] for s in tokens.code_spans("create procedure pay_all(p_id in number, p_to varchar2) is begin null; end;", "oraclesql") if s[3] == "Parameter"} == {"p_id", "p_to"}
+
+
+def test_script_names():
+    js = "const {aa, b: cc, ...rest} = obj; const [x1, y1] = z; function go(first, second = 2) { return (pp, qq) => pp + qq; }\nimport Def, {one as two} from './m'; export {go as start};"
+    got = {s[2]: s[3] for s in tokens.code_spans(js, "javascript")}
+    assert got == {"aa": "Variable", "cc": "Variable", "rest": "Variable", "x1": "Variable", "y1": "Variable", "go": "Function", "first": "Parameter", "second": "Parameter", "pp": "Parameter", "qq": "Parameter", "Def": "ImportBinding", "two": "ImportBinding", "start": "ExportBinding"}
+    vb = {s[2]: s[3] for s in tokens.code_spans("Private mTotal As Long, mName\nPublic Sub Go(ByVal num As Long, other)\nDim aa, bb(10) As Long\nEnd Sub", "vbscript")}
+    assert vb == {"mTotal": "Field", "mName": "Field", "Go": "Method", "num": "Parameter", "other": "Parameter", "aa": "Variable", "bb": "Variable"}
+
+
+def test_level_2_run_renames_patches_and_comes_back(spark, tmp_path):
+    tree = "Folder PATH listing\n+---src\n|   |   app.js\n|   |   Ledger.cs"
+    rows = [(1, "src/app.js", "import {pay} from './lib/pay.js';\nlet total = pay(2);"), (2, "src/lib/pay.js", "export function pay(amount) { return amount; }"), (3, "src/Ledger.cs", "class Ledger { void Post() { } }"), (4, "src/P.csproj", '<Compile Include="Ledger.cs" />'), (5, "tree.txt", tree)]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, content string")
+    run = engine.run(docs, RULES)
+    got = {r.doc_id: r for r in run.documents.collect()}
+    assert "pay.js" not in got[1].content and "Ledger" not in got[3].path and got[3].path.rsplit("/", 1)[-1].removesuffix(".cs") in got[4].content and "app.js" not in got[5].content and "Ledger" not in got[5].content
+    engine.save(run, path=str(tmp_path / "out"), level=2)
+    back = {r.doc_id: (r.path, r.content) for r in engine.restore(spark, str(tmp_path / "out")).collect()}
+    assert back == {d: (p, c) for d, p, c in rows}
+    from maskwright.sources.files import clean_empty_folders, copy_untouched, read_manifest, write_xref
+
+    assert read_manifest(spark, str(tmp_path / "out")).first().restored_at is not None and spark.read.parquet(str(tmp_path / "out/files")).count() == 5
+    write_xref(audit.xref_lines(run.names, run.documents), str(tmp_path / "xref"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "xref")).collect()]
+    assert "| Alias | Original | Occurrences |" in lines and any("| Ledger |" in x for x in lines)
+    assert engine.verify(run.documents).count() == 0 and engine.verify(spark.createDataFrame([(1, "a.cs", "class A { void B( }")], "doc_id long, path string, content string")).count() == 1
+    (tmp_path / "in" / "img").mkdir(parents=True)
+    (tmp_path / "in" / "img" / "x.png").write_bytes(b"x")
+    (tmp_path / "in" / "a.txt").write_text("t")
+    assert copy_untouched(spark, str(tmp_path / "in"), str(tmp_path / "to")) == 1 and (tmp_path / "to/img/x.png").read_bytes() == b"x"
+    (tmp_path / "to" / "e" / "f").mkdir(parents=True)
+    assert clean_empty_folders(str(tmp_path / "to")) == 2 and (tmp_path / "to/img/x.png").exists()
