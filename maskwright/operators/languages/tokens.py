@@ -73,7 +73,7 @@ SQL_DECLARED = (
     (rf"(?i)\b(?:from|join)\s+{NAME}\s+(?:as\s+)?({ID})\s*(?=\bon\b|\bwhere\b|\bjoin\b|\binner\b|\bleft\b|\bright\b|,|;|\n|$)", "Variable"), (rf"(?i)({ID})\s*\.\s*(?:{ID}|\*|\[)", "Table"),
 )
 DB2 = (
-    (rf"(?i)(?:\bin|\btablespace)\s+(?:database\s+)?({ID})", "Tablespace"), (rf"(?i)\bbufferpool\s+({ID})", "BufferPool"), (rf"(?i)\b(?:using\s+)?stogroup\s+({ID})", "StorageGroup"), (rf"(?i)\bcollection\s+({ID})", "Collection"), (rf"(?i)\bpackage\s+(?:{ID}\.)?({ID})", "Db2Package"), (rf"(?i)\bplan\s*\(\s*({ID})\s*\)", "Plan"), (rf"(?<=[\s,(=]):({ID})", "HostVariable"),
+    (rf"(?i)\bin\s+({ID})\s*\.\s*{ID}", "Database"), (rf"(?i)\bin\s+database\s+({ID})", "Database"), (rf"(?i)(?:\bin\s+(?:{ID}\s*\.\s*)?|\btablespace\s+)(?!database\b)({ID})", "Tablespace"), (rf"(?i)\bbufferpool\s+({ID})", "BufferPool"), (rf"(?i)\b(?:using\s+)?stogroup\s+({ID})", "StorageGroup"), (rf"(?i)\bcollection\s+({ID})", "Collection"), (rf"(?i)\bpackage\s+(?:{ID}\.)?({ID})", "Db2Package"), (rf"(?i)\bplan\s*\(\s*({ID})\s*\)", "Plan"), (rf"(?<=[\s,(=]):({ID})", "HostVariable"),
 )
 
 
@@ -110,7 +110,7 @@ class Language:
 SQL_ALL = SQL_WORDS | SQL_TYPES | SQL_FUNCTIONS
 LANGUAGES = {
     "tsql": Language(SQL_DECLARED, ("--",), (("/*", "*/"),), "'", SQL_ALL, sql=True, any_case=False),
-    "db2sql": Language(DB2 + SQL_DECLARED, ("--",), (("/*", "*/"),), "'", SQL_ALL | {"tablespace", "bufferpool", "stogroup", "collection", "package", "plan"}, sql=True),
+    "db2sql": Language(DB2 + SQL_DECLARED, ("--",), (("/*", "*/"),), "'", SQL_ALL | {"tablespace", "bufferpool", "stogroup", "collection", "package", "plan", "ur"}, sql=True),
     "oraclesql": Language(SQL_DECLARED, ("--",), (("/*", "*/"),), "'", SQL_ALL | ORACLE_WORDS, sql=True, q_quotes=True),
     "csharp": Language(CSHARP, ("//",), (("/*", "*/"),), "\"'", CODE_WORDS, doubled=False, verbatim=True),
     "vbnet": Language(VISUAL_BASIC, ("'",), (), '"', CODE_WORDS, any_case=True, lists=BASIC_LISTS),
@@ -286,6 +286,13 @@ def code_spans(text: str, processor: str) -> list[tuple[int, int, str, str, str,
         for m in pattern.finditer(masked):
             for word in (basic_names if lang.any_case else listed)(m[1]):
                 declare(word, category)
+    if lang.sql:
+        for m in _MORE_TABLES.finditer(masked):
+            for item in m[1].split(","):
+                if t := _ONE_TABLE.match(item):
+                    declare_sql(t[1], "Table")
+                    if t[2]:
+                        declare(t[2], "Variable")
     for pattern, category in lang.declared:
         for m in pattern.finditer(masked):
             if lang.sql:
@@ -294,12 +301,6 @@ def code_spans(text: str, processor: str) -> list[tuple[int, int, str, str, str,
                 for word in m[1].split("."):
                     declare(word, category)
     if lang.sql:
-        for m in _MORE_TABLES.finditer(masked):
-            for item in m[1].split(","):
-                if t := _ONE_TABLE.match(item):
-                    declare_sql(t[1], "Table")
-                    if t[2]:
-                        declare(t[2], "Variable")
         for m in re.finditer(r"(?i)\bproc(?:edure)?\b[^;]*?\bas\b", masked):
             for p in re.finditer(rf"@{ID}", m[0]):
                 declare(p[0], "Parameter")

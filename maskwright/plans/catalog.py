@@ -9,6 +9,7 @@ from maskwright.functions import text as X
 from maskwright.operators import audit, paths, rules, sanitize, scope
 from maskwright.operators.languages import cards, lines, rewrite
 from maskwright.operators.restore import restored, unmatched
+from maskwright.plans import engine, sources
 from maskwright.plans.oracle import ORACLES, SYNTH, files_sql, programs_sql, jobs_sql, snippets_sql, statements_sql
 from maskwright.sources.shared import written
 
@@ -93,7 +94,7 @@ def sanitized_text(spark, sf):
 
 
 def sanitized_documents(spark, sf):
-    found = sanitize.keyed(sanitize.detected(documents(spark, sf), [r for r in RULES if r.rule_id == "email_addresses"]), "detected")
+    found = sanitize.keyed(sanitize.detected(documents(spark, sf), RULES), "detected")
     names = written(sanitize.dictionary(found), "dictionary")
     return sanitize.applied(found, names).select("doc_id", F.md5("content").alias("content_md5"), F.size("matches").cast("long").alias("replacements"))
 
@@ -240,6 +241,50 @@ def file_counts(spark, sf):
     return audit.file_counts(sanitize.applied(*_run(spark, sf)))
 
 
+def _language(name):
+    def query(spark, sf):
+        return rewrite.obfuscated(_made(sources.made_sql(name), "supplier")(spark, sf))[0].select("doc_id", "content")
+
+    return query
+
+
+def _every_language(spark, sf):
+    _view(spark, sf, "supplier")
+    parts = [f"SELECT doc_id * {len(sources.SOURCES)} + {k} AS doc_id, path, content FROM ({sources.made_sql(n)})" for k, n in enumerate(sources.SOURCES)]
+    return _spread(spark.sql(" UNION ALL ".join(parts)))
+
+
+def level2_roundtrip(spark, sf):
+    """Sanitized at level 2 with renamed files, and restored: what comes back, comments aside, which cannot."""
+    docs = _every_language(spark, sf).where(~F.contains("content", F.lit("pay run")))
+    run = engine.run(docs, RULES)
+    hidden = written(run.documents.select("doc_id", "path", "content"), "level-2")
+    back = restored(engine.restored_paths(hidden, run.paths, run.references), run.names).select("doc_id", "path", "content")
+    shown = hidden.select("doc_id", F.col("path").alias("hidden_path"), F.contains("content", F.lit("north west")).alias("literal_seen"))
+    return back.join(shown, "doc_id").select("doc_id", "path", "content", (F.col("path") != F.col("hidden_path")).alias("renamed"), "literal_seen")
+
+
+def level2_stats(spark, sf):
+    docs = _made(sources.made_sql("csharp"), "supplier")(spark, sf)
+    out, names = engine.sanitize(docs, RULES)
+    return audit.stats(written(out, "level-2"), names)
+
+
+def level2_leaks(spark, sf):
+    """Words of any rewritten C# or Basic file that are names of the dictionary."""
+    _view(spark, sf, "supplier")
+    docs = _spread(spark.sql(" UNION ALL ".join(f"SELECT doc_id * 2 + {k} AS doc_id, path, content FROM ({sources.made_sql(n)})" for k, n in enumerate(("csharp", "vb")))))
+    out, names = rewrite.obfuscated(docs)
+    return audit.leaked_names(out, names).agg(F.count("*").alias("leaks"))
+
+
+def typed_paths(spark, sf):
+    """File names by the main type that a file declares."""
+    docs = _made(sources.made_sql("csharp"), "supplier")(spark, sf)
+    _, _, types = rewrite.rewritten(docs)
+    return paths.path_aliases(docs.select("path"), types)
+
+
 def code_obfuscation(spark, sf):
     docs = statements(spark, sf).select("doc_id", F.lit("q.sql").alias("path"), "content")
     return rewrite.obfuscated(docs)[0].select("doc_id", "content", "processor", F.col("replacements").cast("long").alias("replacements"))
@@ -252,10 +297,14 @@ def mainframe_obfuscation(spark, sf):
     return out.select("doc_id", "content", "processor", F.col("replacements").cast("long").alias("replacements"))
 
 
+csharp_obfuscation, vb_obfuscation, fsharp_obfuscation, js_obfuscation, vbs_obfuscation, tsql_obfuscation, db2_obfuscation, oracle_obfuscation = map(_language, sources.SOURCES)
+
+
 NAMES = (
     "rule_match_counts docs_with_email match_spans exceptions_filtered alias_dictionary alias_gaps overlap_resolved sanitized_text sanitized_documents restore_roundtrip unmatched_aliases rule_merge "
     "active_rules_sorted file_filter scope_dispatch directory_aliases path_aliases normalize_path js_import_resolve card_type card_values cobol_line_class cobol_names jcl_instream_program cross_refs host_refs "
-    "looks_like_sql sql_comment_strip literal_alias host_variables source_map stats_summary xref_report status_top10 leakage_check severity_rollup file_counts code_obfuscation mainframe_obfuscation"
+    "looks_like_sql sql_comment_strip literal_alias host_variables source_map stats_summary xref_report status_top10 leakage_check severity_rollup file_counts code_obfuscation mainframe_obfuscation "
+    "csharp_obfuscation vb_obfuscation fsharp_obfuscation js_obfuscation vbs_obfuscation tsql_obfuscation db2_obfuscation oracle_obfuscation level2_roundtrip level2_stats level2_leaks typed_paths"
 ).split()
 
 

@@ -7,6 +7,7 @@ from maskwright.operators.languages.cards import NAMED
 from maskwright.operators.paths import IGNORED_DIRECTORIES, IGNORED_EXTENSIONS, KNOWN, PROJECT_FILES, STRUCTURAL
 from maskwright.operators.rules import BUILT_IN
 from maskwright.operators.scope import EXTENSIONS
+from maskwright.plans.sources import SOURCES, expected_sql, made_sql
 
 
 def _s(x: str) -> str:
@@ -142,8 +143,22 @@ SELECT value, 'STR_' || (row_number() OVER (ORDER BY f.doc_id, f.k) - 1) AS alia
     "leakage_check": "SELECT 0::BIGINT AS leaks",
     "severity_rollup": f"WITH {_KEPT} SELECT severity, rule_id, count(*) AS n FROM flat GROUP BY ROLLUP (severity, rule_id)",
     "file_counts": f"WITH {_KEPT} SELECT doc_id, replacements FROM done",
-    "sanitized_documents": f"""WITH docs AS (SELECT doc_id, text AS content FROM documents), per AS (SELECT doc_id, content, regexp_extract_all(content, {_q(_EMAIL)}) AS hits, string_split_regex(content, {_q(_EMAIL)}) AS gaps FROM docs),
-one AS (SELECT doc_id, unnest(range(1, len(hits) + 1)) AS k, unnest(hits) AS value FROM per), first AS (SELECT value, min(struct_pack(doc_id := doc_id, k := k)) AS f FROM one GROUP BY value),
-names AS (SELECT value, 'EMAIL_' || (row_number() OVER (ORDER BY f.doc_id, f.k) - 1) AS alias FROM first), put AS (SELECT doc_id, list(alias ORDER BY k) AS al FROM one JOIN names USING (value) GROUP BY doc_id)
-SELECT doc_id, md5(CASE WHEN al IS NULL THEN content ELSE gaps[1] || array_to_string(list_transform(range(1, len(al) + 1), lambda i: al[i] || gaps[i + 1]), '') END) AS content_md5, coalesce(len(al), 0)::BIGINT AS replacements FROM per LEFT JOIN put USING (doc_id)""",
+}
+
+ORACLES |= {f"{name}_obfuscation": expected_sql(name) for name in SOURCES}
+_EVERY = " UNION ALL ".join(f"SELECT doc_id * {len(SOURCES)} + {k} AS doc_id, path, content FROM ({made_sql(n)})" for k, n in enumerate(SOURCES))
+ORACLES |= {
+    "level2_roundtrip": f"SELECT doc_id, path, content, true AS renamed, false AS literal_seen FROM ({_EVERY}) WHERE NOT contains(content, 'pay run')",
+    # by hand: 9 replacements in the first file, the comment among them, 7 in the second; Acme, Pay, three classes and Job, total, two methods, city, run and the literal
+    "level2_stats": "SELECT 2 * count(*) AS total_files, 2 * count(*) AS processed_files, 0::BIGINT AS skipped_files, 16 * count(*) AS total_replacements, 12::BIGINT AS unique_values FROM supplier",
+    "level2_leaks": "SELECT 0::BIGINT AS leaks",
+    # one file takes the name of each class, the others that declare it again get names of their own
+    "typed_paths": """WITH f AS (SELECT s_suppkey * 2 + k AS doc_id, k, s_suppkey % 3 AS m, 'src/f' || (s_suppkey * 2 + k) || '.cs' AS path FROM supplier, (VALUES (0), (1)) t(k)),
+named AS (SELECT path, 'src/CLS_' || CASE WHEN k = 1 THEN 1 WHEN m = 0 THEN 0 WHEN m = 1 THEN 2 ELSE 3 END AS stem FROM f),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY path) AS rn FROM named)
+SELECT path, CASE WHEN rn = 1 THEN stem || '.cs' ELSE 'src/FILE_' || (row_number() OVER (PARTITION BY rn > 1 ORDER BY path) - 1) || '.cs' END AS new_path FROM ranked""",
+    # all built-in rules over the real texts
+    "sanitized_documents": f"WITH {_KEPT.replace(SYNTH, 'SELECT doc_id, text AS content FROM documents')} SELECT doc_id, md5(content) AS content_md5, replacements FROM done",
+    # a script's own name, without its extension, leads to itself or to a file without one beside it; nothing lies a folder up
+    "js_import_resolve": f"WITH {_FILES} SELECT DISTINCT path, './' || stem AS reference, './n' || stem AS new_reference FROM f WHERE ext = '.js'",
 }
