@@ -167,9 +167,11 @@ def clear_together(cells: Cells, rest: np.ndarray, seed: int = 5) -> np.ndarray:
                     break
             if 0 < np.count_nonzero(v) <= SUPPORT:
                 factors.append(v)
+        mine = None  # one half at a time in memory
         mine = part(b)
         for v in factors:
             keep |= (np.abs(stands_out(*mine, v)) > CLEAR) & (v != 0)
+        mine = None
     return keep
 
 
@@ -233,9 +235,16 @@ def fitted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mach
     y, doc_ids = got["toxic"].to_numpy(), got["doc_id"].to_numpy()
     rank = np.empty(len(y), np.int32)
     rank[np.lexsort((y, doc_ids))] = np.arange(len(y), dtype=np.int32)  # one order, however the rows came
-    at = np.concatenate([np.zeros(0, np.int32), *(np.repeat(r, c.value_lengths().to_numpy(zero_copy_only=False)) for r, c in zip(np.split(rank, np.cumsum([len(c) for c in got["at"].chunks])[:-1]), got["at"].chunks))])
-    col = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in got["at"].chunks)])
+    chunks = list(got["at"].chunks)
     del got
+    total = sum(len(c.flatten()) for c in chunks)
+    at, col, rows_done, done = np.empty(total, np.int32), np.empty(total, np.int32), 0, 0
+    for k, c in enumerate(chunks):  # filled in place, each batch let go when it is done
+        values, sizes = c.flatten().to_numpy(), c.value_lengths().to_numpy(zero_copy_only=False)
+        at[done : done + len(values)] = np.repeat(rank[rows_done : rows_done + len(c)], sizes)
+        col[done : done + len(values)] = values
+        rows_done, done, chunks[k] = rows_done + len(c), done + len(values), None
+    c = values = None
     labels_of = np.empty(len(y))
     labels_of[rank] = y
     return trained(Cells(at, col, len(y), len(ids)), labels_of, ids)
