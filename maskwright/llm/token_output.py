@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, fresh_path, table, texts, written
+from .common import dropped, fresh_path, table, texts, tidy, written
 from .words import encoder, slices, tokenizer_path
 
 MAX_BITS, STEP, BLOCK_IDS = 16, 256, 1 << 18
@@ -146,14 +146,14 @@ def tokenized(docs: DataFrame, vocab_path: str, end_id: int = 1, id_col: str = "
         enc = encoder(vocab_path)
         kind = "<u2" if enc.vocab_size <= 1 << 16 else "<u4"
         for b in it:
-            for lo, hi in slices(b.column(1)):
+            for lo, hi in slices(b.column(1), 4_000_000):
                 ids, counts = enc.encode(b.column(1).slice(lo, hi - lo), end_id)
                 cut = np.cumsum(counts)
                 raw, size = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
                 blobs = [raw[(e - c) * size : e * size] for e, c in zip(cut.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return texts(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids binary")
 
 
 def id_counts(tokens: DataFrame, vocab_size: int) -> np.ndarray:
@@ -171,7 +171,7 @@ def id_counts(tokens: DataFrame, vocab_size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array(n[live])], ["id", "n"])
 
     out = np.zeros(vocab_size, np.int64)
-    got = tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    got = tokens.select("ids").mapInArrow(tidy(run), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out[got.id.to_numpy()] = got.n.to_numpy()
     return out
 
@@ -214,7 +214,7 @@ def write_tokens(docs: DataFrame, path: str, vocab_path: str, end_id: int = 1, *
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     (
         tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-        .mapInArrow(run, BLOCKS)
+        .mapInArrow(tidy(run), BLOCKS)
         .write.parquet(f"{path}/blocks")
     )
     dropped(tokens)
@@ -254,7 +254,7 @@ def _decoded(spark: SparkSession, path: str, column: str, kind, f) -> DataFrame:
                 vals = [f(ids[a:e]) for a, e in zip(starts, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64(), mask=np.arange(len(docs)) < nulls), pa.array(starts + base[shard] + before, pa.int64()), pa.array(counts.astype(np.int64)), pa.array(vals, kind)], ["doc_id", "start", "n_tokens", name])
 
-    return blocks.select("shard", "before", "payload").mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
+    return blocks.select("shard", "before", "payload").mapInArrow(tidy(run), f"doc_id long, start long, n_tokens long, {column}")
 
 
 def op1_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
