@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from . import divergence, exact_dedup
 
 OPERATORS = {
     "op1_huffman_tokens": "token_output",
@@ -17,6 +17,9 @@ OPERATORS = {
     "op8_simhash_near_duplicates": "simhash",
     "op9_factorization_machine_toxicity": "toxicity",
     "op10_randomness_battery_secrets": "secrets",
+    "op11_importance_resampling": "importance",
+    "op12_salted_exact_dedup": "exact_dedup",
+    "op13_sorted_run_divergence": "divergence",
 }
 
 
@@ -37,4 +40,4 @@ FROM embeddings JOIN (SELECT node AS vec_id, min(seen) AS component_id FROM reac
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_nn_descent_embedding_dedup": _EMBEDDINGS}
+    return {"op4_nn_descent_embedding_dedup": _EMBEDDINGS, "op12_salted_exact_dedup": exact_dedup.ORACLE_SQL, "op13_sorted_run_divergence": divergence.ORACLE_SQL}
