@@ -1,10 +1,10 @@
 """How far the sources of a language differ in their words, by sorted runs.
 
-Every occurrence becomes a row (lang, term, source, document), sorted; runs of equal rows are counted by scanning:
-a run of one document is its count of the term, a run of one term its document frequency and counts by source. This is
-done twice: within a task over some MB of texts at a time, whose runs alone are kept (a common word is one row for
-each source there, not one for each document), and then over all rows, which are dealt by ranges of all four columns, so
-that no term, however common, is one task's work. Where a range ends within a term, its parts are added up.
+Every occurrence is a row (lang, term, source, document), sorted; runs of equal rows are counted by scanning: a run of
+one document is its count of the term, a run of one term its document frequency and counts by source. This is done
+twice: within a task over TASK_BYTES of texts at a time, whose runs alone go on, and then over those of all tasks, dealt
+by (lang, term) and sorted by (lang, term, source, document). However common a term is, it is one row for each source
+and TASK_BYTES of text there, so no key is hot; the scan streams and holds the sources of one term.
 
 The kept terms are dealt out once more, by (lang, hash of the term), each share led by a row for each source of the
 language. A scan turns every term's run into shares of the sources, adds the differences of each pair up, and holds the
@@ -25,10 +25,12 @@ from .common import bounded, finished, table, tidy, written
 from .words import slices
 
 LEAST_DOCUMENTS, SMOOTH, SCALE, RANKS = 30, 5, 1_000_000_000, 50
-#: bytes of texts that a task sorts at a time, and cells of terms by sources, or of pairs, that a scan holds
-SLICE_BYTES, PIECE_BYTES, CELLS = 16_000_000, 8_000_000, 2_000_000
-#: rows that are sorted together at most: twelve bits of a key name the row, twelve its group and the rest the term
+#: bytes of texts that are sorted together, and whose runs a task merges before they go on; cells of terms by sources, or of pairs, that a scan holds
+PIECE_BYTES, TASK_BYTES, CELLS = 8_000_000, 64_000_000, 2_000_000
+#: rows of an Arrow batch that are sorted together: twelve bits of a key name the row, twelve its group and the rest the term
 ROWS = (1 << 12) - 1
+#: rows that a scan looks at together, and kept rows that make a share worth while
+SCAN_ROWS, SHARE_ROWS = 100_000, 20_000
 RUNS = "lang string, term string, source string, document long, df long, n long"
 
 #: letters and all that is not ASCII; other bytes are blanks
@@ -56,131 +58,138 @@ def firsts(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def runs_of(rows: list[bytes], group: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct terms, and of each run: group, term, first row, rows that hold it, occurrences) of texts; group: a number for each."""
-    cells: list[tuple[np.ndarray, np.ndarray]] = []
-    known = pa.array([], pa.binary())
-    words, sizes = [], []
-
-    def counted():
-        nonlocal known
-        if not words:
+class Runs:
+    """The runs of some texts: distinct (lang, source) groups and terms, and for each run of both the first document, how many
+    documents hold it, and how often."""
+
+    def __init__(self):
+        self.terms, self.groups, self.held, self.found = pa.array([], pa.binary()), {}, 0, []
+
+    def add(self, texts: list[bytes], groups: list[tuple[str, str]], documents: np.ndarray):
+        """One sort for each PIECE_BYTES of text; a text may lie in several."""
+        group = np.array([self.groups.setdefault(g, len(self.groups)) for g in groups], np.int64)
+        local, mine = np.unique(group, return_inverse=True)
+        cells, words, sizes, size = [], [], [], 0
+
+        def counted():
+            coded = pa.array(words, pa.binary()).dictionary_encode()
+            fresh = coded.dictionary.filter(pc.invert(pc.is_in(coded.dictionary, self.terms)))
+            self.terms = pa.concat_arrays([self.terms, fresh])
+            term = pc.index_in(coded.dictionary, self.terms).to_numpy().astype(np.int64)[coded.indices.to_numpy()]
+            row = np.repeat(np.array([k for k, _ in sizes], np.int64), [n for _, n in sizes])
+            key = np.sort((mine[row] << 51) + (term << 12) + row)
+            at = firsts(key)
+            cells.append((key[at], np.diff(np.append(at, len(key)))))
+            words.clear()
+            sizes.clear()
+
+        for k, text in enumerate(texts):
+            for some in term_lists(text):
+                words.extend(some)
+                sizes.append((k, len(some)))
+                size += min(len(text), PIECE_BYTES)
+                if size >= PIECE_BYTES and words:
+                    counted()
+                    size = 0
+            self.held += len(text)
+        if words:
+            counted()
+        if not cells:
             return
-        coded = pa.array(words, pa.binary()).dictionary_encode()
-        # numbers that hold over all lists of these rows
-        known = pa.concat_arrays([known, coded.dictionary.filter(pc.invert(pc.is_in(coded.dictionary, known)))])
-        term = pc.index_in(coded.dictionary, known).to_numpy()[coded.indices.to_numpy()].astype(np.int64)
-        row = np.repeat(np.array([k for k, _ in sizes]), [n for _, n in sizes])
-        key = np.sort((group[row] << 51) + (term << 12) + row)
-        at = firsts(key)
-        cells.append((key[at], np.diff(np.append(at, len(key)))))
-        words.clear()
-        sizes.clear()
-
-    held = 0
-    for k, text in enumerate(rows):
-        for some in term_lists(text):
-            words.extend(some)
-            sizes.append((k, len(some)))
-            held += len(text)
-            if held > SLICE_BYTES:
-                counted()
-                held = 0
-    counted()
-    key = np.concatenate([c for c, _ in cells]) if cells else np.zeros(0, np.int64)
-    n = np.concatenate([c for _, c in cells]) if cells else np.zeros(0, np.int64)
+        key, n = merged(np.concatenate([c for c, _ in cells]), np.concatenate([c for _, c in cells]))  # a long text's parts meet here
+        at = firsts(key >> 12)
+        self.found.append((local[key[at] >> 51] << 40 | key[at] >> 12 & (1 << 39) - 1, documents[key[at] & ROWS], np.diff(np.append(at, len(key))), np.add.reduceat(n, at)))
+
+    def batches(self, rows: int = 100_000):
+        """The runs as Arrow batches of RUNS."""
+        if self.found:
+            key, document, df, n = (np.concatenate(x) for x in zip(*self.found))
+            order = np.argsort(key, kind="stable")
+            key, document, df, n = key[order], document[order], df[order], n[order]
+            at = firsts(key)
+            key, document, df, n = key[at], document[at], np.add.reduceat(df, at), np.add.reduceat(n, at)
+            lang, source = (pa.array([g[k] for g in self.groups], pa.string()) for k in (0, 1))
+            terms = self.terms.cast(pa.string())
+            for lo in range(0, len(key), rows):
+                some = slice(lo, lo + rows)
+                group, term = pa.array(key[some] >> 40), pa.array(key[some] & (1 << 40) - 1)
+                cols = [lang.take(group), terms.take(term), source.take(group), *(pa.array(x[some]) for x in (document, df, n))]
+                yield pa.RecordBatch.from_arrays(cols, ["lang", "term", "source", "document", "df", "n"])
+
+
+def merged(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys once, in order, with the sums of their numbers."""
     order = np.argsort(key, kind="stable")
     key, n = key[order], n[order]
-    doc = firsts(key)  # a long text's lists meet here
-    n = np.add.reduceat(n, doc) if len(doc) else n
-    key = key[doc]
-    at = firsts(key >> 12)
-    df = np.diff(np.append(at, len(key)))
-    total = np.add.reduceat(n, at) if len(at) else n
-    return known.to_pylist(), key[at] >> 51, key[at] >> 12 & (1 << 39) - 1, key[at] & ROWS, df, total
+    at = firsts(key)
+    return key[at], np.add.reduceat(n, at) if len(at) else n
 
 
 def partial_runs(docs: DataFrame) -> DataFrame:
-    """RUNS of some MB of texts each: of each (lang, term, source) there the first document, how many hold it and how often."""
-    spark = docs.sparkSession
-    bounded(spark)
+    """RUNS of each task's texts (of TASK_BYTES of them, if it has more): of each (lang, term, source) there the first document,
+    how many hold it and how often."""
+    bounded(docs.sparkSession)
 
     def work(it):
+        runs = Runs()
         for b in it:
-            raw = b.column(3).cast(pa.binary())
-            for lo, hi in ((a, min(a + ROWS, z)) for lo, z in slices(raw, SLICE_BYTES) for a in range(lo, z, ROWS)):
-                lang, source, ids = (b.column(k).slice(lo, hi - lo) for k in range(3))
-                x, y = (c.dictionary_encode().indices.to_numpy().astype(np.int64) for c in (lang, source))
-                _, first, group = np.unique(x * len(y) + y, return_index=True, return_inverse=True)
-                terms, g, t, row, df, n = runs_of(raw.slice(lo, hi - lo).to_pylist(), group.astype(np.int64))
-                where = pa.array(first[g])
-                cols = [lang.take(where), pa.array(terms, pa.binary()).cast(pa.string()).take(pa.array(t)), source.take(where), ids.take(pa.array(row)), pa.array(df), pa.array(n)]
-                yield pa.RecordBatch.from_arrays(cols, ["lang", "term", "source", "document", "df", "n"])
+            for lo in range(0, len(b), ROWS):
+                some = b.slice(lo, ROWS)
+                raw = some.column(3).cast(pa.binary())
+                for x, y in slices(raw, PIECE_BYTES):
+                    lang, source, ids = (some.column(k).slice(x, y - x) for k in range(3))
+                    runs.add(raw.slice(x, y - x).to_pylist(), list(zip(lang.to_pylist(), source.to_pylist())), ids.fill_null(-1).to_numpy())
+                    if runs.held >= TASK_BYTES:
+                        yield from runs.batches()
+                        runs = Runs()
+        yield from runs.batches()
 
     return docs.select("lang", "source", "document", "text").mapInArrow(tidy(work), RUNS)
 
 
-def _runs(batches, columns: int):
-    """Sorted Arrow batches as (lang, term, rows) with the rows of each run of both; rows are tuples of the other columns."""
-    key, rows = None, []
-    for b in batches:
-        lang, term, *rest = (c.to_pylist() for c in b.columns[:columns])
-        for k, now in enumerate(zip(lang, term)):
-            if now != key:
-                if key is not None:
-                    yield *key, rows
-                key, rows = now, []
-            rows.append(tuple(c[k] for c in rest))
-    if key is not None:
-        yield *key, rows
+def scanned(batches, least: int):
+    """Of Arrow batches (lang, term, source, df, n), sorted, in which no (lang, term) goes on elsewhere: (lang, term, source, n) of the
+    terms with at least `least` documents. Of a term that goes on in the next rows only the sums of its sources are held."""
 
+    def starts(table, *names):
+        new = np.ones(len(table), bool)
+        for k, c in enumerate(names):
+            differs = pc.not_equal(table[c].slice(1), table[c].slice(0, len(table) - 1)).combine_chunks().to_numpy(zero_copy_only=False)
+            new[1:] = differs if k == 0 else new[1:] | differs
+        return np.flatnonzero(new)
 
-def kept_terms(partial: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """(lang, term, source, n) of the terms that at least `least` documents of the language hold."""
-    order = ["lang", "term", "source", "document"]
-    dealt = partial.repartitionByRange(*order).sortWithinPartitions(*order).select("lang", "term", "source", "df", "n")
-
-    def summed(batches):
-        """(lang, term, source, df, n, edge) of each run of three; few are held: those of one term's sources."""
-        key, df, n = None, 0, 0
-        for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            for *now, d, m in zip(*cols):
-                if now != key:
-                    if key is not None:
-                        yield *key, df, n
-                    key, df, n = now, 0, 0
-                df, n = df + d, n + m
-        if key is not None:
-            yield *key, df, n
+    def collapsed(table):
+        """One row for each (lang, term, source)."""
+        at = starts(table, "lang", "term", "source")
+        df, n = (pa.array(np.add.reduceat(table[c].to_numpy(), at)) for c in ("df", "n"))
+        return pa.table([*(table[c].take(pa.array(at)) for c in ("lang", "term", "source")), df, n], ["lang", "term", "source", "df", "n"])
 
-    def work(it):
-        out: list[tuple] = []
-        term, rows, edge = None, [], True
+    def done(table):
+        at = starts(table, "lang", "term")
+        kept = np.repeat(np.add.reduceat(table["df"].to_numpy(), at) >= least, np.diff(np.append(at, len(table))))
+        return table.select(["lang", "term", "source", "n"]).filter(pa.array(kept)).combine_chunks().to_batches()
 
-        def batch():
-            cols = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()))]
-            out.clear()
-            return pa.RecordBatch.from_arrays(cols, ["lang", "term", "source", "df", "n", "edge"])
-
-        for run in summed(it):
-            if run[:2] != term:
-                if term is not None and (edge or sum(r[3] for r in rows) >= least):
-                    out.extend((*r, edge) for r in rows)
-                    edge = False  # the first term of a range may have begun in the one before
-                elif term is not None:
-                    edge = False
-                term, rows = run[:2], []
-                if len(out) > 20_000:
-                    yield batch()
-            rows.append(run)
-        out.extend((*r, True) for r in rows)  # the last may go on in the next
-        yield batch()
+    held, size = [], 0
+    for b in batches:
+        if len(b):
+            held.append(pa.table(b))
+            size += len(b)
+        if size >= SCAN_ROWS:
+            now = collapsed(pa.concat_tables(held))
+            last = int(starts(now, "lang", "term")[-1])
+            if last:
+                yield from done(now.slice(0, last))
+            held, size = [now.slice(last)], 0
+    if held:
+        yield from done(collapsed(pa.concat_tables(held)))
 
-    found = written(dealt.mapInArrow(work, "lang string, term string, source string, df long, n long, edge boolean"), "runs")
-    cut = found.where("edge").groupBy("lang", "term", "source").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
-    often = cut.groupBy("lang", "term").agg(F.sum("df").alias("all")).where(F.col("all") >= least).select("lang", "term")
-    return found.where("not edge").select("lang", "term", "source", "n").unionByName(cut.join(often, ["lang", "term"]).select("lang", "term", "source", "n"))
+
+def kept_terms(partial: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """(lang, term, source, n) of the terms that at least `least` documents of the language hold."""
+    # the hash goes first in the order, as comparing it settles most comparisons; a term's rows still lie together
+    order = ["hash", "lang", "term", "source", "document"]
+    dealt = partial.repartition("lang", "term").withColumn("hash", F.xxhash64("lang", "term")).sortWithinPartitions(*order)
+    return dealt.select("lang", "term", "source", "df", "n").mapInArrow(tidy(lambda it: scanned(it, least)), "lang string, term string, source string, n long")
 
 
 def shares(count: np.ndarray, n: np.ndarray | int, v: int) -> np.ndarray:
@@ -244,9 +253,10 @@ class Share:
 
 
 def compared(kept: DataFrame, groups: DataFrame, ranks: int = RANKS, tiles: int | None = None) -> DataFrame:
-    """(lang, source, part, item, value): partial sums of pairs, and the foremost terms of each share. groups: (lang, source, size, v)."""
-    spark = kept.sparkSession
-    tiles = tiles or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """(lang, source, part, item, value): partial sums of pairs, and the foremost terms of each share. groups: (lang, source, size, v).
+
+    A language has as many shares as the kept rows call for, and no more than there are shuffle partitions."""
+    tiles = tiles or max(1, min(kept.count() // SHARE_ROWS, int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     lead = groups.select("lang", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), F.lit("").alias("term"), "source", F.col("size").alias("n"), "v")
     runs = kept.select("lang", F.pmod(F.xxhash64("term"), F.lit(tiles)).cast("int").alias("tile"), "term", "source", "n", F.lit(0).cast("long").alias("v"))
     rows = lead.unionByName(runs).repartition("lang", "tile").sortWithinPartitions("lang", "tile", "term", "source")
@@ -333,8 +343,7 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, ranks: int = RANKS, lan
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(text(lang_col).alias("lang"), text(source_col).alias("source"), F.col(id_col).cast("long").alias("document"), text(text_col).alias("text"))
-    partial = written(partial_runs(rows), "partial-runs")
-    kept = written(kept_terms(partial, least), "kept-terms")
+    kept = written(kept_terms(partial_runs(rows), least), "kept-terms")
     sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("size"))
     many = kept.groupBy("lang", "term").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count("*").alias("v"))
     groups = rows.groupBy("lang", "source").agg(F.count("*").alias("rows")).join(sizes, ["lang", "source"], "left").join(many, "lang", "left")

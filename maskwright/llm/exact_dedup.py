@@ -62,7 +62,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     keep = ["own"] if key else []
-    light = of.select("doc_id", digest(F.col("text")).alias("digest"), *keep)
+    light = written(of.select("doc_id", digest(F.col("text")).alias("digest"), *keep), "digests")
     if shared.isEmpty():
         out = _placed(light, found, total, share).withColumn("place", F.col("digest"))
     else:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -194,10 +195,16 @@ def test_audit_equals_plain_python(spark, least):
 
 def test_audit_with_little_room(spark, monkeypatch):
     """Scans that hold few cells hand pairs out as they go, and parts of texts and of ranges meet again."""
-    for name, n in (("CELLS", 5), ("SLICE_BYTES", 200), ("PIECE_BYTES", 50)):
+    for name, n in (("CELLS", 5), ("PIECE_BYTES", 50), ("SCAN_ROWS", 3)):
         monkeypatch.setattr(divergence, name, n)
-    runs = divergence.runs_of([b"ab cd ab", b"", b"x " * 90 + b"ab"], np.array([0, 1, 0]))
-    assert sorted(zip([runs[0][t] for t in runs[2]], *(x.tolist() for x in (runs[1], *runs[3:])))) == [(b"ab", 0, 0, 2, 3), (b"cd", 0, 0, 1, 1), (b"x", 0, 2, 1, 90)]
+    runs = divergence.Runs()
+    runs.add([b"ab cd ab", b"", b"x " * 90 + b"ab"], [("l", "s"), ("l", "t"), ("l", "s")], np.array([7, 8, 9]))
+    runs.add([b"cd x"], [("l", "t")], np.array([3]))
+    found = [r for b in runs.batches(2) for r in b.to_pylist()]
+    assert sorted(tuple(r.values()) for r in found) == [("l", "ab", "s", 7, 2, 3), ("l", "cd", "s", 7, 1, 1), ("l", "cd", "t", 3, 1, 1), ("l", "x", "s", 9, 1, 90), ("l", "x", "t", 3, 1, 1)]
+    rows = [("l", "ab", "s", 1, 5), ("l", "ab", "s", 1, 1), ("l", "ab", "s", 1, 1), ("l", "ab", "t", 1, 2), ("l", "b", "s", 3, 3), ("m", "b", "s", 2, 9), ("m", "b", "t", 2, 1)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("lang", "term", "source", "df", "n"), r))]) for r in rows]
+    assert [tuple(r.values()) for b in divergence.scanned(batches, 4) for r in b.to_pylist()] == [("l", "ab", "s", 7), ("l", "ab", "t", 2), ("m", "b", "s", 9), ("m", "b", "t", 1)]
     share = divergence.Share(2)
     for s, n in (("a", 4), ("b", 6), ("c", 0)):
         share.source(s, n, 3)
