@@ -6,11 +6,12 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: folders that `written` made in this process and that nothing has deleted yet
-_MADE: list[str] = []
+#: folders that `written` made for the innermost `finished` that is running in this thread
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,11 +32,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read back from the shared folder: evaluated once, independent of any executor."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """The same rows, read back from the shared folder: evaluated once, independent of any executor. options: the writer's."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    _MADE.append(path)
+    df.write.options(**options).parquet(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,9 +48,13 @@ def deleted(spark: SparkSession, path: str) -> None:
 
 def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """make()'s rows from a table of their own; the tables that were written for them on the way are deleted."""
-    mark = len(_MADE)
-    out = written(make(), name)
-    for path in _MADE[mark:-1]:
+    outer = _MADE.set(made := [])
+    try:
+        out = written(make(), name)
+    finally:
+        _MADE.reset(outer)
+    for path in made[:-1]:
         deleted(spark, path)
-    del _MADE[mark:-1]
+    if (around := _MADE.get()) is not None:
+        around.append(made[-1])
     return out
