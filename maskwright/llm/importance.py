@@ -1,9 +1,10 @@
 """Target-distribution importance resampling over hashed word runs.
 
 Every document is a sparse row of counts over BUCKETS hashed features. The matrix is written once, in blocks of compressed
-sparse rows (row starts, bucket numbers, counts) of a few MB of text each, and read twice: its column sums give the raw
-distribution, and its product with the vector of gains gives every document's weight. A task holds one block at a time,
-and of each task's columns only their sums move, BUCKETS rows at most. Gains are BUCKETS numbers, which go to all tasks.
+sparse rows (row starts, bucket numbers, counts; packed numbers) of BLOCK_BYTES of text each, and read twice: its column sums
+give the raw distribution, and its product with the vector of gains gives every document's weight. Files hold BLOCKS blocks, as
+Spark reads the whole of a file's arrays into memory at once; a task works on one block after the other, and of each task's
+columns only their sums move, BUCKETS rows at most. Gains are BUCKETS numbers, which go to all tasks.
 
 Buckets come from crc32 of the feature's bytes. Each distinct word of a block is hashed once; the crc of a run of words
 follows from those of its parts, as appending bytes is a linear map of the crc's bits, looked up in tables.
@@ -23,8 +24,9 @@ from .common import finished, table, texts, tidy, written
 from .words import slices
 
 BUCKETS, RUN, LEAST_WORDS, PERCENT, SEED = 10_000, 3, 20, 5, 42
-SLICE_BYTES, PIECE_BYTES = 4_000_000, 8_000_000
-BLOCK = "ids array<long>, words array<long>, starts array<long>, buckets array<int>, counts array<long>"
+BLOCK_BYTES, PIECE_BYTES, BLOCKS = 500_000, 8_000_000, 128
+#: starts, one more than rows, as 64 bits each; buckets as 32 bits, or 16 where that does; counts as 32 bits, or 8
+BLOCK = "ids array<long>, words array<long>, starts binary, buckets binary, counts binary"
 
 #: bytes of a word: digits, letters, and all that is not ASCII; others are blanks
 _WORD_BYTES = bytes(c if chr(c).isalnum() and c < 128 or c > 127 else 32 for c in range(256))
@@ -150,23 +152,32 @@ def block_of(rows: list[bytes | None], run: int = RUN, buckets: int = BUCKETS, m
     return n_words, starts, cell % buckets, count
 
 
-def matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, buckets: int = BUCKETS, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """Blocks of rows (BLOCK): ids, words of each text, starts (one more than rows), bucket numbers and counts."""
-
-    def lists(ends, values, kind):
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+def matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, buckets: int = BUCKETS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks of rows (BLOCK): ids and words of each text, where its cells start, bucket numbers and counts."""
 
     def work(it):
         for b in it:
             raw = b.column(1).cast(pa.binary())
-            for lo, hi in slices(raw, slice_bytes):
+            for lo, hi in slices(raw, block_bytes):
                 words, starts, where, counts = block_of(raw.slice(lo, hi - lo).to_pylist(), run, buckets)
-                cols = [pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), b.column(0).slice(lo, hi - lo)), lists([0, len(words)], words, pa.int64()), lists([0, len(starts)], starts, pa.int64()), lists([0, len(where)], where, pa.int32()), lists([0, len(counts)], counts, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["ids", "words", "starts", "buckets", "counts"])
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), values)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([one(b.column(0).slice(lo, hi - lo)), one(pa.array(words)), *(pa.array([x]) for x in packed(starts, where, counts))], ["ids", "words", "starts", "buckets", "counts"])
 
     return texts(docs, id_col, text_col).mapInArrow(tidy(work), BLOCK)
 
 
+def packed(starts: np.ndarray, where: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    small = lambda x, narrow, wide: x.astype(narrow if not len(x) or x.max() <= np.iinfo(narrow).max else wide).tobytes()
+    return starts.astype("<i8").tobytes(), small(where, "<u2", "<u4"), small(counts, "<u1", "<u4")
+
+
+def unpacked(starts: bytes, where: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = np.frombuffer(starts, "<i8")
+    n = int(at[-1])
+    kind = lambda x: f"<u{len(x) // n}" if n else "<u1"
+    return at, np.frombuffer(where, kind(where)), np.frombuffer(counts, kind(counts)).astype(np.int64)
+
+
 def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, n) of buckets with any count: each task adds its blocks up first."""
 
@@ -174,12 +185,12 @@ def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         total = np.zeros(buckets, np.int64)
         for b in it:
             for k in range(len(b)):
-                where, counts = (b.column(c).slice(k, 1).flatten().to_numpy() for c in (0, 1))
+                _, where, counts = unpacked(*(b.column(c)[k].as_py() for c in range(3)))
                 total += np.bincount(where, counts, buckets).astype(np.int64)
         live = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array(total[live], pa.int64())], ["bucket", "n"])
 
-    each = blocks.select("buckets", "counts").mapInArrow(work, "bucket int, n long")
+    each = blocks.select("starts", "buckets", "counts").mapInArrow(work, "bucket int, n long")
     return each.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
@@ -202,10 +213,9 @@ def weights(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
     def work(it):
         for b in it:
             for k in range(len(b)):
-                one = b.slice(k, 1)
-                ids, words, starts, where, counts = (one.column(c).flatten() for c in range(5))
-                starts, counts = starts.to_numpy(), counts.to_numpy()
-                both = np.concatenate([[0], np.cumsum(counts * gain[where.to_numpy()])]), np.concatenate([[0], np.cumsum(counts)])
+                ids, words = (b.column(c).slice(k, 1).flatten() for c in range(2))
+                starts, where, counts = unpacked(*(b.column(c)[k].as_py() for c in range(2, 5)))
+                both = np.concatenate([[0], np.cumsum(counts * gain[where])]), np.concatenate([[0], np.cumsum(counts)])
                 weight, n = (np.diff(x[starts]) for x in both)
                 yield pa.RecordBatch.from_arrays([ids, words, pa.array(n), pa.array(weight)], ["doc_id", "n_words", "n_features", "weight"])
 
@@ -241,7 +251,7 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_
     or corpus is a distribution without counts, so only the smoothing speaks.
     """
     spark = docs.sparkSession
-    blocks = written(matrix(docs, id_col, text_col, run, buckets), "matrix")
+    blocks = written(matrix(docs, id_col, text_col, run, buckets), "matrix", maxRecordsPerFile=BLOCKS)
     aim = matrix(target.select(F.lit(0).alias("none"), "text"), "none", "text", run, buckets)
     gain = gains(column_sums(blocks, buckets), column_sums(aim, buckets), buckets)
     found = weights(blocks, gain).withColumn("score", F.col("weight") + gumbel(F.col("doc_id"), seed)).withColumn("row", F.monotonically_increasing_id())
