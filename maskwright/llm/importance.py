@@ -2,9 +2,9 @@
 
 Every document is a sparse row of counts over BUCKETS hashed features. The matrix is written once, in blocks of compressed
 sparse rows (row starts, bucket numbers, counts; packed numbers) of BLOCK_BYTES of text each, and read twice: its column sums
-give the raw distribution, and its product with the vector of gains gives every document's weight. Files hold BLOCKS blocks, as
-Spark reads the whole of a file's arrays into memory at once; a task works on one block after the other, and of each task's
-columns only their sums move, BUCKETS rows at most. Gains are BUCKETS numbers, which go to all tasks.
+give the raw distribution, and its product with the vector of gains gives every document's weight. A task holds a few blocks
+at a time (small row groups, Arrow batches of BATCH_BYTES), and of each task's columns only their sums move, BUCKETS rows at
+most. Gains are BUCKETS numbers, which go to all tasks.
 
 Buckets come from crc32 of the feature's bytes. Each distinct word of a block is hashed once; the crc of a run of words
 follows from those of its parts, as appending bytes is a linear map of the crc's bits, looked up in tables.
@@ -24,8 +24,10 @@ from .common import finished, table, texts, tidy, written
 from .words import slices
 
 BUCKETS, RUN, LEAST_WORDS, PERCENT, SEED = 10_000, 3, 20, 5, 42
-BLOCK_BYTES, PIECE_BYTES, BLOCKS = 500_000, 8_000_000, 128
-#: starts, one more than rows, as 64 bits each; buckets as 32 bits, or 16 where that does; counts as 32 bits, or 8
+BLOCK_BYTES, PIECE_BYTES, BATCH_BYTES = 500_000, 8_000_000, 8_000_000
+#: Parquet's row groups, whose columns Spark reads into memory at once; their size is looked at after each block
+ROW_GROUPS = {"parquet.block.size": 4 * BATCH_BYTES, "parquet.page.size.row.check.min": 1}
+#: starts, one more than rows, as 64 bits each; buckets and counts as 8, 16 or 32 bits, as many as a block's largest takes
 BLOCK = "ids array<long>, words array<long>, starts binary, buckets binary, counts binary"
 
 #: bytes of a word: digits, letters, and all that is not ASCII; others are blanks
@@ -167,8 +169,8 @@ def matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
 
 
 def packed(starts: np.ndarray, where: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    small = lambda x, narrow, wide: x.astype(narrow if not len(x) or x.max() <= np.iinfo(narrow).max else wide).tobytes()
-    return starts.astype("<i8").tobytes(), small(where, "<u2", "<u4"), small(counts, "<u1", "<u4")
+    small = lambda x: x.astype(next(k for k in ("<u1", "<u2", "<u4") if not len(x) or x.max() <= np.iinfo(k).max)).tobytes()
+    return starts.astype("<i8").tobytes(), small(where), small(counts)
 
 
 def unpacked(starts: bytes, where: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,7 +253,8 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_
     or corpus is a distribution without counts, so only the smoothing speaks.
     """
     spark = docs.sparkSession
-    blocks = written(matrix(docs, id_col, text_col, run, buckets), "matrix", maxRecordsPerFile=BLOCKS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    blocks = written(matrix(docs, id_col, text_col, run, buckets), "matrix", **ROW_GROUPS)
     aim = matrix(target.select(F.lit(0).alias("none"), "text"), "none", "text", run, buckets)
     gain = gains(column_sums(blocks, buckets), column_sums(aim, buckets), buckets)
     found = weights(blocks, gain).withColumn("score", F.col("weight") + gumbel(F.col("doc_id"), seed)).withColumn("row", F.monotonically_increasing_id())
