@@ -55,21 +55,6 @@ def is_numeric_or_date(value: Column) -> Column:
     return F.coalesce(number.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$") | F.regexp_like(value, F.lit(r"^\d{4}[-/]\d{2}[-/]\d{2}")) | F.regexp_like(F.trim(value), F.lit(r"^\d{1,2}[-/]\d{1,2}[-/]\d{2,4}$")), F.lit(False))
 
 
-def splice(text: Column, spans: Column) -> Column:
-    """Text with spans (struct start, len, alias; sorted, disjoint) replaced."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(a, s):
-        return F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), s["alias"]).alias("out"), (s["start"] + s["len"]).alias("at"))
-
-    return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-
-
-def keep_leftmost_longest(spans: Column, kind: str) -> Column:
-    """Of spans sorted by start, longest first, those that do not overlap one kept before."""
-    zero = F.struct(F.array().cast(f"array<{kind}>").alias("kept"), F.lit(0).alias("at"))
-
-    def step(a, s):
-        return F.when(s["start"] >= a["at"], F.struct(F.array_append(a["kept"], s).alias("kept"), (s["start"] + s["len"]).alias("at"))).otherwise(a)
-
-    return F.aggregate(spans, zero, step, lambda a: a["kept"])
+def is_number_like(value: Column) -> Column:
+    """Whole numbers and dates with room around, which source literals may show as they are."""
+    return value.rlike(r"(?i)^(?:\s*[+-]?[\d,]*\.?\d+(e[+-]?\d+)?\s*$|\d{4}[-/]\d{2}[-/]\d{2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}$|\d{1,2}-[A-Za-z]{3}-\d{2,4}$)")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.operators.sanitize import ROW, keyed
+from maskwright.sources.shared import written
+
 
 def stats(result: DataFrame, names: DataFrame) -> DataFrame:
     """One row: documents in all, rewritten, untouched; replacements; values in the dictionary (those of losing spans too)."""
@@ -72,6 +75,35 @@ def leaked_names(result: DataFrame, names: DataFrame, least: int = 3) -> DataFra
     return words.join(names.where(F.length("value") >= least).select("value").distinct(), "value").select("doc_id", "value")
 
 
+#: a word, and what may not stand beside a value that begins or ends with one
+_WORD, _EDGE = r"[\p{L}\p{N}_]+", r"[\p{L}\p{N}_]"
+
+
+def leak_search(result: DataFrame, names: DataFrame, least: int = 3) -> DataFrame:
+    """(doc_id, value): values of the dictionary, of at least `least` characters, that stand in any document of result, wherever else they were
+    replaced: names, literals of several words, e-mails, paths. A value counts where its first and last word are whole words.
+
+    Each value is looked up by its rarest word over all documents: these words meet the documents' words by equality, and
+    only such pairs are verified by the text. Values without a letter or digit have no word and are not searched. A value of
+    which some word stands nowhere costs nothing. Null contents hold nothing; repeated and null doc_ids are found like others.
+    """
+    docs = keyed(result.select("doc_id", "content"), "searched")
+    words = written(docs.select(ROW, F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(_WORD), F.lit(0)))).alias("word")), "words")
+    known = names.select("value").distinct().where(F.length("value") >= least)
+    parts = known.select("value", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(_WORD), F.lit(0)))).alias("word"))
+    # counts of the words that values have alone
+    counts = words.join(parts.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("docs"))
+    anchors = parts.join(counts, "word", "left").groupBy("value").agg(F.min_by("word", F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "word")).alias("word"))
+    pairs = words.join(anchors, "word")
+    alone = pairs.where(F.col("value") == F.col("word")).select(ROW, "value")
+    rest = pairs.where(F.col("value") != F.col("word")).join(docs.select(ROW, "content"), ROW).where(F.contains("content", "value"))
+    quoted = F.concat(F.lit("\\Q"), F.replace("value", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    side = lambda near, look: F.when(near.rlike(_EDGE), look).otherwise("")
+    bounded = F.concat(side(F.substring("value", 1, 1), f"(?<!{_EDGE})"), quoted, side(F.expr("right(value, 1)"), f"(?!{_EDGE})"))
+    found = alone.unionByName(rest.where(F.regexp_like("content", bounded)).select(ROW, "value"))
+    return found.join(docs.select(ROW, "doc_id"), ROW).select("doc_id", "value")
+
+
 def file_counts(result: DataFrame) -> DataFrame:
     return result.select("doc_id", replacements(result).alias("replacements"))
 
@@ -84,6 +116,6 @@ def by_severity(result: DataFrame, rules: DataFrame) -> DataFrame:
 
 def xref_lines(names: DataFrame, result: DataFrame) -> DataFrame:
     """The cross-reference as a Markdown table: (n, line) in order, numbered by a range-sorted pass, never in one task."""
-    rows = xref(names, result).select("alias", F.concat(F.lit("| "), "alias", F.lit(" | "), F.replace(F.regexp_replace("value", r"\\s+", " "), F.lit("|"), F.lit("\\|")), F.lit(" | "), F.col("occurrences").cast("string"), F.lit(" |")).alias("line"))
+    rows = xref(names, result).select("alias", F.concat(F.lit("| "), "alias", F.lit(" | "), F.replace(F.regexp_replace("value", r"\s+", " "), F.lit("|"), F.lit("\\|")), F.lit(" | "), F.col("occurrences").cast("string"), F.lit(" |")).alias("line"))
     head = names.sparkSession.createDataFrame([("", "| Alias | Original | Occurrences |"), (" ", "|---|---|---|")], "alias string, line string")
     return head.unionByName(rows).orderBy("alias").select("line")

@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions.naming import prefix_of
-from maskwright.operators.languages import cards, mainframe
-from maskwright.operators.languages.tokens import KNOWN_BY_FAMILY
-from maskwright.operators.sanitize import ROW, keyed, numbered, resolved
+from maskwright.functions.text import is_number_like
+from maskwright.operators.languages import cards, mainframe, relation
+from maskwright.operators.languages.tokens import KNOWN_BY_FAMILY, REMOVED, code_spans, local_places
+from maskwright.operators.sanitize import ROW, keyed, numbered, resolved, union_all
 from maskwright.operators.scope import delegation_only, in_scope, processor_of
 from maskwright.sources.shared import written
 
@@ -23,17 +24,57 @@ FAMILIES = {"csharp": "dotnet", "vbnet": "dotnet", "fsharp": "dotnet"}
 LOCAL = ("Variable", "Parameter")
 
 
+#: category of a place that declares a local name; no span of its own
+LOCAL_PLACE = "LocalPlace"
+
+
+def parsed(docs: DataFrame, languages: list[str]) -> DataFrame:
+    """(ROW, masked, found): of sources in the given languages the text without comments and literals, and both as (start, len, kind,
+    text). docs: (ROW, processor, content)."""
+    out = []
+    for language in languages:
+        rows = relation.tokens(docs.where(F.col("processor") == language), language)
+        taken = F.col("kind").isin("comment", "literal")
+        shown = F.when(taken, F.regexp_replace("text", r"[^\n]", " ")).otherwise(F.col("text"))
+        one = F.struct("place", shown.alias("shown"), F.when(taken, F.struct("start", "len", "kind", "text")).alias("taken"))
+        per = rows.groupBy(ROW).agg(F.array_sort(F.collect_list(one)).alias("all"))
+        out.append(per.select(ROW, F.array_join(F.col("all.shown"), "").alias("masked"), F.filter(F.col("all.taken"), lambda t: t.isNotNull()).alias("found")))
+    return union_all(out)
+
+
+def sql_spans(docs: DataFrame) -> DataFrame:
+    """SPANS of the comments and literals of SQL sources. docs: (ROW, doc_id, processor, found)."""
+    one = docs.where(F.col("processor").isin(*relation.SQL)).select(ROW, F.col("doc_id").cast("long").alias("doc_id"), F.col("processor").alias("family"), F.explode("found").alias("t")).select(ROW, "doc_id", "family", "t.*")
+    block = F.startswith("text", F.lit("/*"))
+    comments = one.where("kind = 'comment'").select(ROW, "doc_id", "start", "len", F.lit("").alias("value"), F.lit("Comment").alias("category"), "family", F.when(block, f"/* {REMOVED} */").otherwise(f"-- {REMOVED}").alias("head"), F.lit("").alias("tail"))
+    special = F.col("text").rlike(r"^[nN]?[qQ]'")
+    mark = F.when(special, F.length(F.regexp_extract("text", r"^([nN]?)", 1)) + 3).otherwise(F.length(F.regexp_extract("text", r"^([nN]?)", 1)) + 1)
+    end = F.when(special, 2).otherwise(1)
+    said = one.where((F.col("kind") == "literal") & relation.closed(F.col("text"), F.col("kind"))).withColumns({"mark": mark, "end": end})
+    said = said.withColumn("value", F.expr("substring(text, mark + 1, len - mark - end)")).where((F.trim("value") != "") & ~F.col("value").rlike(r"^\s*$") & ~is_number_like(F.col("value")))
+    literals = said.select(ROW, "doc_id", "start", "len", "value", F.lit("StringLiteral").alias("category"), "family", F.expr("substring(text, 1, mark)").alias("head"), F.expr("substring(text, len - end + 1, end)").alias("tail"))
+    return comments.unionByName(literals)
+
+
 def code_frames(docs: DataFrame) -> DataFrame:
-    """Spans of (ROW, doc_id, processor, content); see mainframe.spans for processors with a detail."""
+    """Spans of (ROW, doc_id, processor, content, masked); see mainframe.spans for processors with a detail. masked is what `parsed`
+    made of the text, if it did; then comments and literals of SQL sources are not among the spans."""
+
+    def spans_of(text, processor, masked):
+        if masked is None or processor not in (*relation.SQL, "csharp"):
+            return mainframe.spans(text, processor)
+        if processor == "csharp":
+            return mainframe.spans(text, processor) + [(a, 0, name, LOCAL_PLACE, "", "") for a, name in local_places(masked, processor)]
+        return code_spans(text, processor, masked)
 
     def run(it):
         names = [x.split()[0] for x in SPANS.split(", ")]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 5]
         for b in it:
-            rows = [(r, d, *s[:4], FAMILIES.get(p, p), *s[4:]) for r, d, p, c in zip(*(col.to_pylist() for col in b.columns)) for s in mainframe.spans(c or "", p or "")]
+            rows = [(r, d, *s[:4], FAMILIES.get(p, p), *s[4:]) for r, d, p, c, m in zip(*(col.to_pylist() for col in b.columns)) for s in spans_of(c or "", p or "", m)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-    return docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "processor", "content").mapInArrow(run, SPANS)
+    return docs.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "processor", "content", "masked").mapInArrow(run, SPANS)
 
 
 def detailed(processor: Column, content: Column, scope: set[str] | None) -> Column:
@@ -60,7 +101,13 @@ def rewritten(docs: DataFrame, scope: set[str] | None = None, fix_dispatch: bool
     """As obfuscated, and the names that each document declares: (doc_id, path, value, alias, category)."""
     d = keyed(docs.withColumn("processor", processor_of(F.col("path"), F.col("content"), fix_dispatch)), "sources")
     asked = d.withColumn("processor", detailed(F.col("processor"), F.col("content"), scope)).where("processor is not null")
-    spans = written(code_frames(asked), "code-spans")
+    here = {r[0] for r in asked.select("processor").distinct().collect()}  # no more than there are processors and cards
+    if lexed := [x for x in (*relation.SQL, "csharp") if x in here]:
+        asked = asked.join(written(parsed(asked.select(ROW, "processor", "content"), lexed), "lexed"), ROW, "left")
+        spans = written(sql_spans(asked).unionByName(code_frames(asked)), "code-spans")
+    else:
+        spans = written(code_frames(asked.withColumn("masked", F.lit(None).cast("string"))), "code-spans")
+    spans = bound(spans, asked) if "csharp" in here else spans
     declared = spans.where(~F.col("category").isin("Comment", mainframe.KNOWN, KNOWN_BY_FAMILY))
     first = declared.groupBy("value").agg(F.min(F.struct("doc_id", "start", "category")).alias("f"))
     names = numbered(first.select("value", prefix_of(F.col("f.category")).alias("prefix"), "f.doc_id", "f.start", "f.category"), ["doc_id", "start"])
@@ -76,6 +123,23 @@ def rewritten(docs: DataFrame, scope: set[str] | None = None, fix_dispatch: bool
     return (_refitted(out).drop("__old") if fixed_width else out), names, types
 
 
+def bound(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """spans without the places of declarations; in C# a parameter's or variable's name counts only where a block around it declares
+    it, and is a mere use elsewhere (a member of the same name, say, which counts if any file declares it).
+
+    Declarations and uses are placed in blocks by their offsets; see relation.bound_uses.
+    """
+    places = spans.where(F.col("category") == LOCAL_PLACE).select(ROW, F.col("start").alias("place"), "value")
+    rest = spans.where(F.col("category") != LOCAL_PLACE)
+    local = F.col("category").isin(*LOCAL) & (F.col("family") == "dotnet")
+    blocks = relation.brace_blocks(relation.tokens(docs.where("processor = 'csharp'").select(ROW, "content"), "csharp"), "start")
+    named = rest.where(local).join(docs.where("processor = 'csharp'").select(ROW), ROW, "left_semi")
+    seen = relation.bound_uses(places, named.select(ROW, F.col("start").alias("place"), "value"), blocks)
+    lost = written(named.select(ROW, "start", "value").join(seen.select(ROW, F.col("place").alias("start"), "value"), [ROW, "start", "value"], "left_anti").withColumn("__lost", F.lit(True)), "unbound")
+    out = rest.join(lost, [ROW, "start", "value"], "left").withColumn("category", F.when(F.col("__lost") & local, KNOWN_BY_FAMILY).otherwise(F.col("category")))
+    return written(out.drop("__lost").select(*spans.columns), "bound-spans")
+
+
 def _refitted(docs: DataFrame) -> DataFrame:
     at = [docs.columns.index(c) for c in ("__old", "content", "processor")]
 

@@ -70,6 +70,7 @@ SQL_DECLARED = (
     (rf"(?i)\bcreate\s+(?:or\s+replace\s+)?package\s+body\s+({NAME})", "OraclePackageBody"), (rf"(?i)\bcreate\s+(?:or\s+replace\s+)?package\s+(?!body\b)({NAME})", "OraclePackage"), (rf"(?i)\bmaterialized\s+view\s+({NAME})", "MaterializedView"), (rf"(?i)\bsequence\s+({NAME})", "Sequence"), (rf"(?i)\bsynonym\s+({NAME})", "Synonym"),
     (rf"(?i)\bdeclare\s+({ID})\s+(?:\w+\s+)*cursor\b", "Cursor"), (rf"(?i)\bcursor\s+({ID})\s+is\b", "Cursor"), (rf"(?i)\b(?:open|close|deallocate)\s+({ID})", "Cursor"), (rf"(?i)\bwith\s+({ID})\s*(?:\([^)]*\)\s*)?as\s*\(", "CTE"), (rf"(?i)\)\s*,\s*({ID})\s+as\s*\(", "CTE"), (rf"(?i)\bgoto\s+({ID})", "Variable"),
     (rf"(?i)\b(?:from|join|into|update|table|view|references)\s+({NAME})", "Table"),
+    (rf"(?i)\bmerge\s+(?:into\s+)?{NAME}(?:\s+(?:as\s+)?{ID})?\s+using\s+({NAME})", "Table"), (rf"(?i)\bmerge\s+(?:into\s+)?{NAME}\s+(?:as\s+)?(?!using\b)({ID})\s+using\b", "Variable"), (rf"(?i)\busing\s+{NAME}\s+(?:as\s+)?(?!on\b)({ID})\s+on\b", "Variable"),
     (rf"(?i)\b(?:from|join)\s+{NAME}\s+(?:as\s+)?({ID})\s*(?=\bon\b|\bwhere\b|\bjoin\b|\binner\b|\bleft\b|\bright\b|,|;|\n|$)", "Variable"), (rf"(?i)({ID})\s*\.\s*(?:{ID}|\*|\[)", "Table"),
 )
 DB2 = (
@@ -101,7 +102,8 @@ def basic_names(inside: str) -> list[str]:
 
 
 class Language:
-    def __init__(self, declared, line_marks, blocks, quotes, words, sql=False, any_case=False, doubled=True, verbatim=False, lists=(), q_quotes=False):
+    def __init__(self, declared, line_marks, blocks, quotes, words, sql=False, any_case=False, doubled=True, verbatim=False, lists=(), q_quotes=False, triple=False, rem=False):
+        self.triple, self.rem = triple, rem
         self.lists, self.q_quotes = [(re.compile(p, re.M), c) for p, c in lists], q_quotes
         self.declared = [(re.compile(p, re.M), c) for p, c in declared]
         self.line_marks, self.blocks, self.quotes, self.words, self.sql, self.any_case, self.doubled, self.verbatim = line_marks, blocks, quotes, words, sql, any_case, doubled, verbatim
@@ -112,16 +114,18 @@ LANGUAGES = {
     "tsql": Language(SQL_DECLARED, ("--",), (("/*", "*/"),), "'", SQL_ALL, sql=True, any_case=False),
     "db2sql": Language(DB2 + SQL_DECLARED, ("--",), (("/*", "*/"),), "'", SQL_ALL | {"tablespace", "bufferpool", "stogroup", "collection", "package", "plan", "ur"}, sql=True),
     "oraclesql": Language(SQL_DECLARED, ("--",), (("/*", "*/"),), "'", SQL_ALL | ORACLE_WORDS, sql=True, q_quotes=True),
-    "csharp": Language(CSHARP, ("//",), (("/*", "*/"),), "\"'", CODE_WORDS, doubled=False, verbatim=True),
-    "vbnet": Language(VISUAL_BASIC, ("'",), (), '"', CODE_WORDS, any_case=True, lists=BASIC_LISTS),
-    "vbscript": Language(VISUAL_BASIC, ("'",), (), '"', CODE_WORDS, any_case=True, lists=BASIC_LISTS),
-    "fsharp": Language(FSHARP, ("//",), (("(*", "*)"),), '"', CODE_WORDS, doubled=False),
+    "csharp": Language(CSHARP, ("//",), (("/*", "*/"),), "\"'", CODE_WORDS, doubled=False, verbatim=True, triple=True),
+    "vbnet": Language(VISUAL_BASIC, ("'",), (), '"', CODE_WORDS, any_case=True, lists=BASIC_LISTS, rem=True),
+    "vbscript": Language(VISUAL_BASIC, ("'",), (), '"', CODE_WORDS, any_case=True, lists=BASIC_LISTS, rem=True),
+    "fsharp": Language(FSHARP, ("//",), (("(*", "*)"),), '"', CODE_WORDS, doubled=False, triple=True),
     "javascript": Language(JAVASCRIPT, ("//",), (("/*", "*/"),), "\"'`", CODE_WORDS, doubled=False, lists=JAVASCRIPT_LISTS),
 }
 _SQL_START = re.compile(r"\s*(SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|DROP|EXEC|EXECUTE|WITH|MERGE|DECLARE|BEGIN) ", re.I)
 _NUMBER = re.compile(r"\s*[+-]?[\d,]*\.?\d+(e[+-]?\d+)?\s*$|^\d{4}[-/]\d{2}[-/]\d{2}|^\d{1,2}[-/]\d{1,2}[-/]\d{2,4}$|^\d{1,2}-[A-Za-z]{3}-\d{2,4}$", re.I)
 _OPENS = re.compile(r"\s*\(")
-_WORD = re.compile(rf"@{{0,2}}#{{0,2}}{ID}|\[[^\]\n]+\]")
+#: a comment word where a word begins, up to the end of its line
+_REM = re.compile(r"(?i)rem(?=[ \t\r\n]|\Z)[^\n]*")
+_WORD = re.compile(rf"@{{0,2}}#{{0,2}}{ID}|\[[^\]\n]+\]|\"[^\"\n]+\"")
 _PLAIN_WORD = re.compile(ID)
 #: what follows the first of several tables of a FROM
 _MORE_TABLES = re.compile(r"(?is)\bfrom\s+[^;(),]*,([^;()]*?)(?=\b(?:where|group|order|having|union|inner|left|right|full|cross|join|on|connect|start|for|into|minus|intersect|loop|fetch|option)\b|[;()]|\Z)")
@@ -160,6 +164,13 @@ def lexed(text: str, lang: Language) -> tuple[str, list[tuple[int, int, str]]]:
             close = ORACLE_QUOTES.get(text[i + 2], text[i + 2]) + "'"
             j = text.find(close, i + 3)
             i = take(n if j < 0 else j + 2, "q")
+        elif c in "rR" and lang.rem and not (i and (text[i - 1].isalnum() or text[i - 1] == "_")) and (m := _REM.match(text, i)):
+            i = take(m.end(), "comment")
+        elif c == '"' and lang.triple and text.startswith('"""', i):
+            j = text.find('"""', i + 3)
+            while 0 <= j and text.startswith('"', j + 3):  # quotes before the last three are inside
+                j += 1
+            i = take(n if j < 0 else j + 3, '"""')
         elif c in lang.quotes:
             j = i + 1
             verbatim = lang.verbatim and text[max(0, i - 2) : i].rstrip("$").endswith("@")
@@ -211,18 +222,21 @@ def _alternating(parts: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def code_spans(text: str, processor: str) -> list[tuple[int, int, str, str, str, str]]:
-    """(start, length, value, category, head, tail): what to rewrite as head + alias + tail; comments have no value and head is the new text."""
+def code_spans(text: str, processor: str, masked: str | None = None) -> list[tuple[int, int, str, str, str, str]]:
+    """(start, length, value, category, head, tail): what to rewrite as head + alias + tail; comments have no value and head is the new text.
+
+    masked: the text without comments and literals where the token relation has found them; then names alone are looked for.
+    """
     lang = LANGUAGES.get(processor)
     if not lang or not text:
         return []
-    masked, taken = lexed(text, lang)
+    masked, taken = lexed(text, lang) if masked is None else (masked, [])
     spans, seen, upto = [], [], 0
     for a, b, kind in taken:
         body = text[a:b]
         if kind == "comment":
             block = next((x for x in lang.blocks if body.startswith(x[0])), None)
-            mark = next((m for m in lang.line_marks if body.startswith(m)), "")
+            mark = next((m for m in lang.line_marks if body.startswith(m)), body[:3])
             spans.append((a, b - a, "", "Comment", f"{block[0]} {REMOVED} {block[1]}" if block else f"{mark} {REMOVED}", ""))
             continue
         if kind == "q":
@@ -230,30 +244,31 @@ def code_spans(text: str, processor: str) -> list[tuple[int, int, str, str, str,
             if len(body) > 5 and body.endswith(ORACLE_QUOTES.get(body[2], body[2]) + "'") and said.strip() and not _NUMBER.match(said):
                 spans.append((a, b - a, said, "StringLiteral", body[:3], body[-2:]))
             continue
-        if len(body) < 2 or body[-1] != kind:
+        wide = len(kind)
+        if len(body) < 2 * wide or not body.endswith(kind):
             continue  # does not end: what it would hold is not known, and it must come back as it is
-        inner = body[1:-1].replace(kind * 2, kind) if lang.doubled else body[1:-1]
+        inner = body[wide:-wide]  # as written, doubled quotes too, so that it comes back as it was
         before = text[max(0, a - 60) : a]
-        opener = "${" if kind == "`" else "{" if lang.verbatim and kind == '"' and before[-2:].strip("@ (=,+").endswith("$") else ""
-        if opener and opener in inner and len(body) > 1:
-            parts, holes = pieces(body[1:-1], opener)
+        opener = "${" if kind == "`" else "{" if lang.verbatim and kind in ('"', '"""') and before[-2:].strip("@ (=,+").endswith("$") else ""
+        if opener and opener in inner:
+            parts, holes = pieces(inner, opener)
             for p, q in holes:  # code, whose names are rewritten like any others
-                seen += [masked[upto : a + 1 + p], text[a + 1 + p : a + 1 + q]]
-                upto = a + 1 + q
+                seen += [masked[upto : a + wide + p], text[a + wide + p : a + wide + q]]
+                upto = a + wide + q
             for p, q in parts:
-                said = body[1 + p : 1 + q].strip()
+                said = inner[p:q].strip()
                 if re.search(r"[^\W\d_]", said) and len(said) > 1 and "\\" not in said and "{{" not in said and not _SQL_START.match(inner):
-                    spans.append((a + 1 + body[1:-1].index(said, p), len(said), said, "StringLiteral", "", ""))
+                    spans.append((a + wide + inner.index(said, p), len(said), said, "StringLiteral", "", ""))
             if _SQL_START.match(inner):
-                bare = "".join(body[1 + p : 1 + q] if k % 2 == 0 else " " * (q - p) for k, (p, q) in enumerate(_alternating(parts, len(body) - 2)))
-                spans += [(a + 1 + s, *rest) for s, *rest in code_spans(bare, "tsql")]
+                bare = "".join(inner[p:q] if k % 2 == 0 else " " * (q - p) for k, (p, q) in enumerate(_alternating(parts, len(inner))))
+                spans += [(a + wide + s, *rest) for s, *rest in code_spans(bare, "tsql")]
             continue
         if processor == "csharp" and kind == "'":
             continue  # one character
         path = processor == "javascript" and (re.search(r"(from|require\s*\(|import\s*\(?)\s*$", before) or inner.startswith((".", "/")))
-        if not inner.strip() or len(body) < 2 or _NUMBER.match(inner) or path or (len(inner) >= 10 and _SQL_START.match(inner) and not lang.sql) or (kind == "`" and "${" in inner) or before.endswith("$"):
+        if not inner.strip() or _NUMBER.match(inner) or path or (len(inner) >= 10 and _SQL_START.match(inner) and not lang.sql) or (kind == "`" and "${" in inner) or before.endswith("$"):
             if len(inner) >= 10 and _SQL_START.match(inner) and not lang.sql:
-                spans += [(a + 1 + s, n, v, c, h, t) for s, n, v, c, h, t in code_spans(body[1:-1], "tsql")]
+                spans += [(a + wide + s, n, v, c, h, t) for s, n, v, c, h, t in code_spans(inner, "tsql")]
             continue
         spans.append((a, b - a, inner, "StringLiteral", kind, kind))
     masked = "".join(seen) + masked[upto:]
@@ -311,7 +326,7 @@ def code_spans(text: str, processor: str) -> list[tuple[int, int, str, str, str,
                     declare(p[1], "Parameter")
     for m in (_WORD if lang.sql else _PLAIN_WORD).finditer(masked):
         word = m[0]
-        bare = word.strip("[]")
+        bare = word.strip('[]"')
         low = bare.lower()
         if low in lang.words or bare in FRAMEWORK or low in SYSTEM_SCHEMAS and lang.sql or lang.q_quotes and low.startswith(ORACLE_OWN):
             continue
@@ -342,8 +357,8 @@ def code_spans(text: str, processor: str) -> list[tuple[int, int, str, str, str,
         if value.startswith("@"):  # the key goes without its mark, the text keeps it
             value, head = value[1:], "@"
         tail = ""
-        if word.startswith("["):
-            head, tail = "[" + head, "]"
+        if word[0] in '["':
+            head, tail = word[0] + head, word[-1]
         spans.append((m.start(), len(word), value, known[1], head, tail))
     return _later(spans) if processor == "javascript" else spans
 
@@ -358,8 +373,14 @@ def _later(spans: list[tuple]) -> list[tuple]:
     return out
 
 
+def local_places(masked: str, processor: str) -> list[tuple[int, str]]:
+    """(start, name) of the places where a C# source declares parameters and variables."""
+    lang = LANGUAGES[processor]
+    return [(m.start(1), m[1]) for p, category in lang.declared if category in ("Parameter", "Variable") for m in p.finditer(masked) if m[1].lower() not in lang.words]
+
+
 def balanced(text: str, processor: str) -> list[str]:
-    """Problems of a text: parentheses that do not match, strings and comments that do not end, BEGIN without END."""
+    """Problems of an F# or JavaScript text: parentheses that do not match, strings and comments that do not end."""
     lang = LANGUAGES[processor]
     masked, taken = lexed(text, lang)
     out, depth = [], 0
@@ -371,39 +392,8 @@ def balanced(text: str, processor: str) -> list[str]:
     if depth > 0:
         out.append("missing )")
     for a, b, kind in taken:
-        if kind != "comment" and (b - a < 2 or text[b - 1] != kind):
+        if kind != "comment" and (b - a < 2 * len(kind) or not text[:b].endswith(kind)):
             out.append("string does not end")
         elif kind == "comment" and (block := next((x for x in lang.blocks if text.startswith(x[0], a)), None)) and not text[a:b].endswith(block[1]):
             out.append("comment does not end")
-    if processor in ("vbnet", "vbscript"):
-        out += _open_blocks(masked)
-    if lang.sql:
-        words = [w.lower() for w in re.findall(r"[A-Za-z]+", masked)]
-        n = words.count("begin") + words.count("case") - words.count("end")
-        if n > 0:
-            out.append("BEGIN or CASE without END")
     return out
-
-
-# What opens a Basic block, and what closes it.
-BASIC_BLOCKS = (
-    (r"(?:\w+\s+)*?(sub|function|property|class|module|type|enum|structure|namespace|interface)\b", r"end\s+{0}\b"), (r"(if)\b.*\bthen\s*$", r"end\s*{0}\b"), (r"(select)\s+case\b", r"end\s+{0}\b"),
-    (r"(with|try)\b", r"end\s+{0}\b"), (r"(for)\b", r"next\b"), (r"(do)\b", r"loop\b"), (r"(while)\b", r"(?:wend|end\s+while)\b"),
-)
-
-
-def _open_blocks(masked: str) -> list[str]:
-    """Basic blocks that end out of turn or not at all."""
-    stack: list[tuple[str, str]] = []
-    for line in masked.lower().split("\n"):
-        line = line.strip()
-        if re.match(r"(?:end\s+\w+|endif|next|loop|wend)\b", line):
-            if not stack or not re.match(stack[-1][1], line):
-                return [f"unexpected {line.split()[0]}"]
-            stack.pop()
-        elif not re.match(r"(?:exit|declare|(?:\w+\s+)*(?:mustoverride|delegate))\b", line):
-            for opens, closes in BASIC_BLOCKS:
-                if m := re.match(opens, line):
-                    stack.append((m[1], closes.format(m[1])))
-                    break
-    return [f"{word} does not end" for word, _ in stack]

@@ -23,6 +23,7 @@ EXTENSIONS = (
     ("mainframe-utility", ()),
 )
 ORACLE_SIGNS = r"(?i)\b(CREATE\s+OR\s+REPLACE\s+PACKAGE|VARCHAR2|NVL|SYSDATE|DBMS_\w+|UTL_\w+|ROWNUM|CONNECT\s+BY|PRAGMA|%ROWTYPE|%TYPE|EXCEPTION\s+WHEN)\b"
+VBA_SIGNS = r"(?i)\b(?:(?:Sub|Function|Dim)\s+\w|Option\s+(?:Explicit|Base|Compare|Private)|Property\s+(?:Get|Let|Set)\s+\w|(?:Public|Private)\s+(?:Sub|Function|Property|Const|Enum|Type)\b|Attribute\s+VB_)"
 DB2_SIGNS = r"(?i)\b(TABLESPACE|BUFFERPOOL|STOGROUP|BIND\s+PACKAGE|WITH\s+UR|FETCH\s+FIRST\s+\d+\s+ROWS?\s+ONLY|EXEC\s+SQL)\b"
 
 
@@ -63,12 +64,13 @@ def looks_like_cobol(content: Column) -> Column:
 
 
 def processor_of(path: Column, content: Column, by_content: bool = False) -> Column:
-    """The processor id, null for none. Without an extension the content decides. A .sql file is T-SQL's and a .prc file JCL's;
+    """The processor id, null for none. Without an extension the content decides; a .bas file without a sign of VBA has none. A .sql file is T-SQL's and a .prc file JCL's;
     by_content lets a .sql or .prc file's content give it to DB2 or Oracle."""
     ext = extension(path)
     out = F.when(ext == "", F.when(looks_like_cobol(content), "cobol").when(looks_like_jcl(content), "jcl").when(is_text(content), "mainframe-utility"))
     if by_content:
         out = out.when(ext.isin(".sql", ".prc") & content.rlike(ORACLE_SIGNS), "oraclesql").when((ext == ".sql") & content.rlike(DB2_SIGNS), "db2sql")
+    out = out.when((ext == ".bas") & ~F.coalesce(content.rlike(VBA_SIGNS), F.lit(False)), F.lit(None))
     for processor, exts in EXTENSIONS:
         if exts:
             out = out.when(ext.isin(*exts), processor)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import text as X
 from maskwright.operators import audit, paths, rules, sanitize, scope
-from maskwright.operators.languages import cards, lines, rewrite
+from maskwright.operators.languages import cards, lines, relation, rewrite
 from maskwright.operators.restore import restored, unmatched
 from maskwright.plans import engine, sources
-from maskwright.plans.oracle import ORACLES, SYNTH, files_sql, programs_sql, jobs_sql, snippets_sql, statements_sql
+from maskwright.plans.oracle import ORACLES, SYNTH, files_sql, typed_files_sql, programs_sql, jobs_sql, snippets_sql, statements_sql
+from maskwright.plans.token_oracle import TOKEN_ORACLES, classes_sql, macros_sql, scripts_sql
 from maskwright.sources.shared import written
 
 RULES = list(rules.BUILT_IN)
@@ -37,6 +38,7 @@ def _made(sql, *tables):
 
 synth = _made(SYNTH, "orders")
 files = _made(files_sql, "documents")
+typed_files = _made(typed_files_sql, "documents")
 programs = _made(programs_sql, "customer")
 jobs = _made(jobs_sql, "supplier")
 snippets = _made(snippets_sql, "part")
@@ -129,8 +131,8 @@ def file_filter(spark, sf):
 
 
 def scope_dispatch(spark, sf):
-    who = scope.processor_of(F.col("path"), F.lit("plain text"))
-    rows = files(spark, sf).select("path", who.alias("processor"))
+    who = scope.processor_of(F.col("path"), F.col("content"))
+    rows = typed_files(spark, sf).select("path", who.alias("processor"))
     ids = scope.parsed_scope("Database, cobol")
     return rows.groupBy("processor").agg(F.count("*").alias("n"), F.bool_or(scope.in_scope(F.col("processor"), ids)).alias("in_scope"))
 
@@ -255,8 +257,8 @@ def _every_language(spark, sf):
 
 
 def level2_roundtrip(spark, sf):
-    """Sanitized at level 2 with renamed files, and restored: what comes back, comments aside, which cannot."""
-    docs = _every_language(spark, sf).where(~F.contains("content", F.lit("pay run")))
+    """Sanitized at level 2 with renamed files, and restored: all comes back but comments, which cannot."""
+    docs = _every_language(spark, sf)
     run = engine.run(docs, RULES)
     hidden = written(run.documents.select("doc_id", "path", "content"), "level-2")
     back = restored(engine.restored_paths(hidden, run.paths, run.references), run.names).select("doc_id", "path", "content")
@@ -271,11 +273,18 @@ def level2_stats(spark, sf):
 
 
 def level2_leaks(spark, sf):
-    """Words of any rewritten C# or Basic file that are names of the dictionary."""
-    _view(spark, sf, "supplier")
-    docs = _spread(spark.sql(" UNION ALL ".join(f"SELECT doc_id * 2 + {k} AS doc_id, path, content FROM ({sources.made_sql(n)})" for k, n in enumerate(("csharp", "vb")))))
-    out, names = rewrite.obfuscated(docs)
-    return audit.leaked_names(out, names).agg(F.count("*").alias("leaks"))
+    """Values of the dictionary, literals of several words among them, that any rewritten file of any language still shows."""
+    out, names = rewrite.obfuscated(_every_language(spark, sf))
+    return audit.leak_search(written(out, "level-2"), names).agg(F.count("*").alias("leaks"))
+
+
+def corpus_leaks(spark, sf):
+    """One document in seven slips by unsanitized: every value that it shows is found, wherever that value was first seen."""
+    found, names = _run(spark, sf)
+    out = sanitize.applied(found, names)
+    raw = synth(spark, sf).select("doc_id", F.col("content").alias("raw"))
+    mixed = out.join(raw, "doc_id").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.col("raw")).otherwise(F.col("content")).alias("content"))
+    return audit.leak_search(mixed, names)
 
 
 def typed_paths(spark, sf):
@@ -297,6 +306,40 @@ def mainframe_obfuscation(spark, sf):
     return out.select("doc_id", "content", "processor", F.col("replacements").cast("long").alias("replacements"))
 
 
+def _by_row(docs):
+    """docs with the engine's row number, which is doc_id here, where ids are unique."""
+    return docs.withColumn(sanitize.ROW, F.col("doc_id").cast("long"))
+
+
+scripts = _made(scripts_sql, "orders")
+macros = _made(macros_sql, "customer")
+classes = _made(classes_sql, "part")
+
+
+def sql_tokens(spark, sf):
+    """T-SQL sources as tokens: how many of each kind, how long, how deep and on how many lines."""
+    rows = relation.tokens(_by_row(scripts(spark, sf)), "tsql")
+    return rows.groupBy(F.col(sanitize.ROW).alias("doc_id"), "kind").agg(F.count("*").alias("n"), F.sum("len").alias("chars"), F.max("depth").cast("long").alias("deepest"), F.sum("start").alias("starts"), F.max("line").cast("long").alias("last_line"))
+
+
+def sql_problems(spark, sf):
+    """Sources of which many are broken, each in its own way."""
+    return relation.sql_problems(relation.tokens(_by_row(scripts(spark, sf)), "tsql")).select(F.col(sanitize.ROW).alias("doc_id"), "problem")
+
+
+def basic_problems(spark, sf):
+    return relation.basic_problems(relation.tokens(_by_row(macros(spark, sf)), "vbscript")).select(F.col(sanitize.ROW).alias("doc_id"), "problem")
+
+
+def code_scopes(spark, sf):
+    """Uses of local names, with the block that binds each; those that no declaration is visible to have no row."""
+    rows = written(relation.tokens(_by_row(classes(spark, sf)), "csharp"), "tokens")
+    words = rows.where("kind = 'word'").withColumns({"before": F.lag("text").over(Window.partitionBy(sanitize.ROW).orderBy("place"))})
+    named = words.where(F.col("text").rlike("^v[0-9]+$")).select(sanitize.ROW, "place", F.col("text").alias("value"), "before")
+    bound = relation.bound_uses(named.where("before in ('int', 'var')"), named, relation.brace_blocks(rows))
+    return bound.select(F.col(sanitize.ROW).alias("doc_id"), F.col("place").cast("long").alias("place"), "value", F.col("block").cast("long").alias("block"))
+
+
 csharp_obfuscation, vb_obfuscation, fsharp_obfuscation, js_obfuscation, vbs_obfuscation, tsql_obfuscation, db2_obfuscation, oracle_obfuscation = map(_language, sources.SOURCES)
 
 
@@ -304,7 +347,8 @@ NAMES = (
     "rule_match_counts docs_with_email match_spans exceptions_filtered alias_dictionary alias_gaps overlap_resolved sanitized_text sanitized_documents restore_roundtrip unmatched_aliases rule_merge "
     "active_rules_sorted file_filter scope_dispatch directory_aliases path_aliases normalize_path js_import_resolve card_type card_values cobol_line_class cobol_names jcl_instream_program cross_refs host_refs "
     "looks_like_sql sql_comment_strip literal_alias host_variables source_map stats_summary xref_report status_top10 leakage_check severity_rollup file_counts code_obfuscation mainframe_obfuscation "
-    "csharp_obfuscation vb_obfuscation fsharp_obfuscation js_obfuscation vbs_obfuscation tsql_obfuscation db2_obfuscation oracle_obfuscation level2_roundtrip level2_stats level2_leaks typed_paths"
+    "csharp_obfuscation vb_obfuscation fsharp_obfuscation js_obfuscation vbs_obfuscation tsql_obfuscation db2_obfuscation oracle_obfuscation level2_roundtrip level2_stats level2_leaks corpus_leaks typed_paths "
+    "sql_tokens sql_problems basic_problems code_scopes"
 ).split()
 
 
@@ -313,4 +357,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: ORACLES[n] for n in NAMES if n in ORACLES}
+    known = ORACLES | TOKEN_ORACLES
+    return {n: known[n] for n in NAMES if n in known}

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.operators import audit, paths as P, rules as R
-from maskwright.operators.languages import tokens
+from maskwright.operators.languages import relation, tokens
 from maskwright.operators.languages.rewrite import rewritten
 from maskwright.operators.restore import restored
-from maskwright.operators.sanitize import applied, detected, extended, keyed, sanitized
+from maskwright.operators.sanitize import ROW, applied, detected, extended, keyed, sanitized, union_all
 from maskwright.operators.scope import delegation_only, in_scope, parsed_scope, processor_of
 from maskwright.sources.files import mark_restored, read_manifest, write_manifest, write_result
 from maskwright.sources.shared import written
@@ -46,9 +46,27 @@ def sanitize(docs: DataFrame, rules: list[R.Rule], level: int = 2, scope: str |
     Level 1 applies the rules. Level 2 first rewrites names, literals and comments by language, then applies the rules to
     the outcome, and goes on numbering where the first pass ended; documents out of a given scope are left to neither.
     `replacements` and `code_matches` tell of the first pass, `matches` of the second. fixed_width keeps COBOL and JCL in
-    their columns; restoring what had to be cut or broken for that is not exact.
+    their columns; restoring what had to be cut or broken for that is not exact. Other columns come out as they went in, one
+    that has the name of an output as input_<name>.
     """
-    return _sanitized(docs, rules, level, parsed_scope(scope), fix_dispatch, fixed_width)[:2]
+    out, names, _ = _sanitized(_wrapped(docs), rules, level, parsed_scope(scope), fix_dispatch, fixed_width)
+    return _unwrapped(out, docs), names
+
+
+#: columns that the engine works on, and where it carries all others
+OWN, REST = ("doc_id", "path", "content"), "__rest"
+
+
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """docs with its other columns in one, so that no name among them meets one of the engine's."""
+    rest = [c for c in docs.columns if c not in OWN]
+    return docs.select(*(c for c in docs.columns if c in OWN), F.struct(*(F.col(f"`{c}`") for c in rest)).alias(REST)) if rest else docs
+
+
+def _unwrapped(out: DataFrame, docs: DataFrame) -> DataFrame:
+    rest = [c for c in docs.columns if c not in OWN]
+    taken = {c.lower() for c in out.columns}
+    return out.select(*(c for c in out.columns if c != REST), *(F.col(f"{REST}.`{c}`").alias(f"input_{c}" if c.lower() in taken else c) for c in rest)) if rest else out
 
 
 def _sanitized(docs, rules, level, ids, fix_dispatch, fixed_width):
@@ -66,10 +84,11 @@ def _sanitized(docs, rules, level, ids, fix_dispatch, fixed_width):
 def run(docs: DataFrame, rules: list[R.Rule], level: int = 2, scope: str | None = None, rename: bool = True, fix_dispatch: bool = False, fixed_width: bool = False) -> Run:
     """As sanitize; at level 2 files in scope also take aliases for names, and imports, project entries and directory listings
     follow them. Level 1 leaves paths as they are."""
-    spark, ids = docs.sparkSession, parsed_scope(scope)
+    spark, ids, given = docs.sparkSession, parsed_scope(scope), docs
+    docs = _wrapped(docs)
     out, names, types = _sanitized(docs, rules, level, ids, fix_dispatch, fixed_width)
     if level == 1 or not rename:
-        return Run(out, names, spark.createDataFrame([], "path string, new_path string"), spark.createDataFrame([], "path string, reference string, new_reference string"))
+        return Run(_unwrapped(out, given), names, spark.createDataFrame([], "path string, new_path string"), spark.createDataFrame([], "path string, reference string, new_reference string"))
     out = written(out, "level-2")
     mine = docs if ids is None else docs.where(in_scope(processor_of(F.col("path"), F.col("content"), fix_dispatch), ids))
     mapping = written(P.path_aliases(mine.select("path").distinct(), types), "paths")
@@ -77,7 +96,7 @@ def run(docs: DataFrame, rules: list[R.Rule], level: int = 2, scope: str | None
     every = written(every, "all-paths")
     refs = P.resolved_imports(P.imports(out), every).unionByName(P.resolved_entries(P.project_references(out), every))
     refs = written(refs.where("reference <> new_reference").distinct(), "references")
-    return Run(P.renamed(P.relisted(P.patched(out, refs), mapping), mapping), names, mapping, refs)
+    return Run(_unwrapped(P.renamed(P.relisted(P.patched(out, refs), mapping), mapping), given), names, mapping, refs)
 
 
 def save(result: DataFrame | Run, names: DataFrame | None = None, path: str = "", level: int = 1, scope: str | None = None, source_path: str = "") -> None:
@@ -127,11 +146,14 @@ def verify(docs: DataFrame, fix_dispatch: bool = False) -> DataFrame:
 
     A stand-in for building the result: it tells what a rewriting would have broken, language by language.
     """
-    asked = docs.withColumn("processor", processor_of(F.col("path"), F.col("content"), fix_dispatch)).where(F.col("processor").isin(*tokens.LANGUAGES))
+    asked = keyed(docs.withColumn("processor", processor_of(F.col("path"), F.col("content"), fix_dispatch)).where(F.col("processor").isin(*tokens.LANGUAGES)), "to-verify")
 
     def run_(it):
         for b in it:
-            rows = [(d, p, problem) for d, p, c, lang in zip(*(col.to_pylist() for col in b.columns)) for problem in tokens.balanced(c or "", lang)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["doc_id", "path", "problem"])
+            rows = [(r, problem) for r, c, lang in zip(*(col.to_pylist() for col in b.columns)) for problem in tokens.balanced(c or "", lang)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string()))], [ROW, "problem"])
 
-    return asked.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "content", "processor").mapInArrow(run_, "doc_id long, path string, problem string")
+    here = {r[0] for r in asked.select("processor").distinct().collect()}  # no more than there are languages
+    by_rows = [(relation.sql_problems if lang in relation.SQL else relation.basic_problems)(relation.tokens(asked.where(F.col("processor") == lang), lang)) for lang in (*relation.SQL, *relation.BASIC) if lang in here]
+    others = asked.where(~F.col("processor").isin(*relation.SQL, *relation.BASIC)).select(ROW, "content", "processor").mapInArrow(run_, f"{ROW} long, problem string")
+    return union_all([others, *by_rows]).join(asked.select(ROW, "doc_id", "path"), ROW).select(F.col("doc_id").cast("long").alias("doc_id"), "path", "problem")

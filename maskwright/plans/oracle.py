@@ -24,6 +24,9 @@ SYNTH = f"""SELECT o_orderkey AS doc_id, 'conn Server=Seg' || {_s("o_custkey % 9
 _EXT = "(CASE doc_id % 17 WHEN 0 THEN '.cs' WHEN 1 THEN '.js' WHEN 2 THEN '.sql' WHEN 3 THEN '.cbl' WHEN 4 THEN '.jcl' WHEN 5 THEN '.png' WHEN 6 THEN '' WHEN 7 THEN '.csproj' WHEN 8 THEN '.PRC' WHEN 9 THEN '.fs' WHEN 10 THEN '.vb' WHEN 11 THEN '.bas' WHEN 12 THEN '.pkb' WHEN 13 THEN '.db2' WHEN 14 THEN '.ts' WHEN 15 THEN '.weird' ELSE '.md' END)"
 _DIR = "(CASE doc_id % 7 WHEN 0 THEN 'src/Billing' WHEN 1 THEN 'src/app' WHEN 2 THEN 'node_modules/x' WHEN 3 THEN 'docs' WHEN 4 THEN 'Ledger/obj' WHEN 5 THEN 'src/billing/deep' ELSE 'lib/Core' END)"
 files_sql = f"SELECT doc_id, {_DIR} || '/f' || {_s('doc_id % 400')} || {_EXT} AS path FROM documents"
+#: the same paths with contents that begin like a program, a job, a macro, or like none
+_KINDS = [_lines("'000100 IDENTIFICATION DIVISION.'", "'000200 PROGRAM-ID. P.'"), _lines("'//JOB1 JOB'", "'//S1 EXEC PGM=A'"), "'Option Explicit' || chr(10) || 'Dim x'", "'10 PRINT x'", "'      77  AMT PIC 9.'"]
+typed_files_sql = f"SELECT doc_id, {_DIR} || '/f' || {_s('doc_id % 400')} || {_EXT} AS path, CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_KINDS)) + " END || chr(10) || coalesce(left(text, 40), '') AS content FROM documents"
 programs_sql = "SELECT c_custkey AS doc_id, " + _lines(
     "'000100 IDENTIFICATION DIVISION.'", f"'000200 PROGRAM-ID. PGM' || {_s('c_custkey % 40')} || '.'", "'000300 DATA DIVISION.'", "'000400 WORKING-STORAGE SECTION.'", f"'000500 01  WS-REC-' || {_s('c_custkey % 30')} || '.'",
     "'000600     05  WS-AMT PIC 9(5).'", "'000700* a remark'", "''", "'000800 PROCEDURE DIVISION.'", f"'000900 MAIN-' || {_s('c_custkey % 25')} || '.'", "'001000     EXEC SQL'", "'001100* inner remark'",
@@ -80,7 +83,9 @@ _FILES = f"""files AS ({files_sql}), f AS (SELECT path, lower(regexp_extract(pat
 _BAD = f"(list_has_any(string_split(lower(dir), '/'), [{', '.join(map(_q, IGNORED_DIRECTORIES))}]) OR ext IN {_in(IGNORED_EXTENSIONS)})"
 _SEGMENTS = f"""{_FILES}, segs AS (SELECT DISTINCT lower(unnest(string_split(dir, '/'))) AS segment FROM f),
 das AS (SELECT segment, 'DIR_' || (row_number() OVER (ORDER BY segment) - 1) AS alias FROM segs WHERE segment <> '' AND segment NOT IN {_in(STRUCTURAL)})"""
-_CASE = "CASE WHEN ext = '' THEN 'mainframe-utility' " + " ".join(f"WHEN ext IN {_in(e)} THEN {_q(p)}" for p, e in EXTENSIONS if e) + " END"
+_CASE = r"""CASE WHEN ext = '' AND (regexp_matches(content, '(?im)^.{6} .*\b(IDENTIFICATION|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION\b') OR regexp_matches(content, '(?m)^.{6} +(01|05|10|77|88) +[A-Z0-9-]+.*\b(PIC|VALUE)\b')) THEN 'cobol'
+WHEN ext = '' AND len(list_filter(string_split(content, chr(10))[1:5], lambda x: starts_with(x, '//'))) >= 2 THEN 'jcl' WHEN ext = '' THEN 'mainframe-utility'
+WHEN ext = '.bas' AND NOT regexp_matches(content, '(?i)\b(?:(?:Sub|Function|Dim)\s+\w|Option\s+(?:Explicit|Base|Compare|Private)|(?:Public|Private)\s+(?:Sub|Function)\b)') THEN NULL """ + " ".join(f"WHEN ext IN {_in(e)} THEN {_q(p)}" for p, e in EXTENSIONS if e) + " END"
 _CARDS = f"docs AS ({snippets_sql}), typed AS (SELECT doc_id, content, CASE doc_id % 10 WHEN 0 THEN 'Db2Bind' WHEN 1 THEN 'Smtp' WHEN 2 THEN 'Mfs' WHEN 3 THEN 'Idcams' WHEN 4 THEN 'Sort' WHEN 5 THEN 'Ftp' WHEN 6 THEN 'Idcams' WHEN 7 THEN 'DlIControl' WHEN 9 THEN 'Idcams' ELSE 'Parameter' END AS card_type FROM docs)"
 _COBOL = f"""docs AS ({programs_sql}), numbered AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS text FROM (SELECT doc_id, string_split(content, chr(10)) AS parts FROM docs)),
 areas AS (SELECT *, rpad(text, 80, ' ')[7:7] AS ind, upper(trim(rpad(text, 80, ' ')[8:72])) AS body FROM numbered),
@@ -115,7 +120,7 @@ ORACLES = {
 SELECT rule_id, pattern, ord::BIGINT AS ord FROM (SELECT *, row_number() OVER (PARTITION BY lower(rule_id) ORDER BY source_rank DESC, seq DESC) AS rn FROM r) WHERE rn = 1 AND enabled""",
     "active_rules_sorted": "SELECT * FROM (VALUES " + ", ".join(f"({_q(r.rule_id)}, {_q(r.prefix)}, {_q(r.severity)}, {r.ord}::BIGINT)" for r in BUILT_IN) + ") t(rule_id, prefix, severity, ord)",
     "file_filter": f"WITH {_FILES} SELECT path, ext, ext IN {_in(KNOWN)} AND NOT {_BAD} AS kept, (ext IN {_in(KNOWN)} OR ext = '') AND NOT {_BAD} AS kept_extensionless FROM f",
-    "scope_dispatch": f"WITH {_FILES}, w AS (SELECT {_CASE} AS processor FROM f) SELECT processor, count(*) AS n, coalesce(processor IN ('tsql', 'db2sql', 'oraclesql', 'cobol'), false) AS in_scope FROM w GROUP BY processor",
+    "scope_dispatch": f"WITH {_FILES.replace(files_sql, typed_files_sql).replace('SELECT path, lower', 'SELECT path, content, lower')}, w AS (SELECT {_CASE} AS processor FROM f) SELECT processor, count(*) AS n, coalesce(processor IN ('tsql', 'db2sql', 'oraclesql', 'cobol'), false) AS in_scope FROM w GROUP BY processor",
     "directory_aliases": f"WITH {_SEGMENTS} SELECT segment, alias FROM das",
     "path_aliases": f"""WITH {_SEGMENTS}, u AS (SELECT DISTINCT path, ext, raw_ext, dir FROM f), k AS (SELECT *, CASE WHEN ext IN {_in(PROJECT_FILES)} THEN 'PROJ' ELSE 'FILE' END AS prefix FROM u),
 parts AS (SELECT path, unnest(range(1, len(ps) + 1)) AS place, unnest(ps) AS part FROM (SELECT path, string_split(dir, '/') AS ps FROM u)),
@@ -146,12 +151,17 @@ SELECT value, 'STR_' || (row_number() OVER (ORDER BY f.doc_id, f.k) - 1) AS alia
 }
 
 ORACLES |= {f"{name}_obfuscation": expected_sql(name) for name in SOURCES}
+_WORDS = "'[\\p{L}\\p{N}_]'"
 _EVERY = " UNION ALL ".join(f"SELECT doc_id * {len(SOURCES)} + {k} AS doc_id, path, content FROM ({made_sql(n)})" for k, n in enumerate(SOURCES))
 ORACLES |= {
-    "level2_roundtrip": f"SELECT doc_id, path, content, true AS renamed, false AS literal_seen FROM ({_EVERY}) WHERE NOT contains(content, 'pay run')",
-    # by hand: 9 replacements in the first file, the comment among them, 7 in the second; Acme, Pay, three classes and Job, total, two methods, city, run and the literal
-    "level2_stats": "SELECT 2 * count(*) AS total_files, 2 * count(*) AS processed_files, 0::BIGINT AS skipped_files, 16 * count(*) AS total_replacements, 12::BIGINT AS unique_values FROM supplier",
+    "level2_roundtrip": f"SELECT doc_id, path, content, true AS renamed, false AS literal_seen FROM (SELECT doc_id, path, replace(content, 'pay run', '[Comment removed]') AS content FROM ({_EVERY}))",
+    # by hand: 9 replacements in the first file, the comment among them, 9 in the second; Acme, Pay, three classes and Job, total, two methods, city, run, note and two literals
+    "level2_stats": "SELECT 2 * count(*) AS total_files, 2 * count(*) AS processed_files, 0::BIGINT AS skipped_files, 18 * count(*) AS total_replacements, 14::BIGINT AS unique_values FROM supplier",
     "level2_leaks": "SELECT 0::BIGINT AS leaks",
+    # every value against every document that slipped by
+    "corpus_leaks": f"""WITH {_DICT}, raw AS MATERIALIZED (SELECT doc_id, ' ' || content || ' ' AS c FROM docs WHERE doc_id % 7 = 0), vals AS MATERIALIZED (SELECT DISTINCT value FROM names WHERE length(value) >= 3),
+pairs AS MATERIALIZED (SELECT doc_id, value, string_split(c, value) AS ps FROM raw JOIN vals ON contains(c, value)), sides AS MATERIALIZED (SELECT doc_id, value, unnest(range(1, len(ps))) AS k, ps FROM pairs)
+SELECT DISTINCT doc_id, value FROM sides WHERE NOT (regexp_matches(value[1], {_WORDS}) AND regexp_matches(ps[k][-1], {_WORDS})) AND NOT (regexp_matches(value[-1], {_WORDS}) AND regexp_matches(ps[k + 1][1], {_WORDS}))""",
     # one file takes the name of each class, the others that declare it again get names of their own
     "typed_paths": """WITH f AS (SELECT s_suppkey * 2 + k AS doc_id, k, s_suppkey % 3 AS m, 'src/f' || (s_suppkey * 2 + k) || '.cs' AS path FROM supplier, (VALUES (0), (1)) t(k)),
 named AS (SELECT path, 'src/CLS_' || CASE WHEN k = 1 THEN 1 WHEN m = 0 THEN 0 WHEN m = 1 THEN 2 ELSE 3 END AS stem FROM f),

@@ -11,23 +11,23 @@ SOURCES = {
     "csharp": (
         ".cs", (0, 2, 3),
         'namespace Acme.Pay {\n  // pay run\n  public class Payroll{m} {\n    private int total;\n    public void Post(string city) { total = city.Length; }\n  }\n}',
-        'class Job { void Go() { var run = new Payroll{m}(); run.Post("north west"); } }',
+        'class Job { void Go() { var run = new Payroll{m}(); run.Post("north west"); var note = """say "Meyer owes" now"""; } }',
         'namespace NS_0.NS_1 {\n  // [Comment removed]\n  public class CLS_{c} {\n    private int FLD_0;\n    public void MTD_0(string PRM_0) { FLD_0 = PRM_0.Length; }\n  }\n}',
-        'class CLS_1 { void MTD_1() { var VAR_0 = new CLS_{c}(); VAR_0.MTD_0("STR_0"); } }',
+        'class CLS_1 { void MTD_1() { var VAR_0 = new CLS_{c}(); VAR_0.MTD_0("STR_0"); var VAR_1 = """STR_1"""; } }',
     ),
     "vb": (
         ".vb", (0, 2, 3),
-        "Public Class Payroll{m}\n  Private total As Integer\n  Public Sub Post(ByVal city As String)\n    total = city.Length ' pay run\n  End Sub\nEnd Class",
+        "Public Class Payroll{m}\n  Private total As Integer\n  Public Sub Post(ByVal city As String)\n    total = city.Length ' pay run\n    Rem pay run\n  End Sub\nEnd Class",
         'Class Job\n  Sub Go()\n    Dim run As New Payroll{m}\n    run.Post("north west")\n  End Sub\nEnd Class',
-        "Public Class CLS_{c}\n  Private FLD_0 As Integer\n  Public Sub MTD_0(ByVal PRM_0 As String)\n    FLD_0 = PRM_0.Length ' [Comment removed]\n  End Sub\nEnd Class",
+        "Public Class CLS_{c}\n  Private FLD_0 As Integer\n  Public Sub MTD_0(ByVal PRM_0 As String)\n    FLD_0 = PRM_0.Length ' [Comment removed]\n    Rem [Comment removed]\n  End Sub\nEnd Class",
         'Class CLS_1\n  Sub MTD_1()\n    Dim VAR_0 As New CLS_{c}\n    VAR_0.MTD_0("STR_0")\n  End Sub\nEnd Class',
     ),
     "fsharp": (
         ".fs", (0, 1, 2),
         "module Ledger\n// pay run\ntype Payroll{m}() =\n  member this.Post(city: string) = city",
-        'module Job\nlet run = Payroll{m}()\nlet sent = run.Post("north west")',
+        'module Job\nlet run = Payroll{m}()\nlet sent = run.Post("north west")\nlet note = """say "Meyer owes" now"""',
         "module MOD_0\n// [Comment removed]\ntype CLS_{c}() =\n  member this.MTD_0(PRM_0: string) = PRM_0",
-        'module MOD_1\nlet VAR_0 = CLS_{c}()\nlet VAR_1 = VAR_0.MTD_0("STR_0")',
+        'module MOD_1\nlet VAR_0 = CLS_{c}()\nlet VAR_1 = VAR_0.MTD_0("STR_0")\nlet VAR_2 = """STR_1"""',
     ),
     "js": (
         ".js", (0, 1, 2),
@@ -39,16 +39,16 @@ SOURCES = {
     "vbs": (
         ".vbs", (0, 2, 3),
         "Function Payroll{m}(city)\n  ' pay run\n  Payroll{m} = city\nEnd Function",
-        'Sub Job()\n  Dim total, _\n    rows(10)\n  total = Payroll{m}("north west")\nEnd Sub',
+        'Sub Job()\n  Dim total, _\n    rows(10)\n  total = Payroll{m}("north west")\n  rows = "say ""hi"" now"\nEnd Sub',
         "Function MTD_{c}(PRM_0)\n  ' [Comment removed]\n  MTD_{c} = PRM_0\nEnd Function",
-        'Sub MTD_1()\n  Dim VAR_0, _\n    VAR_1(10)\n  VAR_0 = MTD_{c}("STR_0")\nEnd Sub',
+        'Sub MTD_1()\n  Dim VAR_0, _\n    VAR_1(10)\n  VAR_0 = MTD_{c}("STR_0")\n  VAR_1 = "STR_1"\nEnd Sub',
     ),
     "tsql": (
         ".sql", (0, 1, 2),
         "CREATE PROCEDURE sales.Load{m} @id INT AS\n-- pay run\nSELECT o.Total FROM sales.Orders o WHERE o.Id = @id AND o.City = 'north west' OPTION (RECOMPILE)",
-        "EXEC sales.Load{m} @id = 7\nINSERT INTO sales.Orders (Total, City) VALUES (1, 'south')",
+        "EXEC sales.Load{m} @id = 7\nINSERT INTO sales.Orders (Total, City) VALUES (N'it''s west', 'south')\nSELECT \"Order Details\".Id FROM \"Order Details\"",
         "CREATE PROCEDURE SCH_0.SP_{c} @PRM_0 INT AS\n-- [Comment removed]\nSELECT VAR_0.COL_0 FROM SCH_0.TBL_0 VAR_0 WHERE VAR_0.COL_1 = @PRM_0 AND VAR_0.COL_2 = 'STR_0' OPTION (RECOMPILE)",
-        "EXEC SCH_0.SP_{c} @PRM_0 = 7\nINSERT INTO SCH_0.TBL_0 (COL_0, COL_2) VALUES (1, 'STR_1')",
+        "EXEC SCH_0.SP_{c} @PRM_0 = 7\nINSERT INTO SCH_0.TBL_0 (COL_0, COL_2) VALUES (N'STR_1', 'STR_2')\nSELECT \"TBL_1\".COL_1 FROM \"TBL_1\"",
     ),
     "db2": (
         ".db2", (0, 1, 2),

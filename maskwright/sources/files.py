@@ -15,11 +15,11 @@ MANIFEST = "version string, source_path string, destination_path string, created
 
 
 def read_corpus(spark: SparkSession, root: str, extensionless: bool = False) -> DataFrame:
-    """(doc_id, path, length, content) of the files under root that are to be processed; doc_id by path.
+    """(doc_id, path, length, content, bytes) of the files under root that are to be processed; doc_id by path.
 
-    Only names and sizes are read of what is filtered out. A missing folder gives no rows.
+    In a file that is not UTF-8 each bad byte is read as U+FFFD; bytes holds such a file as it was, and is null for all others. Only names and sizes are read of what is filtered out. A missing folder gives no rows.
     """
-    schema = "doc_id long, path string, length long, content string"
+    schema = "doc_id long, path string, length long, content string, bytes binary"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], schema)
@@ -27,7 +27,8 @@ def read_corpus(spark: SparkSession, root: str, extensionless: bool = False) ->
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.regexp_replace("path", "^.*?" + _quoted(base) + "/", "")
     kept = files.withColumn("path", rel).where(should_process(F.col("path"), extensionless) & ~should_ignore(F.col("path"), F.col("length")))
-    return kept.select(F.xxhash64("path").alias("doc_id"), "path", "length", F.decode("content", "UTF-8").alias("content"))
+    text = F.col("content").cast("string")
+    return kept.select(F.xxhash64("path").alias("doc_id"), "path", "length", F.make_valid_utf8(text).alias("content"), F.when(~F.is_valid_utf8(text), F.col("content")).alias("bytes"))
 
 
 def _quoted(text: str) -> str:
