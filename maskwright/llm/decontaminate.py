@@ -1,8 +1,10 @@
 """Benchmark decontamination: every passage of every document queries a BM25 index of the test items by block-max WAND.
 
 Terms are pairs of neighbouring words. An item's impacts are divided by its score against itself, so a passage's score
-for an item runs from 0 to 1 and one threshold fits items of any length. Passages are windows that overlap by half and
-span at least twice the longest item, so that a copied item lies whole in one of them. A window whose terms' largest
+for an item runs from 0 to 1 and one threshold fits items of any length. Items fall into classes of length, each twice as
+long as the one before; a class has postings and passages of its own: windows that overlap by half and span twice the
+longest item that the class may hold, so that a copied item lies whole in one of them, and a long item in the index does
+not let short ones match words that lie far apart. A window whose terms' largest
 impacts add up to less than the threshold can match nothing and is passed over (WAND's bound, taken for all windows of a
 batch at once); the others are looked up by block-max WAND, and all items above the threshold are verified by the share
 of the question's and of the answer's word pairs that the passage holds.
@@ -10,8 +12,8 @@ of the question's and of the answer's word pairs that the passage holds.
 Items of fewer than MIN_WORDS words have too few pairs to score; a line that holds their words and no others repeats them.
 
 The index goes to every task, so its size is bounded: items are dealt over as many indexes as keep each under
-INDEX_BYTES of text, and the documents are read once for each of them. Item count, mean length, longest item and the
-items that hold a pair are counted over all items before, so scores do not depend on how items are dealt.
+INDEX_BYTES of text, and the documents are read once for each of them. Item count, mean length and the items that hold a
+pair are counted over all items before, so scores do not depend on how items are dealt.
 """
 
 from __future__ import annotations
@@ -48,11 +50,11 @@ def answer_words(text: str) -> int:
 
 
 class Statistics:
-    """What BM25 takes from all items: how many there are, their mean pairs, the words of the longest, and the items of each pair of
-    words that is in more than one (`df`, by the pair's text)."""
+    """What BM25 takes from all items: how many there are, their mean pairs, and the items of each pair of words that is in more than
+    one (`df`, by the pair's text)."""
 
-    def __init__(self, items: int, mean: float, longest: int, df: dict[str, int]):
-        self.items, self.mean, self.longest, self.df = items, mean, longest, df
+    def __init__(self, items: int, mean: float, df: dict[str, int]):
+        self.items, self.mean, self.df = items, mean, df
 
     @classmethod
     def of(cls, texts: list[str]) -> Statistics:
@@ -61,15 +63,23 @@ class Statistics:
         for w in words:
             for pair in set(pair_texts(w)):
                 df[pair] += 1
-        return cls(len(words), sum(len(w) - 1 for w in words) / max(1, len(words)), max(map(len, words), default=0), {p: n for p, n in df.items() if n > 1})
+        return cls(len(words), sum(len(w) - 1 for w in words) / max(1, len(words)), {p: n for p, n in df.items() if n > 1})
 
 
 def pair_texts(words: list[str]) -> list[str]:
     return [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
+def window_of(words: int) -> int:
+    """The words of a passage for items of so many words: WINDOW, doubled until it spans twice the item."""
+    window = WINDOW
+    while window < 2 * words:
+        window *= 2
+    return window
+
+
 class Index:
-    """Postings of items; build it on the driver, ship it to the tasks. Without statistics the items are all there are."""
+    """Items by class of length; build it on the driver, ship it to the tasks. Without statistics the items are all there are."""
 
     def __init__(self, items: list[tuple[int, str]], statistics: Statistics | None = None):
         every = [(i, t) for i, t in sorted(items) if normal_words(t)]
@@ -80,16 +90,24 @@ class Index:
                 self.short[tuple(w)].append(i)
         self.short = dict(self.short)
         about = statistics or Statistics.of([t for _, t in items])
-        self.ids = np.array([i for i, _ in items], np.int64)
         words = [normal_words(t) for _, t in items]
         self.vocab = {w: k for k, w in enumerate(sorted({w for x in words for w in x}), 1)}
-        self.base, self.longest = len(self.vocab) + 1, about.longest
-        pairs = [[self.vocab[a] * self.base + self.vocab[b] for a, b in zip(x, x[1:])] for x in words]
-        tail = [answer_words(t) for _, t in items]
+        self.base = len(self.vocab) + 1
+        sizes = [window_of(len(x)) for x in words]
+        self.classes = [Postings([(*one, x) for one, x, n in zip(items, words, sizes) if n == size], size, self.vocab, self.base, about) for size in sorted(set(sizes))]
+
+
+class Postings:
+    """Postings of items (id, text, words) of one class of length, whose passages are windows of so many words."""
+
+    def __init__(self, items: list[tuple[int, str, list[str]]], window: int, vocab: dict[str, int], base: int, about: Statistics):
+        self.window, self.ids = window, np.array([i for i, _, _ in items], np.int64)
+        pairs = [[vocab[a] * base + vocab[b] for a, b in zip(x, x[1:])] for _, _, x in items]
+        tail = [answer_words(t) for _, t, _ in items]
         self.question = [set(p[: len(p) - n]) if n else set(p) for p, n in zip(pairs, tail)]
         self.answer = [set(p[len(p) - n :]) if n else set(p) for p, n in zip(pairs, tail)]
         self.postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for i, (p, x) in enumerate(zip(pairs, words)):
+        for i, (p, (_, _, x)) in enumerate(zip(pairs, items)):
             tf: dict[int, int] = defaultdict(int)
             df = {}
             for t, pair in zip(p, pair_texts(x)):
@@ -148,7 +166,7 @@ class Index:
         return out
 
 
-def verified(index: Index, item: int, held: set[int]) -> tuple[float, float] | None:
+def verified(index: Postings, item: int, held: set[int]) -> tuple[float, float] | None:
     q, a = index.question[item], index.answer[item]
     nq, na = len(q & held), len(a & held)
     both = len((q | a) & held) / len(q | a)
@@ -178,7 +196,7 @@ def _long_matches(index: Index, texts: list[str | None], threshold: float):
     words = [normal_words(t) for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     total = int(sizes.sum())
-    if total < 2 or not len(index.codes):
+    if total < 2 or not index.classes:
         return []
     get = index.vocab.get
     ids = np.fromiter((get(w, 0) for x in words for w in x), np.int64, total)
@@ -187,15 +205,19 @@ def _long_matches(index: Index, texts: list[str | None], threshold: float):
     ends = np.cumsum(sizes)
     inner = ends[:-1][(ends[:-1] > 0) & (ends[:-1] < total)] - 1
     code[inner] = -1  # no pair reaches from text to text
+    return [row for postings in index.classes for row in _class_matches(postings, code, sizes, ends, threshold)]
+
+
+def _class_matches(index: Postings, code: np.ndarray, sizes: np.ndarray, ends: np.ndarray, threshold: float):
+    total = len(code) + 1
     at = np.minimum(np.searchsorted(index.codes, code), len(index.codes) - 1)
     hit = index.codes[at] == code
     upto = np.concatenate([[0.0], np.cumsum(np.where(hit, index.bounds[at], 0.0))])
-    window = max(WINDOW, 2 * index.longest)
-    step = window // 2
+    step = index.window // 2
     per = np.maximum(1, -(-(sizes - step) // step))
     doc = np.repeat(np.arange(len(sizes)), per)
     lo = (ends - sizes)[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * step
-    hi = np.minimum(lo + window, ends[doc])  # words [lo, hi), pairs [lo, hi - 1)
+    hi = np.minimum(lo + index.window, ends[doc])  # words [lo, hi), pairs [lo, hi - 1)
     reach = upto[np.maximum(np.minimum(hi - 1, total - 1), lo.clip(max=total - 1))] - upto[np.minimum(lo, total - 1)]
     best: dict[tuple[int, int], list] = {}
     for k in np.flatnonzero(reach >= threshold - 1e-9).tolist():
@@ -226,18 +248,18 @@ def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> list:
     def pairs(it):
         for b in it:
             words = [normal_words(t) for t in b.column(1).to_pylist()]
-            rows = [(s, len(w) - 1, len(w), sorted(set(pair_texts(w)))) for s, w in zip(b.column(0).to_pylist(), words) if len(w) >= MIN_WORDS]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())))], ["shard", "n", "words", "pairs"])
+            rows = [(s, len(w) - 1, sorted(set(pair_texts(w)))) for s, w in zip(b.column(0).to_pylist(), words) if len(w) >= MIN_WORDS]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.string())))], ["shard", "n", "pairs"])
 
     bounded(spark)
     dealt = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
-    held = written(dealt.select("shard", "text").mapInArrow(pairs, "shard long, n long, words long, pairs array<string>"), "item-pairs")
-    n, mean, longest = held.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0)), F.coalesce(F.max("words"), F.lit(0))).first()
+    held = written(dealt.select("shard", "text").mapInArrow(pairs, "shard long, n long, pairs array<string>"), "item-pairs")
+    n, mean = held.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0))).first()
     one = held.select("shard", F.explode("pairs").alias("pair"))
     df = written(one.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1").join(one.distinct(), "pair"), "item-df")
     out = []
     for k in range(shards):  # each at most about index_bytes of texts, and the counts of their pairs
-        about = Statistics(n, mean, longest, {r.pair: r.n for r in df.where(F.col("shard") == k).select("pair", "n").collect()})
+        about = Statistics(n, mean, {r.pair: r.n for r in df.where(F.col("shard") == k).select("pair", "n").collect()})
         out.append(spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in dealt.where(F.col("shard") == k).collect()], about)))
     dropped(held)
     dropped(df)

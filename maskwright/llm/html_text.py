@@ -127,6 +127,10 @@ class Markup:
         return None
 
 
+#: where a script or the like ends, by its place in the source as it is: lower-casing may change a text's length
+_RAW_ENDS = {tag: re.compile(f"</{tag}", re.IGNORECASE | re.ASCII) for tag in RAW}
+
+
 class Page:
     """Block elements in page order (a parent before its children), and runs of text with the element each stands in."""
 
@@ -135,7 +139,6 @@ class Page:
         self.raw_attrs: list[str] = [""]
         self.runs: list[tuple[int, str]] = []
         stack, at, buffer, linked = [0], 0, [], False
-        low: str | None = None
         markup, opened, has_body = Markup(source), Counter(), False
 
         def end_run():
@@ -174,10 +177,8 @@ class Page:
                             break
                 continue
             if tag in RAW:
-                if low is None:
-                    low = source.lower()
-                at = low.find(f"</{tag}", at)
-                at = n if at < 0 else at
+                found = _RAW_ENDS[tag].search(source, at)
+                at = found.start() if found else n
                 continue
             if tag == "br":
                 buffer.append(" ")

@@ -145,4 +145,4 @@ def op7_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     docs = table(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0
     langs, protos = learned(docs.where(~held & F.col("lang").isNotNull()))
-    return predicted(docs, langs, protos).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return predicted(docs, langs, protos).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -292,4 +292,4 @@ def op9_factorization_machine_toxicity(spark: SparkSession, sf_dir: str) -> Data
     docs = table(spark, sf_dir, "documents")
     machine = fitted(docs, training_labels(table(spark, sf_dir, "labels")))
     held = F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD
-    return scored(docs, machine).select("doc_id", held.alias("held_out"), "score", "predicted")
+    return scored(docs, machine).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -298,7 +298,7 @@ def test_links_between_two_large_clusters_are_found(spark):
 def test_wand_equals_scoring_everything():
     r = random.Random(6)
     items = [(i, " ".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 30)))) for i in range(80)]
-    index = decontaminate.Index(items)
+    (index,) = decontaminate.Index(items).classes
     for _ in range(200):
         terms = r.sample(sorted(index.postings), r.randint(1, 60))
         score = {}
@@ -341,14 +341,13 @@ def brute_matches(rows, items):
     for w in long.values():
         for p in set(pairs(w)):
             df[p] = df.get(p, 0) + 1
-    size = max(128, 2 * max(map(len, long.values())))
     text_of, out = dict(items), {}
     for d, t in enumerate(rows):
         w = words(t)
-        for at in range(0, max(1, len(w) - size // 2), size // 2):
-            held = set(pairs(w[at : at + size]))
-            for i, x in long.items():
-                p = pairs(x)
+        for i, x in long.items():
+            size = next(s for s in (128 << k for k in range(20)) if s >= 2 * len(x))  # of this item's length alone
+            for at in range(0, max(1, len(w) - size // 2), size // 2):
+                held, p = set(pairs(w[at : at + size])), pairs(x)
                 part = lambda q: math.log(1 + (n - df[q] + 0.5) / (df[q] + 0.5)) * p.count(q) * 2.2 / (p.count(q) + 1.2 * (0.25 + 0.75 * len(p) / mean))  # noqa: B023, E731
                 score = sum(map(part, held & set(p))) / sum(map(part, set(p)))
                 if score < 0.4:
@@ -373,7 +372,7 @@ def brute_matches(rows, items):
 def test_decontamination_equals_scoring_all_windows_against_all_items(spark):
     r = random.Random(17)
     text = lambda n: " ".join(r.choice(["ba", "do", "ki", "lu", "me", "no", "pa", "ru"]) for _ in range(n))
-    items = [(i, f"{text(r.randint(3, 9))}. {text(r.randint(2, 6))}.") for i in range(40)] + [(40, "lu ki"), (41, "zebra"), (42, "Lu, ki!"), (43, None), (44, " .. ")]
+    items = [(i, f"{text(r.randint(3, 9))}. {text(r.randint(2, 6))}.") for i in range(40)] + [(45, f"{text(70)}. {text(20)}."), (46, f"{text(1800)}. {text(200)}."), (40, "lu ki"), (41, "zebra"), (42, "Lu, ki!"), (43, None), (44, " .. ")]
     rows = ["", None, "lu ki", "lu ki no\nlu ki\n\nzebra\nzebra"]
     for k in range(30):
         words = text(r.choice([5, 60, 300])).split()
@@ -389,6 +388,19 @@ def test_decontamination_equals_scoring_all_windows_against_all_items(spark):
             assert [x.score, x.question, x.answer, x.passages, x.first_word] == pytest.approx(want[x.doc_id, x.item_id])
 
 
+def test_a_long_item_lets_no_short_one_match_scattered_words():
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("bdgklmnprst") + r.choice("aeiou") for _ in range(3))
+    short = [word() for _ in range(12)]
+    pairs = [f"{a} {b}" for a, b in zip(short, short[1:])]
+    scattered = " ".join(p + " " + " ".join(word() for _ in range(60)) for p in pairs)
+    item, long = (1, " ".join(short[:8]) + ". " + " ".join(short[8:]) + "."), (2, " ".join(word() for _ in range(2000)))
+    rows = [scattered, scattered + " " + " ".join(short), long[1]]
+    alone = {(d, i): s for d, i, s, *_ in decontaminate.matches(decontaminate.Index([item]), rows)}
+    both = {(d, i): s for d, i, s, *_ in decontaminate.matches(decontaminate.Index([item, long]), rows)}
+    assert set(alone) == {(1, 1)} and both.keys() == {(1, 1), (2, 2)} and both[1, 1] == pytest.approx(alone[1, 1])
+
+
 def brute_p(value):
     """The battery, told again with plain loops."""
     cdf = lambda z: 1 / (1 + math.exp(-(1.5976 * (z := max(-8.0, min(8.0, z))) + 0.070566 * z**3)))
@@ -645,3 +657,23 @@ def test_pipeline_stages_with_null_and_repeated_ids(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (5, "g h i j k l"), (5, "g h i j k l"), (None, "m n o p q r"), (None, "m n o p q r"), (6, "s t u v w x"), (6, "y z 1 2 3 4")]
     kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("x")))
     assert kept.columns == ["doc_id", "text", "fp"] and sorted((x.doc_id or 0, x.text) for x in kept.collect()) == [(0, "m n o p q r"), (3, "a b c d e f"), (5, "g h i j k l"), (6, "s t u v w x"), (6, "y z 1 2 3 4")]
+
+
+def test_raw_tags_end_where_they_do_in_the_source():
+    """A letter whose lower case is longer, before every raw tag, changes nothing of what follows."""
+    for tag in sorted(html_text.RAW):
+        body = "".join(f"<p>Paragraph {k} that goes on for a while about one thing.</p>" for k in range(6))
+        for odd in ("İ" * 60, "ﬁK" * 20):
+            page = f"<html><body><article><p>{odd} begins.</p><{tag}>var a = '<p>x</p>';</{tag.upper()}>{body}</article></body></html>"
+            plain = page.replace(odd, "I" * len(odd))
+            a, b = html_text.Page(page), html_text.Page(plain)
+            assert a.tags == b.tags and [(e, t.replace(odd, "")) for e, t in a.runs] == [(e, t.replace("I" * len(odd), "")) for e, t in b.runs]
+
+
+def test_rows_without_an_id_are_not_held_out(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs.unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long"))).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    for query in (language_id.op7_hyperdimensional_language, toxicity.op9_factorization_machine_toxicity):
+        got = query(spark, str(tmp_path))
+        assert got.where("held_out is null").count() == 0 and got.where("doc_id is null and not held_out").count() == 2
