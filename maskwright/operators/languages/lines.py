@@ -15,8 +15,12 @@ NOT_PARAGRAPHS = ("IDENTIFICATION", "ENVIRONMENT", "DATA", "PROCEDURE", "FD", "S
 LEVEL = r"^(0?[1-9]|[1-4]\d|66|77|88)\b"
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no from 1, text) of content, carriage returns at line ends dropped."""
+def lines(docs: DataFrame, offsets: bool = False) -> DataFrame:
+    """(doc_id, line_no from 1, text) of content, carriage returns at line ends dropped; with offsets also where each line begins."""
+    if offsets:
+        rows = docs.select("doc_id", F.posexplode(F.split("content", "\n", -1)).alias("at", "text"))
+        before = F.sum(F.length("text") + 1).over(Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+        return rows.select("doc_id", (F.col("at") + 1).alias("line_no"), F.regexp_replace("text", r"\r+$", "").alias("text"), F.coalesce(before, F.lit(0)).alias("offset"))
     return docs.select("doc_id", F.posexplode(F.split("content", "\n", -1)).alias("at", "text")).select("doc_id", (F.col("at") + 1).alias("line_no"), F.regexp_replace("text", r"\r+$", "").alias("text"))
 
 
@@ -28,12 +32,12 @@ def cobol_areas(text: Column) -> dict[str, Column]:
     }
 
 
-def cobol_lines(docs: DataFrame) -> DataFrame:
+def cobol_lines(docs: DataFrame, offsets: bool = False) -> DataFrame:
     """Lines with their areas, line_type, and the division they stand in.
 
     Lines from EXEC SQL or EXEC CICS to END-EXEC take the block's type; comments and blank lines keep theirs.
     """
-    rows = lines(docs).withColumns(cobol_areas(F.col("text")))
+    rows = lines(docs, offsets).withColumns(cobol_areas(F.col("text")))
     body = F.upper(F.trim(F.concat("area_a", "area_b")))
     first = F.upper(F.regexp_extract(F.ltrim("area_a"), r"^([\w-]+)", 1))
     kind = (
@@ -64,7 +68,11 @@ def cobol_lines(docs: DataFrame) -> DataFrame:
 
 def cobol_names(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, value, category) of what COBOL lines declare; FILLER and level-number clauses name nothing."""
-    rows = cobol_lines(docs)
+    return names_of_lines(cobol_lines(docs))
+
+
+def names_of_lines(rows: DataFrame) -> DataFrame:
+    """cobol_names of rows of cobol_lines."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
     body = F.upper(F.trim(F.concat("area_a", "area_b")))
     fd = F.regexp_extract(body, r"^[FS]D\s+([A-Z0-9][A-Z0-9-]*)", 1)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.naming import prefix_of
 from maskwright.functions.text import is_number_like
-from maskwright.operators.languages import cards, mainframe, relation
+from maskwright.operators.languages import cards, cobol, mainframe, relation
 from maskwright.operators.languages.tokens import KNOWN_BY_FAMILY, REMOVED, code_spans, local_places
 from maskwright.operators.sanitize import ROW, keyed, numbered, resolved, union_all
 from maskwright.operators.scope import delegation_only, in_scope, processor_of
@@ -61,6 +61,8 @@ def code_frames(docs: DataFrame) -> DataFrame:
     made of the text, if it did; then comments and literals of SQL sources are not among the spans."""
 
     def spans_of(text, processor, masked):
+        if processor == "cobol":  # its own words are found by cobol.spans
+            return mainframe.spans(text, "cobol:sql") if "exec" in text.lower() else []
         if masked is None or processor not in (*relation.SQL, "csharp"):
             return mainframe.spans(text, processor)
         if processor == "csharp":
@@ -107,6 +109,10 @@ def rewritten(docs: DataFrame, scope: set[str] | None = None, fix_dispatch: bool
         spans = written(sql_spans(asked).unionByName(code_frames(asked)), "code-spans")
     else:
         spans = written(code_frames(asked.withColumn("masked", F.lit(None).cast("string"))), "code-spans")
+    if "cobol" in here:
+        own = cobol.spans(written(asked.where("processor = 'cobol'").select(ROW, "content"), "cobol"))
+        own = own.join(asked.select(ROW, F.col("doc_id").cast("long").alias("doc_id")), ROW).withColumns({"family": F.lit("cobol"), "tail": F.lit("")})
+        spans = written(spans.unionByName(own.select(*spans.columns)), "code-spans")
     spans = bound(spans, asked) if "csharp" in here else spans
     declared = spans.where(~F.col("category").isin("Comment", mainframe.KNOWN, KNOWN_BY_FAMILY))
     first = declared.groupBy("value").agg(F.min(F.struct("doc_id", "start", "category")).alias("f"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.operators.sanitize import numbered
+from maskwright.operators.sanitize import ROW, keyed, numbered
 from maskwright.operators.scope import extension
+from maskwright.sources.shared import written
 
 # Fixed values.
 KNOWN = (
@@ -23,9 +24,26 @@ PROJECT_FILES = (".csproj", ".fsproj", ".vbproj", ".sln", ".slnx")
 BY_TYPE = (".cs", ".vb", ".fs", ".fsx", ".fsi", ".cbl", ".cob", ".cpy", ".jcl")
 PRIMARY = ("Class", "Interface", "Record", "Enum", "Delegate", "Module", "Program", "Copybook", "Job")
 JS_EXTENSIONS = (".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs")
-IMPORTS = (r"(?s)(?:import|export)\s+.*?\s+from\s+['\"]([^'\"]+)['\"]", r"require\s*\(\s*['\"]([^'\"]+)['\"]", r"import\s*\(\s*['\"]([^'\"]+)['\"]")
-SOLUTION_ENTRY = r"(?m)^Project\(\"\{[^}]+\}\"\)\s*=\s*\"[^\"]*\",\s*\"([^\"]+)\",\s*\"\{[^}]+\}\""
-PROJECT_ENTRY = r"<(?:Compile|ProjectReference|EmbeddedResource|Content|None|Project)\s+[^>]*?(?:Include|Path)\s*=\s*\"([^\"]+)\""
+
+#: what a script takes from another file: a quoted name after from, import or require, in either quote
+IMPORTED = r"\b(?:from|import|require)\s*\(?\s*{q}([^{q}\n]*){q}"
+#: an attribute that names a file, of any element, in either quote
+NAMED_FILE = r"(?s)<[A-Za-z][\w.]*\s[^<>]*?\b(?:Include|Path)\s*=\s*{q}([^<{q}]*){q}"
+QUOTES = ("'", '"')
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
+def unescaped(text: Column) -> Column:
+    """XML's five entities undone."""
+    for entity, c in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(c))
+    return text
+
+
+def escaped(text: Column) -> Column:
+    for entity, c in reversed(ENTITIES):
+        text = F.replace(text, F.lit(c), F.lit(entity))
+    return text
 
 
 def slashes(path: Column) -> Column:
@@ -108,15 +126,19 @@ def path_aliases(paths: DataFrame, types: DataFrame | None = None) -> DataFrame:
 
 def imports(docs: DataFrame) -> DataFrame:
     """(path, reference): relative imports of scripts."""
-    found = F.concat(*(F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in IMPORTS))
+    found = F.concat(*(F.regexp_extract_all("content", F.lit(IMPORTED.format(q=q)), F.lit(1)) for q in QUOTES))
     rows = docs.where(extension(F.col("path")).isin(*JS_EXTENSIONS)).select("path", F.explode(F.array_distinct(found)).alias("reference"))
     return rows.where(F.col("reference").startswith("./") | F.col("reference").startswith("../"))
 
 
 def project_references(docs: DataFrame) -> DataFrame:
-    """(path, reference): entries of project and solution files."""
+    """(path, reference): entries of project and solution files, as written: of a solution the third quoted value of each line that
+    begins a project, of XML the attributes that name files, in either quote; what is commented out is no entry."""
     ext = extension(F.col("path"))
-    found = F.when(ext == ".sln", F.regexp_extract_all("content", F.lit(SOLUTION_ENTRY), F.lit(1))).otherwise(F.regexp_extract_all("content", F.lit(PROJECT_ENTRY), F.lit(1)))
+    quoted = lambda line: F.try_element_at(F.regexp_extract_all(line, F.lit('"([^"]*)"'), F.lit(1)), F.lit(3))
+    solution = F.filter(F.transform(F.filter(F.split("content", "\n"), lambda x: x.startswith("Project(")), quoted), lambda x: x.isNotNull())
+    live = F.regexp_replace("content", r"(?s)<!--.*?-->", "")
+    found = F.when(ext == ".sln", solution).otherwise(F.concat(*(F.regexp_extract_all(live, F.lit(NAMED_FILE.format(q=q)), F.lit(1)) for q in QUOTES)))
     return docs.where(ext.isin(*PROJECT_FILES)).select("path", F.explode(F.array_distinct(found)).alias("reference"))
 
 
@@ -139,11 +161,14 @@ def resolved_imports(refs: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def resolved_entries(refs: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(path, reference, new_reference) of project entries, in their own slashes."""
-    r = refs.withColumn("target", normalized(F.concat_ws("/", directory(F.col("path")), slashes(F.col("reference")))))
+    """(path, reference, new_reference) of project entries, in their own slashes; in XML entities are undone to find the file."""
+    xml = extension(F.col("path")) != ".sln"
+    named = F.when(xml, unescaped(F.col("reference"))).otherwise(F.col("reference"))
+    r = refs.withColumn("target", normalized(F.concat_ws("/", directory(F.col("path")), slashes(named))))
     r = r.join(mapping.select(F.col("path").alias("target"), F.col("new_path").alias("target_new")), "target").join(mapping.select("path", F.col("new_path").alias("from_new")), "path")
     new = relative(directory(F.col("from_new")), F.col("target_new"))
-    return r.select("path", "reference", F.when(F.contains("reference", F.lit("\\")), F.translate(new, "/", "\\")).otherwise(new).alias("new_reference"))
+    new = F.when(F.contains("reference", F.lit("\\")), F.translate(new, "/", "\\")).otherwise(new)
+    return r.select("path", "reference", F.when(xml, escaped(new)).otherwise(new).alias("new_reference"))
 
 
 def patched(docs: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -162,19 +187,46 @@ def patched(docs: DataFrame, resolved: DataFrame) -> DataFrame:
 LISTING = (r"Folder PATH listing", r"\+---", r"\\\\---")
 
 
+def listed_paths(lists: DataFrame) -> DataFrame:
+    """lists: (__list, n, line): lines of directory listings. (__list, n, head, name, listed): of each line what stands before its name, the
+    name, and its whole path within the listing, in lower case: the names of the lines it hangs on, its own last.
+
+    A line hangs on the last one before it that is less deep, and so do that one's parents. Depth is what the drawing takes up in fours,
+    as tree commands draw it: a line of depth d ends what was open at d and below, so its parent is the last line of depth d - 1.
+    """
+    head = F.regexp_extract("line", r"^([\s|+\\\-]*)", 1)
+    rows = lists.withColumns({"head": head, "name": F.regexp_extract("line", r"^[\s|+\\\-]*(.*?)\s*$", 1)}).withColumn("depth", F.ceil(F.length("head") / 4).cast("int"))
+    w = Window.partitionBy("__list").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    deepest = 32
+    parts = [F.last(F.when((F.col("depth") == d) & (F.col("name") != ""), F.struct("n", F.lower("name").alias("name"))), ignorenulls=True).over(w) for d in range(deepest)]
+    rows = rows.withColumn("open", F.array(*parts))
+    # a name counts if no line of less depth came after it
+    chain = F.filter(F.transform(F.sequence(F.lit(0), F.least("depth", F.lit(deepest - 1))), lambda d: F.get("open", d)), lambda p: p.isNotNull())
+    live = F.filter(chain, lambda p, k: ~F.exists(F.slice(chain, 1, k), lambda q: q["n"] > p["n"]))
+    return rows.select("__list", "n", "line", "head", "name", F.array_join(F.transform(live, lambda p: p["name"]), "/").alias("listed"))
+
+
 def relisted(docs: DataFrame, mapping: DataFrame, back: bool = False) -> DataFrame:
-    """docs (path, content) with the names in directory listings (.txt files of a tree command) replaced: those of files and of
-    folders, each line by the name it ends with. Names meet the mapping by equality, in any case."""
+    """docs (path, content) with the names in directory listings (.txt files of a tree command) replaced: each line's file or folder is
+    looked up by its whole path, in any case, so names that two folders share keep apart. A listing may begin at the corpus's root, at
+    any folder of it, or above it: lines meet every mapped path that ends like theirs as far as both go, the longest match first."""
     old, new = ("new_path", "path") if back else ("path", "new_path")
-    m = mapping.select(F.split(F.col(old), "/").alias("a"), F.split(F.col(new), "/").alias("b")).where(F.size("a") == F.size("b"))
-    pairs = m.select(F.explode(F.arrays_zip("a", "b")).alias("p")).select(F.lower("p.a").alias("__name"), F.col("p.b").alias("__new")).where("__name <> lower(__new)").groupBy("__name").agg(F.min("__new").alias("__new"))
+    m = mapping.select(F.split(F.lower(F.col(old)), "/").alias("a"), F.split(F.col(new), "/").alias("b")).where(F.size("a") == F.size("b"))
+    # every file and folder, by its path and by the ends of that path
+    every = m.select(F.explode(F.sequence(F.lit(1), F.size("a"))).alias("k"), "a", "b").select(F.slice("a", 1, F.col("k")).alias("a"), F.element_at("b", F.col("k")).alias("to"), "k")
+    ends = every.select(F.explode(F.sequence(F.lit(1), F.col("k"))).alias("s"), "a", "to", "k").select(F.array_join(F.slice("a", F.col("s"), F.col("k")), "/").alias("__end"), (F.col("k") - F.col("s") + 1).alias("__parts"), "to")
+    # an end that leads to several names is none
+    ends = ends.groupBy("__end", "__parts").agg(F.min("to").alias("__new"), F.max("to").alias("__other")).where("__new = __other").drop("__other")
     is_list = (extension(F.col("path")) == ".txt") & F.col("content").rlike("|".join(LISTING))
-    lists = docs.where(is_list).select("path", "content").distinct()
-    lines = lists.select("path", "content", F.posexplode(F.split("content", "\n")).alias("n", "line"))
-    lines = lines.withColumn("__head", F.regexp_extract("line", r"^([\s|+\\\-]*)", 1)).withColumn("__name", F.lower(F.regexp_extract("line", r"^[\s|+\\\-]*(.*?)\s*$", 1)))
-    put = lines.join(pairs, "__name", "left").withColumn("line", F.when(F.col("__new").isNull(), F.col("line")).otherwise(F.concat("__head", "__new")))
-    whole = put.groupBy("path", "content").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("rows")).select("path", "content", F.array_join(F.col("rows.line"), "\n").alias("__listed"))
-    return docs.join(whole, ["path", "content"], "left").withColumn("content", F.coalesce("__listed", "content")).drop("__listed").select(*docs.columns)
+    keyed_docs = keyed(docs, "listings")
+    lists = keyed_docs.where(is_list).select(F.col(ROW).alias("__list"), F.posexplode(F.split("content", "\n")).alias("n", "line"))
+    rows = written(listed_paths(lists), "listed")
+    parts = F.split("listed", "/")
+    asked = rows.where("name <> ''").select("__list", "n", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("s"), parts.alias("p")).select("__list", "n", (F.size("p") - F.col("s") + 1).alias("__parts"), F.array_join(F.slice("p", F.col("s"), F.size("p")), "/").alias("__end"))
+    best = asked.join(ends, ["__end", "__parts"]).groupBy("__list", "n").agg(F.max_by("__new", "__parts").alias("__new"))
+    put = rows.join(best, ["__list", "n"], "left").withColumn("line", F.when(F.col("__new").isNull() | (F.lower("name") == F.lower("__new")), F.col("line")).otherwise(F.concat("head", "__new")))
+    whole = put.groupBy("__list").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("rows")).select(F.col("__list").alias(ROW), F.array_join(F.col("rows.line"), "\n").alias("__listed"))
+    return keyed_docs.join(whole, ROW, "left").withColumn("content", F.coalesce("__listed", "content")).select(*docs.columns)
 
 
 def renamed(docs: DataFrame, mapping: DataFrame, back: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from maskwright.operators.languages import cards, lines, relation, rewrite
 from maskwright.operators.restore import restored, unmatched
 from maskwright.plans import engine, sources
 from maskwright.plans.oracle import ORACLES, SYNTH, files_sql, typed_files_sql, programs_sql, jobs_sql, snippets_sql, statements_sql
-from maskwright.plans.token_oracle import TOKEN_ORACLES, classes_sql, macros_sql, scripts_sql
+from maskwright.plans.token_oracle import TOKEN_ORACLES, classes_sql, macros_sql, routines_sql, scripts_sql
 from maskwright.sources.shared import written
 
 RULES = list(rules.BUILT_IN)
@@ -314,6 +314,7 @@ def _by_row(docs):
 scripts = _made(scripts_sql, "orders")
 macros = _made(macros_sql, "customer")
 classes = _made(classes_sql, "part")
+routines = _made(routines_sql, "customer")
 
 
 def sql_tokens(spark, sf):
@@ -331,6 +332,12 @@ def basic_problems(spark, sf):
     return relation.basic_problems(relation.tokens(_by_row(macros(spark, sf)), "vbscript")).select(F.col(sanitize.ROW).alias("doc_id"), "problem")
 
 
+def cobol_rewritten(spark, sf):
+    """COBOL programs at level 2: their own names, names from copybooks, literals and remarks; reserved words and pictures stay."""
+    docs = routines(spark, sf).select("doc_id", F.lit("src/p.cbl").alias("path"), "content")
+    return rewrite.obfuscated(docs)[0].select("doc_id", "content")
+
+
 def code_scopes(spark, sf):
     """Uses of local names, with the block that binds each; those that no declaration is visible to have no row."""
     rows = written(relation.tokens(_by_row(classes(spark, sf)), "csharp"), "tokens")
@@ -348,7 +355,7 @@ NAMES = (
     "active_rules_sorted file_filter scope_dispatch directory_aliases path_aliases normalize_path js_import_resolve card_type card_values cobol_line_class cobol_names jcl_instream_program cross_refs host_refs "
     "looks_like_sql sql_comment_strip literal_alias host_variables source_map stats_summary xref_report status_top10 leakage_check severity_rollup file_counts code_obfuscation mainframe_obfuscation "
     "csharp_obfuscation vb_obfuscation fsharp_obfuscation js_obfuscation vbs_obfuscation tsql_obfuscation db2_obfuscation oracle_obfuscation level2_roundtrip level2_stats level2_leaks corpus_leaks typed_paths "
-    "sql_tokens sql_problems basic_problems code_scopes"
+    "sql_tokens sql_problems basic_problems code_scopes cobol_rewritten"
 ).split()
 
 

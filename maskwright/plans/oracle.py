@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from maskwright.functions.text import SQL_STARTS
-from maskwright.operators.languages.cards import NAMED
+from maskwright.operators.languages.cards import FTP_COMMANDS, NAMED, SIGNS
 from maskwright.operators.paths import IGNORED_DIRECTORIES, IGNORED_EXTENSIONS, KNOWN, PROJECT_FILES, STRUCTURAL
 from maskwright.operators.rules import BUILT_IN
 from maskwright.operators.scope import EXTENSIONS
@@ -86,7 +86,15 @@ das AS (SELECT segment, 'DIR_' || (row_number() OVER (ORDER BY segment) - 1) AS
 _CASE = r"""CASE WHEN ext = '' AND (regexp_matches(content, '(?im)^.{6} .*\b(IDENTIFICATION|ENVIRONMENT|DATA|PROCEDURE)\s+DIVISION\b') OR regexp_matches(content, '(?m)^.{6} +(01|05|10|77|88) +[A-Z0-9-]+.*\b(PIC|VALUE)\b')) THEN 'cobol'
 WHEN ext = '' AND len(list_filter(string_split(content, chr(10))[1:5], lambda x: starts_with(x, '//'))) >= 2 THEN 'jcl' WHEN ext = '' THEN 'mainframe-utility'
 WHEN ext = '.bas' AND NOT regexp_matches(content, '(?i)\b(?:(?:Sub|Function|Dim)\s+\w|Option\s+(?:Explicit|Base|Compare|Private)|(?:Public|Private)\s+(?:Sub|Function)\b)') THEN NULL """ + " ".join(f"WHEN ext IN {_in(e)} THEN {_q(p)}" for p, e in EXTENSIONS if e) + " END"
-_CARDS = f"docs AS ({snippets_sql}), typed AS (SELECT doc_id, content, CASE doc_id % 10 WHEN 0 THEN 'Db2Bind' WHEN 1 THEN 'Smtp' WHEN 2 THEN 'Mfs' WHEN 3 THEN 'Idcams' WHEN 4 THEN 'Sort' WHEN 5 THEN 'Ftp' WHEN 6 THEN 'Idcams' WHEN 7 THEN 'DlIControl' WHEN 9 THEN 'Idcams' ELSE 'Parameter' END AS card_type FROM docs)"
+_FTP = f"""(len(list_filter(string_split(content, chr(10)), lambda x: x <> '')) >= 3 AND (len(list_filter(string_split(content, chr(10)), lambda x: string_split(lower(trim(x)), ' ')[1] IN {_in(FTP_COMMANDS)})) >= 2 OR regexp_matches(content, '(?im)^\\s*LOCSITE')))"""
+
+
+def _signs(kind: str, groups) -> str:
+    one = lambda x: f"starts_with(ltrim(upper(content)), {_q(x[1:])})" if x.startswith("^") else f"contains(upper(content), {_q(x)})"
+    return _FTP if kind == "Ftp" else " AND ".join("(" + " OR ".join(map(one, g)) + ")" for g in groups)
+
+
+_CARDS = f"docs AS ({snippets_sql}), typed AS (SELECT doc_id, content, CASE " + " ".join(f"WHEN {_signs(k, g)} THEN {_q(k)}" for k, g in SIGNS) + " ELSE 'Parameter' END AS card_type FROM docs)"
 _COBOL = f"""docs AS ({programs_sql}), numbered AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS text FROM (SELECT doc_id, string_split(content, chr(10)) AS parts FROM docs)),
 areas AS (SELECT *, rpad(text, 80, ' ')[7:7] AS ind, upper(trim(rpad(text, 80, ' ')[8:72])) AS body FROM numbered),
 typed AS (SELECT *, CASE WHEN ind IN ('*', '/') THEN 'Comment' WHEN ind = '-' THEN 'Continuation' WHEN body = '' THEN 'Blank' WHEN regexp_matches(body, '^COPY(\\s|$)') THEN 'CopyStatement' WHEN regexp_matches(body, '^EXEC\\s+SQL\\b') THEN 'ExecSqlBlock'

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from maskwright.operators.languages.cobol import LEXEMES
+from maskwright.operators.languages.mainframe import HYPHENATED, PLAIN
 from maskwright.operators.languages.relation import NO_BLOCK, OTHER_ENDS, pattern
 
 
@@ -52,6 +54,15 @@ classes_sql = f"""SELECT p_partkey AS doc_id, {_lines(
     "'} }'",
 )} AS content FROM part"""
 
+#: a COBOL program of every customer: names that it declares, names from copybooks, reserved words, pictures, literals, a remark
+routines_sql = f"""SELECT c_custkey AS doc_id, {_lines(
+    "'000100 IDENTIFICATION DIVISION.'", "'000200 PROGRAM-ID. PGM' || " + _s("c_custkey % 40") + " || '.'", "'000300 DATA DIVISION.'", "'000350 WORKING-STORAGE SECTION.'", "'000400 01  WS-REC-' || " + _s("c_custkey % 30") + " || '.'",
+    "'000500     05  AMOUNT' || " + _s("c_custkey % 7") + " || ' PIC S9(5)V99 COMP-3 VALUE ' || " + _s("c_custkey % 9") + " || '.'", "'000600     05  STATUS-' || " + _s("c_custkey % 5") + " || ' PICTURE IS X(10).'", "'000700* paid for ' || c_name", "'000800 PROCEDURE DIVISION.'",
+    "'000900 MAIN-' || " + _s("c_custkey % 25") + " || '.'", "'001000     MOVE ''' || c_mktsegment || ' of ' || " + _s("c_custkey % 11") + " || ''' TO Cpy-Field-' || " + _s("c_custkey % 6") + " || '.'",
+    "'001100     IF AMOUNT' || " + _s("c_custkey % 7") + " || ' > 5 PERFORM SUB-' || " + _s("c_custkey % 4") + " || ' THRU MAIN-' || " + _s("c_custkey % 25") + " || ' END-IF.'",
+    "'001200     CALL \"LIB' || " + _s("c_custkey % 8") + " || '\" USING WS-REC-' || " + _s("c_custkey % 30") + " || '.'", "'001300     COPY CPY' || " + _s("c_custkey % 3") + " || '.'",
+)} AS content FROM customer"""
+
 
 def _tokens(sql: str, language: str) -> str:
     """docs, then t: doc_id, place, text and start of each token."""
@@ -88,7 +99,26 @@ words AS (SELECT doc_id, place, code AS value, lag(code) OVER (PARTITION BY doc_
 named AS (SELECT * FROM words WHERE regexp_matches(value, '^v[0-9]+$')),
 homes AS (SELECT DISTINCT n.doc_id, n.value, arg_max(b.block, (b."from", b.block)) AS block FROM named n JOIN blocks b ON n.doc_id = b.doc_id AND n.place BETWEEN b."from" AND b."to" WHERE n.before IN ('int', 'var') GROUP BY n.doc_id, n.place, n.value)"""
 
+def _in(values) -> str:
+    return "(" + ", ".join(map(_q, sorted(values))) + ")"
+
+
+_COBOL = rf"""docs AS ({routines_sql}), numbered AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS text FROM (SELECT doc_id, string_split(content, chr(10)) AS ls FROM docs)),
+code AS (SELECT doc_id, line, text, upper(text[8:72]) AS up, text[7] AS mark, contains(text, ' DIVISION') AS division FROM numbered),
+split AS (SELECT doc_id, line, unnest(range(0, len(ps))) AS place, unnest(ps) AS text FROM (SELECT doc_id, line, regexp_extract_all(text[8:72], {_q(LEXEMES)}) AS ps FROM code WHERE mark = ' ' AND NOT division)),
+k AS (SELECT *, lag(upper(text)) OVER (PARTITION BY doc_id, line, trim(text) = '' ORDER BY place) AS before FROM split WHERE text <> ''),
+declared AS (SELECT doc_id, value, arg_min(category, line) AS category FROM (
+  SELECT doc_id, line, regexp_extract(up, '^PROGRAM-ID\. (\S+)\.', 1) AS value, 'PGM' AS category FROM code UNION ALL SELECT doc_id, line, regexp_extract(up, '^(?:01|    05)  ([A-Z0-9-]+)', 1), 'VAR' FROM code
+  UNION ALL SELECT doc_id, line, regexp_extract(up, '^(MAIN-\d+)\.', 1), 'PARA' FROM code UNION ALL SELECT doc_id, line, regexp_extract(up, 'COPY (\S+)\.', 1), 'CPY' FROM code UNION ALL SELECT doc_id, line, regexp_extract(up, 'CALL "(\S+)"', 1), 'PGM' FROM code) WHERE value <> '' GROUP BY doc_id, value),
+found AS (SELECT k.doc_id, line, place, CASE WHEN text[1] IN ('''', '"') THEN CASE WHEN before = 'CALL' THEN upper(text[2:-2]) ELSE text[2:-2] END WHEN regexp_matches(text, '(?i)^PIC(TURE)? ') OR NOT regexp_matches(text, '[A-Za-z]') THEN NULL
+  WHEN upper(text) IN {_in(HYPHENATED)} OR d.value IS NULL AND upper(text) IN {_in(PLAIN)} THEN NULL ELSE upper(text) END AS value,
+  CASE WHEN text[1] = '''' THEN 'STR' WHEN text[1] = '"' THEN 'PGM' ELSE coalesce(d.category, CASE WHEN regexp_matches(text, '[-0-9]') THEN 'VAR' END) END AS prefix, text FROM k LEFT JOIN declared d ON d.doc_id = k.doc_id AND d.value = upper(k.text)),
+first AS (SELECT value, min((doc_id, line, place)) AS seen, arg_min(prefix, (doc_id, line, place)) AS prefix FROM found WHERE value IS NOT NULL AND prefix IS NOT NULL GROUP BY value),
+names AS (SELECT value, prefix || '_' || (row_number() OVER (PARTITION BY prefix ORDER BY seen) - 1) AS alias FROM first),
+put AS (SELECT f.doc_id, f.line, string_agg(CASE WHEN alias IS NULL THEN text WHEN text[1] IN ('''', '"') THEN text[1] || alias || text[1] ELSE alias END, '' ORDER BY place) AS code FROM found f LEFT JOIN names USING (value) GROUP BY f.doc_id, f.line)"""
+
 TOKEN_ORACLES = {
+    "cobol_rewritten": f"""WITH {_COBOL} SELECT doc_id, string_agg(CASE WHEN mark = '*' THEN text[1:7] || ' [Comment removed]' ELSE coalesce(text[1:7] || put.code, text) END, chr(10) ORDER BY line) AS content FROM code LEFT JOIN put USING (doc_id, line) GROUP BY doc_id""",
     "sql_tokens": f"WITH {_SQL_TOKENS} SELECT doc_id, kind, count(*) AS n, sum(length(text))::BIGINT AS chars, max(depth) AS deepest, sum(start)::BIGINT AS starts, max((SELECT 1))::BIGINT * max(line) AS last_line FROM (SELECT *, (1 + coalesce(sum(length(text) - length(replace(text, chr(10), ''))) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS line FROM d) GROUP BY doc_id, kind",
     "sql_problems": f"""WITH {_SQL_TOKENS},
 w AS (SELECT doc_id, lower(text) AS word, lag(lower(text)) OVER s AS before, lead(lower(text)) OVER s AS after FROM d WHERE kind = 'word' WINDOW s AS (PARTITION BY doc_id ORDER BY place)),
