@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import text as X
 from maskwright.operators import audit, paths, rules, sanitize, scope
-from maskwright.operators.languages import cards, lines, relation, rewrite
+from maskwright.operators.languages import cards, lines, links, relation, rewrite
 from maskwright.operators.restore import restored, unmatched
 from maskwright.plans import engine, sources
 from maskwright.plans.oracle import ORACLES, SYNTH, files_sql, typed_files_sql, programs_sql, jobs_sql, snippets_sql, statements_sql
-from maskwright.plans.token_oracle import TOKEN_ORACLES, classes_sql, macros_sql, routines_sql, scripts_sql
+from maskwright.plans.token_oracle import TOKEN_ORACLES, classes_sql, macros_sql, network_sql, routines_sql, scripts_sql, symbols_sql
 from maskwright.sources.shared import written
 
 RULES = list(rules.BUILT_IN)
@@ -315,6 +315,8 @@ scripts = _made(scripts_sql, "orders")
 macros = _made(macros_sql, "customer")
 classes = _made(classes_sql, "part")
 routines = _made(routines_sql, "customer")
+symbol_jobs = _made(symbols_sql, "supplier")
+network = _made(network_sql, "part")
 
 
 def sql_tokens(spark, sf):
@@ -338,6 +340,22 @@ def cobol_rewritten(spark, sf):
     return rewrite.obfuscated(docs)[0].select("doc_id", "content")
 
 
+def jcl_symbols(spark, sf):
+    """Operands with each symbol as it stands at its card; the cards that set it among them."""
+    got = links.jcl_resolved(symbol_jobs(spark, sf))
+    return got.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "operands", "resolved")
+
+
+def cross_file_edges(spark, sf):
+    return links.file_edges(network(spark, sf))
+
+
+def copybook_chains(spark, sf):
+    """What copybooks reach over others, and which come round to themselves."""
+    copies = links.file_edges(network(spark, sf)).where("kind = 'copies' and source like '%.cpy'")
+    return links.reached(copies).select("source", "target", F.col("steps").cast("long").alias("steps"), "cycle")
+
+
 def code_scopes(spark, sf):
     """Uses of local names, with the block that binds each; those that no declaration is visible to have no row."""
     rows = written(relation.tokens(_by_row(classes(spark, sf)), "csharp"), "tokens")
@@ -355,7 +373,7 @@ NAMES = (
     "active_rules_sorted file_filter scope_dispatch directory_aliases path_aliases normalize_path js_import_resolve card_type card_values cobol_line_class cobol_names jcl_instream_program cross_refs host_refs "
     "looks_like_sql sql_comment_strip literal_alias host_variables source_map stats_summary xref_report status_top10 leakage_check severity_rollup file_counts code_obfuscation mainframe_obfuscation "
     "csharp_obfuscation vb_obfuscation fsharp_obfuscation js_obfuscation vbs_obfuscation tsql_obfuscation db2_obfuscation oracle_obfuscation level2_roundtrip level2_stats level2_leaks corpus_leaks typed_paths "
-    "sql_tokens sql_problems basic_problems code_scopes cobol_rewritten"
+    "sql_tokens sql_problems basic_problems code_scopes cobol_rewritten jcl_symbols cross_file_edges copybook_chains"
 ).split()
 
 

@@ -63,6 +63,18 @@ routines_sql = f"""SELECT c_custkey AS doc_id, {_lines(
     "'001200     CALL \"LIB' || " + _s("c_custkey % 8") + " || '\" USING WS-REC-' || " + _s("c_custkey % 30") + " || '.'", "'001300     COPY CPY' || " + _s("c_custkey % 3") + " || '.'",
 )} AS content FROM customer"""
 
+#: a job of every supplier that sets its symbols again and again; values hold symbols
+symbols_sql = f"""SELECT s_suppkey AS doc_id, {_lines(
+    "'//JOB1 JOB (A)'", "'// SET HLQ=ACME' || " + _s("s_suppkey % 13") + " || ',ENV=T' || " + _s("s_nationkey % 3"), "'// SET LIB=&HLQ..LOAD,TOP=&LIB'", "'//S1 EXEC PGM=P1'", "'//D1 DD DSN=&LIB..&ENV,DISP=SHR'", "'// SET HLQ=NEW$' || " + _s("s_suppkey"),
+    "'//D2 DD DSN=&HLQ..&ENV..X&SYSUID'", "CASE WHEN s_suppkey % 2 = 0 THEN '// SET LIB=&HLQ..LIB' ELSE '//* SET LIB=NONE' END", "'// SET DEEP=&LIB..D'", "'//D3 DD DSN=&DEEP(&MEM),DISP=SHR'", "'//P1 PROC MEM=M' || " + _s("s_suppkey % 4") + " || ',HLQ=&ENV'", "'//D4 DD DSN=&LIB(&MEM).&HLQ.&HLQS..&TOP'",
+)} AS content FROM supplier"""
+
+#: programs, copybooks and jobs that take each other by number; some name what is nowhere, and copybooks go round
+network_sql = f"""SELECT p_partkey AS doc_id, CASE p_partkey % 4 WHEN 0 THEN 'jobs/J' || {_s("p_partkey")} || '.jcl' WHEN 1 THEN 'src/P' || {_s("p_partkey")} || '.cbl' WHEN 2 THEN 'copy/C' || {_s("p_partkey")} || '.cpy' ELSE 'src/old/P' || {_s("p_partkey")} || '.cob' END AS path,
+CASE WHEN p_partkey % 4 = 0 THEN {_lines("'//J JOB A'", "'//S1 EXEC PGM=PG' || " + _s("p_partkey + 1"), "'//S2 EXEC PGM=PG' || " + _s("p_size"), "'//S3 EXEC PGM=PG' || " + _s("p_partkey + 1"))}
+WHEN p_partkey % 4 = 2 THEN {_lines("'000100 01  REC-A.'", "'000200     COPY C' || " + _s("CASE WHEN p_partkey % 40 = 38 THEN p_partkey - 36 ELSE p_partkey + 4 END") + " || '.'")}
+ELSE {_lines("'000100 IDENTIFICATION DIVISION.'", "'000200 PROGRAM-ID. PG' || " + _s("CASE WHEN p_partkey % 8 = 7 THEN p_partkey - 2 ELSE p_partkey END") + " || '.'", "'000300 PROCEDURE DIVISION.'", "'000400     CALL ''PG' || " + _s("p_partkey + 4") + " || '''.'", "'000500     COPY C' || " + _s("p_partkey + 1") + " || '.'")} END AS content FROM part"""
+
 
 def _tokens(sql: str, language: str) -> str:
     """docs, then t: doc_id, place, text and start of each token."""
@@ -117,7 +129,27 @@ first AS (SELECT value, min((doc_id, line, place)) AS seen, arg_min(prefix, (doc
 names AS (SELECT value, prefix || '_' || (row_number() OVER (PARTITION BY prefix ORDER BY seen) - 1) AS alias FROM first),
 put AS (SELECT f.doc_id, f.line, string_agg(CASE WHEN alias IS NULL THEN text WHEN text[1] IN ('''', '"') THEN text[1] || alias || text[1] ELSE alias END, '' ORDER BY place) AS code FROM found f LEFT JOIN names USING (value) GROUP BY f.doc_id, f.line)"""
 
+_SYMBOLS = rf"""docs AS ({symbols_sql}), numbered AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS text FROM (SELECT doc_id, string_split(content, chr(10)) AS ls FROM docs)),
+cards AS (SELECT doc_id, line, text, trim(regexp_replace(text, '^//\S* *(JOB|EXEC|DD|SET|PROC) *', '')) AS operands, regexp_matches(text, '^//\S* *(SET|PROC) ') AS sets FROM numbered WHERE text NOT LIKE '//*%'),
+pairs AS (SELECT doc_id, line, unnest(string_split(operands, ',')) AS pair FROM cards WHERE sets), given AS (SELECT doc_id, line, split_part(pair, '=', 1) AS symbol, split_part(pair, '=', 2) AS value FROM pairs),
+-- one symbol a value here, so each round looks one up at the place of the card that the last one came from
+chase AS (WITH RECURSIVE c AS (SELECT doc_id, line, symbol, value, line AS seen FROM given UNION ALL
+  SELECT c.doc_id, c.line, c.symbol, regexp_replace(c.value, '&' || g.symbol || '(\.|$)', replace(g.value, '\', '\\')), g.line FROM c JOIN given g ON g.doc_id = c.doc_id AND g.symbol = regexp_extract(c.value, '&([A-Z0-9@#$]+)', 1)
+    AND g.line = (SELECT max(h.line) FROM given h WHERE h.doc_id = c.doc_id AND h.symbol = g.symbol AND h.line < c.seen)) SELECT doc_id, line, symbol, arg_min(value, seen) AS value FROM c GROUP BY doc_id, line, symbol),
+parts AS (SELECT doc_id, line, unnest(range(0, len(ps))) AS k, unnest(ps) AS part FROM (SELECT doc_id, line, regexp_extract_all(operands, '&[A-Z0-9@#$]+\.?|[^&]+|&') AS ps FROM cards)),
+found AS (SELECT p.*, (SELECT arg_max(c.value, c.line) FROM chase c WHERE c.doc_id = p.doc_id AND c.line < p.line AND p.part[1] = '&' AND c.symbol = rtrim(p.part[2:], '.')) AS value FROM parts p)"""
+
+_NETWORK = rf"""docs AS ({network_sql}), ls AS (SELECT path, unnest(string_split(content, chr(10))) AS line FROM docs),
+u AS (SELECT DISTINCT path AS source, 'runs' AS kind, regexp_extract(line, 'PGM=(\w+)', 1) AS value FROM ls UNION SELECT path, 'calls', regexp_extract(line, 'CALL ''(\w+)''', 1) FROM ls UNION SELECT path, 'copies', regexp_extract(line, '^.{{7}} *COPY (\w+)', 1) FROM ls),
+homes AS (SELECT path AS target, regexp_extract(line, 'PROGRAM-ID\. (\w+)', 1) AS value, 'program' AS what FROM ls UNION SELECT path, regexp_extract(path, '(\w+)\.cpy$', 1), 'copybook' FROM docs),
+edges AS (SELECT DISTINCT source, kind, u.value, target FROM u LEFT JOIN homes h ON h.value = u.value AND h.what = CASE kind WHEN 'copies' THEN 'copybook' ELSE 'program' END WHERE u.value <> '')"""
+
 TOKEN_ORACLES = {
+    "jcl_symbols": f"""WITH {_SYMBOLS} SELECT f.doc_id, f.line AS line_no, any_value(c.operands) AS operands, string_agg(coalesce(f.value, part), '' ORDER BY k) AS resolved FROM found f JOIN cards c ON c.doc_id = f.doc_id AND c.line = f.line GROUP BY f.doc_id, f.line""",
+    "cross_file_edges": f"WITH {_NETWORK} SELECT source, kind, value, target FROM edges",
+    "copybook_chains": f"""WITH RECURSIVE {_NETWORK}, e AS (SELECT DISTINCT source, target FROM edges WHERE kind = 'copies' AND source LIKE '%.cpy' AND target IS NOT NULL),
+walk AS (SELECT source, target, 1::BIGINT AS steps FROM e UNION SELECT w.source, e.target, w.steps + 1 FROM walk w JOIN e ON e.source = w.target WHERE w.steps < 20)
+SELECT source, target, min(steps) AS steps, source = target AS cycle FROM walk GROUP BY source, target""",
     "cobol_rewritten": f"""WITH {_COBOL} SELECT doc_id, string_agg(CASE WHEN mark = '*' THEN text[1:7] || ' [Comment removed]' ELSE coalesce(text[1:7] || put.code, text) END, chr(10) ORDER BY line) AS content FROM code LEFT JOIN put USING (doc_id, line) GROUP BY doc_id""",
     "sql_tokens": f"WITH {_SQL_TOKENS} SELECT doc_id, kind, count(*) AS n, sum(length(text))::BIGINT AS chars, max(depth) AS deepest, sum(start)::BIGINT AS starts, max((SELECT 1))::BIGINT * max(line) AS last_line FROM (SELECT *, (1 + coalesce(sum(length(text) - length(replace(text, chr(10), ''))) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS line FROM d) GROUP BY doc_id, kind",
     "sql_problems": f"""WITH {_SQL_TOKENS},

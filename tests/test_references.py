@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.operators import paths
-from maskwright.operators.languages import cobol, mainframe
+from maskwright.operators.languages import cobol, links, mainframe
 from maskwright.operators.sanitize import ROW
 
 TREE = """Folder PATH listing for volume X
@@ -95,3 +95,35 @@ def test_a_full_table_of_reserved_words_makes_every_other_word_a_name(spark):
     full = spark.createDataFrame([("MOVE", False), ("TO", False), ("PROCEDURE", False), ("DIVISION", False)], "word string, plain boolean")
     assert {(r.value, r.category) for r in cobol.spans(docs, full).collect()} == {("TOTAL", "Variable"), ("GRAND", "Variable")}
     assert {r.category for r in cobol.spans(docs).collect()} == {"Known"}
+
+
+def test_symbols_as_of_their_place(spark):
+    job = "//J JOB A\n// SET A=1,B='X,Y'\n// SET C=&A.Z\n//D1 DD DSN=&A..&B,X=&C,Y=&N\n// SET A=$2\\q\n//D2 DD DSN=&A&C.&AB\n// SET A=&A.&A,D=&C&A\n//* &A\n//D3 DD DSN=&A.(&D)"
+    docs = spark.createDataFrame([(1, job), (None, job.replace("=1", "=9")), (None, None), (1, "//X JOB &A"), (2, "")], "doc_id long, content string")
+    got = {}
+    for r in links.jcl_resolved(docs).collect():
+        got.setdefault((r.doc_id, r.line_no), []).append(r.resolved)
+    assert got[1, 4] == ["DSN=1.X,Y,X=1Z,Y=&N"] and got[None, 4] == ["DSN=9.X,Y,X=9Z,Y=&N"]
+    assert got[1, 6] == ["DSN=$2\\q1Z&AB"] and got[1, 7] == ["A=$2\\q$2\\q,D=1Z$2\\q"] and got[1, 9] == ["DSN=$2\\q$2\\q(1Z$2\\q)"] and sorted(got[1, 1]) == ["&A", "A"]
+
+
+def test_edges_and_what_they_reach(spark):
+    program = "000100 IDENTIFICATION DIVISION.\n000200 PROGRAM-ID. PAY.\n000300 PROCEDURE DIVISION.\n000400     CALL 'TAX'.\n000500     CALL 'tax'.\n000600     COPY REC."
+    docs = [(1, "a/pay.cbl", program), (1, "b/tax.cob", program.replace("PAY", "TAX").replace("'TAX'", "'PAY'")), (None, "c/rec.cpy", "000100     COPY SUB."), (None, "d/sub.CPY", "000100     COPY REC."), (5, "e/j.jcl", "//J JOB A\n//S EXEC PGM=PAY\n//T EXEC PGM=NONE"), (6, "f/tax.cbl", program.replace("PAY", "TAX")), (7, "g.txt", "COPY REC"), (8, "h.cbl", None)]
+    edges = links.file_edges(spark.createDataFrame(docs, "doc_id long, path string, content string"))
+    got = {tuple(r) for r in edges.collect()}
+    assert got == {
+        ("a/pay.cbl", "calls", "TAX", "b/tax.cob"), ("a/pay.cbl", "calls", "TAX", "f/tax.cbl"), ("a/pay.cbl", "copies", "REC", "c/rec.cpy"), ("b/tax.cob", "copies", "REC", "c/rec.cpy"), ("b/tax.cob", "calls", "PAY", "a/pay.cbl"), ("b/tax.cob", "calls", "TAX", "b/tax.cob"), ("b/tax.cob", "calls", "TAX", "f/tax.cbl"),
+        ("c/rec.cpy", "copies", "SUB", "d/sub.CPY"), ("d/sub.CPY", "copies", "REC", "c/rec.cpy"), ("e/j.jcl", "runs", "PAY", "a/pay.cbl"), ("e/j.jcl", "runs", "NONE", None), ("f/tax.cbl", "copies", "REC", "c/rec.cpy"), ("f/tax.cbl", "calls", "TAX", "b/tax.cob"), ("f/tax.cbl", "calls", "TAX", "f/tax.cbl"),
+    }
+    far = {(r.source, r.target): (r.steps, r.cycle) for r in links.reached(edges).collect()}
+    steps = {}
+    pairs = {(a, b) for a, _, _, b in got if b}
+    for a in {a for a, _ in pairs}:  # breadth first
+        at, k = {a}, 0
+        while at:
+            at, k = {b for x, b in pairs if x in at and (a, b) not in steps}, k + 1
+            steps.update({(a, b): k for b in at})
+    assert far == {(a, b): (k, a == b) for (a, b), k in steps.items()}
+    with pytest.raises(ValueError):
+        links.reached(spark.createDataFrame([(str(i), str(i + 1)) for i in range(5)], "source string, target string"), rounds=3)
