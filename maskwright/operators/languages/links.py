@@ -24,13 +24,10 @@ def _as_of(uses: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _put(text: Column, values: Column) -> Column:
-    """text with each symbol of values (struct symbol, value) replaced; a dot after it belongs to the symbol."""
-
-    def step(t, v):
-        found = F.concat(F.lit("&\\Q"), v["symbol"], F.lit("\\E(?:\\.|(?![A-Z0-9@#$]))"))
-        return F.regexp_replace(t, found, F.replace(F.replace(v["value"], F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$")))
-
-    return F.aggregate(values, text, step)
+    """text with each symbol of values (struct symbol, value) replaced, all at once; a dot after it belongs to the symbol."""
+    known = F.map_from_entries(values)
+    parts = F.regexp_extract_all(text, F.lit(r"&[A-Z0-9@#$]+\.?|[^&]+|&"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("&"), F.coalesce(F.try_element_at(known, F.regexp_extract(p, SYMBOL, 1)), p)).otherwise(p)), "")
 
 
 def _filled(rows: DataFrame, sets: DataFrame) -> DataFrame:
