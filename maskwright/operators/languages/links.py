@@ -31,12 +31,12 @@ def _put(text: Column, values: Column) -> Column:
 
 
 def _filled(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """rows (ROW, line_no, id, text) with `filled`: the symbols replaced whose value holds no open symbol itself; `left` tells that an open one stays."""
+    """rows (ROW, line_no, id, text) with `filled`: all symbols replaced that are set, or none as long as one of their values is open (`left`)."""
     uses = rows.select(ROW, "line_no", "id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(SYMBOL), F.lit(1)))).alias("symbol"))
     known = _as_of(uses, sets)
     per = known.where("value is not null").groupBy(ROW, "id").agg(F.array_sort(F.collect_list(F.when(~F.col("open"), F.struct("symbol", "value")))).alias("values"), F.bool_or("open").alias("left"))
     out = rows.join(per, [ROW, "id"], "left")
-    return out.withColumn("filled", F.when(F.col("values").isNull(), F.col("text")).otherwise(_put(F.col("text"), F.col("values")))).withColumn("left", F.coalesce("left", F.lit(False))).drop("values")
+    return out.withColumn("filled", F.when(F.col("values").isNull() | F.col("left"), F.col("text")).otherwise(_put(F.col("text"), F.col("values")))).withColumn("left", F.coalesce("left", F.lit(False))).drop("values")
 
 
 def jcl_resolved(docs: DataFrame) -> DataFrame:
