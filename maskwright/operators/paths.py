@@ -142,9 +142,16 @@ def project_references(docs: DataFrame) -> DataFrame:
     return docs.where(ext.isin(*PROJECT_FILES)).select("path", F.explode(F.array_distinct(found)).alias("reference"))
 
 
+def once(mapping: DataFrame) -> DataFrame:
+    """mapping (path, new_path) with each path once, under its least new path: a corpus may hold several rows of one path."""
+    return mapping.groupBy("path").agg(F.min("new_path").alias("new_path"))
+
+
 def resolved_imports(refs: DataFrame, mapping: DataFrame) -> DataFrame:
     """(path, reference, new_reference): the exact file, else with a script extension, else a directory's index file; the
-    first that exists, by equality joins on candidate paths. References that lead nowhere have no row."""
+    first that exists, by equality joins on candidate paths. References that lead nowhere have no row; repeated ones and repeated paths
+    of the mapping give one."""
+    mapping = once(mapping)
     base = normalized(F.concat_ws("/", directory(F.col("path")), F.col("reference")))
     shapes = ["", *JS_EXTENSIONS, *(f"/index{e}" for e in JS_EXTENSIONS)]
     cand = refs.withColumn("__base", base).select("path", "reference", F.posexplode(F.array(*(F.concat("__base", F.lit(s)) for s in shapes))).alias("rank", "target"))
@@ -162,6 +169,7 @@ def resolved_imports(refs: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def resolved_entries(refs: DataFrame, mapping: DataFrame) -> DataFrame:
     """(path, reference, new_reference) of project entries, in their own slashes; in XML entities are undone to find the file."""
+    refs, mapping = refs.distinct(), once(mapping)
     xml = extension(F.col("path")) != ".sln"
     named = F.when(xml, unescaped(F.col("reference"))).otherwise(F.col("reference"))
     r = refs.withColumn("target", normalized(F.concat_ws("/", directory(F.col("path")), slashes(named))))
