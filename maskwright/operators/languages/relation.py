@@ -72,13 +72,27 @@ def _before(column: Column) -> Column:
     return F.coalesce(F.sum(column).over(_by_place().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
 
 
+#: characters of sources whose tokens one task sorts in memory, a hundred bytes or so for each three characters
+DEALT = 4 << 20
+
+
+def dealt(docs: DataFrame, most: int = DEALT) -> DataFrame:
+    """docs by ROW, over as many partitions as their texts call for."""
+    chars = docs.agg(F.sum(F.length("content").cast("long"))).first()[0] or 0
+    return docs.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // most)), ROW)
+
+
 def tokens(docs: DataFrame, language: str) -> DataFrame:
     """docs: (ROW, content). (ROW, place, start, len, kind, text, line, depth, level); null and empty contents have no rows.
 
     A parenthesis or brace that opens stands at the depth within it, one that closes too. In Basic a comment word counts only
     where a statement begins, and a line that goes on has one number.
+
+    Texts are dealt by ROW before they are split, and the windows and groups over ROW take the tokens where they lie: a text is
+    shuffled once, its tokens, which take many times its room, never. They are sorted while they are narrow.
     """
-    parts = docs.select(ROW, F.posexplode(F.regexp_extract_all("content", F.lit(pattern(language)), F.lit(0))).alias("place", "text")).where("text <> ''")
+    found = F.posexplode(F.regexp_extract_all("content", F.lit(pattern(language)), F.lit(0))).alias("place", "text")
+    parts = dealt(docs.select(ROW, "content")).select(ROW, found).where("text <> ''").sortWithinPartitions(ROW, "place")
     rows = parts.withColumn("kind", kind_of(F.col("text"), language)).withColumn("len", F.length("text"))
     code = F.col("kind") == "mark"
     ends = (F.col("text") == "\n").cast("int") if language in BASIC else F.length("text") - F.length(F.replace("text", F.lit("\n")))

@@ -28,10 +28,10 @@ def _spread(docs: DataFrame) -> DataFrame:
     return docs if len(docs.inputFiles()) >= n else docs.repartition(n)
 
 
-def _made(sql, *tables):
+def _made(sql, *tables, spread=True):
     def docs(spark: SparkSession, sf: str) -> DataFrame:
         _view(spark, sf, *tables)
-        return _spread(spark.sql(sql))
+        return _spread(spark.sql(sql)) if spread else spark.sql(sql)
 
     return docs
 
@@ -311,7 +311,7 @@ def _by_row(docs):
     return docs.withColumn(sanitize.ROW, F.col("doc_id").cast("long"))
 
 
-scripts = _made(scripts_sql, "orders")
+scripts = _made(scripts_sql, "orders", spread=False)  # the token relation deals them
 macros = _made(macros_sql, "customer")
 classes = _made(classes_sql, "part")
 routines = _made(routines_sql, "customer")

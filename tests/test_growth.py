@@ -1,6 +1,10 @@
 """What showed only on larger tables: repeated paths, tables that are small on disk and large in memory, shuffles of tokens."""
 
+from pyspark.sql import functions as F
+
 from maskwright.operators import paths
+from maskwright.operators.languages import relation
+from maskwright.operators.sanitize import ROW
 
 
 def test_references_of_a_path_that_comes_twice_are_one_row(spark):
@@ -9,3 +13,24 @@ def test_references_of_a_path_that_comes_twice_are_one_row(spark):
     assert sorted(map(tuple, paths.resolved_imports(refs, mapping).collect())) == [("a/x.js", "./x", "./nx"), ("a/x.js", "./y", "./ny")]
     entries = spark.createDataFrame([("p.csproj", "a/x.js"), ("p.csproj", "a/x.js")], "path string, reference string")
     assert [tuple(r) for r in paths.resolved_entries(entries, mapping).collect()] == [("p.csproj", "a/x.js", "o/nx.js")]
+
+
+def shuffles(df):
+    """The exchanges of df's plan, from the last to the first, with the lines of the plan that stand under each."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    at = [k for k, x in enumerate(lines) if "Exchange " in x]
+    return [lines[k + 1 :] for k in at]
+
+
+def scripts(spark):
+    texts = ["begin tran begin select (1", "case when 1 end", "end case x", "begin", "select 'a", "a) /* b", "begin\nend if", "end /* x */ case", "BEGIN x END conversation", "", None, "-- begin\n'end'", "begin begin x end"]
+    return spark.createDataFrame(list(enumerate(texts)), f"{ROW} long, content string")
+
+
+def test_texts_are_shuffled_and_tokens_are_not(spark):
+    rows = relation.tokens(scripts(spark), "tsql")
+    for df in (rows, rows.groupBy(ROW, "kind").agg(F.count("*"), F.max("depth"))):
+        (below,) = shuffles(df)  # one, of the texts
+        assert not any("posexplode" in x for x in below)
+    assert {n for (n,) in rows.groupBy(ROW, F.spark_partition_id()).count().groupBy(ROW).agg(F.count("*")).select("count(1)").collect()} == {1}
+    assert relation.dealt(scripts(spark), most=10).rdd.getNumPartitions() >= 14  # as many as texts call for
