@@ -125,22 +125,29 @@ NO_BLOCK, OTHER_ENDS = ("tran", "transaction", "distributed", "dialog", "convers
 
 def sql_problems(rows: DataFrame) -> DataFrame:
     """(ROW, problem) of the tokens of SQL sources: parentheses, literals, comments and quoted names that do not close, BEGIN or CASE without END."""
-    low = F.lower("text")
-    words = rows.where("kind = 'word'").withColumns({"before": F.lag(low).over(_by_place()), "after": F.lead(low).over(_by_place())})
-    after, before = F.coalesce("after", F.lit("")), F.coalesce("before", F.lit(""))
-    step = F.when((low == "begin") & ~after.isin(*NO_BLOCK), 1).when((low == "case") & (before != "end"), 1).when((low == "end") & ~after.isin(*OTHER_ENDS), -1).otherwise(0)
-    blocks = words.groupBy(ROW).agg(F.sum(step).alias("blocks"))
+    low, is_word = F.lower("text"), F.col("kind") == "word"
+    so_far = _by_place().rowsBetween(Window.unboundedPreceding, -1)
+
+    def step(word: Column, after: Column) -> Column:
+        low, before = word["low"], F.coalesce(word["before"], F.lit(""))
+        return F.when((low == "begin") & ~after.isin(*NO_BLOCK), 1).when((low == "case") & (before != "end"), 1).when((low == "end") & ~after.isin(*OTHER_ENDS), -1).otherwise(0)
+
+    # what a word opens or closes is known at the next word, and of the last word at the end
+    word = F.when(is_word, F.struct(low.alias("low"), "before"))
+    rows = rows.withColumn("before", F.last(F.when(is_word, low), ignorenulls=True).over(so_far))
+    rows = rows.withColumn("last", F.last(word, ignorenulls=True).over(so_far))
+    blocks = F.sum(F.when(is_word, step(F.col("last"), low))).alias("blocks")
+    final = F.max_by(word, F.when(is_word, F.col("place"))).alias("final")
     opens = F.col("kind").isin("comment", "hint", "literal", "quoted") & ~closed(F.col("text"), F.col("kind"))
     what = F.when(F.col("kind").isin("comment", "hint"), "comment").when(F.col("kind") == "literal", "string").otherwise("name")
     # a parenthesis that closes stands at the depth within it: 0 if none was open
     below = (F.col("kind") == "mark") & (F.col("text") == ")") & (F.col("depth") <= 0)
     net = F.when((F.col("kind") == "mark") & (F.col("text") == "("), 1).when((F.col("kind") == "mark") & (F.col("text") == ")"), -1).otherwise(0)
-    per = rows.groupBy(ROW).agg(F.bool_or(below).alias("below"), F.sum(net).alias("net"), F.max(F.when(opens, what)).alias("open"))
-    per = per.join(blocks, ROW, "left")
+    per = rows.groupBy(ROW).agg(F.bool_or(below).alias("below"), F.sum(net).alias("net"), F.max(F.when(opens, what)).alias("open"), blocks, final)
     found = F.array(
         F.when(F.col("below"), F.lit("unexpected )")).when(F.col("net") > 0, F.lit("missing )")),
         F.when(F.col("open").isNotNull(), F.concat("open", F.lit(" does not end"))),
-        F.when(F.col("blocks") > 0, F.lit("BEGIN or CASE without END")),
+        F.when(F.col("blocks") + step(F.col("final"), F.lit("")) > 0, F.lit("BEGIN or CASE without END")),
     )
     return per.select(ROW, F.explode(F.filter(found, lambda p: p.isNotNull())).alias("problem"))
 

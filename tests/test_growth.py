@@ -34,3 +34,11 @@ def test_texts_are_shuffled_and_tokens_are_not(spark):
         assert not any("posexplode" in x for x in below)
     assert {n for (n,) in rows.groupBy(ROW, F.spark_partition_id()).count().groupBy(ROW).agg(F.count("*")).select("count(1)").collect()} == {1}
     assert relation.dealt(scripts(spark), most=10).rdd.getNumPartitions() >= 14  # as many as texts call for
+
+
+def test_sql_problems_shuffle_texts_alone(spark):
+    got = relation.sql_problems(relation.tokens(scripts(spark), "tsql"))
+    (below,) = shuffles(got)
+    assert not any("posexplode" in x for x in below)
+    open_ = "BEGIN or CASE without END"
+    assert sorted(map(tuple, got.collect())) == sorted([(0, "missing )"), (0, open_), (3, open_), (4, "string does not end"), (5, "comment does not end"), (5, "unexpected )"), (6, open_), (8, open_), (12, open_)])
