@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.operators.sanitize import ROW, keyed
-from maskwright.sources.shared import written
+from maskwright.sources.shared import by_key, written
 
 
 def stats(result: DataFrame, names: DataFrame) -> DataFrame:
@@ -93,15 +93,15 @@ def leak_search(result: DataFrame, names: DataFrame, least: int = 3) -> DataFram
     parts = known.select("value", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(_WORD), F.lit(0)))).alias("word"))
     # counts of the words that values have alone
     counts = words.join(parts.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("docs"))
-    anchors = parts.join(counts, "word", "left").groupBy("value").agg(F.min_by("word", F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "word")).alias("word"))
+    anchors = written(parts.join(counts, "word", "left").groupBy("value").agg(F.min_by("word", F.struct(F.coalesce("docs", F.lit(0)).alias("docs"), "word")).alias("word")), "anchors")
     pairs = words.join(anchors, "word")
     alone = pairs.where(F.col("value") == F.col("word")).select(ROW, "value")
-    rest = pairs.where(F.col("value") != F.col("word")).join(docs.select(ROW, "content"), ROW).where(F.contains("content", "value"))
+    rest = pairs.where(F.col("value") != F.col("word")).join(by_key(docs.select(ROW, "content")), ROW).where(F.contains("content", "value"))
     quoted = F.concat(F.lit("\\Q"), F.replace("value", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     side = lambda near, look: F.when(near.rlike(_EDGE), look).otherwise("")
     bounded = F.concat(side(F.substring("value", 1, 1), f"(?<!{_EDGE})"), quoted, side(F.expr("right(value, 1)"), f"(?!{_EDGE})"))
     found = alone.unionByName(rest.where(F.regexp_like("content", bounded)).select(ROW, "value"))
-    return found.join(docs.select(ROW, "doc_id"), ROW).select("doc_id", "value")
+    return found.join(by_key(docs.select(ROW, "doc_id")), ROW).select("doc_id", "value")
 
 
 def file_counts(result: DataFrame) -> DataFrame:

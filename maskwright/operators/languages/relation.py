@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.operators.sanitize import ROW
-from maskwright.sources.shared import written
+from maskwright.sources.shared import by_key, written
 
 #: what q-quotes are closed by; any other character closes itself
 BRACKETS = {"[": "]", "(": ")", "{": "}", "<": ">"}
@@ -224,7 +224,7 @@ def brace_blocks(rows: DataFrame, place: str = "place") -> DataFrame:
     braces = marks.where("text <> ';'")
     whole = rows.groupBy(ROW).agg(F.max("place").alias("end"))
     to = F.when(F.lead("text").over(w) == "}", F.lead("place").over(w))
-    inner = braces.withColumn("to", to).where("text = '{'").join(whole, ROW).select(ROW, F.col("place").alias("block"), "from", F.coalesce("to", "end").alias("to"), "level")
+    inner = braces.withColumn("to", to).where("text = '{'").join(by_key(whole), ROW).select(ROW, F.col("place").alias("block"), "from", F.coalesce("to", "end").alias("to"), "level")
     return inner.unionByName(whole.select(ROW, F.lit(-1).alias("block"), F.lit(0).alias("from"), F.col("end").alias("to"), F.lit(0).alias("level")))
 
 
@@ -254,14 +254,14 @@ def innermost(points: DataFrame, spans: DataFrame, keys: list[str], bucket: int
     asked = points.withColumn("__id", F.struct(*keys, "place")).withColumn("__at", at)
     asked = asked.withColumn("__s", F.explode(F.array(*(F.struct(F.lit(s).alias("size"), F.shiftright("__at", s).alias("piece")) for s in sizes))))
     asked = asked.select(*keys, "place", F.col("__s.size").alias("__size"), F.col("__s.piece").alias("__piece"))
-    met = asked.join(parts, [*keys, "__size", "__piece"]).where((F.col("place") >= F.col("__from")) & (F.col("place") <= F.col("__to")))
+    met = asked.join(by_key(parts), [*keys, "__size", "__piece"]).where((F.col("place") >= F.col("__from")) & (F.col("place") <= F.col("__to")))
     best = met.groupBy(*keys, "place").agg(F.max_by("block", F.struct("__from", "block")).alias("block"))
-    return points.join(best, [*keys, "place"])
+    return points.join(by_key(best), [*keys, "place"])
 
 
 def bound_uses(declared: DataFrame, uses: DataFrame, blocks: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(ROW, place, value, block): of uses (ROW, place, value) those that some declaration (ROW, place, value) is visible to, with the
     block that it stands in: the innermost around the use of those that declare the name."""
     home = innermost(declared.select(ROW, "place", "value").distinct(), blocks, [ROW], bucket)
-    names = home.select(ROW, "value", "block").distinct().join(blocks, [ROW, "block"]).select(ROW, "value", "block", "from", "to")
+    names = home.select(ROW, "value", "block").distinct().join(by_key(blocks), [ROW, "block"]).select(ROW, "value", "block", "from", "to")
     return innermost(uses.select(ROW, "place", "value").distinct(), names, [ROW, "value"], bucket)

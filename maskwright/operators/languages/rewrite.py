@@ -16,7 +16,7 @@ from maskwright.operators.languages import cards, cobol, mainframe, relation
 from maskwright.operators.languages.tokens import KNOWN_BY_FAMILY, REMOVED, code_spans, local_places
 from maskwright.operators.sanitize import ROW, keyed, numbered, resolved, union_all
 from maskwright.operators.scope import delegation_only, in_scope, processor_of
-from maskwright.sources.shared import written
+from maskwright.sources.shared import by_key, written
 
 SPANS = "__row long, doc_id long, start int, len int, value string, category string, family string, head string, tail string"
 #: languages whose files share the names they declare, and what is local to a routine
@@ -105,13 +105,13 @@ def rewritten(docs: DataFrame, scope: set[str] | None = None, fix_dispatch: bool
     asked = d.withColumn("processor", detailed(F.col("processor"), F.col("content"), scope)).where("processor is not null")
     here = {r[0] for r in asked.select("processor").distinct().collect()}  # no more than there are processors and cards
     if lexed := [x for x in (*relation.SQL, "csharp") if x in here]:
-        asked = asked.join(written(parsed(asked.select(ROW, "processor", "content"), lexed), "lexed"), ROW, "left")
+        asked = asked.join(by_key(written(parsed(asked.select(ROW, "processor", "content"), lexed), "lexed")), ROW, "left")
         spans = written(sql_spans(asked).unionByName(code_frames(asked)), "code-spans")
     else:
         spans = written(code_frames(asked.withColumn("masked", F.lit(None).cast("string"))), "code-spans")
     if "cobol" in here:
         own = cobol.spans(written(asked.where("processor = 'cobol'").select(ROW, "content"), "cobol"))
-        own = own.join(asked.select(ROW, F.col("doc_id").cast("long").alias("doc_id")), ROW).withColumns({"family": F.lit("cobol"), "tail": F.lit("")})
+        own = own.join(by_key(asked.select(ROW, F.col("doc_id").cast("long").alias("doc_id"))), ROW).withColumns({"family": F.lit("cobol"), "tail": F.lit("")})
         spans = written(spans.unionByName(own.select(*spans.columns)), "code-spans")
     spans = bound(spans, asked) if "csharp" in here else spans
     declared = spans.where(~F.col("category").isin("Comment", mainframe.KNOWN, KNOWN_BY_FAMILY))
@@ -122,10 +122,10 @@ def rewritten(docs: DataFrame, scope: set[str] | None = None, fix_dispatch: bool
     both = spans.join(names.select("value", "alias"), "value", "left").join(shared, ["value", "family"], "left")
     both = both.where((F.col("category") == "Comment") | (F.col("alias").isNotNull() & ((F.col("category") != KNOWN_BY_FAMILY) | F.col("__shared"))))
     one = F.struct("start", (-F.col("len")).alias("neg"), "len", F.concat("head", F.coalesce("alias", F.lit("")), "tail").alias("alias"), "value", F.col("category").alias("rule_id"))
-    per = both.groupBy(ROW).agg(F.array_sort(F.collect_list(one)).alias("__all"))
+    per = by_key(both.groupBy(ROW).agg(F.array_sort(F.collect_list(one)).alias("__all")))
     put = resolved(d.withColumn("__old", F.col("content")).join(per, ROW, "left") if fixed_width else d.join(per, ROW, "left"), "__all")
     out = put.withColumn("replacements", F.size("matches")).withColumnRenamed("matches", "code_matches").drop(ROW)
-    types = declared.select(ROW, "value", "category").distinct().join(names.select("value", "alias"), "value").join(d.select(ROW, "doc_id", "path"), ROW).select("doc_id", "path", "value", "alias", "category")
+    types = declared.select(ROW, "value", "category").distinct().join(names.select("value", "alias"), "value").join(by_key(d.select(ROW, "doc_id", "path")), ROW).select("doc_id", "path", "value", "alias", "category")
     return (_refitted(out).drop("__old") if fixed_width else out), names, types
 
 
@@ -139,10 +139,10 @@ def bound(spans: DataFrame, docs: DataFrame) -> DataFrame:
     rest = spans.where(F.col("category") != LOCAL_PLACE)
     local = F.col("category").isin(*LOCAL) & (F.col("family") == "dotnet")
     blocks = relation.brace_blocks(relation.tokens(docs.where("processor = 'csharp'").select(ROW, "content"), "csharp"), "start")
-    named = rest.where(local).join(docs.where("processor = 'csharp'").select(ROW), ROW, "left_semi")
+    named = rest.where(local).join(by_key(docs.where("processor = 'csharp'").select(ROW)), ROW, "left_semi")
     seen = relation.bound_uses(places, named.select(ROW, F.col("start").alias("place"), "value"), blocks)
-    lost = written(named.select(ROW, "start", "value").join(seen.select(ROW, F.col("place").alias("start"), "value"), [ROW, "start", "value"], "left_anti").withColumn("__lost", F.lit(True)), "unbound")
-    out = rest.join(lost, [ROW, "start", "value"], "left").withColumn("category", F.when(F.col("__lost") & local, KNOWN_BY_FAMILY).otherwise(F.col("category")))
+    lost = written(named.select(ROW, "start", "value").join(by_key(seen.select(ROW, F.col("place").alias("start"), "value")), [ROW, "start", "value"], "left_anti").withColumn("__lost", F.lit(True)), "unbound")
+    out = rest.join(by_key(lost), [ROW, "start", "value"], "left").withColumn("category", F.when(F.col("__lost") & local, KNOWN_BY_FAMILY).otherwise(F.col("category")))
     return written(out.drop("__lost").select(*spans.columns), "bound-spans")
 
 

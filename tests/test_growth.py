@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from maskwright.operators import paths
-from maskwright.operators.languages import relation
+from maskwright.operators import audit, paths
+from maskwright.operators.languages import relation, rewrite
 from maskwright.operators.sanitize import ROW
 
 
@@ -42,3 +42,17 @@ def test_sql_problems_shuffle_texts_alone(spark):
     assert not any("posexplode" in x for x in below)
     open_ = "BEGIN or CASE without END"
     assert sorted(map(tuple, got.collect())) == sorted([(0, "missing )"), (0, open_), (3, open_), (4, "string does not end"), (5, "comment does not end"), (5, "unexpected )"), (6, open_), (8, open_), (12, open_)])
+
+
+def test_rows_of_the_corpus_are_not_broadcast(spark):
+    """Equal texts take next to nothing in a written table, so its size on disk would have Spark broadcast it."""
+    text = "SELECT o.Total FROM sales.Orders o WHERE o.City = 'north west' -- pay run"
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("q"), "id", F.lit(".sql")).alias("path"), F.lit(text).alias("content"))
+    out, names = rewrite.obfuscated(docs)
+    leaks = audit.leak_search(docs, names)
+    for df in (out, leaks):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        sent = [x for x in plan.split("\n") if "BroadcastExchange" in x and "bigint" in x]
+        assert "Join" in plan and not sent
+    assert {(r.value, r["count"]) for r in leaks.groupBy("value").count().collect()} == {(v, 4000) for v in ("Total", "sales", "Orders", "City", "north west")}
+    assert audit.leak_search(out.select("doc_id", "content"), names).count() == 0
